@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_model, sentencepiece_codec, token_files, toxicity
+from . import decontaminate, minhash, quality_model, sentencepiece_codec, token_files, toxicity
 from .common import fold, table
 
 QUERIES, SQL = {}, {}
@@ -99,3 +99,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: five-word shingles, similarity of 0.75."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
