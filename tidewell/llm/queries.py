@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, quality_model, sentencepiece_codec, token_files, toxicity
+from . import decontaminate, minhash, pii, quality_model, quality_rules, sentencepiece_codec, token_files, toxicity
 from .common import fold, table
 
 QUERIES, SQL = {}, {}
@@ -105,3 +105,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five-word shingles, similarity of 0.75."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the verdict of the weighted rules for every document."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query()
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.PATTERNS],
+        F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(F.concat("base", "extra")).alias("spans"),
+    )
