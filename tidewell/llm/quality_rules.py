@@ -71,8 +71,11 @@ def statistics(docs: DataFrame) -> DataFrame:
         without("#*$%&|<>").alias("n_symbols"),
         without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
         without("!?").alias("n_marks"),
+        without("|<>").alias("n_bars"),
+        without("#*$%&").alias("n_signs"),
+        F.length(F.regexp_replace(text, "\\P{L}+", "")).cast("long").alias("n_letters"),
     )
-    return got.select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "n_upper", "n_marks")
+    return got.select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "n_upper", "n_marks", "n_bars", "n_signs", "n_letters")
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -84,12 +87,16 @@ def votes(stats: DataFrame) -> tuple[DataFrame, list[str]]:
     n = F.greatest(F.col("n_words"), F.lit(1))
     mean, symbols = F.col("word_chars") / n, F.col("n_symbols") / n
     repeat, marks = F.col("n_repeat_words") / n, F.col("n_marks") / n
-    upper = F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))
+    chars = F.greatest(F.col("word_chars"), F.lit(1))
+    upper, letters = F.col("n_upper") / chars, F.col("n_letters") / chars
     lines, dup = F.col("n_lines"), F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     kinds, enough = F.col("n_kinds") / F.sqrt(n), F.col("n_words") >= 20
     rules = [
         _vote(mean.between(3, 9), (mean < 2) | (mean > 14)),
         _vote(symbols < 0.05, symbols > 0.2),
+        _vote(F.col("n_bars") / n < 0.05, F.col("n_bars") / n > 0.2),
+        _vote(F.col("n_signs") / n < 0.05, F.col("n_signs") / n > 0.2),
+        _vote(letters > 0.85, letters < 0.8),
         _vote((lines >= 4) & (dup < 0.1), (lines >= 4) & (dup > 0.3)),
         _vote(enough & (repeat < 0.1), enough & (repeat > 0.25)),
         _vote(upper < 0.15, upper > 0.4),
