@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, pii, quality_model, quality_rules, sentencepiece_codec, token_files, toxicity
+from . import decontaminate, language_id, minhash, pii, quality_model, quality_rules, sentencepiece_codec, token_files, toxicity, url_filter
 from .common import fold, table
 
 QUERIES, SQL = {}, {}
@@ -125,3 +125,20 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.joined(F.concat("base", "extra")).alias("spans"),
     )
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned where crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.fit(docs, fold(F.col("doc_id"), 3) != 1)
+    return language_id.identify(docs, profiles).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query()
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    weights = url_filter.fit(url_filter.labelled_urls(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages"), weights, url_filter.RULES, ["page_id"])
