@@ -6,13 +6,13 @@
 2. Texts with one and the same set are one class, so thousands of copies cost one row from here on.
 3. Classes that share a bucket are candidates. Pairs are never listed bucket by bucket: each bucket
    first compares its members with one leader, the member that shares most with others. Signatures
-   drop what cannot reach the threshold (the margin is over five standard deviations); the rest is
+   drop what cannot reach the threshold (the margin is 3.3 standard deviations); the rest is
    verified on full shingle sets.
 4. Connected components by alternating large-star and small-star.
 5. In buckets that still hold several components, members outside a bucket's leading component are
    compared with the members of other components, inside tasks, by signature. What remains is
-   verified on full sets: first the best partner of each member in each component, then, with
-   components taken anew, all others. No partner is capped.
+   verified on full sets: first the likeliest pair of any two components, then, with components taken
+   anew, all others. No partner is capped.
 
 The chance that a pair at the threshold of 0.75 shares no bucket is (1 - 0.75^5)^50, about 1e-6.
 
@@ -33,8 +33,10 @@ from .common import materialize, slices, texts
 SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 5, 50
 PERMUTATIONS = ROWS * BANDS
-#: Least share of equal signature bytes at which a pair is verified: 0.75 less 5.1 deviations of the estimate.
-LEAST_SHARE = 0.61
+#: Least share of equal signature bytes at which a pair is verified: 0.75 less 3.3 deviations of the estimate.
+LEAST_SHARE = 0.66
+#: Ids of documents that are sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Members of a bucket that meet in one task; larger buckets are dealt out as a grid of such blocks.
 BLOCK = 1_500
 
@@ -202,44 +204,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x[:, None, :] == y[None, :, :]).sum(2, dtype=np.int16)
+def _pairs_in_block(pdf):
+    """Pairs of one block of a bucket: a member outside the leading component, and one of another component.
 
+    A pair that shares an earlier bucket is left to that bucket, so each pair is compared once.
+    """
+    import pandas as pd
 
-def _pairs_in_block(best_only: bool):
-    """Per block of a bucket: pairs of a member outside the leading component and one of another component."""
     least = int(np.ceil(LEAST_SHARE * PERMUTATIONS))
-
-    def run(pdf):
-        import pandas as pd
-
-        member = pdf[~pdf["asks"]]
-        asks = pdf[pdf["asks"]]
-        a, ca = asks["node"].to_numpy(), asks["component"].to_numpy()
-        b, cb = member["node"].to_numpy(), member["component"].to_numpy()
-        out_a, out_b, out_c, out_n = [], [], [], []
-        if len(a) and len(b):
-            x = np.frombuffer(b"".join(asks["signature"]), np.uint8).reshape(len(a), -1)
-            y = np.frombuffer(b"".join(member["signature"]), np.uint8).reshape(len(b), -1)
-            step = max(1, 20_000_000 // (len(b) * PERMUTATIONS))
-            for at in range(0, len(a), step):
-                near = _near(x[at : at + step], y)
-                i, j = np.nonzero((near >= least) & (ca[at : at + step, None] != cb[None, :]))
-                out_a.append(a[at + i])
-                out_b.append(b[j])
-                out_c.append(cb[j])
-                out_n.append(near[i, j])
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        got = pd.DataFrame({"a": join(out_a, "int64"), "b": join(out_b, "int64"), "c": join(out_c, "int64"), "near": join(out_n, "int32")})
-        if best_only and len(got):
-            got = got.sort_values(["near", "b"], ascending=[False, True]).drop_duplicates(["a", "c"])
-        return got
-
-    return run
-
-
-def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, best_only: bool) -> DataFrame:
-    """Candidate pairs between components that meet in a bucket; members(bucket, node, n)."""
+    ask, band = pdf["asks"].to_numpy(), int(pdf["band"].iloc[0])
+    node, part = pdf["node"].to_numpy(), pdf["component"].to_numpy()
+    signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
+    prints = np.stack(pdf["prints"].to_numpy())
+    q, m = np.flatnonzero(ask), np.flatnonzero(~ask)
+    out_a, out_b, out_n = [], [], []
+    step = max(1, 2_000_000 // max(len(m), 1))
+    for at in range(0, len(q) if len(m) else 0, step):
+        some = q[at : at + step]
+        open_ = part[some][:, None] != part[m][None, :]
+        for k in range(band):
+            open_ &= prints[some, k][:, None] != prints[m, k][None, :]
+        i, j = np.nonzero(open_)
+        for cut in range(0, len(i), 50_000):
+            x, y = some[i[cut : cut + 50_000]], m[j[cut : cut + 50_000]]
+            near = (signs[x] == signs[y]).sum(1)
+            good = near >= least
+            out_a.append(node[x[good]])
+            out_b.append(node[y[good]])
+            out_n.append(near[good])
+    join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    a, b, near = join(out_a, "int64"), join(out_b, "int64"), join(out_n, "int32")
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "near": near}).drop_duplicates(["a", "b"])
+
+
+def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Likely pairs (a, b, near) between components that meet in a bucket; members(bucket, band, node, n)."""
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     top = per.groupBy("bucket").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("top"), F.count("*").alias("parts"))
@@ -248,14 +247,29 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, b
     grid = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     place = F.pmod(F.xxhash64("node"), grid.cast("long")).cast("int")
     cells = F.sequence(F.lit(0), grid - 1)
-    columns = ["bucket", "node", "component", "signature"]
+    columns = ["bucket", "band", "node", "component", "signature", "prints"]
     member = open_.select(*columns, F.lit(False).alias("asks"), place.alias("col"), F.explode(cells).alias("row"))
     asks = open_.where(F.col("component") != F.col("top")).select(*columns, F.lit(True).alias("asks"), F.explode(cells).alias("col"), place.alias("row"))
-    dealt = member.unionByName(asks).groupBy("bucket", "row", "col")
-    pairs = dealt.applyInPandas(_pairs_in_block(best_only), "a long, b long, c long, near int")
-    if best_only:
-        pairs = pairs.groupBy("a", "c").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return member.unionByName(asks).groupBy("bucket", "row", "col").applyInPandas(_pairs_in_block, "a long, b long, near int").dropDuplicates(["a", "b"])
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components, with those components as ca and cb."""
+    name = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    both = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    both = both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    return both.where("ca <> cb")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Shingle sets of the named documents, one row each.
+
+    Up to BROADCAST_IDS names go to where the texts are; more meet the texts in a shuffle.
+    """
+    small = nodes.count() <= BROADCAST_IDS
+    texts_of = docs.select("doc_id", "text").join(F.broadcast(nodes) if small else nodes, "doc_id", "left_semi")
+    got = texts_of.mapInArrow(_sets, "doc_id long, shingles array<long>")
+    return materialize(got.dropDuplicates(["doc_id"]), "sets")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -266,11 +280,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = materialize(full.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).select("doc_id", "node"), "classes")
     nodes = own.where("doc_id = node").select("node").distinct()
     one = sketches.join(nodes, sketches.doc_id == nodes.node, "left_semi").dropDuplicates(["doc_id"])
-    exploded = one.select(F.col("doc_id").alias("node"), F.explode("buckets").alias("bucket"))
+    exploded = one.select(F.col("doc_id").alias("node"), F.posexplode("buckets").alias("band", "bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(exploded.join(shared, "bucket"), "members")
     near_nodes = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    signatures = materialize(one.select(F.col("doc_id").alias("node"), "signature").join(near_nodes, "node"), "signatures")
+    prints = F.transform("buckets", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    signatures = materialize(one.select(F.col("doc_id").alias("node"), "signature", prints.alias("prints")).join(near_nodes, "node"), "signatures")
 
     leaders = members.join(signatures.select("node", "weight"), "node").groupBy("bucket").agg(
         F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader")
@@ -281,15 +296,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     other = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"))
     likely = stars.join(one_side, "a").join(other, "b").mapInArrow(_likely, "a long, b long")
 
-    kept = signatures.select(F.col("node").alias("doc_id"))
-    sets = materialize(docs.select("doc_id", "text").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    sets = _sets_of(docs, signatures.select(F.col("node").alias("doc_id")))
     links = materialize(_verify(likely, sets, percent), "links")
     labels = connected_components(links)
-    for best_only in (True, False):
-        more = materialize(_cross_pairs(members, labels, signatures.select("node", "signature"), best_only), "pairs")
-        links = materialize(_verify(more, sets, percent), "links")
-        if not links.isEmpty():
-            labels = _merge(labels, links)
+    pairs = materialize(_cross_pairs(members, labels, signatures.drop("weight")), "pairs")
+    best = _between(pairs, labels).groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p"))
+    first = materialize(_verify(best.select("p.*"), sets, percent), "links")
+    if not first.isEmpty():
+        labels = _merge(labels, first)
+    rest = materialize(_verify(_between(pairs, labels), sets, percent), "links")
+    if not rest.isEmpty():
+        labels = _merge(labels, rest)
     named = own.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")).distinct()
     joined = sketches.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
