@@ -78,7 +78,7 @@ def trajectory(games: DataFrame, value: str, late: int = 6) -> DataFrame:
 
     Weeks without a game count as 0: slopes and means are over all weeks 1..W of the season.
     """
-    weekly = games.groupBy("season", "entity", "week").agg(F.sum(value).alias("v"))
+    weekly = games.groupBy("season", "entity", "week").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("v"))
     ends = games.groupBy("season").agg(F.greatest(F.max("week"), F.lit(1)).alias("n"))
     per = weekly.join(F.broadcast(ends), "season").groupBy("season", "entity", "n").agg(
         F.sum("v").alias("total"),

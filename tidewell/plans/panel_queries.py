@@ -449,11 +449,11 @@ def ev_resid_intervals(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 4) for c in ("p10", "p50", "p90")})
 
 
-@query(with_(fx.FORECAST_SQL + _BANDS, "SELECT b.season, b.entity, round(greatest(predicted + p10, 0), 5) AS low, round(predicted + p90, 5) AS high FROM bn b JOIN bands x ON b.position = x.position AND b.bin = x.bin"))
+@query(with_(fx.FORECAST_SQL + _BANDS, "SELECT b.season, b.entity, round(greatest(predicted + p10, 0), 2) AS low, round(predicted + p90, 2) AS high FROM bn b JOIN bands x ON b.position = x.position AND b.bin = x.bin"))
 def ev_apply_intervals(spark: SparkSession, d: str) -> DataFrame:
     f = fx.forecasts(spark, d)
     got = evaluation.apply_intervals(f, evaluation.residual_intervals(f, least=1))
-    return got.select("season", "entity", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
+    return got.select("season", "entity", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
 @query(with_(fx.FORECAST_SQL, "SELECT season, position, count(*) AS n, round(sum(actual), 4) AS total, round(min(actual), 4) AS lowest, round(max(actual), 4) AS highest FROM fc GROUP BY 1, 2"))
@@ -530,12 +530,12 @@ def _board(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(fx.FORECAST_SQL + _BOARD, """, k AS (SELECT *, 1 - risk AS health, (rank() OVER (PARTITION BY position ORDER BY points) + (count(*) OVER (PARTITION BY position, points) - 1) / 2.0) / count(*) OVER (PARTITION BY position) AS pct, rank() OVER (PARTITION BY position ORDER BY points DESC) AS position_rank,
   row_number() OVER (PARTITION BY position ORDER BY points DESC, entity) AS i, least(CASE position WHEN 'RB' THEN 24 WHEN 'WR' THEN 36 ELSE 12 END, count(*) OVER (PARTITION BY position)) AS cut FROM bf)
-SELECT entity, position, team, points, round(pct, 6) AS pct, position_rank, round(points - max(CASE WHEN i = cut THEN points END) OVER (PARTITION BY position), 4) AS over_replacement,
+SELECT entity, position, team, points, round(pct, 6) AS pct, position_rank, round(points - max(CASE WHEN i = cut THEN points END) OVER (PARTITION BY position), 6) AS over_replacement,
   CASE WHEN risk <= 0.2 THEN 'lower' WHEN risk <= 0.35 THEN 'moderate' ELSE 'higher' END AS risk_band FROM k"""))
 def brd_build(spark: SparkSession, d: str) -> DataFrame:
     b = _board(spark, d)
     full = ranking.replacement(b, ["position"], "points", fn.mapped(F.col("position"), fn.TOP_K, F.lit(12)))
-    return full.select("entity", "position", "team", "points", F.round("pct", 6).alias("pct"), "position_rank", F.round("over_replacement", 4).alias("over_replacement"), "risk_band")
+    return full.select("entity", "position", "team", "points", F.round("pct", 6).alias("pct"), "position_rank", F.round("over_replacement", 6).alias("over_replacement"), "risk_band")
 
 
 @query()
