@@ -78,10 +78,10 @@ class WordTable:
             return self._whole(many)
         alone = {i for i, t in enumerate(many) if UNSURE.search(t) or self.special.search(t)}
         words = [[] if i in alone else CUT.findall(t) for i, t in enumerate(many)]
-        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.table]
-        if new and len(self.table) + len(new) > MAX_TABLE:
-            self.table.clear()
-            new = list(dict.fromkeys(chain.from_iterable(words)))
+        kinds = dict.fromkeys(chain.from_iterable(words))
+        new = [w for w in kinds if w not in self.table]
+        if new and len(self.table) + len(new) > MAX_TABLE:  # words met again are the ones to keep
+            self.table = {w: self.table[w] for w in kinds if w in self.table}
         self._learn(new)
         out = [b"".join(map(self.table.__getitem__, ws)) for ws in words]
         for w in new:
