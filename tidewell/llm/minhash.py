@@ -10,9 +10,8 @@
    verified on full shingle sets.
 4. Connected components by alternating large-star and small-star.
 5. In buckets that still hold several components, members outside a bucket's leading component are
-   compared with the members of other components, inside tasks, by signature. What remains is
-   verified on full sets: first the likeliest pair of any two components, then, with components taken
-   anew, all others. No partner is capped.
+   compared with the members of other components, inside tasks, by signature, and what remains is
+   verified there on full sets. No partner is capped, and only links leave the tasks.
 
 The chance that a pair at the threshold of 0.75 shares no bucket is (1 - 0.75^5)^50, about 1e-6.
 
@@ -207,7 +206,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _pairs_in_block(pdf):
     """Pairs of one block of a bucket: a member outside the leading component, and one of another component.
 
-    A pair that shares an earlier bucket is left to that bucket, so each pair is compared once.
+    A pair that shares an earlier bucket is left to that bucket, so each pair is compared once. Out
+    come the nodes of likely pairs, one row each, the greater of a pair with its partners as a list.
     """
     import pandas as pd
 
@@ -217,7 +217,7 @@ def _pairs_in_block(pdf):
     signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
     prints = np.stack(pdf["prints"].to_numpy())
     q, m = np.flatnonzero(ask), np.flatnonzero(~ask)
-    out_a, out_b, out_n = [], [], []
+    out_a, out_b = [], []
     step = max(1, 2_000_000 // max(len(m), 1))
     for at in range(0, len(q) if len(m) else 0, step):
         some = q[at : at + step]
@@ -231,14 +231,50 @@ def _pairs_in_block(pdf):
             good = near >= least
             out_a.append(node[x[good]])
             out_b.append(node[y[good]])
-            out_n.append(near[good])
-    join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    a, b, near = join(out_a, "int64"), join(out_b, "int64"), join(out_n, "int32")
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "near": near}).drop_duplicates(["a", "b"])
+    a, b = (np.concatenate(x).astype("int64") if x else np.zeros(0, "int64") for x in (out_a, out_b))
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)  # two askers meet both ways
+    heads, at = np.unique(pairs[0], return_index=True)
+    others = np.setdiff1d(pairs[1], heads)
+    partners = [x.tolist() for x in np.split(pairs[1], at[1:])] if len(heads) else []
+    where = pdf.iloc[:1][["bucket", "row", "col"]].to_dict("records")[0]
+    return pd.DataFrame({**where, "node": np.concatenate([heads, others]), "partners": pd.Series([*partners, *[None] * len(others)], dtype=object)})
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Likely pairs (a, b, near) between components that meet in a bucket; members(bucket, band, node, n)."""
+def _verify_block(percent: int):
+    """Links between the nodes of a block, of those that are connected already in the block none."""
+
+    def run(pdf):
+        import pandas as pd
+
+        sets = dict(zip(pdf["node"], pdf["shingles"]))
+        root = {n: n for n in sets}
+
+        def find(n):
+            while root[n] != n:
+                root[n] = root[root[n]]
+                n = root[n]
+            return n
+
+        links = []
+        for a, partners in zip(pdf["node"], pdf["partners"]):
+            for b in partners if partners is not None else ():
+                if find(a) != find(b):
+                    x, y = sets[a], sets[b]
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * same >= percent * (len(x) + len(y) - same):
+                        root[find(a)] = find(b)
+                        links.append((a, b))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _cross_links(members: DataFrame, labels: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket; members(bucket, band, node, n).
+
+    Blocks first find their likely pairs by signature, then get the shingle sets of just the nodes in
+    those pairs, each once a block, and verify inside the task: pairs are at no time rows.
+    """
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     top = per.groupBy("bucket").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("top"), F.count("*").alias("parts"))
@@ -250,15 +286,10 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame) -
     columns = ["bucket", "band", "node", "component", "signature", "prints"]
     member = open_.select(*columns, F.lit(False).alias("asks"), place.alias("col"), F.explode(cells).alias("row"))
     asks = open_.where(F.col("component") != F.col("top")).select(*columns, F.lit(True).alias("asks"), F.explode(cells).alias("col"), place.alias("row"))
-    return member.unionByName(asks).groupBy("bucket", "row", "col").applyInPandas(_pairs_in_block, "a long, b long, near int").dropDuplicates(["a", "b"])
-
-
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components, with those components as ca and cb."""
-    name = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    both = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left")
-    both = both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    return both.where("ca <> cb")
+    block = ["bucket", "row", "col"]
+    likely = member.unionByName(asks).groupBy(*block).applyInPandas(_pairs_in_block, "bucket long, row int, col int, node long, partners array<long>")
+    likely = materialize(likely, "likely").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    return likely.groupBy(*block).applyInPandas(_verify_block(percent), "a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -299,14 +330,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = _sets_of(docs, signatures.select(F.col("node").alias("doc_id")))
     links = materialize(_verify(likely, sets, percent), "links")
     labels = connected_components(links)
-    pairs = materialize(_cross_pairs(members, labels, signatures.drop("weight")), "pairs")
-    best = _between(pairs, labels).groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p"))
-    first = materialize(_verify(best.select("p.*"), sets, percent), "links")
-    if not first.isEmpty():
-        labels = _merge(labels, first)
-    rest = materialize(_verify(_between(pairs, labels), sets, percent), "links")
-    if not rest.isEmpty():
-        labels = _merge(labels, rest)
+    more = materialize(_cross_links(members, labels, signatures.drop("weight"), sets, percent), "links")
+    if not more.isEmpty():
+        labels = _merge(labels, more)
     named = own.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")).distinct()
     joined = sketches.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
