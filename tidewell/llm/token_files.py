@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
         "parquet.dictionary.page.size": 1 << 20,
     }
     writer.options(**options).parquet(f"{path}/tokens")
-    sums = spark.read.parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    sums = read_token_files(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).coalesce(1).write.parquet(f"{path}/parts")
 
@@ -149,7 +149,7 @@ def _crcs(batches):
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the token files with `part`: filters on doc_id and unread columns reach the files."""
-    return spark.read.parquet(f"{path}/tokens")
+    return spark.read.schema("doc_id long, n_tokens long, ids array<int>, part int").parquet(f"{path}/tokens")
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
@@ -158,7 +158,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     rows = read_token_files(spark, path)
     rows = rows.withColumn("place", F.col("_metadata.row_index")).select("doc_id", "part", "place", "n_tokens", "ids")
     sums = rows.mapInArrow(_crcs, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
-    starts = spark.read.parquet(f"{path}/parts")
+    starts = spark.read.schema("part int, start long").parquet(f"{path}/parts")
     before = Window.partitionBy("part").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
     return (
