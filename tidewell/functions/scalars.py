@@ -87,3 +87,11 @@ def combined_score(pct: Column, health: Column, weight: float) -> Column:
 def age_at(season: Column, birth: Column) -> Column:
     """Years from birth to the first of September of a season."""
     return F.datediff(F.make_date(season, F.lit(9), F.lit(1)), birth) / 365.2425
+
+
+def family(name: Column, rules: list[tuple[str, str]], default: str = "other") -> Column:
+    """The family of the first pattern that a column's name matches."""
+    out = F.lit(default)
+    for pattern, kind in reversed(rules):
+        out = F.when(name.rlike(pattern), kind).otherwise(out)
+    return out

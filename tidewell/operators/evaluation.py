@@ -196,3 +196,10 @@ def cluster_bootstrap(df: DataFrame, draws: int, seed: int = 7) -> DataFrame:
     per = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("e")) / F.sum(F.col("w") * F.col("n"))).alias("mae"))
     q = F.percentile("mae", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return per.agg(q.alias("q"), F.count("*").alias("draws")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"), "draws")
+
+
+def blend_ranks(weights: dict[str, float], group: list[str]) -> Column:
+    """Weighted sum of rank shares within a group; the weights must sum to 1."""
+    if abs(sum(weights.values()) - 1) > 1e-9:
+        raise ValueError("weights must sum to 1")
+    return sum((ranking.rank_pct(F.col(c), group) * w for c, w in weights.items()), F.lit(0.0))

@@ -138,3 +138,24 @@ def check_lineage(lineage: DataFrame) -> DataFrame:
     names = lineage.where(F.col("column").rlike("future|actual|^target_")).agg(F.count("*").alias("violations")).select(F.lit("forbidden_name").alias("check"), "violations")
     checks = lineage.sparkSession.createDataFrame([("outcome_offset",), ("report_offset",), ("forbidden_name",)], "check string")
     return checks.join(bad.unionByName(names), "check", "left").fillna(0)
+
+
+def leaks(lineage: DataFrame, least_offset: int) -> DataFrame:
+    """Rows whose source season is less than `least_offset` seasons before the season they serve."""
+    return lineage.where(F.col("season") - F.col("source_season") < least_offset)
+
+
+def safe_columns(df: DataFrame, keys: list[str], prefixes: tuple[str, ...], outcomes: tuple[str, ...]) -> DataFrame:
+    """Keys and columns with an allowed prefix; an outcome that would pass for a feature is an error."""
+    kept = [c for c in df.columns if c not in keys and c.startswith(prefixes)]
+    bad = [c for c in kept if c.startswith(outcomes)]
+    if bad:
+        raise ValueError(f"outcomes among the features: {bad}")
+    return df.select(*keys, *kept)
+
+
+def era(df: DataFrame, tier: str, first: int, columns: list[str], recent: list[str]) -> DataFrame:
+    """`recent`: seasons from `first` on with the further columns; any other tier: all seasons without them."""
+    if tier == "recent":
+        return df.where(F.col("season") >= first).select(*columns, *recent)
+    return df.select(*columns)
