@@ -448,7 +448,7 @@ def ev_fold_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_(_PROB, """, e AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM pr)
-SELECT CAST(len(list_filter(e, x -> x < p)) AS INTEGER) AS bin, round(avg(p), 6) AS predicted, round(avg(label), 6) AS observed, count(*) AS n FROM pr, e GROUP BY 1"""))
+SELECT CAST(len(list_filter(e, lambda x: x < p)) AS INTEGER) AS bin, round(avg(p), 6) AS predicted, round(avg(label), 6) AS observed, count(*) AS n FROM pr, e GROUP BY 1"""))
 def ev_calib_curve(spark: SparkSession, d: str) -> DataFrame:
     return r6(evaluation.calibration_curve(_prob(spark, d)), "predicted", "observed")
 
@@ -488,7 +488,7 @@ def fe_median_fill(spark: SparkSession, d: str) -> DataFrame:
     return s.crossJoin(F.broadcast(s.agg(F.median("bal").alias("m")))).select("s_suppkey", F.coalesce("bal", "m").alias("bal"))  # one row
 
 
-@query(with_(_LONG + _FRANK, ", sp AS (SELECT feature, corr(rx, ry) AS s FROM fr GROUP BY 1) SELECT feature, round(s, 6) AS spearman, rank() OVER (ORDER BY round(abs(s), 9) DESC) AS place FROM sp"))
+@query(with_(_LONG + _FRANK, ", sp AS (SELECT feature, corr(rx, ry) AS s FROM fr GROUP BY 1) SELECT feature, round(s, 6) AS spearman, CAST(rank() OVER (ORDER BY round(abs(s), 9) DESC) AS INTEGER) AS place FROM sp"))
 def fe_univariate_spearman(spark: SparkSession, d: str) -> DataFrame:
     got = evidence.association(_features(spark, d)).select("feature", "spearman")
     place = F.rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(F.abs("spearman"), 9))))
@@ -496,7 +496,7 @@ def fe_univariate_spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_(_LONG + _FRANK, """, a AS (SELECT feature, abs(corr(rx, ry)) AS s, abs(corr(x, y)) AS p FROM fr GROUP BY 1), k AS (SELECT feature, row_number() OVER (ORDER BY round(s, 9) DESC, feature) AS a, row_number() OVER (ORDER BY round(p, 9) DESC, feature) AS b FROM a)
-SELECT feature, (a + b) / 2.0 AS mean_rank, row_number() OVER (ORDER BY (a + b) / 2.0, feature) AS place FROM k"""))
+SELECT feature, (a + b) / 2.0 AS mean_rank, CAST(row_number() OVER (ORDER BY (a + b) / 2.0, feature) AS INTEGER) AS place FROM k"""))
 def fe_consensus(spark: SparkSession, d: str) -> DataFrame:
     by = lambda c: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(F.abs(c), 9)), "feature"))
     ranks = evidence.association(_features(spark, d)).select("feature", by("spearman").alias("a"), by("point_biserial").alias("b"))
