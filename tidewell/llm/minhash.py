@@ -22,6 +22,8 @@ taken as copies under one name, and each keeps its row.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,8 @@ LEAST_SHARE = 0.66
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket that meet in one task; larger buckets are dealt out as a grid of such blocks.
 BLOCK = 1_500
+#: Pairs of a task whose signatures are compared at once.
+PAIRS_AT_ONCE = 50_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -203,41 +207,77 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
-def _pairs_in_block(pdf):
-    """Pairs of one block of a bucket: a member outside the leading component, and one of another component.
+def _near_pairs(ask, group, part, band, signs, prints):
+    """Rows (asker, member) of likely pairs of the same group and of different components.
 
-    A pair that shares an earlier bucket is left to that bucket, so each pair is compared once. Out
-    come the nodes of likely pairs, one row each, the greater of a pair with its partners as a list.
+    A pair that shares an earlier bucket is left to that bucket, so each pair is compared once. Pairs
+    are laid out PAIRS_AT_ONCE at a time, over many groups if they are small.
     """
-    import pandas as pd
-
     least = int(np.ceil(LEAST_SHARE * PERMUTATIONS))
-    ask, band = pdf["asks"].to_numpy(), int(pdf["band"].iloc[0])
-    node, part = pdf["node"].to_numpy(), pdf["component"].to_numpy()
-    signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
-    prints = np.stack(pdf["prints"].to_numpy())
     q, m = np.flatnonzero(ask), np.flatnonzero(~ask)
-    out_a, out_b = [], []
-    step = max(1, 2_000_000 // max(len(m), 1))
-    for at in range(0, len(q) if len(m) else 0, step):
-        some = q[at : at + step]
-        open_ = part[some][:, None] != part[m][None, :]
-        for k in range(band):
-            open_ &= prints[some, k][:, None] != prints[m, k][None, :]
-        i, j = np.nonzero(open_)
-        for cut in range(0, len(i), 50_000):
-            x, y = some[i[cut : cut + 50_000]], m[j[cut : cut + 50_000]]
-            near = (signs[x] == signs[y]).sum(1)
-            good = near >= least
-            out_a.append(node[x[good]])
-            out_b.append(node[y[good]])
-    a, b = (np.concatenate(x).astype("int64") if x else np.zeros(0, "int64") for x in (out_a, out_b))
-    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)  # two askers meet both ways
-    heads, at = np.unique(pairs[0], return_index=True)
-    others = np.setdiff1d(pairs[1], heads)
-    partners = [x.tolist() for x in np.split(pairs[1], at[1:])] if len(heads) else []
-    where = pdf.iloc[:1][["bucket", "row", "col"]].to_dict("records")[0]
-    return pd.DataFrame({**where, "node": np.concatenate([heads, others]), "partners": pd.Series([*partners, *[None] * len(others)], dtype=object)})
+    first = np.searchsorted(group[m], group[q], side="left")
+    counts = np.searchsorted(group[m], group[q], side="right") - first
+    ends = np.cumsum(counts)
+    found = [np.zeros((2, 0), np.int64)]
+    at = 0
+    while at < len(q):
+        before = ends[at] - counts[at]
+        to = max(at + 1, int(np.searchsorted(ends, before + PAIRS_AT_ONCE, side="right")))
+        n = counts[at:to]
+        x = np.repeat(q[at:to], n)
+        y = m[np.repeat(first[at:to] - (ends[at:to] - n - before), n) + np.arange(len(x))]
+        for keep in (
+            lambda x, y: part[x] != part[y],
+            lambda x, y: (signs[x] == signs[y]).sum(1) >= least,
+            lambda x, y: ~((prints[x] == prints[y]) & (np.arange(BANDS) < band[x][:, None])).any(1),
+        ):
+            kept = keep(x, y)
+            x, y = x[kept], y[kept]
+        found.append(np.stack([x, y]))
+        at = to
+    return np.concatenate(found, axis=1)
+
+
+def _pairs_in_blocks(batches):
+    """Likely pairs of each block of a bucket: a member outside the leading component, and one of another.
+
+    The rows of a block come one after the other. Out come the nodes of likely pairs, one row each,
+    the greater of a pair with its partners as a list.
+    """
+    keys = ["bucket", "row", "col"]
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        if held is None or not held.num_rows:
+            continue
+        key = np.stack([held[k].to_numpy().astype(np.int64) for k in keys])
+        starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+        whole = held.num_rows if batch is None else int(starts[-1])  # the last block may go on in the next batch
+        if not whole:
+            continue
+        done, held = held.slice(0, whole), held.slice(whole)
+        starts = starts[starts < whole]
+        group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [whole]])))
+        node, part, band, ask = (done[n].to_numpy() for n in ("node", "component", "band", "asks"))
+        signs = np.frombuffer(b"".join(done["signature"].to_pylist()), np.uint8).reshape(whole, -1)
+        prints = done["prints"].combine_chunks().flatten().to_numpy().reshape(whole, -1)
+        x, y = _near_pairs(ask, group, part, band, signs, prints)
+        # two askers meet both ways
+        pairs = np.unique(np.stack([group[x], np.maximum(node[x], node[y]), np.minimum(node[x], node[y])]), axis=1)
+        heads, at = np.unique(pairs[:2], axis=1, return_index=True)
+        partners = [p.tolist() for p in np.split(pairs[2], at[1:])] if len(at) else []
+        names = set(map(tuple, heads.T.tolist()))
+        others = [t for t in map(tuple, np.unique(pairs[::2], axis=1).T.tolist()) if t not in names]
+        block = starts[np.concatenate([heads[0], np.array([g for g, _ in others], np.int64)])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(key[i, block], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))),
+                pa.array([*heads[1].tolist(), *(n for _, n in others)], pa.int64()),
+                pa.array([*partners, *[None] * len(others)], pa.list_(pa.int64())),
+            ],
+            names=[*keys, "node", "partners"],
+        )
 
 
 def _verify_block(percent: int):
@@ -287,7 +327,8 @@ def _cross_links(members: DataFrame, labels: DataFrame, signatures: DataFrame, s
     member = open_.select(*columns, F.lit(False).alias("asks"), place.alias("col"), F.explode(cells).alias("row"))
     asks = open_.where(F.col("component") != F.col("top")).select(*columns, F.lit(True).alias("asks"), F.explode(cells).alias("col"), place.alias("row"))
     block = ["bucket", "row", "col"]
-    likely = member.unionByName(asks).groupBy(*block).applyInPandas(_pairs_in_block, "bucket long, row int, col int, node long, partners array<long>")
+    dealt = member.unionByName(asks).repartition(*block).sortWithinPartitions(*block)  # most blocks are small: a task takes many at once
+    likely = dealt.mapInArrow(_pairs_in_blocks, "bucket long, row int, col int, node long, partners array<long>")
     likely = materialize(likely, "likely").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
     return likely.groupBy(*block).applyInPandas(_verify_block(percent), "a long, b long").distinct()
 
