@@ -480,8 +480,9 @@ _LONG = "lf AS (SELECT vec_id, label, i AS feature, CAST(embedding[i] AS DOUBLE)
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.table(spark, d, "embeddings").select("vec_id", "label", (F.col("label") == 0).cast("bigint").alias("y"), *[F.col("embedding")[i].cast("double").alias(str(i + 1)) for i in range(16)])
-    return evidence.long_form(e, [str(i + 1) for i in range(16)], ["vec_id", "label", "y"]).withColumn("feature", F.col("feature").cast("bigint"))
+    """A row for each element of each vector, however many elements there are."""
+    e = fx.table(spark, d, "embeddings").select("vec_id", "label", (F.col("label") == 0).cast("bigint").alias("y"), F.posexplode("embedding").alias("i", "x"))
+    return e.select("vec_id", "label", "y", (F.col("i") + 1).cast("bigint").alias("feature"), F.col("x").cast("double").alias("x"))
 
 
 _FRANK = """, fr AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM lf)"""
