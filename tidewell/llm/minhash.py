@@ -5,13 +5,13 @@
    the minima its signature.
 2. Texts with one and the same set are one class, so thousands of copies cost one row from here on.
 3. Classes that share a bucket are candidates. Pairs are never listed bucket by bucket: each bucket
-   first compares its members with one leader, the member that shares most with others. Signatures
-   drop what cannot reach the threshold (the margin is 3.3 standard deviations); the rest is
-   verified on full shingle sets.
+   first compares its members with one leader, the member that shares most with others. Pairs whose
+   signatures agree enough are verified on full shingle sets here; the others are left to step 5.
 4. Connected components by alternating large-star and small-star.
 5. In buckets that still hold several components, members outside a bucket's leading component are
-   compared with the members of other components, inside tasks, by signature, and what remains is
-   verified there on full sets. No partner is capped, and only links leave the tasks.
+   compared with the members of other components, inside tasks, on full sets. Only pairs whose numbers
+   of shingles rule the threshold out are left away. No partner is capped, and only links leave the
+   tasks. So every pair of a bucket is verified on full sets or connected by links that are.
 
 The chance that a pair at the threshold of 0.75 shares no bucket is (1 - 0.75^5)^50, about 1e-6.
 
@@ -34,14 +34,16 @@ from .common import materialize, slices, texts
 SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 5, 50
 PERMUTATIONS = ROWS * BANDS
-#: Least share of equal signature bytes at which a pair is verified: 0.75 less 3.3 deviations of the estimate.
+#: Least share of equal signature bytes at which a pair with a leader is verified at once rather than in step 5.
 LEAST_SHARE = 0.66
 #: Ids of documents that are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket that meet in one task; larger buckets are dealt out as a grid of such blocks.
 BLOCK = 1_500
-#: Pairs of a task whose signatures are compared at once.
+#: Pairs of a task that are compared at once.
 PAIRS_AT_ONCE = 50_000
+#: Shingles of partners that are looked up at once.
+SHINGLES_AT_ONCE = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -207,13 +209,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
-def _near_pairs(ask, group, part, band, signs, prints):
-    """Rows (asker, member) of likely pairs of the same group and of different components.
+def _near_pairs(ask, group, part, band, sizes, prints, percent):
+    """Rows (asker, member) of the pairs of the same group and of different components that can reach the threshold.
 
     A pair that shares an earlier bucket is left to that bucket, so each pair is compared once. Pairs
     are laid out PAIRS_AT_ONCE at a time, over many groups if they are small.
     """
-    least = int(np.ceil(LEAST_SHARE * PERMUTATIONS))
     q, m = np.flatnonzero(ask), np.flatnonzero(~ask)
     first = np.searchsorted(group[m], group[q], side="left")
     counts = np.searchsorted(group[m], group[q], side="right") - first
@@ -228,7 +229,7 @@ def _near_pairs(ask, group, part, band, signs, prints):
         y = m[np.repeat(first[at:to] - (ends[at:to] - n - before), n) + np.arange(len(x))]
         for keep in (
             lambda x, y: part[x] != part[y],
-            lambda x, y: (signs[x] == signs[y]).sum(1) >= least,
+            lambda x, y: 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]),
             lambda x, y: ~((prints[x] == prints[y]) & (np.arange(BANDS) < band[x][:, None])).any(1),
         ):
             kept = keep(x, y)
@@ -238,47 +239,58 @@ def _near_pairs(ask, group, part, band, signs, prints):
     return np.concatenate(found, axis=1)
 
 
-def _pairs_in_blocks(batches):
-    """Likely pairs of each block of a bucket: a member outside the leading component, and one of another.
+def _pairs_in_blocks(percent: int):
+    """Possible pairs of each block of a bucket: a member outside the leading component, and one of another.
 
-    The rows of a block come one after the other. Out come the nodes of likely pairs, one row each,
+    The rows of a block come one after the other. Out come the nodes of the pairs, one row each,
     the greater of a pair with its partners as a list.
     """
     keys = ["bucket", "row", "col"]
-    held = None
-    for batch in chain(batches, [None]):
-        if batch is not None:
-            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-        if held is None or not held.num_rows:
-            continue
-        key = np.stack([held[k].to_numpy().astype(np.int64) for k in keys])
-        starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-        whole = held.num_rows if batch is None else int(starts[-1])  # the last block may go on in the next batch
-        if not whole:
-            continue
-        done, held = held.slice(0, whole), held.slice(whole)
-        starts = starts[starts < whole]
-        group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [whole]])))
-        node, part, band, ask = (done[n].to_numpy() for n in ("node", "component", "band", "asks"))
-        signs = np.frombuffer(b"".join(done["signature"].to_pylist()), np.uint8).reshape(whole, -1)
-        prints = done["prints"].combine_chunks().flatten().to_numpy().reshape(whole, -1)
-        x, y = _near_pairs(ask, group, part, band, signs, prints)
-        # two askers meet both ways
-        pairs = np.unique(np.stack([group[x], np.maximum(node[x], node[y]), np.minimum(node[x], node[y])]), axis=1)
-        heads, at = np.unique(pairs[:2], axis=1, return_index=True)
-        partners = [p.tolist() for p in np.split(pairs[2], at[1:])] if len(at) else []
+
+    def rows(done):
+        key = np.stack([done[k].to_numpy().astype(np.int64) for k in keys])
+        fresh = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])
+        starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        node, part, band, sizes, ask = (done[n].to_numpy() for n in ("node", "component", "band", "n_shingles", "asks"))
+        prints = done["prints"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        x, y = _near_pairs(ask, group, part, band, sizes, prints, percent)
+        pairs = np.stack([group[x], np.maximum(node[x], node[y]), np.minimum(node[x], node[y])])
+        pairs = pairs[:, np.lexsort(pairs[::-1])]
+        pairs = pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(0)])[: pairs.shape[1]]]  # two askers meet both ways
+        at = np.flatnonzero(np.concatenate([[True], (pairs[:2, 1:] != pairs[:2, :-1]).any(0)])[: pairs.shape[1]])
+        heads = pairs[:2, at]
         names = set(map(tuple, heads.T.tolist()))
         others = [t for t in map(tuple, np.unique(pairs[::2], axis=1).T.tolist()) if t not in names]
         block = starts[np.concatenate([heads[0], np.array([g for g, _ in others], np.int64)])]
-        yield pa.RecordBatch.from_arrays(
+        ends = np.concatenate([at, np.full(1 + len(others), pairs.shape[1])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
             [
                 *(pa.array(key[i, block], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))),
                 pa.array([*heads[1].tolist(), *(n for _, n in others)], pa.int64()),
-                pa.array([*partners, *[None] * len(others)], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs[2])),
             ],
             names=[*keys, "node", "partners"],
         )
 
+    def run(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            if held is None or not held.num_rows:
+                continue
+            key = np.stack([held[k].to_numpy().astype(np.int64) for k in keys])
+            starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+            whole = held.num_rows if batch is None else int(starts[-1])  # the last block may go on in the next batch
+            done, held = held.slice(0, whole), held.slice(whole)
+            at = 0
+            while at < whole:  # few rows at a time, but whole blocks, so that their pairs stay small
+                to = int(np.append(starts, whole)[np.searchsorted(np.append(starts, whole), min(at + BLOCK, whole))])
+                yield rows(done.slice(at, to - at))
+                at = to
+
+    return run
+
 
 def _verify_block(percent: int):
     """Links between the nodes of a block, of those that are connected already in the block none."""
@@ -286,24 +298,32 @@ def _verify_block(percent: int):
     def run(pdf):
         import pandas as pd
 
-        sets = dict(zip(pdf["node"], pdf["shingles"]))
-        root = {n: n for n in sets}
-
-        def find(n):
-            while root[n] != n:
-                root[n] = root[root[n]]
-                n = root[n]
-            return n
-
+        nodes = pdf["node"].to_numpy()
+        order = np.argsort(nodes)
+        sizes = np.array([len(x) for x in pdf["shingles"]], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        ids = np.unique(np.concatenate(list(pdf["shingles"])), return_inverse=True)[1]
+        mark = np.zeros(len(ids), np.uint8)
+        part = np.arange(len(nodes))
         links = []
-        for a, partners in zip(pdf["node"], pdf["partners"]):
-            for b in partners if partners is not None else ():
-                if find(a) != find(b):
-                    x, y = sets[a], sets[b]
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * same >= percent * (len(x) + len(y) - same):
-                        root[find(a)] = find(b)
-                        links.append((a, b))
+        for a, partners in enumerate(pdf["partners"]):
+            if partners is None or not len(partners):
+                continue
+            every = order[np.searchsorted(nodes[order], partners)]
+            own = ids[starts[a] : starts[a] + sizes[a]]
+            mark[own] = 1
+            for b in np.array_split(every, 1 + sizes[every].sum() // SHINGLES_AT_ONCE):
+                b = b[part[b] != part[a]]
+                if not len(b):
+                    continue
+                n = sizes[b]
+                first = np.cumsum(n) - n
+                same = np.add.reduceat(mark[ids[np.repeat(starts[b] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+                for k in b[100 * same >= percent * (sizes[a] + n - same)]:
+                    if part[k] != part[a]:
+                        part[part == part[k]] = part[a]
+                        links.append((nodes[a], nodes[k]))
+            mark[own] = 0
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
@@ -312,8 +332,8 @@ def _verify_block(percent: int):
 def _cross_links(members: DataFrame, labels: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that meet in a bucket; members(bucket, band, node, n).
 
-    Blocks first find their likely pairs by signature, then get the shingle sets of just the nodes in
-    those pairs, each once a block, and verify inside the task: pairs are at no time rows.
+    Blocks first find the pairs that can reach the threshold, then get the shingle sets of just the nodes
+    in those pairs, each once a block, and verify inside the task: pairs are at no time rows.
     """
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
@@ -323,12 +343,12 @@ def _cross_links(members: DataFrame, labels: DataFrame, signatures: DataFrame, s
     grid = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     place = F.pmod(F.xxhash64("node"), grid.cast("long")).cast("int")
     cells = F.sequence(F.lit(0), grid - 1)
-    columns = ["bucket", "band", "node", "component", "signature", "prints"]
+    columns = ["bucket", "band", "node", "component", "n_shingles", "prints"]
     member = open_.select(*columns, F.lit(False).alias("asks"), place.alias("col"), F.explode(cells).alias("row"))
     asks = open_.where(F.col("component") != F.col("top")).select(*columns, F.lit(True).alias("asks"), F.explode(cells).alias("col"), place.alias("row"))
     block = ["bucket", "row", "col"]
     dealt = member.unionByName(asks).repartition(*block).sortWithinPartitions(*block)  # most blocks are small: a task takes many at once
-    likely = dealt.mapInArrow(_pairs_in_blocks, "bucket long, row int, col int, node long, partners array<long>")
+    likely = dealt.mapInArrow(_pairs_in_blocks(percent), "bucket long, row int, col int, node long, partners array<long>")
     likely = materialize(likely, "likely").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
     return likely.groupBy(*block).applyInPandas(_verify_block(percent), "a long, b long").distinct()
 
@@ -357,7 +377,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = materialize(exploded.join(shared, "bucket"), "members")
     near_nodes = members.groupBy("node").agg(F.sum("n").alias("weight"))
     prints = F.transform("buckets", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    signatures = materialize(one.select(F.col("doc_id").alias("node"), "signature", prints.alias("prints")).join(near_nodes, "node"), "signatures")
+    signatures = materialize(one.select(F.col("doc_id").alias("node"), "n_shingles", "signature", prints.alias("prints")).join(near_nodes, "node"), "signatures")
 
     leaders = members.join(signatures.select("node", "weight"), "node").groupBy("bucket").agg(
         F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader")
@@ -371,7 +391,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = _sets_of(docs, signatures.select(F.col("node").alias("doc_id")))
     links = materialize(_verify(likely, sets, percent), "links")
     labels = connected_components(links)
-    more = materialize(_cross_links(members, labels, signatures.drop("weight"), sets, percent), "links")
+    more = materialize(_cross_links(members, labels, signatures.drop("weight", "signature"), sets, percent), "links")
     if not more.isEmpty():
         labels = _merge(labels, more)
     named = own.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")).distinct()
