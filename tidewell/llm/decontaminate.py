@@ -7,8 +7,8 @@ offsets of the original text.
 
 Items are taken in blocks of at most BLOCK_CHARS normalised characters, so the automaton that is
 broadcast has a proven bound; a benchmark of any size goes through as several blocks, and per
-document the blocks' spans are merged. Documents come as they are dealt and are not shuffled for one
-block; for several, only the spans are.
+row the blocks' spans are merged. Documents come as they are dealt and are not shuffled for one
+block; for several, rows are written once with a number, and only the spans are shuffled.
 
 Null and empty texts have no words and are clean. Items without words have no window. Items with
 equal windows are all reported. Repeated rows are judged each on their own.
@@ -17,6 +17,7 @@ equal windows are all reported. Repeated rows are judged each on their own.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -107,15 +108,16 @@ def _scanner(items, size: int):
             rows = [(text, *scan(machine if any_window else None, text)) for text in texts(batch)]
             pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             as_rows = lambda spans: [{"start": a, "end": b} for a, b in spans]
+            keys = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *(batch.column(batch.schema.get_field_index(n)) for n in keys),
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([as_rows(r[2]) for r in rows], pairs),
                     pa.array([as_rows(offsets(r[0], r[2])) for r in rows], pairs),
                     pa.array([sorted(r[3]) for r in rows], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_words", "words", "chars", "items"],
+                names=[*keys, "n_words", "words", "chars", "items"],
             )
 
     return run
@@ -136,16 +138,16 @@ def _blocks(items: DataFrame):
 
 def find_items(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """Per document: n_words, merged word spans and character spans of the original, items found."""
-    spark, found = docs.sparkSession, []
-    for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(block)
-        found.append(docs.select("doc_id", "text").mapInArrow(_scanner(shared, size), SCHEMA))
-    if len(found) == 1:
-        return found[0]
-    # many blocks: each document's few spans meet; equal doc_ids are told apart by nothing but their
-    # rows, so such ids must be unique here
+    spark, blocks = docs.sparkSession, _blocks(items)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.select("doc_id", "text").mapInArrow(_scanner(spark.sparkContext.broadcast(first), size), SCHEMA)
+    # many blocks: each row's few spans meet by its number, which is written once, as doc_ids may repeat
+    numbered, found = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows"), []
+    for block in chain([first, second], blocks):
+        found.append(numbered.mapInArrow(_scanner(spark.sparkContext.broadcast(block), size), f"row long, {SCHEMA}"))
     parts = materialize(reduce(DataFrame.unionByName, found), "items")
-    merged = parts.groupBy("doc_id").agg(
+    merged = parts.groupBy("row", "doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("words")).alias("words"),
         F.flatten(F.collect_list("chars")).alias("chars"),
