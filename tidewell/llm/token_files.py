@@ -1,13 +1,14 @@
 """Operator 5: token ids as Parquet files with dictionary encoding, bounded row groups and page indexes.
 
 Documents are dealt by ranges of doc_id, tokenised, and written in ascending doc_id order as rows
-(part, doc_id, start, n_tokens, ids list<int>). Row groups and pages are small and the writer keeps
-a page index, so a reader that wants a range of doc_ids, or only metadata columns, skips the rest.
-`start` counts the ids of all documents before, from sums per part: the parts are few, their
-documents many.
-
-Null text counts as the empty text: its only id is the end id. Repeated doc_ids each keep a row;
-their order among themselves is that of their texts.
+(doc_id, n_tokens, ids list<int>), one file a range, numbered in order; no sort stands between the
+sorted documents and the files. Row groups and pages are small and the writer keeps a page index, so
+a reader that wants a range of doc_ids, or only metadata columns, skips the rest. `start` counts the
+ids of all documents before, from sums per file: the files are few, their documents many.
+
+Null text counts as the empty text: its only id is the end id. Repeated doc_ids each keep a row, in
+the order in which they are read, and may lie in several files. An empty table gives no rows. Other
+columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,16 +30,34 @@ from .common import shared_dir, slices, texts
 #: Where a text may be cut with no token across: before a space that starts a word, and around runs
 #: of white space as the tokenizer's own pre-tokenisation cuts them.
 CUT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: White space other than space and newline: texts with it are cut by CUT, others at single spaces.
+RARE = re.compile("[^\\S \n]")
 #: Characters that Python and the tokenizer may class differently as white space or not.
-UNSURE = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-SPACES = re.compile(r"  |\s\s|\s ")
-MAX_TABLE, MAX_WORD = 300_000, 64
+UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
+#: Distinct words, and characters in them, that a task keeps.
+MAX_TABLE, MAX_CHARS = 600_000, 12_000_000
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
 
 
+class _Places(dict):
+    """Word to its place in the table; a new word gets the next place."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, word):
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+
 class WordTable:
-    """The tokenizer's ids of texts, with each distinct word encoded once."""
+    """The tokenizer's ids of texts, with each distinct word encoded once.
+
+    A word stands in the table by its place: `ends` says where its ids end in `ids`. A key is what
+    follows a single space; what has no such space before it is kept as a tuple of itself.
+    """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -51,59 +70,87 @@ class WordTable:
         space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0] if self.cuts else ""
         pieces = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.starts = np.array([p[:1] == space for p in pieces])
-        self.table: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places, self.chars, self.ids, self.ends = _Places(), 0, np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _whole(self, many: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
 
-    def _whole(self, many: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+    def _keys(self, text: str) -> list:
+        """The words of a text as keys of the table."""
+        if "  " in text or " \n" in text or "\n " in text or RARE.search(text):
+            return [w[1:] if w[0] == " " and not w[1:2].isspace() and len(w) > 1 else (w,) for w in CUT.findall(text)]
+        words = text.split(" ")
+        words[0] = (words[0],)
+        if not words[-1]:
+            words[-1] = (" ",)
+        return words
 
-    def _learn(self, words: list[str]) -> None:
-        """Put new words in the table.
+    def _learn(self) -> None:
+        """Encode the new words and put their ids after those of the others.
 
-        Words that start with their only space go to the library as texts of a few hundred, in which
-        an id that stands for a space and what follows starts the next word.
+        Words after a space go to the library as texts of a few hundred, in which an id that stands
+        for a space and what follows starts the next word.
         """
-        spaced = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
-        other = [w for w in words if w[0] != " " or w[1:2].isspace() or len(w) == 1]
-        self.table.update(zip(other, self._whole(other)))
-        parts = [spaced[at : at + 400] for at in range(0, len(spaced), 400)]
-        for part, got in zip(parts, self._whole(["".join(p) for p in parts])):
-            cuts = (np.flatnonzero(self.starts[np.frombuffer(got, "<u4")]) * 4).tolist()
-            if len(cuts) != len(part):
-                raise RuntimeError("a word was not encoded on its own")
-            self.table.update(zip(part, [got[a:b] for a, b in zip(cuts, [*cuts[1:], len(got)])]))
-
-    def encode(self, many: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.cuts:
-            return self._whole(many)
-        alone = {i for i, t in enumerate(many) if UNSURE.search(t) or self.special.search(t)}
-        words = [[] if i in alone else CUT.findall(t) for i, t in enumerate(many)]
-        kinds = dict.fromkeys(chain.from_iterable(words))
-        new = [w for w in kinds if w not in self.table]
-        if new and len(self.table) + len(new) > MAX_TABLE:  # words met again are the ones to keep
-            self.table = {w: self.table[w] for w in kinds if w in self.table}
-        self._learn(new)
-        out = [b"".join(map(self.table.__getitem__, ws)) for ws in words]
-        for w in new:
-            if len(w) > MAX_WORD:
-                del self.table[w]
-        for i in alone:
-            out[i] = self._whole([many[i]])[0]
-        return out
+        new, self.places.new = self.places.new, []
+        alone = [i for i, w in enumerate(new) if type(w) is tuple]
+        spaced = [w for w in new if type(w) is not tuple]
+        parts = self._whole([" " + " ".join(spaced[at : at + 400]) for at in range(0, len(spaced), 400)])
+        flat = np.fromiter(chain.from_iterable(parts), np.int32)
+        cuts = np.flatnonzero(self.starts[flat])
+        if len(cuts) != len(spaced):
+            raise RuntimeError("a word was not encoded on its own")
+        sizes = np.zeros(len(new), np.int64)
+        if alone:  # few: put the two kinds together in the order of the new words
+            others = self._whole([new[i][0] for i in alone])
+            is_alone = np.zeros(len(new), bool)
+            is_alone[alone] = True
+            sizes[is_alone] = [len(x) for x in others]
+            sizes[~is_alone] = np.diff(np.append(cuts, len(flat)))
+            both, mine = np.empty(int(sizes.sum()), np.int32), np.repeat(is_alone, sizes)
+            both[mine], both[~mine] = np.fromiter(chain.from_iterable(others), np.int32), flat
+            flat = both
+        else:
+            sizes[:] = np.diff(np.append(cuts, len(flat)))
+        self.chars += sum(map(len, spaced)) + sum(len(new[i][0]) for i in alone)
+        self.ids = np.concatenate([self.ids, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def encode(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each has."""
+        alone = range(len(many))
+        if self.cuts:
+            alone = [i for i, t in enumerate(many) if UNSURE.search(t) or self.special.search(t)]
+        whole = dict(zip(alone, self._whole([many[i] for i in alone])))
+        if len(self.places) > MAX_TABLE or self.chars > MAX_CHARS:
+            self._clear()
+        keys = [[] if i in whole or not t else self._keys(t) for i, t in enumerate(many)]
+        counts = np.fromiter(map(len, keys), np.int64, len(many))
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(keys)), np.int64, int(counts.sum()))
+        self._learn()
+        sizes = self.ends[at + 1] - self.ends[at]
+        flat = self.ids[np.repeat(self.ends[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+        last = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        lengths = np.diff(last)
+        if whole:
+            parts = [flat[last[i] : last[i + 1]] if i not in whole else np.array(whole[i], np.int32) for i in range(len(many))]
+            flat, lengths = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return flat, lengths
 
 
 def _tokens(tokenizer_file: str, end_id: int):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         gc.disable()  # the table holds hundreds of thousands of small objects and no cycles
-        table, end = WordTable(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        table = WordTable(tokenizer_file)
         for batch in slices(batches):
-            rows = [ids + end for ids in table.encode(texts(batch))]
-            lengths = np.array([len(r) // 4 for r in rows], np.int64)
-            values = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            flat, lengths = table.encode(texts(batch))
+            values = np.insert(flat, np.cumsum(lengths), end_id).astype(np.int32, copy=False)
+            offsets = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths), pa.ListArray.from_arrays(offsets, values)],
+                [batch.column(0), pa.array(lengths + 1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
                 names=["doc_id", "n_tokens", "ids"],
             )
 
@@ -113,28 +160,35 @@ def _tokens(tokenizer_file: str, end_id: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, files: int | None = None) -> None:
     """Tokenise docs(doc_id, text) and write token files under `path`, in ascending doc_id order.
 
-    Two tables result: tokens/part=K (doc_id, n_tokens, ids) in doc_id order within and across the
-    parts, and parts (part, start): ids in all parts before. `files` is the number of ranges.
+    Two tables result: tokens (doc_id, n_tokens, ids) in doc_id order within and across its numbered
+    files, and parts (part, start): ids in all files before. `files` is the number of ranges.
     """
     spark = docs.sparkSession
     files = files or max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    dealt = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    tokens = dealt.mapInArrow(_tokens(tokenizer_file, end_id), "doc_id long, n_tokens long, ids array<int>")
-    writer = tokens.withColumn("part", F.spark_partition_id()).write.partitionBy("part")
+    # the row's number lets a doc_id that many rows repeat be dealt to several ranges
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    dealt = numbered.repartitionByRange(files, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    tokens = dealt.select("doc_id", "text").mapInArrow(_tokens(tokenizer_file, end_id), "doc_id long, n_tokens long, ids array<int>")
     options = {
         "compression": "zstd",
+        "maxRecordsPerFile": 0,  # one file a range, so that its number is the range's
         "parquet.enable.dictionary": "true",
         "parquet.block.size": ROW_GROUP,
         "parquet.page.size": PAGE,
         "parquet.page.row.count.limit": 20_000,
         "parquet.dictionary.page.size": 1 << 20,
     }
-    writer.options(**options).parquet(f"{path}/tokens")
-    sums = read_token_files(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    tokens.write.options(**options).parquet(f"{path}/tokens")
+    sums = read_token_files(spark, path).groupBy(_part()).agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).coalesce(1).write.parquet(f"{path}/parts")
 
 
+def _part():
+    """Number of the token file that a row is read from."""
+    return F.regexp_extract(F.col("_metadata.file_name"), "^part-([0-9]+)", 1).cast("int").alias("part")
+
+
 def _crcs(batches):
     for batch in batches:
         lists = batch.column(batch.schema.get_field_index("ids"))
@@ -148,18 +202,17 @@ def _crcs(batches):
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the token files with `part`: filters on doc_id and unread columns reach the files."""
-    return spark.read.schema("doc_id long, n_tokens long, ids array<int>, part int").parquet(f"{path}/tokens")
+    """The rows of the token files: filters on doc_id and unread columns reach the files."""
+    return spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(f"{path}/tokens")
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
-    # a part is sorted by doc_id, so a running sum inside the part gives each document's place
-    rows = read_token_files(spark, path)
-    rows = rows.withColumn("place", F.col("_metadata.row_index")).select("doc_id", "part", "place", "n_tokens", "ids")
+    # rows of a file stand in order, so a running sum inside the file gives each document's place
+    rows = read_token_files(spark, path).select("doc_id", _part(), F.col("_metadata.row_index").alias("place"), "n_tokens", "ids")
     sums = rows.mapInArrow(_crcs, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
     starts = spark.read.schema("part int, start long").parquet(f"{path}/parts")
-    before = Window.partitionBy("part").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
     return (
         sums.withColumn("inside", inside)
