@@ -5,16 +5,22 @@ words, word ends marked) in rank order. A document's own TOP n-grams are ranked
 distance to a profile is the sum of how far each n-gram is out of place; one that the profile lacks
 counts TOP places. The nearest profile is the prediction.
 
-Profiles come from all learning rows: tasks count n-grams per language, Spark sums the counts and
-ranks them. A profile has a fixed size, and so has what is broadcast per language.
+N-grams never leave a word, so a task cuts each distinct word into n-grams once, keeps them by number
+in a table of bounded size, and counts a text's n-grams from the numbers of its words. Profiles come
+from all learning rows: tasks count words per language and from them n-grams, Spark sums the counts
+and ranks them. A profile has a fixed size, and so has what is broadcast per language.
 
 Letters are Unicode letters, lower-cased; all else separates words. Null text, and text without a
 letter, is `und` with score 0. Equal counts rank by the n-gram's code points, equal distances by the
-language's name. Without any learning row every text is `und`.
+language's name. Without any learning row every text is `und`, and an empty table gives no rows. Rows
+that repeat are judged each on their own. Other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import gc
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,17 +29,18 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 TOP = 300
+#: Distinct words, and n-grams of them, that a task keeps.
+MAX_WORDS, MAX_GRAMS = 400_000, 8_000_000
 _SHIFT = np.int64(21)  # bits of a code point
 
 
 def _letters() -> np.ndarray:
-    """For each code point its lower-case letter, or 0 if it is no letter."""
-    out = np.zeros(0x110000, np.int64)
+    """For each code point its lower-case letter, or a space if it is no letter."""
+    out = np.full(0x110000, 32, np.uint32)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
-            low = ch.lower()
-            out[c] = ord(low[0])
+            out[c] = ord(ch.lower()[0])
     return out
 
 
@@ -46,58 +53,108 @@ def letter_table() -> np.ndarray:
     return _TABLE[0]
 
 
-def ngrams(many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of each text as (row, gram, count), by row and gram.
+def words(many: list[str]) -> list[list[str]]:
+    """Lower-cased words of letters of each text."""
+    codes = np.frombuffer("".join(many).encode("utf-32-le"), np.uint32)
+    low = letter_table()[codes].astype("<u4").tobytes().decode("utf-32-le")
+    out, at = [], 0
+    for t in many:
+        out.append(low[at : at + len(t)].split())
+        at += len(t)
+    return out
+
+
+class _Places(dict):
+    """Key to its place; a new key gets the next place."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key):
+        place = self[key] = len(self)
+        self.new.append(key)
+        return place
 
-    A gram packs up to three code points, 21 bits each; 0 stands for a word end in it. Single word
-    ends, and pairs of them, are no grams.
+
+def _expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of each of many ranges, one range after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+class GramTable:
+    """N-grams of words by number.
+
+    A gram packs up to three code points, 21 bits each, where 0 is a word end; pairs are marked by bit
+    62. Single word ends are no grams, and no word end stands inside a triple. A word's grams are
+    `grams[ends[w] : ends[w + 1]]`, as numbers into `codes`.
     """
-    joined = "\n".join(many)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = letter_table()[np.minimum(codes, 0x10FFFF)]
-    lengths = np.fromiter((len(t) + 1 for t in many), np.int64, len(many))
-    low = np.concatenate([[0], low, [0]])
-    row = np.concatenate([[0], np.repeat(np.arange(len(many)), lengths)])[: len(low)]
-    keep = np.ones(len(low), bool)
-    keep[1:] = (low[1:] != 0) | (low[:-1] != 0)  # one mark between words
-    low, row = low[keep], row[keep]
-    # a mark counts for the word before it; a gram belongs to the row of its first letter
-    row[:-1] = np.where(low[:-1] == 0, row[1:], row[:-1])
-    one = low[:-1] if len(low) > 1 else low[:0]
-    pair, three = (low[:-1] << _SHIFT) | low[1:], (low[:-2] << (2 * _SHIFT)) | (low[1:-1] << _SHIFT) | low[2:]
-    letter = one != 0
-    whole = low[1:-1] != 0  # no word end inside a triple
-    first = row[:-1]
-    letter_row = np.where(low[:-1] != 0, first, row[1:] if len(row) > 1 else first)
-    grams = np.concatenate([one[letter], (np.int64(1) << 62) | pair, three[whole] if len(low) > 2 else three[:0]])
-    rows = np.concatenate([letter_row[letter], letter_row, (row[1:-1] if len(low) > 2 else row[:0])[whole] if len(low) > 2 else row[:0]])
-    order = np.lexsort((grams, rows))
-    rows, grams = rows[order], grams[order]
-    if not len(rows):
-        return rows, grams, rows
-    fresh = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])]))
-    return rows[fresh], grams[fresh], np.diff(np.concatenate([fresh, [len(rows)]]))
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.numbers, self.codes = _Places(), _Places(), np.zeros(0, np.int64)
+        self.grams, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def full(self) -> bool:
+        return len(self.words) > MAX_WORDS or len(self.grams) > MAX_GRAMS
+
+    def places(self, rows: list[list[str]]) -> np.ndarray:
+        """The words of all rows, one row after another, by place; new ones are cut into n-grams."""
+        n = sum(map(len, rows))
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(rows)), np.int64, n)
+        new, self.words.new = self.words.new, []
+        if new:
+            low = np.frombuffer(("\0" + "\0".join(new) + "\0").encode("utf-32-le"), np.uint32).astype(np.int64)
+            word = np.cumsum(low[:-1] == 0) - 1  # of a mark: the word after it
+            letter, inner = np.flatnonzero(low), np.flatnonzero(low[1:-1])
+            pair = (np.int64(1) << 62) | (low[:-1] << _SHIFT) | low[1:]
+            three = (low[inner] << (2 * _SHIFT)) | (low[inner + 1] << _SHIFT) | low[inner + 2]
+            owner = np.concatenate([word[letter], word[:], word[inner + 1]])
+            order = np.argsort(owner, kind="stable")
+            codes, which = np.unique(np.concatenate([low[letter], pair, three])[order], return_inverse=True)
+            number = np.fromiter(map(self.numbers.__getitem__, codes.tolist()), np.int32, len(codes))
+            self.numbers.new = []
+            self.codes = np.fromiter(self.numbers, np.int64, len(self.numbers))
+            self.grams = np.concatenate([self.grams, number[which]])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
+        return at
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of the grams of the words at these places, one word after another."""
+        return self.grams[_expand(self.ends[at], self.ends[at + 1] - self.ends[at])]
 
 
 def _count(batches):
+    """Counts of n-grams per language over the rows of a task."""
+    gc.disable()  # the tables hold hundreds of thousands of small objects and no cycles
+    table, sums = GramTable(), {}
+
+    def emit():
+        for lang, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(at), pa.string()), pa.array(table.codes[at]), pa.array(n[at])], names=["lang", "gram", "n"]
+            )
+        sums.clear()
+
     for batch in slices(batches, 2_000_000):
-        langs = batch.column(1).to_pylist()
-        rows, grams, counts = ngrams(texts(batch))
-        names = sorted(set(langs))
-        number = np.array([names.index(x) for x in langs])[rows] if len(rows) else rows
-        order = np.lexsort((grams, number))
-        number, grams, counts = number[order], grams[order], counts[order]
-        if not len(number):
-            continue
-        fresh = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (grams[1:] != grams[:-1])]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([names[i] for i in number[fresh]]),
-                pa.array(grams[fresh]),
-                pa.array(np.add.reduceat(counts, fresh).astype(np.int64)),
-            ],
-            names=["lang", "gram", "n"],
-        )
+        if table.full():
+            yield from emit()
+            table.clear()
+        rows, langs = words(texts(batch)), batch.column(1).to_pylist()
+        at = table.places(rows)
+        ends = np.cumsum([len(r) for r in rows])
+        for lang in dict.fromkeys(langs):
+            mine = np.concatenate([at[ends[i] - len(rows[i]) : ends[i]] for i in range(len(rows)) if langs[i] == lang])
+            word, times = np.unique(mine, return_counts=True)
+            weight = np.repeat(times, table.ends[word + 1] - table.ends[word])
+            n = np.bincount(table.of(word), weights=weight, minlength=len(table.codes)).astype(np.int64)
+            old = sums.get(lang)
+            if old is not None:
+                n[: len(old)] += old
+            sums[lang] = n
+    yield from emit()
 
 
 def fit(docs: DataFrame, learn: Column, top: int = TOP) -> dict[str, np.ndarray]:
@@ -115,40 +172,67 @@ class Ranker:
     """Distances of texts to profiles."""
 
     def __init__(self, profiles: dict[str, np.ndarray], top: int = TOP):
-        self.langs, self.top = sorted(profiles), top
-        known = np.unique(np.concatenate([profiles[x] for x in self.langs])) if self.langs else np.zeros(0, np.int64)
-        self.known = known
-        # place[l, k]: rank of known gram k in language l, -1 where it has none
-        self.place = np.full((len(self.langs), len(known) + 1), -1, np.int64)
+        self.profiles, self.langs, self.top = profiles, sorted(profiles), top
+        self.table, self.ranked = GramTable(), -1
+
+    def _rank(self) -> None:
+        """For each gram of the table its rank in each profile, or -1, and its place by code points."""
+        codes = self.table.codes
+        order = np.argsort(codes)
+        self.by_code = np.empty(len(codes), np.int64)
+        self.by_code[order] = np.arange(len(codes))
+        self.place = np.full((len(self.langs), len(codes)), -1, np.int64)
         for i, lang in enumerate(self.langs):
-            self.place[i, np.searchsorted(known, profiles[lang])] = np.arange(len(profiles[lang]))
+            at = np.minimum(np.searchsorted(codes, self.profiles[lang], sorter=order), max(len(codes) - 1, 0))
+            known = codes[order[at]] == self.profiles[lang] if len(codes) else np.zeros(len(at), bool)
+            self.place[i, order[at[known]]] = np.flatnonzero(known)
+        self.ranked = len(codes)
+
+    def _first(self, grams: np.ndarray) -> np.ndarray:
+        """The `top` most frequent of a text's grams, equal counts by code points."""
+        size = self.ranked
+        if len(grams) * 4 > size:
+            times = np.bincount(grams, minlength=size)
+            kinds = np.flatnonzero(times)
+            times = times[kinds]
+        else:  # a short text among many grams
+            kinds, times = np.unique(grams, return_counts=True)
+        key = times * size + (size - 1 - self.by_code[kinds])
+        if len(kinds) > self.top:
+            best = np.argpartition(key, len(key) - self.top)[-self.top :]
+            kinds, key = kinds[best], key[best]
+        return kinds[np.argsort(-key)]
 
     def predict(self, many: list[str]) -> tuple[list[str], np.ndarray]:
-        rows, grams, counts = ngrams(many)
-        if not self.langs or not len(rows):
+        if not self.langs:
             return ["und"] * len(many), np.zeros(len(many))
-        order = np.lexsort((grams, -counts, rows))
-        rows, grams = rows[order], grams[order]
-        size = np.bincount(rows, minlength=len(many))
-        rank = np.arange(len(rows)) - (np.cumsum(size) - size)[rows]
-        first = rank < self.top
-        rows, grams, rank = rows[first], grams[first], rank[first]
-        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        at = np.where(self.known[at] == grams, at, len(self.known))
-        total = np.empty((len(self.langs), len(many)))
-        for i, place in enumerate(self.place):
-            off = np.where(place[at] < 0, self.top, np.abs(place[at] - rank))
-            total[i] = np.bincount(rows, weights=off, minlength=len(many))
-        best = total.argmin(0)
-        worst = np.maximum(np.minimum(size, self.top) * self.top, 1)
-        score = np.where(size > 0, 1 - total.min(0) / worst, 0.0)
-        return [self.langs[b] if n else "und" for b, n in zip(best, size)], np.clip(score, 0, 1)
+        if self.table.full():
+            self.table.clear()
+            self.ranked = -1
+        rows = words(many)
+        at = self.table.places(rows)
+        if self.ranked != len(self.table.codes):
+            self._rank()
+        out, scores, end = [], np.zeros(len(many)), 0
+        for i, row in enumerate(rows):
+            begin, end = end, end + len(row)
+            if not row:
+                out.append("und")
+                continue
+            first = self._first(self.table.of(at[begin:end]))
+            place = self.place[:, first]
+            off = np.where(place < 0, self.top, np.abs(place - np.arange(len(first)))).sum(1)
+            best = int(off.argmin())
+            out.append(self.langs[best])
+            scores[i] = 1 - off[best] / (len(first) * self.top)
+        return out, np.clip(scores, 0, 1)
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score."""
 
     def run(batches):
+        gc.disable()  # the tables hold hundreds of thousands of small objects and no cycles
         ranker = Ranker(profiles)
         for batch in slices(batches, 2_000_000):
             langs, scores = ranker.predict(texts(batch))
