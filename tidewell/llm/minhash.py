@@ -5,19 +5,25 @@
    the minima its signature.
 2. Texts with one and the same set are one class, so thousands of copies cost one row from here on.
 3. Classes that share a bucket are candidates. Pairs are never listed bucket by bucket: each bucket
-   first compares its members with one leader, the member that shares most with others. Pairs whose
-   signatures agree enough are verified on full shingle sets here; the others are left to step 5.
-4. Connected components by alternating large-star and small-star.
-5. In buckets that still hold several components, members outside a bucket's leading component are
-   compared with the members of other components, inside tasks, on full sets. Only pairs whose numbers
-   of shingles rule the threshold out are left away. No partner is capped, and only links leave the
-   tasks. So every pair of a bucket is verified on full sets or connected by links that are.
+   first compares its members with one leader, the member that shares most with others.
+4. Signature verification: a pair goes on if LEAST_EQUAL of its signature bytes agree. Links are then
+   confirmed on full shingle sets.
+5. Connected components by alternating large-star and small-star.
+6. In buckets that still hold several components, members outside a bucket's leading component are
+   compared with the members of other components, inside tasks, by signatures and then on full sets.
+   No partner is capped, and only links leave the tasks.
 
-The chance that a pair at the threshold of 0.75 shares no bucket is (1 - 0.75^5)^50, about 1e-6.
+A pair at the threshold of 0.75 shares no bucket by a chance of (1 - 0.75^5)^50, about 1e-6. That
+fewer than LEAST_EQUAL of 250 bytes agree, of which each does by a chance of 0.751, is 5.5 deviations
+away, a chance of about 4e-8: signatures lose far less than the banding that chooses the candidates.
+
+What is joined by class, bucket or node is a table by itself, so that Spark can split the rows of a
+hot key (a class of many copies, a bucket of many near copies, the hub of a component) over tasks.
 
 Null and empty texts, and texts without words, have an empty set and stay alone. A text of fewer
-words than a shingle has is one shingle. doc_id is taken to name a document: rows that repeat one are
-taken as copies under one name, and each keeps its row.
+words than a shingle has is one shingle. doc_id is taken to name a document: rows that repeat one with
+different texts are linked with each other through it, and each row is kept as a row of its own. An
+empty table gives no rows. Other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,17 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts
+from .common import discard, materialize, slices, texts
 
 SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 5, 50
 PERMUTATIONS = ROWS * BANDS
-#: Least share of equal signature bytes at which a pair with a leader is verified at once rather than in step 5.
-LEAST_SHARE = 0.66
+#: Equal signature bytes, of PERMUTATIONS, from which on a pair is verified on full sets.
+LEAST_EQUAL = 150
 #: Ids of documents that are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket that meet in one task; larger buckets are dealt out as a grid of such blocks.
-BLOCK = 1_500
+#: Members of a bucket, and shingles in their sets, that meet in one task; larger buckets are dealt out
+#: as a grid of such blocks.
+BLOCK, BLOCK_SHINGLES = 1_500, 3_000_000
 #: Pairs of a task that are compared at once.
 PAIRS_AT_ONCE = 50_000
 #: Shingles of partners that are looked up at once.
@@ -118,6 +125,11 @@ def shingle_hashes(many: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np
     return rows[fresh], hashes[fresh]
 
 
+def _fingerprints(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set of shingles; the sets begin at `at`, and none is empty."""
+    return np.add.reduceat(_mix(hashes), at), np.add.reduceat(_mix(hashes ^ _ODD), at)
+
+
 def _sketch(batches):
     a, b = _coefficients()
     band_salt = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)
@@ -138,32 +150,44 @@ def _sketch(batches):
             for r in range(ROWS):
                 key = _mix(key * np.uint64(7) + minima[r::ROWS])
             keys[full] = key.T.view(np.int64)
-            one[full] = np.add.reduceat(_mix(hashes), at)
-            two[full] = np.add.reduceat(_mix(hashes ^ _ODD), at)
+            one[full], two[full] = _fingerprints(hashes, at)
         offsets = pa.array(np.arange(0, len(many) * BANDS + 1, BANDS, dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(1),
                 pa.array(sizes.astype(np.int64)),
                 pa.array(one.view(np.int64)),
                 pa.array(two.view(np.int64)),
                 pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                 pa.array([x.tobytes() for x in low], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "fp1", "fp2", "buckets", "signature"],
+            names=["row", "doc_id", "n_shingles", "fp1", "fp2", "buckets", "signature"],
         )
 
 
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, buckets array<long>, signature binary"
+SKETCH = "row long, doc_id long, n_shingles long, fp1 long, fp2 long, buckets array<long>, signature binary"
 
 
 def _sets(batches):
     for batch in slices(batches, 2_000_000):
         many = texts(batch)
         rows, hashes = shingle_hashes(many)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(many)))]).astype(np.int32)
+        sizes = np.bincount(rows, minlength=len(many))
+        ends = np.cumsum(sizes)
+        full = np.flatnonzero(sizes)
+        if not len(full):
+            continue
+        one, two = _fingerprints(hashes, (ends - sizes)[full])
+        offsets = np.concatenate([[0], ends[full]]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], names=["doc_id", "shingles"]
+            [
+                batch.column(0).take(pa.array(full)),
+                pa.array(one.view(np.int64)),
+                pa.array(two.view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64))),
+            ],
+            names=["least", "fp1", "fp2", "shingles"],
         )
 
 
@@ -171,18 +195,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (a, b): the component is its smallest node.
 
     Alternating large-star and small-star until no edge changes. Each step's edges are a table in the
-    shared folder, and only counts and sums of the edges come to the driver.
+    shared folder, deleted when the next step's is written; only a test for changes reaches the driver.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         # large-star: link larger neighbours to the smallest of a node and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        near = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "near")
+        stars = both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(stars, "large")
         # small-star: link a node and its smaller neighbours to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "near")
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = materialize(small, "edges")
+        old, edges = edges, materialize(small, "edges")
+        for done in (old, near, large, least):
+            discard(done)
         # done when each node has one edge and no edge leads to a node that has one
         ends = edges.groupBy("a").agg(F.count("*").alias("n")).join(edges.select(F.col("b").alias("a"), F.lit(1).alias("led")).distinct(), "a", "left")
         if ends.where("n > 1 or led = 1").isEmpty():
@@ -202,14 +229,14 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
-def _near_pairs(ask, group, part, band, sizes, prints, percent):
+def _near_pairs(ask, group, part, band, sizes, prints, signatures, percent):
     """Rows (asker, member) of the pairs of the same group and of different components that can reach the threshold.
 
     A pair that shares an earlier bucket is left to that bucket, so each pair is compared once. Pairs
@@ -230,6 +257,7 @@ def _near_pairs(ask, group, part, band, sizes, prints, percent):
         for keep in (
             lambda x, y: part[x] != part[y],
             lambda x, y: 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]),
+            lambda x, y: (signatures[x] == signatures[y]).sum(1) >= LEAST_EQUAL,
             lambda x, y: ~((prints[x] == prints[y]) & (np.arange(BANDS) < band[x][:, None])).any(1),
         ):
             kept = keep(x, y)
@@ -253,7 +281,8 @@ def _pairs_in_blocks(percent: int):
         starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         node, part, band, sizes, ask = (done[n].to_numpy() for n in ("node", "component", "band", "n_shingles", "asks"))
         prints = done["prints"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        x, y = _near_pairs(ask, group, part, band, sizes, prints, percent)
+        signatures = np.frombuffer(b"".join(done["signature"].to_pylist()), np.uint8).reshape(len(node), -1)
+        x, y = _near_pairs(ask, group, part, band, sizes, prints, signatures, percent)
         pairs = np.stack([group[x], np.maximum(node[x], node[y]), np.minimum(node[x], node[y])])
         pairs = pairs[:, np.lexsort(pairs[::-1])]
         pairs = pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(0)])[: pairs.shape[1]]]  # two askers meet both ways
@@ -330,7 +359,7 @@ def _verify_block(percent: int):
 
 
 def _cross_links(members: DataFrame, labels: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components that meet in a bucket; members(bucket, band, node, n).
+    """Links (a, b) between components that meet in a bucket; members(bucket, band, node, n, shingles).
 
     Blocks first find the pairs that can reach the threshold, then get the shingle sets of just the nodes
     in those pairs, each once a block, and verify inside the task: pairs are at no time rows.
@@ -338,72 +367,89 @@ def _cross_links(members: DataFrame, labels: DataFrame, signatures: DataFrame, s
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     top = per.groupBy("bucket").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("top"), F.count("*").alias("parts"))
-    open_ = named.join(top.where("parts > 1"), "bucket").join(signatures, "node")
-    # a bucket of over BLOCK members becomes a grid: askers in rows, members in columns of blocks
-    grid = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    open_ = named.join(materialize(top.where("parts > 1"), "open"), "bucket").join(signatures, "node")
+    # a bucket of over BLOCK members, or of long ones, becomes a grid: askers in rows, members in columns of blocks
+    grid = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    grid = F.least(grid, F.col("n").cast("int"))
     place = F.pmod(F.xxhash64("node"), grid.cast("long")).cast("int")
     cells = F.sequence(F.lit(0), grid - 1)
-    columns = ["bucket", "band", "node", "component", "n_shingles", "prints"]
+    columns = ["bucket", "band", "node", "component", "n_shingles", "prints", "signature"]
     member = open_.select(*columns, F.lit(False).alias("asks"), place.alias("col"), F.explode(cells).alias("row"))
     asks = open_.where(F.col("component") != F.col("top")).select(*columns, F.lit(True).alias("asks"), F.explode(cells).alias("col"), place.alias("row"))
     block = ["bucket", "row", "col"]
     dealt = member.unionByName(asks).repartition(*block).sortWithinPartitions(*block)  # most blocks are small: a task takes many at once
     likely = dealt.mapInArrow(_pairs_in_blocks(percent), "bucket long, row int, col int, node long, partners array<long>")
-    likely = materialize(likely, "likely").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    likely = materialize(likely, "likely").join(sets, "node")
     return likely.groupBy(*block).applyInPandas(_verify_block(percent), "a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Shingle sets of the named documents, one row each.
+    """Shingle sets of nodes(node, least, fp1, fp2): of the text of document `least` with these fingerprints.
 
-    Up to BROADCAST_IDS names go to where the texts are; more meet the texts in a shuffle.
+    Up to BROADCAST_IDS ids go to where the texts are; more meet the texts in a shuffle.
     """
-    small = nodes.count() <= BROADCAST_IDS
-    texts_of = docs.select("doc_id", "text").join(F.broadcast(nodes) if small else nodes, "doc_id", "left_semi")
-    got = texts_of.mapInArrow(_sets, "doc_id long, shingles array<long>")
-    return materialize(got.dropDuplicates(["doc_id"]), "sets")
+    ids = nodes.select(F.col("least").alias("doc_id")).distinct()
+    small = ids.count() <= BROADCAST_IDS
+    texts_of = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    got = texts_of.mapInArrow(_sets, "least long, fp1 long, fp2 long, shingles array<long>")
+    return materialize(got.join(nodes, ["least", "fp1", "fp2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+
+
+def _same_ids(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of one doc_id that has several texts."""
+    ids = full.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("fp1", "fp2") for f in (F.min, F.max)])
+    several = materialize(ids.where("min_fp1 <> max_fp1 or min_fp2 <> max_fp2").select("doc_id"), "repeated-ids")
+    rows = full.select("doc_id", *CLASS).join(several, "doc_id").join(classes.select(*CLASS, "node"), CLASS).select("doc_id", "node").distinct()
+    first = rows.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return rows.join(first, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
+
+
+#: What texts with one and the same set of shingles share.
+CLASS = ["fp1", "fp2", "n_shingles"]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    sketches = materialize(docs.select("doc_id", "text").mapInArrow(_sketch, SKETCH), "sketches")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    sketches = materialize(numbered.mapInArrow(_sketch, SKETCH), "sketches")
     full = sketches.where("n_shingles > 0")
-    classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    own = materialize(full.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).select("doc_id", "node"), "classes")
-    nodes = own.where("doc_id = node").select("node").distinct()
-    one = sketches.join(nodes, sketches.doc_id == nodes.node, "left_semi").dropDuplicates(["doc_id"])
-    exploded = one.select(F.col("doc_id").alias("node"), F.posexplode("buckets").alias("band", "bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(exploded.join(shared, "bucket"), "members")
+    # a class is named by the number of one of its rows, which stands for it
+    classes = materialize(full.groupBy(*CLASS).agg(F.min("doc_id").alias("least"), F.min("row").alias("node")), "classes")
+    one = sketches.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+    exploded = one.select(F.col("row").alias("node"), F.col("n_shingles").cast("int").alias("size"), F.posexplode("buckets").alias("band", "bucket"))
+    shared = materialize(exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1"), "shared")
+    members = materialize(exploded.drop("size").join(shared, "bucket"), "members")
     near_nodes = members.groupBy("node").agg(F.sum("n").alias("weight"))
     prints = F.transform("buckets", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    signatures = materialize(one.select(F.col("doc_id").alias("node"), "n_shingles", "signature", prints.alias("prints")).join(near_nodes, "node"), "signatures")
+    signatures = materialize(one.select(F.col("row").alias("node"), "n_shingles", "signature", prints.alias("prints")).join(near_nodes, "node"), "signatures")
 
-    leaders = members.join(signatures.select("node", "weight"), "node").groupBy("bucket").agg(
+    best = members.join(signatures.select("node", "weight"), "node").groupBy("bucket").agg(
         F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader")
     )
-    stars = members.join(leaders, "bucket").where("node <> leader")
+    stars = members.join(materialize(best, "leaders"), "bucket").where("node <> leader")
     stars = stars.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
     one_side = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x"))
     other = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-    likely = stars.join(one_side, "a").join(other, "b").mapInArrow(_likely, "a long, b long")
+    likely = materialize(stars.join(one_side, "a").join(other, "b").mapInArrow(_likely, "a long, b long"), "likely")
 
-    sets = _sets_of(docs, signatures.select(F.col("node").alias("doc_id")))
-    links = materialize(_verify(likely, sets, percent), "links")
+    sets = _sets_of(docs, classes.join(signatures.select("node"), "node", "left_semi"))
+    links = _verify(likely, sets, percent).unionByName(_same_ids(full, classes))
     labels = connected_components(links)
-    more = materialize(_cross_links(members, labels, signatures.drop("weight", "signature"), sets, percent), "links")
+    more = materialize(_cross_links(members, labels, signatures.drop("weight"), sets, percent), "links")
     if not more.isEmpty():
         labels = _merge(labels, more)
-    named = own.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")).distinct()
-    joined = sketches.select("doc_id", "n_shingles").join(named, "doc_id", "left")
+
+    rooted = classes.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = materialize(rooted.join(least, "root").select(*CLASS, "component_id"), "components")
+    rows = sketches.select("doc_id", *CLASS).join(named, CLASS, "left")  # empty sets are in no class
     component = F.coalesce("component_id", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def _likely(batches):
-    least = int(np.ceil(LEAST_SHARE * PERMUTATIONS))
     for batch in batches:
         at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         x, y = (np.frombuffer(b"".join(at[n].to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for n in "xy")
-        keep = pa.array((x == y).sum(1) >= least)
+        keep = pa.array((x == y).sum(1) >= LEAST_EQUAL)
         yield pa.RecordBatch.from_arrays([at["a"].filter(keep), at["b"].filter(keep)], names=["a", "b"])
