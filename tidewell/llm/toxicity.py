@@ -1,15 +1,23 @@
 """Operator 4: toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon of insults is learned from labelled documents: words and word beginnings that occur in far
-more toxic documents than clean ones, weighted by log odds. A text is cut into clauses. Each clause
-runs through one transducer, composed of five small ones (insult, threat, target, negation, reported
-speech): it reads word classes, and what it writes for an insult or a threat is weighted by the state
-that the words before have led to: addressed to somebody, negated, or reported. A clause scores the
-sum of what was written, and a logistic regression turns a text's clause scores into a probability.
+Five weighted transducers read the word classes of a clause, one after another: insults that pile up,
+threats that reach a target, insults that are addressed to a target, negation, and reported speech.
+Each passes on a class for each that it reads, with a weight; `compose` makes one transducer of two,
+whose states are pairs and whose weights are the products. What the composed transducer writes for an
+insult or a threat is a finding, and its weight is a product of named factors (PRIOR), kept as their
+exponents so that the factors can be learned.
+
+The lexicon of insults is learned from labelled documents: words and word beginnings that occur in far
+more toxic documents than clean ones, weighted by log odds. A clause scores the sum of its findings,
+each lexicon weight times context weight. A logistic regression turns a text's clause scores into a
+probability; its weights and the factors are fitted together, the factors held near PRIOR where
+labelled documents say nothing of them.
 
 Learning takes at most MAX_ROWS labelled documents of either label (a documented bound); counts of
 lexicon entries are summed by Spark. Every text is scored whole. Null and empty texts have no clause
-and get the score of a text without findings. Without labels the lexicon is empty.
+and get the score of a text without findings. Without labels the lexicon is empty and all texts score
+alike. Rows that repeat are scored each on their own; a doc_id with several labels counts as toxic if
+one of them is. An empty table gives no rows. Other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,18 +25,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import materialize, slices, texts
 from .learn import Scale, fit_logistic, labelled_sample, sigmoid
 
-#: Labelled documents of either label to learn from; entries of the lexicon; lengths of word beginnings.
-MAX_ROWS, MAX_LEXICON, STEMS = 6_000, 20_000, range(3, 13)
+#: Labelled documents of either label to learn from; lengths of word beginnings; words that a task keeps.
+MAX_ROWS, STEMS, MAX_TABLE = 6_000, range(3, 13), 400_000
 
 # Closed-class words of the grammar, in English, German, French and Spanish.
 NEGATIONS = "not never no isn't aren't wasn't don't nicht kein keine nie ne pas jamais non nunca ni".split()
@@ -36,33 +44,123 @@ REPORTS = "said says say called calls wrote quoted reported sagte schrieb nannte
 TARGETS = "you your you're they them he she him her du dich dein ihr sie tu te toi vous ils elle usted ustedes tú ellos".split()
 THREATS = "kill hurt destroy beat burn shoot stab töten schlagen tuer frapper matar golpear".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Classes of words, and what a threat becomes: BARE before it has met a target, MENACE when it has.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BARE, MENACE = range(8)
+CLASSES, FINDINGS = range(8), {INSULT, BARE, MENACE}
+#: Factors of the context of a finding before learning, and how many documents' worth they are held to.
+PRIOR = {"piled": 1.1, "addressed": 1.25, "bare": 0.3, "negated": 0.15, "reported": 0.4}
+HOLD, THREAT_WEIGHT, REACH = 20.0, 4.0, 3
+FACTORS = list(PRIOR)
 CLAUSE = re.compile(r"[.,;:!?\n|()\"]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+N_FEATURES = 4
 
+Weight = tuple[int, ...]
+ONE: Weight = (0,) * len(FACTORS)
 
-def compose(reach: int = 3, addressed: float = 1.25, negated: float = 0.5, reported: float = 0.7, bare_threat: float = 0.25):
-    """The composed transducer: {(state, class): (next state, factor written)}.
 
-    A state is (words left under a negation, reported, addressed). Insults and threats write their
-    weight times the factor; other classes only move the state.
-    """
-    table = {}
-    for neg in range(reach + 1):
-        for rep in (False, True):
-            for tgt in (False, True):
-                fade = (negated if neg else 1.0) * (reported if rep else 1.0)
-                after = max(neg - 1, 0)
-                table[(neg, rep, tgt), OTHER] = ((after, rep, tgt), 0.0)
-                table[(neg, rep, tgt), NEGATION] = ((reach, rep, tgt), 0.0)
-                table[(neg, rep, tgt), REPORT] = ((after, True, tgt), 0.0)
-                table[(neg, rep, tgt), TARGET] = ((after, rep, True), 0.0)
-                table[(neg, rep, tgt), INSULT] = ((after, rep, tgt), fade * (addressed if tgt else 1.0))
-                table[(neg, rep, tgt), THREAT] = ((after, rep, tgt), fade * (addressed if tgt else bare_threat))
-    return table
-
-
-MACHINE, START = compose(), (0, False, False)
+def factor(name: str) -> Weight:
+    """The weight that is one factor: exponent 1 of it, 0 of the others."""
+    return tuple(int(f == name) for f in FACTORS)
+
+
+def times(a: Weight, b: Weight) -> Weight:
+    return tuple(x + y for x, y in zip(a, b))
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """arcs: (state, class read) to (next state, class written, weight)."""
+
+    start: object
+    arcs: dict = field(hash=False)
+
+    def run(self, classes) -> list[tuple[int, Weight]]:
+        """What is written for each class read, and its weight."""
+        state, out = self.start, []
+        for c in classes:
+            state, written, weight = self.arcs[state, c]
+            out.append((written, weight))
+        return out
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that writes what `second` writes on reading what `first` writes."""
+    start = (first.start, second.start)
+    arcs, todo = {}, [start]
+    while todo:
+        state = todo.pop()
+        for c in CLASSES:
+            if (state, c) in arcs or (state[0], c) not in first.arcs:
+                continue
+            a, middle, one = first.arcs[state[0], c]
+            b, written, two = second.arcs[state[1], middle]
+            arcs[state, c] = ((a, b), written, times(one, two))
+            todo.append((a, b))
+    return Transducer(start, arcs)
+
+
+def _machine(states, step) -> Transducer:
+    """A transducer whose arc for (state, class) is step(state, class), or else passes the class on."""
+    arcs = {(s, c): step(s, c) for s in states for c in CLASSES}
+    return Transducer(states[0], arcs)
+
+
+def insults() -> Transducer:
+    """A further insult in a clause weighs as one that is piled on."""
+    return _machine([False, True], lambda s, c: (s or c == INSULT, c, factor("piled") if s and c == INSULT else ONE))
+
+
+def threats(reach: int = REACH) -> Transducer:
+    """A threat is bare at first; a target within reach makes it a menace."""
+
+    def step(left, c):
+        if c == THREAT:
+            return reach, BARE, ONE
+        if c == TARGET and left:
+            return 0, MENACE, ONE
+        return max(left - 1, 0), c, ONE
+
+    return _machine(list(range(reach + 1)), step)
+
+
+def targets(reach: int = REACH) -> Transducer:
+    """An insult within reach after a target is addressed; threats without a target are weak."""
+
+    def step(left, c):
+        if c in (TARGET, MENACE):
+            return reach, c, ONE
+        weight = factor("addressed") if c == INSULT and left else factor("bare") if c == BARE and not left else ONE
+        return max(left - 1, 0), c, weight
+
+    return _machine(list(range(reach + 1)), step)
+
+
+def negation(reach: int = REACH) -> Transducer:
+    """Findings within reach after a negation are negated."""
+
+    def step(left, c):
+        if c == NEGATION:
+            return reach, c, ONE
+        return max(left - 1, 0), c, factor("negated") if c in FINDINGS and left else ONE
+
+    return _machine(list(range(reach + 1)), step)
+
+
+def reported_speech() -> Transducer:
+    """Findings after a verb of saying, up to the end of the clause, are reported."""
+    return _machine([False, True], lambda s, c: (s or c == REPORT, c, factor("reported") if s and c in FINDINGS else ONE))
+
+
+def grammar() -> Transducer:
+    """The five transducers composed in order."""
+    machine = insults()
+    for part in (threats(), targets(), negation(), reported_speech()):
+        machine = compose(machine, part)
+    return machine
+
+
+MACHINE = grammar()
 _CLOSED = {w: c for c, ws in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
 
 
@@ -71,103 +169,191 @@ def stems(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in STEMS if n <= len(word))]
 
 
+class _Kept(dict):
+    """Values of a function by argument, at most MAX_TABLE of them."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= MAX_TABLE:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 @dataclass
 class Grammar:
-    """A fitted model: lexicon weights, scaling and logistic weights of the clause features."""
+    """A fitted model: lexicon weights, context factors, scaling and logistic weights of the features."""
 
     lexicon: dict[str, float]
+    factors: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
     scale: Scale | None = None
     weights: np.ndarray | None = None
 
     def __post_init__(self):
-        self._memo: dict[str, tuple[int, float]] = {}
+        self._heads = {e.rstrip("$")[:3] for e in self.lexicon} | {w[:3] for w in _CLOSED}
+        self._words, self._tokens, self._contexts = _Kept(self._classify), _Kept(self._finds), {}
 
-    def word(self, raw: str) -> float:
-        """Weight of a white-space word as an insult, 0 if it is none; kept for words met again."""
-        got = self._memo.get(raw)
-        if got is None:
-            if len(self._memo) > 300_000:
-                self._memo.clear()
-            got = self._memo[raw] = max((self.classify(w)[1] for w in WORD.findall(raw)), default=0.0)
-        return got
+    def __reduce__(self):
+        return Grammar, (self.lexicon, self.factors, self.scale, self.weights)
 
-    def classify(self, word: str) -> tuple[int, float]:
+    def _classify(self, word: str) -> tuple[int, float]:
+        """Class of a word, and its weight in the lexicon."""
+        if word[:3] not in self._heads:
+            return OTHER, 0.0
         if word in _CLOSED:
-            return _CLOSED[word], 2.0 if _CLOSED[word] == THREAT else 0.0
+            return _CLOSED[word], THREAT_WEIGHT
         weight = max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0)
         return (INSULT, weight) if weight else (OTHER, 0.0)
 
-    def clause(self, words: list[str]) -> float:
-        state, total = START, 0.0
-        for w in words:
-            kind, weight = self.classify(w)
-            state, factor = MACHINE[state, kind]
-            total += factor * weight
-        return total
+    def _finds(self, token: str) -> bool:
+        """Whether a token between white space has a word that can lead to a finding."""
+        return any(self._words[w][0] in (INSULT, THREAT) for w in WORD.findall(token))
+
+    def findings(self, text: str) -> list[tuple[int, float, Weight]]:
+        """(clause, lexicon weight, context weight) of each finding in a text."""
+        low, out = text.lower(), []
+        if not any(map(self._tokens.__getitem__, low.split())):
+            return out
+        for k, clause in enumerate(CLAUSE.split(low)):
+            classes = [self._words[w] for w in WORD.findall(clause)]
+            if not any(c in (INSULT, THREAT) for c, _ in classes):
+                continue
+            for (written, weight), (_, size) in zip(MACHINE.run(c for c, _ in classes), classes):
+                if written in FINDINGS:
+                    out.append((k, size if written == INSULT else THREAT_WEIGHT, weight))
+        return out
 
     def features(self, text: str) -> tuple[float, ...]:
-        """Of the clause scores: highest, sum, sum per root of the words, clauses, clauses per word."""
-        low = text.lower()
-        words = low.split()
-        if not any(map(self.word, words)):
-            return (0.0, 0.0, 0.0, 0.0, 0.0)
-        scores = [s for s in (self.clause(WORD.findall(c)) for c in CLAUSE.split(low)) if s > 0]
-        total, n = sum(scores), len(words)
-        return (max(scores, default=0.0), math.log1p(total), total / math.sqrt(n), math.log1p(len(scores)), math.log1p(100 * len(scores) / n))
+        return summary([(k, size * self._times(weight)) for k, size, weight in self.findings(text)], len(text.split()))
+
+    def _times(self, weight: Weight) -> float:
+        got = self._contexts.get(weight)
+        if got is None:
+            got = self._contexts[weight] = math.prod(self.factors[f] ** n for f, n in zip(FACTORS, weight))
+        return got
 
     def scores(self, many: list[str]) -> np.ndarray:
-        x = np.array([self.features(t) for t in many], float).reshape(-1, 5)
+        x = np.array([self.features(t) for t in many], float).reshape(-1, N_FEATURES)
         return sigmoid(self.scale(x) @ self.weights)
 
 
-def _count(batches):
-    """Documents of either label that have an entry, summed over a batch."""
+def summary(findings: list[tuple[int, float]], n_words: int) -> tuple[float, ...]:
+    """Of clause scores, from (clause, score) of findings: highest, log of the sum, and the sum by the words."""
+    if not findings:
+        return (0.0,) * N_FEATURES
+    clauses: dict[int, float] = {}
+    for k, score in findings:
+        clauses[k] = clauses.get(k, 0.0) + score
+    total = sum(clauses.values())
+    return (max(clauses.values()), math.log1p(total), total / math.sqrt(n_words), math.log1p(100 * total / n_words))
+
+
+def _toxic_counts(batches):
+    """Toxic documents that have an entry, summed over a task."""
+    seen: Counter = Counter()
     for batch in slices(batches):
-        seen = {0: Counter(), 1: Counter()}
-        for text, y in zip(texts(batch), batch.column(1).to_pylist()):
-            seen[y].update({s for w in set(WORD.findall(text.lower())) for s in stems(w)})
-        entries = list(seen[0].keys() | seen[1].keys())
-        counts = [pa.array([seen[y][e] for e in entries], pa.int64()) for y in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), *counts], names=["entry", "clean", "toxic"])
+        for text in texts(batch):
+            seen.update({s for w in set(WORD.findall(text.lower())) for s in stems(w)})
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["entry", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS, least_docs: int = 5, least_odds: float = 2.5) -> Grammar:
-    """Learn the lexicon and the regression from labels(doc_id, toxic) for which `learn` holds.
+def _clean_counts(entries: set[str]):
+    """Clean documents that have one of the entries, summed over a task."""
 
-    An entry needs `least_docs` toxic documents and smoothed log odds of `least_odds`; of more than
-    MAX_LEXICON the strongest stay, so the model has a fixed bound.
+    def run(batches):
+        known = _Kept(lambda word: [s for s in stems(word) if s in entries])
+        seen: Counter = Counter()
+        for batch in slices(batches):
+            for text in texts(batch):
+                seen.update({s for w in set(WORD.findall(text.lower())) for s in known[w]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["entry", "n"])
+
+    return run
+
+
+def learn_lexicon(sample: DataFrame, least_docs: int = 5, least_odds: float = 2.5) -> dict[str, float]:
+    """Weights of words (with an end mark) and word beginnings from sample(text, y).
+
+    An entry needs `least_docs` toxic documents and smoothed log odds of `least_odds`. Entries that a
+    shorter one outweighs are left out, as a word takes the highest weight of its entries. The sample
+    has at most MAX_ROWS documents of either label, which bounds what comes to the driver.
     """
-    sample = labelled_sample(docs, labels, "toxic", learn, max_rows).select("text", "y").repartition(
-        docs.sparkSession.sparkContext.defaultParallelism
-    ).persist()
     n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
-    total = [n.get(0, 0), n.get(1, 0)]
-    odds = F.log((F.col("toxic") + 0.5) / (total[1] + 1)) - F.log((F.col("clean") + 0.5) / (total[0] + 1))
-    entries = (
-        sample.mapInArrow(_count, "entry string, clean long, toxic long")
-        .groupBy("entry")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") >= least_docs)
-        .withColumn("weight", odds)
-        .where(F.col("weight") >= least_odds)
-        .orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "entry")
-        .limit(MAX_LEXICON)
-    )
-    model = Grammar({r.entry: min(r.weight, 8.0) for r in entries.collect()})
-    rows = np.array(sample.mapInArrow(_features(model), "y int, x array<double>").select("y", "x").toPandas().values.tolist(), dtype=object)
-    sample.unpersist()
-    x = np.array([r[1] for r in rows], float).reshape(-1, 5)
-    y = np.array([r[0] for r in rows], float)
+    count = lambda f, y: sample.where(F.col("y") == y).select("text").mapInArrow(f, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    toxic = {r.entry: r.n for r in count(_toxic_counts, 1).where(F.col("n") >= least_docs).collect()}
+    clean = {r.entry: r.n for r in count(_clean_counts(set(toxic)), 0).collect()}
+    odds = {e: math.log((k + 0.5) / (n.get(1, 0) + 1)) - math.log((clean.get(e, 0) + 0.5) / (n.get(0, 0) + 1)) for e, k in toxic.items()}
+    strong = {e: min(w, 8.0) for e, w in odds.items() if w >= least_odds}
+    shorter = lambda e: (e[:k] for k in STEMS if k < len(e))
+    return {e: w for e, w in strong.items() if all(strong.get(s, 0.0) < w for s in shorter(e))}
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> Grammar:
+    """Learn the lexicon, the context factors and the regression from labels(doc_id, toxic) where `learn` holds."""
+    rows = labelled_sample(docs, labels, "toxic", learn, max_rows).select("text", "y")
+    sample = materialize(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism), "toxic-sample")
+    model = Grammar(learn_lexicon(sample))
+    found = sample.mapInArrow(_found(model), FOUND).toPandas()
+    y, n_words = found["y"].to_numpy(float), found["n_words"].to_numpy()
+    docs_of = [list(zip(k, s, map(tuple, w))) for k, s, w in zip(found["clause"], found["size"], found["context"])]
+
+    def at(theta: np.ndarray) -> np.ndarray:
+        value: dict[Weight, float] = {}
+        score = lambda w: value.setdefault(w, math.exp(float(np.dot(w, theta))))
+        return np.array([summary([(k, s * score(w)) for k, s, w in d], n) for d, n in zip(docs_of, n_words)], float).reshape(-1, N_FEATURES)
+
+    prior = np.log(list(PRIOR.values()))
+    theta = _fit_factors(at, y, prior)
+    model = Grammar(model.lexicon, dict(zip(FACTORS, np.exp(theta).tolist())))
+    x = at(theta)
     model.scale = Scale(x)
     model.weights = fit_logistic(model.scale(x), y)
     return model
 
 
-def _features(model: Grammar):
+def _fit_factors(at, y: np.ndarray, prior: np.ndarray, rounds: int = 3, step: float = 0.05) -> np.ndarray:
+    """Log factors that raise the likelihood of the labels, held to the prior by HOLD documents a unit."""
+    if len(y) == 0 or y.min() == y.max():
+        return prior
+
+    def loss(theta, scale, weights):
+        z = scale(at(theta)) @ weights
+        return float(np.logaddexp(0, -z)[y == 1].sum() + np.logaddexp(0, z)[y == 0].sum() + HOLD / 2 * ((theta - prior) ** 2).sum())
+
+    theta = prior.copy()
+    for _ in range(rounds):
+        scale = Scale(at(theta))
+        weights = fit_logistic(scale(at(theta)), y)
+        for k in range(len(theta)):  # a Newton step for each factor from three values
+            unit = np.eye(len(theta))[k] * step
+            low, mid, high = (loss(theta + s * unit, scale, weights) for s in (-1, 0, 1))
+            bend = max((high - 2 * mid + low) / step**2, HOLD)
+            move = float(np.clip(-(high - low) / (2 * step) / bend, -0.5, 0.5))
+            if loss(theta + move / step * unit, scale, weights) < mid:
+                theta = theta + move / step * unit
+    return theta
+
+
+FOUND = "y int, n_words long, clause array<int>, size array<double>, context array<array<int>>"
+
+
+def _found(model: Grammar):
     def run(batches):
         for batch in slices(batches):
-            rows = [list(model.features(t)) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
+            many = texts(batch)
+            rows = [model.findings(t) for t in many]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(1),
+                    pa.array([len(t.split()) for t in many], pa.int64()),
+                    pa.array([[k for k, _, _ in r] for r in rows], pa.list_(pa.int32())),
+                    pa.array([[s for _, s, _ in r] for r in rows], pa.list_(pa.float64())),
+                    pa.array([[list(w) for _, _, w in r] for r in rows], pa.list_(pa.list_(pa.int32()))),
+                ],
+                names=["y", "n_words", "clause", "size", "context"],
+            )
 
     return run
 
