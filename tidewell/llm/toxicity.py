@@ -36,7 +36,7 @@ from .common import materialize, slices, texts
 from .learn import Scale, fit_logistic, labelled_sample, sigmoid
 
 #: Labelled documents of either label to learn from; lengths of word beginnings; words that a task keeps.
-MAX_ROWS, STEMS, MAX_TABLE = 6_000, range(3, 13), 400_000
+MAX_ROWS, STEMS, MAX_TABLE = 6_000, range(3, 13), 200_000
 
 # Closed-class words of the grammar, in English, German, French and Spanish.
 NEGATIONS = "not never no isn't aren't wasn't don't nicht kein keine nie ne pas jamais non nunca ni".split()
@@ -164,6 +164,22 @@ MACHINE = grammar()
 _CLOSED = {w: c for c, ws in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
 
 
+_LETTERS: list[np.ndarray] = []
+
+
+def spaced(many: list[str]) -> list[str]:
+    """Lower-case texts with all but the letters of words as spaces, one more at either end."""
+    if not _LETTERS:
+        chars = map(chr, range(0x110000))
+        _LETTERS.append(np.array([i if c.isalnum() and not c.isdecimal() else 32 for i, c in enumerate(chars)], "<u4"))
+    codes = np.frombuffer("".join(many).encode("utf-32-le"), np.uint32)
+    mapped, out, at = _LETTERS[0][codes].tobytes().decode("utf-32-le"), [], 0
+    for t in many:
+        out.append(f" {mapped[at : at + len(t)]} ")
+        at += len(t)
+    return out
+
+
 def stems(word: str) -> list[str]:
     """What may stand in the lexicon for a word: the word with an end mark, and its beginnings."""
     return [word + "$", *(word[:n] for n in STEMS if n <= len(word))]
@@ -193,7 +209,7 @@ class Grammar:
 
     def __post_init__(self):
         self._heads = {e.rstrip("$")[:3] for e in self.lexicon} | {w[:3] for w in _CLOSED}
-        self._words, self._tokens, self._contexts = _Kept(self._classify), _Kept(self._finds), {}
+        self._words, self._contexts, self._scanner = _Kept(self._classify), {}, None
 
     def __reduce__(self):
         return Grammar, (self.lexicon, self.factors, self.scale, self.weights)
@@ -207,15 +223,24 @@ class Grammar:
         weight = max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0)
         return (INSULT, weight) if weight else (OTHER, 0.0)
 
-    def _finds(self, token: str) -> bool:
-        """Whether a token between white space has a word that can lead to a finding."""
-        return any(self._words[w][0] in (INSULT, THREAT) for w in WORD.findall(token))
+    def _may_find(self, lows: list[str]) -> list[bool]:
+        """Whether lower-case texts have a word that can lead to a finding; one automaton scans for them."""
+        if self._scanner is None:
+            import ahocorasick
 
-    def findings(self, text: str) -> list[tuple[int, float, Weight]]:
-        """(clause, lexicon weight, context weight) of each finding in a text."""
-        low, out = text.lower(), []
-        if not any(map(self._tokens.__getitem__, low.split())):
-            return out
+            self._scanner = ahocorasick.Automaton()
+            for e in [*self.lexicon, *(w + "$" for w in THREATS)]:
+                self._scanner.add_word(" " + re.sub("'.*", "$", e).replace("$", " "), 1)
+            self._scanner.make_automaton()
+        return [next(self._scanner.iter(t), None) is not None for t in spaced(lows)]
+
+    def findings(self, many: list[str]) -> list[list[tuple[int, float, Weight]]]:
+        """(clause, lexicon weight, context weight) of each finding in each text."""
+        lows = [t.lower() for t in many]
+        return [self._findings(t) if may else [] for t, may in zip(lows, self._may_find(lows))]
+
+    def _findings(self, low: str) -> list[tuple[int, float, Weight]]:
+        out = []
         for k, clause in enumerate(CLAUSE.split(low)):
             classes = [self._words[w] for w in WORD.findall(clause)]
             if not any(c in (INSULT, THREAT) for c, _ in classes):
@@ -225,8 +250,12 @@ class Grammar:
                     out.append((k, size if written == INSULT else THREAT_WEIGHT, weight))
         return out
 
-    def features(self, text: str) -> tuple[float, ...]:
-        return summary([(k, size * self._times(weight)) for k, size, weight in self.findings(text)], len(text.split()))
+    def features(self, many: list[str]) -> np.ndarray:
+        rows = [
+            summary([(k, size * self._times(weight)) for k, size, weight in found], len(t.split()) if found else 0)
+            for t, found in zip(many, self.findings(many))
+        ]
+        return np.array(rows, float).reshape(-1, N_FEATURES)
 
     def _times(self, weight: Weight) -> float:
         got = self._contexts.get(weight)
@@ -235,8 +264,7 @@ class Grammar:
         return got
 
     def scores(self, many: list[str]) -> np.ndarray:
-        x = np.array([self.features(t) for t in many], float).reshape(-1, N_FEATURES)
-        return sigmoid(self.scale(x) @ self.weights)
+        return sigmoid(self.scale(self.features(many)) @ self.weights)
 
 
 def summary(findings: list[tuple[int, float]], n_words: int) -> tuple[float, ...]:
@@ -299,10 +327,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
     y, n_words = found["y"].to_numpy(float), found["n_words"].to_numpy()
     docs_of = [list(zip(k, s, map(tuple, w))) for k, s, w in zip(found["clause"], found["size"], found["context"])]
 
+    contexts = sorted({w for d in docs_of for _, _, w in d})
+
     def at(theta: np.ndarray) -> np.ndarray:
-        value: dict[Weight, float] = {}
-        score = lambda w: value.setdefault(w, math.exp(float(np.dot(w, theta))))
-        return np.array([summary([(k, s * score(w)) for k, s, w in d], n) for d, n in zip(docs_of, n_words)], float).reshape(-1, N_FEATURES)
+        value = {w: math.exp(float(np.dot(w, theta))) for w in contexts}
+        x = np.zeros((len(docs_of), N_FEATURES))
+        for i, d in enumerate(docs_of):
+            if d:
+                x[i] = summary([(k, s * value[w]) for k, s, w in d], n_words[i])
+        return x
 
     prior = np.log(list(PRIOR.values()))
     theta = _fit_factors(at, y, prior)
@@ -324,15 +357,18 @@ def _fit_factors(at, y: np.ndarray, prior: np.ndarray, rounds: int = 3, step: fl
 
     theta = prior.copy()
     for _ in range(rounds):
-        scale = Scale(at(theta))
-        weights = fit_logistic(scale(at(theta)), y)
+        x = at(theta)
+        scale = Scale(x)
+        weights = fit_logistic(scale(x), y)
+        mid = loss(theta, scale, weights)
         for k in range(len(theta)):  # a Newton step for each factor from three values
             unit = np.eye(len(theta))[k] * step
-            low, mid, high = (loss(theta + s * unit, scale, weights) for s in (-1, 0, 1))
+            low, high = (loss(theta + s * unit, scale, weights) for s in (-1, 1))
             bend = max((high - 2 * mid + low) / step**2, HOLD)
             move = float(np.clip(-(high - low) / (2 * step) / bend, -0.5, 0.5))
-            if loss(theta + move / step * unit, scale, weights) < mid:
-                theta = theta + move / step * unit
+            new = loss(theta + move / step * unit, scale, weights)
+            if new < mid:
+                theta, mid = theta + move / step * unit, new
     return theta
 
 
@@ -343,7 +379,7 @@ def _found(model: Grammar):
     def run(batches):
         for batch in slices(batches):
             many = texts(batch)
-            rows = [model.findings(t) for t in many]
+            rows = model.findings(many)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(1),
