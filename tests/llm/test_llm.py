@@ -138,7 +138,8 @@ def test_quality_and_toxicity_learn(spark, none):
     tox = rows(toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True))))
     assert tox[1].score < 0.5 < tox[101].score
     assert toxicity.keep_clean(df, toxicity.fit(docs, labels, F.lit(True))).count() == 40
-    qual = rows(quality_model.score(docs, quality_model.fit(docs, labels, F.lit(True))))
+    featured = quality_model.featurize(docs)
+    qual = rows(quality_model.score(featured, quality_model.fit(featured, labels, F.lit(True))))
     assert qual[101].score < qual[1].score
     empty = toxicity.fit(docs, labels.limit(0), F.lit(True))
     assert toxicity.score(none, empty).count() == 0

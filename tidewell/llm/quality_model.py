@@ -5,12 +5,19 @@ learned from. The classifier minimises the non-negative unbiased risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 with the logistic loss over features of form (symbols, case, repetition, lines, word shapes). With
 this loss the unbiased risk is convex, so Newton steps find it; a step that would make the negative
-part fall below zero is halved until it does not. The class prior is the smoothed share of good
-documents among the labelled ones, or as given.
-
-Learning takes at most MAX_POSITIVE and MAX_UNLABELLED documents (documented bounds), chosen by a
-hash of doc_id; every text is scored whole. Null and empty texts have features of their own (no
-words) and get a score like any other.
+part fall below zero is halved until it does not.
+
+The class prior is estimated from positives and unlabelled text: the unlabelled share above any
+threshold of a score, divided by the positives' share above it, bounds the prior from above, and the
+least such bound, with an allowance for chance, is taken (best bin estimation). The score is that of a
+first model with a prior of one half.
+
+Features of every text are computed once and written; positives and unlabelled rows, all of them, enter
+the risk through sums that Spark adds up for each Newton step, so nothing but a vector and a matrix of
+N_FEATURES reaches the driver. Every text is scored whole. Null and empty texts have features of their
+own (no words) and get a score like any other. Rows that repeat count and are scored each on their own;
+a doc_id with several labels is good if one of them is. Without positives, or without unlabelled rows,
+every text scores the prior. An empty table gives no rows. Other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
-from .learn import Scale, sigmoid
+from .common import materialize, slices, texts
+from .learn import sigmoid
 
-MAX_POSITIVE, MAX_UNLABELLED = 10_000, 20_000
 N_FEATURES = 18
+#: Ridge on the weights, Newton steps at most, and the decrease of the risk below which they end.
+RIDGE, ROUNDS, ENOUGH = 1e-4, 25, 1e-5
+#: Bins of the score, and the chance that the prior's bound does not hold.
+BINS, DELTA = 1_000, 0.1
 _LETTERS = np.array([chr(b).isalpha() if b < 128 else b >= 0xC0 for b in range(256)], float)
 _UPPER = np.array([65 <= b <= 90 for b in range(256)], float)
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)], float)
@@ -57,82 +67,149 @@ def features(text: str) -> list[float]:
     ]
 
 
+def featurize(docs: DataFrame) -> DataFrame:
+    """doc_id and x, the features of its text as bytes, of every row; written once."""
+
+    def run(batches):
+        for batch in slices(batches):
+            rows = np.array([features(t) for t in texts(batch)], "<f8").reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "x"])
+
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary"), "quality-features")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, N_FEATURES)
+
+
 @dataclass
 class QualityModel:
-    scale: Scale
+    mean: np.ndarray
+    std: np.ndarray
     weights: np.ndarray
     prior: float
 
-    def scores(self, many: list[str]) -> np.ndarray:
-        return sigmoid(self.scale(np.array([features(t) for t in many], float).reshape(-1, N_FEATURES)) @ self.weights)
-
-
-def risk(w, pos, unl, prior):
-    """The non-negative risk and its negative part before it is cut at zero."""
-    soft = lambda z: np.logaddexp(0, z)
-    negative = soft(unl @ w).mean() - prior * soft(pos @ w).mean()
-    return prior * soft(-(pos @ w)).mean() + max(0.0, negative), negative
-
-
-def fit_nonnegative(pos: np.ndarray, unl: np.ndarray, prior: float, l2: float = 1e-4, rounds: int = 60) -> np.ndarray:
-    """Weights that minimise the non-negative risk; both inputs have the constant 1 as last column."""
-    w = np.zeros(pos.shape[1])
-    w[-1] = math.log(prior / (1 - prior))
-    ridge = np.full(len(w), l2)
-    ridge[-1] = 1e-9
-    if not len(pos) or not len(unl):
-        return w
-    best = risk(w, pos, unl, prior)[0] + (ridge * w * w).sum() / 2
-    for _ in range(rounds):
-        p = sigmoid(unl @ w)
-        grad = (unl * p[:, None]).mean(0) - prior * pos.mean(0) + ridge * w
-        step = np.linalg.solve((unl * (p * (1 - p))[:, None]).T @ unl / len(unl) + np.diag(ridge + 1e-6), grad)
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Features with mean 0 and deviation 1, and the constant 1 last."""
+        return np.hstack([np.clip((x - self.mean) / self.std, -8, 8), np.ones((len(x), 1))])
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.scaled(x) @ self.weights)
+
+
+def _sums(rows: DataFrame, part) -> np.ndarray:
+    """part(x, y) added over all rows(y, x): tasks add their batches, Spark the tasks."""
+
+    def run(batches):
+        total = None
+        for batch in slices(batches):
+            got = part(_matrix(batch.column(1)), batch.column(0).to_numpy())
+            total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "v"])
+
+    got = rows.select("y", "x").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(len(part(np.zeros((0, N_FEATURES)), np.zeros(0))))
+    for r in got:
+        out[r.k] = r.v
+    return out
+
+
+def _soft(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, z)
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.concatenate([[(y == 1).sum(), (y == 0).sum()], x.sum(0), (x * x).sum(0)])
+
+
+def risk_parts(model: QualityModel):
+    """Sums from which the risk of a model, its gradient and its second derivatives follow."""
+
+    def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        pos, unl = model.scaled(x[y == 1]), model.scaled(x[y == 0])
+        z, u = pos @ model.weights, unl @ model.weights
+        p = sigmoid(u)
+        bend = (unl * (p * (1 - p))[:, None]).T @ unl
+        return np.concatenate([[_soft(z).sum(), _soft(-z).sum(), _soft(u).sum()], pos.sum(0), p @ unl, bend.ravel()])
+
+    return part
+
+
+def fit_nonnegative(rows: DataFrame, model: QualityModel, n: tuple[float, float]) -> QualityModel:
+    """The model with weights that minimise the non-negative risk over rows(y, x); n: how many have y of 1 and of 0."""
+    k, prior = N_FEATURES + 1, model.prior
+    ridge = np.append(np.full(N_FEATURES, RIDGE), 1e-9)
+
+    def at(w):
+        """Risk with ridge, its part of negatives, gradient, second derivatives."""
+        got = _sums(rows, risk_parts(QualityModel(model.mean, model.std, w, prior)))
+        pos_neg, pos_pos, unl_neg = got[0] / n[0], got[1] / n[0], got[2] / n[1]
+        negative = unl_neg - prior * pos_neg
+        grad = got[3 + k : 3 + 2 * k] / n[1] - prior * got[3 : 3 + k] / n[0] + ridge * w
+        return prior * pos_pos + max(0.0, negative) + (ridge * w * w).sum() / 2, negative, grad, got[3 + 2 * k :].reshape(k, k) / n[1]
+
+    w = model.weights
+    best, _, grad, bend = at(w)
+    for _ in range(ROUNDS):
+        step = np.linalg.solve(bend + np.diag(ridge + 1e-6), grad)
         size = 1.0
-        while size > 1e-4:
-            new = w - size * step
-            value, negative = risk(new, pos, unl, prior)
-            value += (ridge * new * new).sum() / 2
-            if negative >= 0 and value < best - 1e-12:
+        while size > 1e-3:
+            value, negative, new_grad, new_bend = at(w - size * step)
+            if negative >= 0 and value < best:
                 break
-            size /= 2
+            size /= 4
         else:
             break
-        w, best = new, value
-    return w
-
-
-def _rows(batches):
-    for batch in slices(batches):
-        rows = [features(t) for t in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
+        gain, w, best, grad, bend = best - value, w - size * step, value, new_grad, new_bend
+        if gain < ENOUGH:
+            break
+    return QualityModel(model.mean, model.std, w, prior)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = DELTA) -> float:
+    """Share of positives in unlabelled text, from counts of both by bins of rising score."""
+    n, m = max(positive.sum(), 1), max(unlabelled.sum(), 1)
+    above = lambda counts, total: np.cumsum(counts[::-1])[::-1] / total
+    p, u = above(positive, n), above(unlabelled, m)
+    slack = math.sqrt(math.log(4 / delta) / (2 * m)) + math.sqrt(math.log(4 / delta) / (2 * n))
+    some = p > 0
+    best = np.argmin((u[some] + slack) / p[some])
+    return float(np.clip((u[some] / p[some])[best], 0.02, 0.98))
+
+
+def _histogram(model: QualityModel):
+    def part(x, y):
+        bins = np.minimum((model.scores(x) * BINS).astype(int), BINS - 1)
+        return np.concatenate([np.bincount(bins[y == v], minlength=BINS) for v in (1, 0)]).astype(float)
+
+    return part
+
+
+def fit(featured: DataFrame, labels: DataFrame, learn: Column, prior: float | None = None) -> QualityModel:
+    """Learn from labels(doc_id, quality) and the unlabelled rows of featurize() for which `learn` holds."""
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    joined = featured.where(learn).join(known, "doc_id", "left").where("quality is null or quality = 1")
+    rows = materialize(joined.select(F.coalesce("quality", F.lit(0)).cast("int").alias("y"), "x"), "quality-rows")
+    moments = _sums(rows, _moments)
+    n, sums = (moments[0], moments[1]), moments[2:].reshape(2, -1) / max(moments[0] + moments[1], 1)
+    start = QualityModel(sums[0], np.sqrt(np.maximum(sums[1] - sums[0] ** 2, 1e-12)), np.zeros(N_FEATURES + 1), prior or 0.5)
+    if not n[0] or not n[1]:
+        start.weights[-1] = math.log(start.prior / (1 - start.prior))
+        return start
+    model = fit_nonnegative(rows, start, n)
+    if prior is None:
+        counts = _sums(rows, _histogram(model))
+        model.prior = estimate_prior(counts[:BINS], counts[BINS:])
+        model = fit_nonnegative(rows, model, n)
+    return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None = None) -> QualityModel:
-    """Learn from labels(doc_id, quality) and the unlabelled documents for which `learn` holds."""
-    known = labels.where(learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    share = known.agg(F.sum("y").alias("good"), F.count("*").alias("n")).first()
-    if prior is None:
-        prior = min(max(((share.good or 0) + 1) / (share.n + 2), 0.02), 0.98)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    positive = known.where("y = 1").select("doc_id", "y").orderBy(*order).limit(MAX_POSITIVE)
-    unlabelled = (
-        docs.where(learn).select("doc_id").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-        .select("doc_id", F.lit(0).alias("y")).orderBy(*order).limit(MAX_UNLABELLED)
-    )
-    chosen = positive.select("doc_id", F.col("y").cast("int")).unionByName(unlabelled)  # bounded by the two limits
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
-    rows = sample.mapInArrow(_rows, "y int, x array<double>").toPandas()
-    x = np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES)
-    y = rows["y"].to_numpy()
-    scale = Scale(x)
-    return QualityModel(scale, fit_nonnegative(scale(x[y == 1]), scale(x[y == 0]), prior), prior)
-
-
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, score: the probability that a document is good."""
+def score(featured: DataFrame, model: QualityModel) -> DataFrame:
+    """doc_id, score: the probability that a document is good, from featurize()."""
 
     def run(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(texts(batch)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(_matrix(batch.column(1))))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return featured.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")

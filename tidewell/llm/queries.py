@@ -77,9 +77,9 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned where crc32(doc_id) mod 3 is not 1."""
-    docs = table(spark, sf_dir, "documents")
-    model = quality_model.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
-    scored = quality_model.score(docs, model)
+    featured = quality_model.featurize(table(spark, sf_dir, "documents"))
+    model = quality_model.fit(featured, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    scored = quality_model.score(featured, model)
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
