@@ -1,20 +1,24 @@
 """Operator 9: personal data by weak supervision, with DataFrame functions only.
 
 Base spans come from four patterns with checks (e-mail, IP address, payment card, phone number).
-Further candidates (long tokens with digits, digit groups) are voted on by labelers: patterns,
-gazetteers of key prefixes and of context words, quoting, letter-digit mixture, length. Expectation-
-maximisation over all candidates estimates the labelers' reliabilities; its posteriors train the
-final span classifier, a log-linear model over span features, which decides on the candidates.
+Further candidates (long tokens, digit groups) are voted on by labelers: patterns, gazetteers of key
+prefixes and of context words, quoting, letter-digit mixture, length. Expectation-maximisation over all
+candidates estimates the labelers' reliabilities; its posteriors train the final span classifier, a
+logistic regression over the shape of a span and its wider surroundings, which the labelers do not
+see. The classifier alone decides on the candidates.
 
 Offsets count code points, ends are exclusive. Null text is the empty text. Patterns are written so
 that matching takes time in proportion to the text, whatever it holds: a run that may start a match
 is entered at its start, or where the match before ended, and repeats never give back characters.
+
+Rows that repeat are searched each on their own. Without candidates there is nothing to learn and
+nothing is added. An empty table gives no rows. detect() reads doc_id and text alone; redact() carries
+all columns, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +33,8 @@ PATTERNS = {
     "phone": "\\+[0-9][ ().0-9-]+[0-9]",
 }
 _TOKEN = "A-Za-z0-9_"
-#: Candidates beyond the base patterns: tokens with a digit, and groups of digits.
-SECRET = f"(?<![{_TOKEN}])(?=[A-Za-z_]*+[0-9])[{_TOKEN}]{{20,}}+"
+#: Candidates beyond the base patterns: long tokens, and groups of digits.
+SECRET = f"(?<![{_TOKEN}])[{_TOKEN}]{{20,}}+"
 NUMBER = "(?<![0-9A-Za-z+.])[0-9]{3}[- ][0-9]{2,3}[- ][0-9]{4}(?![0-9A-Za-z])"
 
 # Words that announce secrets or numbers of a person, and prefixes of keys.
@@ -147,13 +151,30 @@ def labelers(c: Column) -> list[Column]:
 
 
 def features(c: Column) -> list[Column]:
-    """Yes-no features of a span for the final classifier: the labelers' votes and the kind."""
-    votes = labelers(c)
-    return [*[v == 1 for v in votes], *[v == -1 for v in votes], c["kind"] == "secret"]
+    """Yes-no features of a span for the final classifier: its shape and its wider surroundings."""
+    text, before = c["text"], c["before"]
+    size = F.length(text)
+    share = lambda chars: (size - F.length(F.translate(F.lower(text), chars, ""))) / size
+    return [
+        c["kind"] == "number",
+        share("0123456789") >= 0.25,
+        share("aeiouyàáâäèéêëìíîïòóôöùúûü") >= 0.3,
+        F.size(F.array_distinct(F.split(F.lower(text), ""))) <= 17,
+        F.size(F.split(text, "[0-9]+")) > 4,
+        text.rlike("[a-z]") & text.rlike("[A-Z]"),
+        text.rlike("_"),
+        text.rlike("[A-Za-z]{8}"),
+        text.rlike("(.)\\1{3}"),
+        size < 32,
+        size > 64,
+        before.rlike(f"(?i)(?:{SECRET_WORDS}|{NUMBER_WORDS})"),
+        before.rlike("(?:^|\\n)[^\\n]{0,3}$"),
+        before.rlike("[^A-Za-z0-9_ \\n]$"),
+    ]
 
 
 class SpanModel:
-    """Log-linear span classifier trained on posteriors."""
+    """Logistic regression over features(), trained on posteriors; it accepts from one half on."""
 
     def __init__(self, bias: float, weights: list[float]):
         self.bias, self.weights = bias, weights
@@ -165,26 +186,40 @@ class SpanModel:
         return total >= 0
 
 
-def fit(candidates: DataFrame) -> SpanModel:
-    """Train on a column c of candidates: reliabilities first, then feature weights by posterior sums."""
+def fit(candidates: DataFrame, ridge: float = 1.0, rounds: int = 8) -> SpanModel:
+    """Train on a column c of candidates: reliabilities first, then the classifier by Newton steps.
+
+    Candidates are counted by the features they show, so a step is an aggregation over those patterns.
+    Without candidates the model accepts nothing.
+    """
     c = F.col("c")
     names = [f"v{i}" for i in range(len(labelers(c)))]
-    rows = candidates.select("c", *[v.alias(n) for v, n in zip(labelers(c), names)])
-    model = weak_labels.fit(rows, names, prior=0.5)
-    p = model.posterior([F.col(n) for n in names])
     on = features(c)
-    sums = [F.sum(p), F.sum(1 - p)]
-    for f in on:
-        sums += [F.sum(F.when(f, p).otherwise(0.0)), F.sum(F.when(f, 1 - p).otherwise(0.0))]
-    got = [x or 0.0 for x in rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-    yes, no = got[0] + 1, got[1] + 1
-    bias, weights = math.log(yes / no), []
-    for k in range(len(on)):
-        a, b = (got[2 + 2 * k] + 0.5) / (yes + 1), (got[3 + 2 * k] + 0.5) / (no + 1)
-        absent = math.log((1 - min(a, 0.999)) / (1 - min(b, 0.999)))
-        bias += absent
-        weights.append(math.log(a / b) - absent)
-    return SpanModel(bias, weights)
+    shown = F.filter(F.array(F.lit(0), *[F.when(f, F.lit(i + 1)) for i, f in enumerate(on)]), lambda i: i.isNotNull())
+    rows = candidates.select(shown.alias("f"), *[v.alias(n) for v, n in zip(labelers(c), names)])
+    model = weak_labels.fit(rows, names, prior=0.5)
+    posterior = model.posterior([F.col(n) for n in names])
+    patterns = materialize(rows.groupBy("f").agg(F.count("*").alias("n"), F.sum(posterior).alias("p")), "pii-patterns")
+    k = len(on) + 1
+    w = np.zeros(k)
+    w[0] = -1.0
+    for _ in range(rounds):
+        z = F.aggregate("f", F.lit(0.0), lambda acc, i: acc + F.get(F.array(*map(F.lit, w.tolist())), i))
+        q = 1 / (1 + F.exp(-z))
+        scored = patterns.select("f", (F.col("n") * q - F.col("p")).alias("g"), (F.col("n") * q * (1 - q)).alias("h"))
+        first = scored.select(F.explode("f").alias("i"), F.lit(-1).alias("j"), F.col("g").alias("v"))
+        pairs = scored.select("f", F.explode("f").alias("i"), "h").select("i", F.explode("f").alias("j"), F.col("h").alias("v"))
+        grad, bend = ridge * w, ridge * np.eye(k)
+        for r in first.unionByName(pairs).groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # k * (k + 1) sums
+            if r.j < 0:
+                grad[r.i] += r.v
+            else:
+                bend[r.i, r.j] += r.v
+        step = np.linalg.solve(bend, grad)
+        w = w - np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-4:
+            break
+    return SpanModel(float(w[0]), w[1:].tolist())
 
 
 def accepted(found: DataFrame, model: SpanModel) -> DataFrame:
@@ -203,7 +238,8 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of its text replaced by its kind in angle brackets; other columns stay."""
-    candidates = materialize(find(docs.select("text")).select(F.explode("candidates").alias("c")), "pii-candidates")
+    some = docs.select("text").where(F.col("text").rlike(SECRET) | F.col("text").rlike(NUMBER))  # the others have no candidates
+    candidates = materialize(find(some).select(F.explode("candidates").alias("c")), "pii-candidates")
     model = fit(candidates)
     text = F.col("text")
     mark = accepted(find(docs.withColumn("row", F.struct(*docs.columns)).select("row", "text")), model)

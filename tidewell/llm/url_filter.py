@@ -3,17 +3,18 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains, the longest fitting
 rule decides. URLs that no rule fits are judged by a logistic regression over hashed n-grams of host
 and path, trained from a small table of labelled URLs (at most MAX_LABELLED rows are used, by a hash
-of the url; the model has DIMENSIONS weights).
+of the url; the model has DIMENSIONS weights). `labelled_urls` makes such a table from topics and
+forms of addresses; any table of (url, blocked) can stand in its place.
 
 The host is what follows the first `://` up to `/`, `?`, `#` or the end, with A-Z lower-cased; the
 path follows up to `?`, `#` or the end. A null url, or one without `://`, has neither: no rule fits
-it, and the model judges it as an empty url.
+it, and the model judges it as an empty url. Rows that repeat are judged each on their own, and an
+empty table gives no rows. Other columns are carried only if the caller names them; names that the
+result has itself (host, path, rule, verdict, spam) cannot be among them.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,27 +25,16 @@ from .learn import fit_logistic, sigmoid
 
 MAX_LABELLED, DIMENSIONS, SIZES = 2_000, 4096, (3, 4, 5)
 
-# A small labelled URL table, blocked and allowed.
-BLOCKED = """
-http://casino-royal.example.org/en/1 https://www.casino-win.example.com/play http://free-bets.example.org/en/22
-http://best-bets.example.net/odds https://poker-bonus.example.org/ http://cheap-pills.example.org/de/3
-https://www.cheap-viagra.example.net/buy http://pills-online.example.org/ http://spam-farm.example.org/en/9
-https://m.spam-links.example.net/x http://link-farm.example.org/ http://ads-track.example.org/en/5
-https://track-ads.example.net/click http://www.adult-x.example.org/fr/7 https://xxx-adult.example.net/video
-http://adult-cams.example.org/ http://free-loans.example.org/apply https://fast-cash.example.net/
-http://win-prize.example.org/claim http://lottery-win.example.net/ https://replica-watch.example.org/shop
-http://slots-casino.example.net/ http://malware-download.example.org/crack https://torrent-warez.example.net/
-"""
-ALLOWED = """
-http://news.example.org/en/1 https://www.library.example.org/catalogue/7 http://blog.garden.example.net/de/12
-https://docs.python.example.org/tutorial http://university.example.net/en/55 https://m.weather.example.org/today
-http://museum.example.org/fr/31 https://wiki.science.example.net/article/9 http://the-times.example.org/en/8
-https://school.example.net/es/4 http://city-council.example.org/meetings https://www.health.example.org/en/77
-http://there.example.org/en/3223 https://within.example.org/fr/17 http://other.example.org/de/606
-https://research.example.net/paper/3 http://recipes.example.org/bread https://travel.example.net/es/81
-http://music.example.org/en/62 https://m.maps.example.org/route http://blog.thing.example.org/en/15
-https://forum.linux.example.net/thread/4 http://theory.example.org/en/2 https://station.example.org/de/90
-"""
+# Topics of blocked and of allowed addresses, and forms that both take.
+BLOCKED = """casino bets poker pills viagra spam linkfarm adtrack adult xxx cams loans cash prize lottery replica slots
+malware crack torrent warez jackpot escort dating pharma cialis clickbait popads keygen phish gambling bonus roulette"""
+ALLOWED = """news library garden docs university weather museum wiki science times school council health research
+recipes travel music maps forum linux theory station history theatre bakery cycling physics gallery parish archive
+there within other thing about between through against where which"""
+FORMS = """http://{0}.example.org/en/{1} https://www.{0}.example.com/page/{1} http://{0}-{2}.example.net/{1}.html
+https://m.{2}{0}.example.org/de/{1} http://blog.{0}.example.net/ https://{2}.example.org/{0}/{1}
+http://www.{0}{2}.example.com/fr/{1}?page=2 https://{0}.{2}.example.net/es/{1}#top"""
+FILLERS = "the er on an best my free top tion land net".split()
 
 RULES = [
     ("com", "/", "allow"),
@@ -56,8 +46,12 @@ RULES = [
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The table to train from: url, blocked."""
-    rows = [(u, 1) for u in BLOCKED.split()] + [(u, 0) for u in ALLOWED.split()]
+    """The table to train from: url, blocked. Every topic in every form, with fillers in turn."""
+    rows = []
+    for blocked, topics in ((1, BLOCKED.split()), (0, ALLOWED.split())):
+        for i, topic in enumerate(topics):
+            for j, form in enumerate(FORMS.split()):
+                rows.append((form.format(topic, 17 * i + 101 * j, FILLERS[(i + j) % len(FILLERS)]), blocked))
     return spark.createDataFrame(rows, "url string, blocked int")
 
 
@@ -82,29 +76,49 @@ def match_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     return urls.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def vector(host: str, path: str) -> np.ndarray:
-    """Places of the n-grams of host and path in the weights, each once."""
-    line = f"^{host}{path}$".encode()
-    return np.unique([zlib.crc32(line[i : i + n]) % DIMENSIONS for n in SIZES for i in range(len(line) - n + 1)]).astype(np.int64)
+def ngrams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the weights of the n-grams of each host and path, each once: (row, place) by row."""
+    lines = [f"^{h}{p}$".encode() for h, p in zip(hosts, paths)]
+    data = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64)
+    row = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    rows, places = [], []
+    for n in SIZES:
+        if len(data) < n:
+            continue
+        h = np.full(len(data) - n + 1, n, np.uint64)
+        for k in range(n):
+            h = (h ^ data[k : len(data) - n + 1 + k]) * np.uint64(0x100000001B3)  # FNV over the bytes
+        h ^= h >> np.uint64(29)
+        whole = row[: len(h)] == row[n - 1 :]
+        rows.append(row[: len(h)][whole])
+        places.append((h[whole] % np.uint64(DIMENSIONS)).astype(np.int64))
+    both = np.unique(np.concatenate(rows) * DIMENSIONS + np.concatenate(places)) if rows else np.zeros(0, np.int64)
+    return both // DIMENSIONS, both % DIMENSIONS
 
 
 def fit(labelled: DataFrame) -> np.ndarray:
     """Weights, the constant last, from labelled(url, blocked)."""
     host, path = host_and_path(F.col("url"))
-    rows = labelled.where("blocked in (0, 1)").orderBy(F.xxhash64("url"), "url").limit(MAX_LABELLED)
-    rows = rows.select(host.alias("host"), path.alias("path"), "blocked").collect()
-    used = [vector(r.host, r.path) for r in rows]
-    seen = np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64)
-    x = np.zeros((len(rows), len(seen) + 1))
-    for i, v in enumerate(used):
-        x[i, np.searchsorted(seen, v)] = 1 / np.sqrt(max(len(v), 1))
-        x[i, -1] = 1
+    chosen = labelled.where("blocked in (0, 1)").orderBy(F.xxhash64("url"), "url").limit(MAX_LABELLED)
+    got = chosen.select(host.alias("host"), path.alias("path"), "blocked").collect()
+    row, place = ngrams([r.host for r in got], [r.path for r in got])
+    seen, column = np.unique(place, return_inverse=True)
+    x = np.zeros((len(got), len(seen) + 1))
+    x[row, column] = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(got)), 1))[row]
+    x[:, -1] = 1
     out = np.zeros(DIMENSIONS + 1)
-    w = fit_logistic(x, np.array([r.blocked for r in rows], float), l2=0.1)
+    w = fit_logistic(x, np.array([r.blocked for r in got], float), l2=0.01)
     out[seen], out[-1] = w[:-1], w[-1]
     return out
 
 
+def scores(weights: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """The model's chance of a block for each host and path."""
+    row, place = ngrams(hosts, paths)
+    total = np.bincount(row, weights=weights[place], minlength=len(hosts))
+    return sigmoid(total / np.sqrt(np.maximum(np.bincount(row, minlength=len(hosts)), 1)) + weights[-1])
+
+
 def judge(pages: DataFrame, weights: np.ndarray, rules: list[tuple[str, str, str]], columns: list[str]) -> DataFrame:
     """`columns` of pages with host, path, rule, verdict and the model's chance of a block (spam)."""
     host, path = host_and_path(F.col("url"))
@@ -114,14 +128,10 @@ def judge(pages: DataFrame, weights: np.ndarray, rules: list[tuple[str, str, str
     def run(batches):
         for batch in slices(batches):
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            spam = np.array([_score(weights, h, p) for h, p in zip(at["host"].to_pylist(), at["path"].to_pylist())])
+            spam = scores(weights, at["host"].to_pylist(), at["path"].to_pylist())
             verdict = [r or ("block" if s >= 0.5 else "allow") for r, s in zip(at["rule_verdict"].to_pylist(), spam)]
             names = [n for n in at if n != "rule_verdict"]
             yield pa.RecordBatch.from_arrays([*(at[n] for n in names), pa.array(verdict), pa.array(spam)], names=[*names, "verdict", "spam"])
 
     return ruled.mapInArrow(run, schema)
 
-
-def _score(weights: np.ndarray, host: str, path: str) -> float:
-    v = vector(host, path)
-    return float(sigmoid(weights[v].sum() / np.sqrt(max(len(v), 1)) + weights[-1]))
