@@ -23,9 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest doc_id."""
-    judged = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of near copies: the one with the smallest doc_id.
+
+    Of rows that repeat this doc_id, one stays: the first by text and the other columns.
+    """
+    judged = materialize(minhash.near_duplicates(docs), "near-copies")
+    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = materialize(gone.where("not kept or n > 1"), "near-copies-gone")
+    others = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.join(gone.where("kept").select("doc_id"), "doc_id", "left_semi")
+    first = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("first"))
+    return others.unionByName(first.select("doc_id", "first.*").select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +63,7 @@ STAGES = [
     ("sentencepiece", tokenize),
 ]
 
-#: The learned and iterative stages have no SQL form; tests hold the stages against brute force.
+#: The learned and iterative stages have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
