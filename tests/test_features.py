@@ -23,10 +23,9 @@ def folder(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["fe_assoc", "fe_fold_select", "fe_bh", "fe_vote", "fe_univariate_spearman", "fe_consensus", "lim_feature"])
 def test_every_element_is_a_feature(spark, folder, name):
     got = QUERIES[name](spark, folder)
-    wide = SQL[name].replace("range(1, 17)", f"range(1, {WIDTH + 1})").replace("sum(16 - rank)", f"sum({WIDTH} - rank)")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
-    rows = db.execute(f"SELECT {', '.join(got.columns)} FROM ({wide}) ORDER BY feature").fetchall()
+    rows = db.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]}) ORDER BY feature").fetchall()
     found = [tuple(r) for r in got.orderBy("feature").collect()]
     assert [r[0] for r in found] == [r[0] for r in rows] and WIDTH in [r[0] for r in found]
     assert all(a == pytest.approx(b, abs=2e-6) for f, r in zip(found, rows) for a, b in zip(f, r))

@@ -9,10 +9,10 @@ from tidewell.operators import evaluation, panel, ranking
 
 def test_scores_of_a_receiver_and_a_kicker(spark):
     row = {"position": "WR", "passing_yards": 100, "passing_tds": 1, "rushing_yards": 50, "receptions": 4, "receiving_yards": 60, "fumbles_lost_total": 1}
-    got = panel.score_games(spark.createDataFrame([row])).first()
+    got = panel.score_games(spark.createDataFrame([row]), strict=False).first()
     assert (got.points_base, got.points_half, got.points_full, got.target) == (17.0, 19.0, 21.0, 21.0)
     kicker = {"position": "K", "receptions": 0, "pat_made": 3, "fg_made_30_39": 2, "fg_made_40_49": 1, "fg_made_50_59": 1, "fg_missed": 0}
-    assert panel.score_games(spark.createDataFrame([kicker])).first().target == 18.0
+    assert panel.score_games(spark.createDataFrame([kicker]), strict=False).first().target == 18.0
     with pytest.raises(ValueError):
         panel.score_games(spark.createDataFrame([row]), strict=True)
 
@@ -60,11 +60,58 @@ def test_permutation_keeps_each_group(spark):
 
 
 def test_names_heights_and_reasons(spark):
-    df = spark.createDataFrame([("Smith, José Jr.", "6-2", " Not  specified "), (None, "x", "Knee")], "n string, h string, r string")
+    df = spark.createDataFrame([("Smith, José Jr.", "6-2", " Not  injury  related - Rest "), (None, "x", "Knee")], "n string, h string, r string")
     got = df.select(fn.normal_name(fn.flipped_name(F.col("n"))), fn.height_inches(F.col("h")), fn.physical(F.col("r"))).collect()
     assert tuple(got[0]) == ("josesmith", 74, False) and got[1][1] is None and got[1][2]
 
 
+def test_names_beyond_latin_1_and_statuses(spark):
+    df = spark.createDataFrame([("Dončić, Luka",), ("Šarić",), ("ﬁn Łuk",), ("",), (None,)], "n string")
+    assert [r[0] for r in df.select(fn.normal_name(fn.flipped_name(F.col("n")))).collect()] == ["lukadoncic", "saric", "finuk", "", None]
+    assert sorted(fn.STATUS_PRIORITY, key=fn.STATUS_PRIORITY.get) == ["ACT", "RES", "DEV", "E14", "SUS", "NWT", "CUT", "RET"]
+
+
+def test_reference_points_and_profile(spark):
+    row = {
+        "position": "WR", "passing_yards": 100, "passing_tds": 1, "passing_interceptions": 1, "rushing_yards": 50, "rushing_tds": 1, "receptions": 5,
+        "receiving_yards": 80, "receiving_tds": 1, "rushing_2pt_conversions": 1, "fumbles_lost_total": 0, "special_teams_tds": 2,
+    }
+    got = panel.score_games(spark.createDataFrame([row]), strict=False).first()
+    base = 4 + 4 - 2 + 5 + 6 + 8 + 6 + 2 + 12
+    assert (got.points_base, got.points_half, got.points_full) == (base, base + 2.5, base + 5)
+    half = panel.score_games(spark.createDataFrame([row]), {"receptions": 2.0, "pat_made": 9.0}, strict=False).first()
+    assert (half.points_half, half.points_full, half.kicking) == (base + 5, base + 10, 0)
+    with pytest.raises(ValueError):
+        panel.score_games(spark.createDataFrame([row]))
+
+
+def test_reasons_that_are_not_physical(spark):
+    reasons = ["Knee", "Illness", "COVID-19 list", "Not injury related - personal", "non injury", "Rested veteran", "coach's  decision", "Illness/Knee", " ", None]
+    df = spark.createDataFrame([(r,) for r in reasons], "r string")
+    assert [r[0] for r in df.select(fn.physical(F.col("r"))).collect()] == [True, False, False, False, False, False, False, True, False, False]
+
+
+def test_mann_whitney_p(spark):
+    from tidewell.operators import evidence
+
+    x = [1.0, 2.0, 2.0, 3.0, 5.0, 4.0, 6.0, 6.0, 7.0, 9.0]
+    rows = [(1, v, int(i >= 5)) for i, v in enumerate(x)] + [(2, 1.0, i % 2) for i in range(10)]
+    got = {r.feature: r for r in evidence.association(spark.createDataFrame(rows, "feature int, x double, y int")).collect()}
+    # u = 24 of 25, ties 2 * (8 - 2), z = (24 - 12.5 - 0.5) / sqrt(25 / 12 * (11 - 12 / 90))
+    z = 11 / (25 / 12 * (11 - 12 / 90)) ** 0.5
+    import math
+
+    assert got[1].p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-6) and got[2].p == 1.0
+
+
+def test_payload_members_of_either_form(spark):
+    from tidewell.sources import files
+
+    df = spark.createDataFrame([(1, '{"t": "0", "m": {"id": 5}}'), (2, '{"t": "86400", "m": [{"id": 6}, {"id": 7}]}'), (3, '{"t": "1"}')], "k int, p string")
+    got = files.exploded_member(df, "p", "m", "id bigint").select("k", "member.id", files.iso_utc(F.get_json_object("p", "$.t")).alias("at")).collect()
+    assert [tuple(r) for r in got if r.id is not None] == [(1, 5, "1970-01-01T00:00:00+00:00"), (2, 6, "1970-01-02T00:00:00+00:00"), (2, 7, "1970-01-02T00:00:00+00:00")]
+
+
 def test_lineage_violations(spark):
     rows = [("lag1_x", ["outcome.x"], [1]), ("x", ["outcome.x"], [0]), ("target_x", ["report.y"], [1])]
     got = {r.check: r.violations for r in panel.check_lineage(spark.createDataFrame(rows, "column string, sources array<string>, source_offsets array<int>")).collect()}

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Position codes, status priorities, position depth of a ranking.
-POSITIONS = {"QB": "QB", "RB": "RB", "HB": "RB", "FB": "RB", "WR": "WR", "TE": "TE", "K": "K", "PK": "K"}
-STATUS_PRIORITY = {"ACT": 0, "RES": 1, "CUT": 2}
+# Position codes, status priorities, reasons that are not physical, position depth of a ranking.
+POSITIONS = {"QB": "QB", "RB": "RB", "FB": "RB", "HB": "RB", "WR": "WR", "TE": "TE", "K": "K", "PK": "K"}
+STATUS_PRIORITY = {"ACT": 0, "RES": 1, "DEV": 2, "E14": 3, "SUS": 4, "NWT": 5, "CUT": 6, "RET": 7}
+NON_PHYSICAL = (
+    "illness|covid.*|not\\s+injury\\s+related.*|non[- ]injury.*|personal|rest(?:ed|ing)?(?:\\s+(?:player|veteran|vet))?"
+    "|coach(?:'s)?\\s+decision|coaching\\s+decision"
+)
+#: Coefficients of the fit, relative error below 1.2e-7.
+ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 TOP_K = {"QB": 12, "RB": 24, "WR": 36, "TE": 12, "K": 12}
 
 
@@ -43,10 +53,14 @@ def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 
 
+def _ascii(names: pd.Series) -> pd.Series:
+    """Compatibility decomposition without what is then not ASCII; Spark has no such function."""
+    return names.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+
+
 def normal_name(name: Column) -> Column:
-    """Lower-case letter and digit tokens joined, without generation suffixes; accents dropped."""
-    plain = F.translate(F.lower(name), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    tokens = F.regexp_extract_all(plain, F.lit("([a-z0-9]+)"), F.lit(1))
+    """Lower-case letter and digit tokens joined, without generation suffixes; accents and other letters dropped."""
+    tokens = F.regexp_extract_all(F.lower(F.pandas_udf(_ascii, "string")(name)), F.lit("([a-z0-9]+)"), F.lit(1))
     return F.array_join(F.filter(tokens, lambda t: ~t.isin("jr", "sr", "ii", "iii", "iv")), "")
 
 
@@ -60,18 +74,33 @@ def slug(*parts: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.concat_ws("|", *parts)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def pseudo_id(known: Column, season: Column, *parts: Column) -> Column:
+    """`pfr:` and a known id, else `prospect:`, the season and a slug of the parts."""
+    return F.when(known.isNotNull() & (known != ""), F.concat(F.lit("pfr:"), known)).otherwise(F.concat(F.lit("prospect:"), season.cast("string"), F.lit(":"), slug(*parts)))
+
+
 def height_inches(text: Column) -> Column:
     """`6-2` as 74; anything else is null."""
     feet, inches = (F.regexp_extract(text, r"^(\d+)-(\d+)$", i) for i in (1, 2))
     return F.when(feet != "", feet.try_cast("int") * 12 + inches.try_cast("int"))
 
 
-def physical(reason: Column, non_physical: str = "not specified|low|rest|personal") -> Column:
+def physical(reason: Column, non_physical: str = NON_PHYSICAL) -> Column:
     """Whether a reason is given and is not one of the non-physical ones."""
     clean = F.trim(F.regexp_replace(F.coalesce(reason, F.lit("")), r"\s+", " "))
     return (clean != "") & ~clean.rlike(f"(?i)^(?:{non_physical})$")
 
 
+def normal_tail(z: Column) -> Column:
+    """Chance that a standard normal value exceeds z >= 0, by a Chebyshev fit of the complementary error function."""
+    x = z / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    poly = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        poly = poly * t + c
+    return t * F.exp(poly - x * x) / 2
+
+
 def risk_band(p: Column) -> Column:
     """Right-closed bands of a probability."""
     return F.when((p > -0.001) & (p <= 0.2), "lower").when((p > 0.2) & (p <= 0.35), "moderate").when((p > 0.35) & (p <= 1.001), "higher")

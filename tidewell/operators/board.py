@@ -28,7 +28,8 @@ def build(forecast: DataFrame, weight: float = 0.2) -> DataFrame:
 
 
 def pages(board: DataFrame) -> DataFrame:
-    """Every row on the page ALL and its position's page, numbered there."""
-    paged = board.withColumn("page", F.explode(F.array(F.lit("ALL"), F.col("position"))))
+    """Every row on the page ALL and its position's page, those of higher risk on INJURED too, numbered there."""
+    injured = F.when(F.col("risk_band") == "higher", F.lit("INJURED"))
+    paged = board.withColumn("page", F.explode(F.array_compact(F.array(F.lit("ALL"), F.col("position"), injured))))
     n = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("overall_score"), F.desc("points"), "entity"))
     return paged.withColumn("place", n)

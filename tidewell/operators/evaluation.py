@@ -175,10 +175,10 @@ def tie_bottom(df: DataFrame, share: float, group: list[str] = GROUP) -> DataFra
 
 
 def permuted(df: DataFrame, seed: int, group: list[str] = GROUP) -> DataFrame:
-    """Actuals dealt anew within each group, by a hash: the same for any partitioning."""
+    """Actuals dealt anew within each group, by the order of a digest: the same for any partitioning."""
     w = Window.partitionBy(*group)
     at = df.withColumn("_i", F.row_number().over(w.orderBy("entity")))
-    shuffled = df.select(*group, F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "entity"), "entity")).alias("_i"), F.col("actual").alias("permuted"))
+    shuffled = df.select(*group, F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "entity").cast("binary")), "entity")).alias("_i"), F.col("actual").alias("permuted"))
     return at.join(shuffled, [*group, "_i"]).drop("_i")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import scalars as fn
 from tidewell.operators import ranking
 from tidewell.operators.evaluation import safe_corr
 
@@ -24,16 +25,25 @@ def fold_scores(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def association(rows: DataFrame) -> DataFrame:
-    """Per feature against a 0/1 y: means by class, rank correlation, point-biserial, AUC, its better side."""
-    r = rows.withColumns({"rx": ranking.rank_avg(F.col("x"), ["feature"]), "ry": ranking.rank_avg(F.col("y"), ["feature"])})
-    n1 = F.sum("y")
+    """Per feature against a 0/1 y: means by class, rank correlation, point-biserial, AUC, its better side.
+
+    p is the two-sided Mann-Whitney p with ties and continuity corrected, 1 for a constant feature.
+    """
+    ties = F.count("*").over(Window.partitionBy("feature", "x"))
+    r = rows.withColumns({"rx": ranking.rank_avg(F.col("x"), ["feature"]), "ry": ranking.rank_avg(F.col("y"), ["feature"]), "t": ties.cast("double")})
+    n1 = F.sum("y").cast("double")
     n0 = F.count("*") - n1
+    n = n0 + n1
+    u = F.sum(F.col("rx") * F.col("y")) - n1 * (n1 + 1) / 2
+    spread = F.sqrt(n1 * n0 / 12 * (n + 1 - F.try_divide(F.sum(F.col("t") * F.col("t") - 1), n * (n - 1))))
+    z = F.try_divide(F.greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5, spread)
     got = r.groupBy("feature").agg(
         F.avg(F.when(F.col("y") == 1, F.col("x"))).alias("mean_1"),
         F.avg(F.when(F.col("y") == 0, F.col("x"))).alias("mean_0"),
         safe_corr(F.col("rx"), F.col("ry")).alias("spearman"),
         safe_corr(F.col("x"), F.col("y")).alias("point_biserial"),
-        F.try_divide(F.sum(F.col("rx") * F.col("y")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"),
+        F.try_divide(u, n1 * n0).alias("auc"),
+        F.least(F.coalesce(2 * fn.normal_tail(F.greatest(z, F.lit(0.0))), F.lit(1.0)), F.lit(1.0)).alias("p"),
     )
     return got.withColumns({"auc_best": F.greatest(F.col("auc"), 1 - F.col("auc")), "direction": F.when(F.col("auc") >= 0.5, 1).otherwise(-1)})
 
@@ -46,10 +56,22 @@ def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
     return raw.withColumn("q", F.least(F.min("_raw").over(up.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))).drop("_raw")
 
 
-def vote(ranks: DataFrame) -> DataFrame:
-    """Reciprocal-rank and Borda votes from rows (method, feature, rank)."""
+def vote(ranks: DataFrame, weights: dict[str, float] | None = None, top: int = 20) -> DataFrame:
+    """Weighted reciprocal-rank and Borda votes from rows (method, feature, rank), and how many methods rank it within `top`."""
     d = F.count("*").over(Window.partitionBy("method"))
-    return ranks.withColumn("d", d).groupBy("feature").agg(F.sum(1 / F.col("rank")).alias("reciprocal"), F.sum(F.col("d") - F.col("rank")).cast("double").alias("borda"))
+    w = F.coalesce(fn.mapped(F.col("method"), weights or {}), F.lit(1.0))
+    return ranks.withColumn("d", d).withColumn("w", w).groupBy("feature").agg(
+        F.sum(F.col("w") / F.col("rank")).alias("reciprocal"),
+        F.sum(F.col("w") * (F.col("d") - F.col("rank"))).cast("double").alias("borda"),
+        F.count_if(F.col("rank") <= top).alias("in_top"),
+    )
+
+
+def overlap(ranks: DataFrame, top: int = 20) -> DataFrame:
+    """(one, other, shared): features that two methods both rank within `top`; a row a feature and method comes in."""
+    best = ranks.where(F.col("rank") <= top)
+    a, b = best.select(F.col("method").alias("one"), "feature"), best.select(F.col("method").alias("other"), "feature")
+    return a.join(b, "feature").where("one < other").groupBy("one", "other").agg(F.count("*").alias("shared"))
 
 
 def consensus(df: DataFrame, ranks: list[str]) -> DataFrame:

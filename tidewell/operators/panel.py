@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from tidewell.functions import scalars as fn
 from tidewell.operators import ranking
 
-# Points for an event, by column; kicking events count for kickers alone.
+# Points for an event, by column; kicking events count for kickers alone; forbidden parts of feature names.
 PROFILE = {
     "passing_yards": 0.04, "passing_tds": 4.0, "passing_interceptions": -2.0, "rushing_yards": 0.1, "rushing_tds": 6.0,
     "receiving_yards": 0.1, "receiving_tds": 6.0, "passing_2pt_conversions": 2.0, "rushing_2pt_conversions": 2.0,
     "receiving_2pt_conversions": 2.0, "fumbles_lost_total": -2.0, "special_teams_tds": 6.0, "fumble_recovery_tds": 6.0,
-    "individual_defensive_tds": 6.0,
-}
-RECEPTION = 1.0
-KICKING = {
+    "individual_defensive_tds": 6.0, "receptions": 1.0,
     "pat_made": 1.0, "fg_made_0_19": 3.0, "fg_made_20_29": 3.0, "fg_made_30_39": 3.0, "fg_made_40_49": 4.0,
     "fg_made_50_59": 5.0, "fg_made_60_": 6.0, "fg_missed": -1.0,
 }
+KICKING = ["pat_made", "fg_made_0_19", "fg_made_20_29", "fg_made_30_39", "fg_made_40_49", "fg_made_50_59", "fg_made_60_", "fg_missed"]
+FORBIDDEN = [
+    "active_roster", "air_yards_share", "cpoe", "depth", "epa", "fantasy", "pacr", "racr", "status", "target_points", "target_share", "wopr",
+]
 
 
 def _weighted(df: DataFrame, points: dict[str, float]) -> Column:
@@ -27,28 +28,34 @@ def _weighted(df: DataFrame, points: dict[str, float]) -> Column:
     return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
 
 
-def score_games(df: DataFrame, profile: dict[str, float] | None = None, strict: bool = False) -> DataFrame:
+def score_games(df: DataFrame, profile: dict[str, float] | None = None, strict: bool = True) -> DataFrame:
     """Add points_base, points_half, points_full (half and full reception value), kicking and target.
 
-    Events that df lacks count 0, unless `strict`, which asks for all but individual_defensive_tds.
+    `profile` gives the points of every event, receptions and kicks included; what it leaves out is as
+    in PROFILE. `strict` asks for all events but individual_defensive_tds, else those that df lacks count 0.
     """
-    profile = profile or PROFILE
-    missing = (set(profile) | set(KICKING) | {"receptions", "position"}) - {"individual_defensive_tds"} - set(df.columns)
+    points = {**PROFILE, **(profile or {})}
+    missing = ({*points, "position"} - {"individual_defensive_tds"}) - set(df.columns)
     if strict and missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
-    base, kicks = _weighted(df, profile), _weighted(df, KICKING)
-    catch = F.coalesce(fn.numeric(F.col("receptions")), F.lit(0.0)) if "receptions" in df.columns else F.lit(0.0)
-    out = df.withColumns({"points_base": base, "points_half": base + 0.5 * RECEPTION * catch, "points_full": base + RECEPTION * catch, "kicking": kicks})
+    kicks = _weighted(df, {c: points[c] for c in KICKING})
+    base = _weighted(df, {c: p for c, p in points.items() if c not in KICKING and c != "receptions"})
+    catch = _weighted(df, {"receptions": points["receptions"]})
+    out = df.withColumns({"points_base": base, "points_half": base + 0.5 * catch, "points_full": base + catch, "kicking": kicks})
     target = F.when(F.upper("position").isin("K", "PK"), F.col("points_full") + F.col("kicking")).otherwise(F.col("points_full"))
     return out.withColumn("target", target)
 
 
 def seasons(games: DataFrame, values: list[str]) -> DataFrame:
-    """Entity-season totals (null where all are null), games, weeks, and attributes of the last game."""
-    last = F.max_by(F.struct("team", "position"), F.struct("week", "game"))
+    """Entity-season totals (null where all are null), games, weeks, and attributes of the last game.
+
+    A game lies in one week, so weeks are summed first, and neither count needs its rows doubled.
+    """
     sums = [F.sum(v).alias(v) for v in values]
-    got = games.groupBy("season", "entity").agg(
-        *sums, F.count_distinct("game").alias("games"), F.count_distinct("week").alias("weeks"), last.alias("last")
+    last = F.max_by(F.struct("team", "position"), "game")
+    weekly = games.groupBy("season", "entity", "week").agg(*sums, F.count_distinct("game").alias("games"), last.alias("last"))
+    got = weekly.groupBy("season", "entity").agg(
+        *sums, F.sum("games").alias("games"), F.count("week").alias("weeks"), F.max_by("last", "week").alias("last")
     )
     return got.select("*", F.col("last.team").alias("team"), F.col("last.position").alias("position")).drop("last")
 
@@ -111,6 +118,17 @@ def left_checked(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return left.join(sure.where("_ok").drop("_n", "_ok"), keys, "left")
 
 
+def crosswalk(df: DataFrame, code: str, pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Rows, matched rows and their share by group, after df's code is looked up in pairs(code, entity).
+
+    A code of several entities stands for the first, so no row of df is doubled.
+    """
+    one = pairs.where("code is not null").groupBy("code").agg(F.min("entity").alias("entity"))
+    found = df.join(one, F.col(code) == F.col("code"), "left")
+    share = F.round(F.avg(F.col("entity").isNotNull().cast("int")), 6)
+    return found.groupBy(*group).agg(F.count("*").alias("n"), F.count("entity").alias("matched"), share.alias("share"))
+
+
 def roster_cohort(rosters: DataFrame, entrants: DataFrame) -> DataFrame:
     """Rows of target seasons from what was known before: last roster row of the season before, and entrants.
 
@@ -135,7 +153,7 @@ def check_lineage(lineage: DataFrame) -> DataFrame:
     source, offset = F.col("s.sources"), F.col("s.source_offsets")
     young = F.when(source.startswith("outcome") & (offset < 1), "outcome_offset").when(source.startswith("report") & (offset < 2), "report_offset")
     bad = flat.withColumn("check", young).where("check is not null").groupBy("check").agg(F.count_distinct("column").alias("violations"))
-    names = lineage.where(F.col("column").rlike("future|actual|^target_")).agg(F.count("*").alias("violations")).select(F.lit("forbidden_name").alias("check"), "violations")
+    names = lineage.where(F.col("column").rlike("|".join(["future|actual|^target_", *FORBIDDEN]))).agg(F.count("*").alias("violations")).select(F.lit("forbidden_name").alias("check"), "violations")
     checks = lineage.sparkSession.createDataFrame([("outcome_offset",), ("report_offset",), ("forbidden_name",)], "check string")
     return checks.join(bad.unionByName(names), "check", "left").fillna(0)
 

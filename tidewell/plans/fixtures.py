@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENTS = {"AUTOMOBILE": "QB", "BUILDING": "RB", "FURNITURE": "WR", "HOUSEHOLD": "TE", "MACHINERY": "K"}
+#: Reasons of these tables that are not physical.
+NON_PHYSICAL = "not specified|low"
 STATUS = {"F": "ACT", "O": "RES", "P": "CUT"}
 
 
@@ -58,11 +60,15 @@ games AS (SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS seas
 EVENTS = {"rushing_yards": "yards", "rushing_tds": "tds", "receptions": "receptions", "fumbles_lost_total": "fumbles", "pat_made": "receptions", "fg_made_40_49": "tds", "fg_missed": "fumbles"}
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games with the events that a profile scores."""
+    return games(spark, sf_dir).withColumns({k: F.col(v) for k, v in EVENTS.items() if k != v})
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.operators.panel import score_games
 
-    got = games(spark, sf_dir)
-    return score_games(got.withColumns({k: F.col(v) for k, v in EVENTS.items() if k != v}))
+    return score_games(events(spark, sf_dir), strict=False)
 
 
 SCORED_SQL = GAMES_SQL + """,

@@ -82,14 +82,15 @@ def snk_csv(spark: SparkSession, d: str) -> DataFrame:
     return files.read_csv(spark, files.write_csv(s, files.shared_path(spark, "csv")), s.schema)
 
 
-@query(with_(fx.SCORED_SQL, "SELECT game, round(CAST(0.1 AS DOUBLE) * coalesce(yards, 0) + 6 * coalesce(tds, 0), 6) AS points FROM scored"))
+@query(with_(fx.SCORED_SQL, """SELECT game, round(f, 6) AS points_full, round(k, 6) AS kicking FROM (SELECT game, CAST(0.2 AS DOUBLE) * coalesce(yards, 0) + 5 * coalesce(tds, 0) - 2 * coalesce(fumbles, 0) + CAST(0.5 AS DOUBLE) * coalesce(receptions, 0) AS f,
+  2 * coalesce(receptions, 0) + 4 * coalesce(tds, 0) - coalesce(fumbles, 0) AS k FROM games)"""))
 def src_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by a profile read from JSON, which sets rushing, reception and kicking points."""
     path = files.shared_path(spark, "profile")
-    spark.createDataFrame([(json.dumps({"rushing_yards": 0.1, "rushing_tds": 6.0}),)], "value string").coalesce(1).write.text(path)
-    profile = files.load_profile(spark, path, ["rushing_yards", "rushing_tds"])
-    games = fx.games(spark, d).withColumns({"rushing_yards": F.col("yards"), "rushing_tds": F.col("tds")})
-    terms = [F.coalesce(F.col(c), F.lit(0.0)) * p for c, p in profile.items()]
-    return games.select("game", F.round(terms[0] + terms[1], 6).alias("points"))
+    fields = {"rushing_yards": 0.2, "rushing_tds": 5.0, "receptions": 0.5, "pat_made": 2.0}
+    spark.createDataFrame([(json.dumps(fields),)], "value string").coalesce(1).write.text(path)
+    got = panel.score_games(fx.events(spark, d), files.load_profile(spark, path, list(fields)), strict=False)
+    return r6(got.select("game", "points_full", "kicking"), "points_full", "kicking")
 
 
 @query()
@@ -132,15 +133,28 @@ def _first(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy(F.col("c_custkey").alias("entity")).agg(F.year(F.min("o_orderdate")).alias("draft_year"), F.min("o_orderkey").alias("draft_number"))
 
 
-@query(with_(_FIRST_SQL, "SELECT entity, CAST(draft_year IS NOT NULL AS INTEGER) AS was_drafted, coalesce(draft_number, 300) AS draft_number, CAST(coalesce(draft_year = 1995, false) AS INTEGER) AS rookie FROM f"))
+_YEARS_SQL = _FIRST_SQL + ", yr AS (SELECT entity, season, draft_year, draft_number, c_mktsegment = 'BUILDING' AS active, CASE WHEN draft_year IS NOT NULL THEN season - draft_year END AS exp FROM f JOIN customer ON entity = c_custkey, (SELECT unnest([1995, 1996, 1998]) AS season))"
+
+
+def _years(spark: SparkSession, d: str) -> DataFrame:
+    """Entities in three target seasons, with the year and number of their first order and the years since."""
+    seasons = F.explode(F.array(F.lit(1995), F.lit(1996), F.lit(1998)))
+    active = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), (F.col("c_mktsegment") == "BUILDING").alias("active"))
+    return _first(spark, d).join(active, "entity").withColumn("season", seasons).withColumn("exp", F.col("season") - F.col("draft_year"))
+
+
+@query(with_(_YEARS_SQL, "SELECT entity, season, CAST(draft_year IS NOT NULL AS INTEGER) AS was_drafted, coalesce(draft_number, 300) AS draft_number, CAST(coalesce(draft_year = season, false) OR coalesce(exp = 0, false) AS INTEGER) AS rookie, CAST(active AS INTEGER) AS status_active FROM yr"))
 def prj_draft_flags(spark: SparkSession, d: str) -> DataFrame:
-    year = F.col("draft_year")
-    return _first(spark, d).select("entity", year.isNotNull().cast("int").alias("was_drafted"), F.coalesce("draft_number", F.lit(300)).alias("draft_number"), F.coalesce(year == 1995, F.lit(False)).cast("int").alias("rookie"))
+    rookie = F.coalesce(F.col("draft_year") == F.col("season"), F.lit(False)) | F.coalesce(F.col("exp") == 0, F.lit(False))
+    drafted = F.col("draft_year").isNotNull().cast("int")
+    return _years(spark, d).select("entity", "season", drafted.alias("was_drafted"), F.coalesce("draft_number", F.lit(300)).alias("draft_number"), rookie.cast("int").alias("rookie"), F.col("active").cast("int").alias("status_active"))
 
 
-@query(with_(_FIRST_SQL, "SELECT entity, CASE WHEN draft_year IS NULL OR draft_year <= 1994 THEN draft_number END AS draft_number FROM f"))
+@query(with_(_YEARS_SQL, "SELECT entity, season, CASE WHEN draft_year IS NULL OR draft_year <= season THEN draft_number END AS draft_number FROM yr"))
 def prj_asof_null(spark: SparkSession, d: str) -> DataFrame:
-    return _first(spark, d).select("entity", F.when(F.col("draft_year").isNull() | (F.col("draft_year") <= 1994), F.col("draft_number")).alias("draft_number"))
+    """What is known of a first order at the row's own target season: nothing before its year."""
+    known = F.col("draft_year").isNull() | (F.col("draft_year") <= F.col("season"))
+    return _years(spark, d).select("entity", "season", F.when(known, F.col("draft_number")).alias("draft_number"))
 
 
 _REASON_SQL = fx.GAMES_SQL + ", rs AS (SELECT season, entity, arg_max(reason, game) AS grp FROM games GROUP BY 1, 2)"
@@ -439,12 +453,18 @@ def chk_temporal(spark: SparkSession, d: str) -> DataFrame:
 # ---- evaluation and evidence
 
 
-@query(with_(fx.FORECAST_SQL, f", r AS (SELECT *, {_PCT.format('actual')} AS ra, {_PCT.format('predicted')} AS rp FROM fc) SELECT season, position, count(*) AS n, round(coalesce(CASE WHEN isfinite(corr(ra, rp)) THEN corr(ra, rp) END, 0), 5) AS spearman, round(avg(abs(actual - predicted)), 5) AS mae FROM r GROUP BY 1, 2"))
+_FOLDS = f""", r AS (SELECT *, {_PCT.format('actual')} AS ra, {_PCT.format('predicted')} AS rp, greatest(actual, 0) AS gain, row_number() OVER (PARTITION BY season, position ORDER BY predicted DESC, entity) AS i, row_number() OVER (PARTITION BY season, position ORDER BY actual DESC, entity) AS j, count(*) OVER (PARTITION BY season, position) AS c FROM fc),
+fm AS (SELECT season, position, count(*) AS n, round(coalesce(CASE WHEN isfinite(corr(ra, rp)) THEN corr(ra, rp) END, 0), 5) AS spearman, round(avg(abs(actual - predicted)), 5) AS mae, sum(CASE WHEN i <= 12 AND j <= 12 THEN 1 ELSE 0 END) / CAST(max(least(12, c)) AS DOUBLE) AS recall FROM r GROUP BY 1, 2),
+fx AS (SELECT season, position, predicted, avg(gain) * sum(CASE WHEN i <= 12 THEN 1 / log2(i + 1) ELSE 0 END) AS dcg, sum(gain * CASE WHEN j <= 12 THEN 1 / log2(j + 1) ELSE 0 END) AS idcg FROM r GROUP BY 1, 2, 3),
+fn AS (SELECT season, position, round(sum(dcg) / sum(idcg), 5) AS ndcg FROM fx GROUP BY 1, 2 HAVING sum(idcg) > 0)"""
+
+
+@query(with_(fx.FORECAST_SQL + _FOLDS, "SELECT fm.season, fm.position, n, spearman, mae, ndcg, round(recall, 5) AS recall FROM fm LEFT JOIN fn ON fm.season = fn.season AND fm.position = fn.position"))
 def ev_fold_table(spark: SparkSession, d: str) -> DataFrame:
     f = fx.forecasts(spark, d)
     errors = f.groupBy(*G).agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"))
-    got = evaluation.spearman(f, G).join(errors, G).withColumn("spearman", F.coalesce("spearman", F.lit(0.0)))
-    return got.select(*G, "n", F.round("spearman", 5).alias("spearman"), F.round("mae", 5).alias("mae"))
+    got = evaluation.spearman(f, G).join(errors, G).join(evaluation.ndcg(f, 12, G), G, "left").join(evaluation.topk_recall(f, F.lit(12), G), G)
+    return got.select(*G, "n", *[F.round(c, 5).alias(c) for c in ("spearman", "mae", "ndcg", "recall")])
 
 
 @query(with_(_PROB, """, e AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM pr)
@@ -503,16 +523,28 @@ def fe_consensus(spark: SparkSession, d: str) -> DataFrame:
     return evidence.consensus(ranks, ["a", "b"]).select("feature", "mean_rank", "place")
 
 
-@query("SELECT 'constant' AS feature, CAST(1 AS BIGINT) AS kinds FROM orders LIMIT 1")
+@query("""SELECT feature, count(DISTINCT x) + CAST(max(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS kinds
+FROM (SELECT unnest(['priority_known', 'day_parts', 'price', 'half']) AS feature, unnest([CAST(o_orderpriority IS NOT NULL AS DOUBLE), CAST(date_part('hour', o_orderdate) AS DOUBLE), o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN CAST(1 AS DOUBLE) END]) AS x FROM orders)
+GROUP BY 1 HAVING count(DISTINCT x) + max(CASE WHEN x IS NULL THEN 1 ELSE 0 END) <= 1""")
 def fe_constant(spark: SparkSession, d: str) -> DataFrame:
-    o = fx.table(spark, d, "orders").select("o_orderkey", F.lit(1.0).alias("constant"), F.col("o_totalprice").alias("price"))
-    return evidence.constants(evidence.long_form(o, ["constant", "price"], ["o_orderkey"])).select("feature", F.col("kinds").cast("bigint").alias("kinds"))
+    """Of four features of orders those with one value; half is known for every other row, which makes two."""
+    o = fx.table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").isNotNull().cast("double").alias("priority_known"), F.hour("o_orderdate").cast("double").alias("day_parts"),
+        F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 2 == 0, 1.0).alias("half"),
+    )
+    rows = evidence.long_form(o, ["priority_known", "day_parts", "price", "half"], ["o_orderkey"])
+    return evidence.constants(rows).select("feature", F.col("kinds").cast("bigint").alias("kinds"))
 
 
-@query()
+@query(with_(_PROB, """, o AS (SELECT lang, label, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM pr), e AS (SELECT lang, p, row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) AS i FROM pr),
+nl AS (SELECT o.lang, label, p FROM o JOIN e ON o.lang = e.lang AND o.i = e.i), both_ AS (SELECT * FROM nl UNION ALL SELECT 'all', label, p FROM nl),
+r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY p) + (count(*) OVER (PARTITION BY lang, p) - 1) / 2.0 AS r FROM both_)
+SELECT lang, round((sum(r * label) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * (count(*) - sum(label)), 0), 6) AS auc, count(*) AS n FROM r GROUP BY 1"""))
 def fe_null_diag(spark: SparkSession, d: str) -> DataFrame:
+    """AUC of scores shuffled within their group, in each group and pooled."""
     rows = _prob(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
-    dealt = rows.select("lang", "p", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")).alias("i"))
+    digest = F.md5(F.concat(F.lit("3:"), F.col("doc_id").cast("string")).cast("binary"))
+    dealt = rows.select("lang", "p", F.row_number().over(Window.partitionBy("lang").orderBy(digest, "doc_id")).alias("i"))
     null = rows.drop("p").join(dealt, ["lang", "i"])
     within = evaluation.auc(null, ["lang"])
     pooled = evaluation.auc(null.withColumn("pool", F.lit("all")), ["pool"]).select(F.col("pool").alias("lang"), "auc", "n")
@@ -535,16 +567,31 @@ def brd_evidence(spark: SparkSession, d: str) -> DataFrame:
 # ---- model fits
 
 FEATURES = ["lag1_target", "lag1_carries", "lag1_tds", "lag2_target"]
-SEASONS = [1997, 1998]
-
-
-def _frame(spark: SparkSession, d: str) -> DataFrame:
+def _derived(spark: SparkSession, d: str) -> DataFrame:
     """season, entity, position, features known before the season, y (its points)."""
     s = fx.season_points(spark, d)
     lags = panel.lagged(s.select("season", "entity"), s, ["target", "carries", "tds"], range(1, 3)).select("season", "entity", *FEATURES)
     return s.select("season", "entity", "position", F.col("target").alias("y")).join(lags, ["season", "entity"])
 
 
+def _frame(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of _derived, written once, as every fit and prediction of a query reads them."""
+    path = files.shared_path(spark, "frame")
+    _derived(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _seasons(rows: DataFrame) -> list[int]:
+    """Seasons that have two before them to learn from; a table has few."""
+    return sorted(r.season for r in rows.select("season").distinct().collect())[2:]
+
+
+def _last(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows before the latest season, and its rows."""
+    last = _seasons(rows)[-1]
+    return rows.where(F.col("season") < last), rows.where(F.col("season") == last)
+
+
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     """As _frame, with y 1 for points over those of the season before."""
     return _frame(spark, d).withColumn("y", (F.col("y") > F.col("lag1_target")).cast("double"))
@@ -562,7 +609,7 @@ QUERIES["ml_target_transform"], SQL["ml_target_transform"] = QUERIES.pop("feat_r
 @query(with_(fx.SEASON_SQL, """SELECT t.season, t.entity, t.position, round(t.target, 6) AS y, round(coalesce(a.target, 0), 6) AS lag1_target, round(coalesce(a.carries, 0), 6) AS lag1_carries, round(coalesce(a.tds, 0), 6) AS lag1_tds, round(coalesce(b.target, 0), 6) AS lag2_target
 FROM seasons t LEFT JOIN seasons a ON a.entity = t.entity AND a.season = t.season - 1 LEFT JOIN seasons b ON b.entity = t.entity AND b.season = t.season - 2"""))
 def feat_bundle(spark: SparkSession, d: str) -> DataFrame:
-    return r6(_frame(spark, d), "y", *FEATURES)
+    return r6(_derived(spark, d), "y", *FEATURES)
 
 
 def _model_query(name: str, run) -> None:
@@ -570,15 +617,43 @@ def _model_query(name: str, run) -> None:
 
 
 _OUT = ["season", "entity", "position", "y", "predicted"]
-_model_query("ml_walk_forward", lambda s, d: models.forward(_frame(s, d), SEASONS, "ridge", FEATURES).select(_OUT))
-_model_query("ml_linear", lambda s, d: models.predict(models.fit(_frame(s, d).where("season < 1998"), "ridge", FEATURES), _frame(s, d).where("season = 1998")).select(_OUT))
-_model_query("ml_position_scope", lambda s, d: models.by_position(_frame(s, d), [1998], "ridge", FEATURES, ["QB", "RB"]).select(_OUT))
-_model_query("ml_tree_ensemble", lambda s, d: models.forward(_frame(s, d), [1998], "forest", FEATURES).select(_OUT))
-_model_query("ml_boosting", lambda s, d: models.forward(_frame(s, d), [1998], "boosting", FEATURES).select(_OUT))
-_model_query("ml_logit", lambda s, d: models.forward(_classes(s, d), [1998], "sparse_logit", FEATURES).select(_OUT))
-_model_query("ml_tree_classifier", lambda s, d: models.forward(_classes(s, d), [1998], "forest_class", FEATURES).select(_OUT))
-_model_query("ml_hurdle", lambda s, d: models.walk_forward(_frame(s, d).withColumn("y", F.when(F.col("y") > 20, F.col("y")).otherwise(0.0)), [1998], lambda a, b: models.hurdle(a, b, FEATURES)).select(_OUT))
-_model_query("ml_platt", lambda s, d: models.walk_forward(_classes(s, d), [1998], lambda a, b: models.platt(a, b, "forest_class", FEATURES)).select(_OUT))
+
+
+def _forward(name: str, classes: bool = False, last: int | None = None):
+    """Every season with two before it, or the `last` of them, predicted by a learner from those before."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = (_classes if classes else _frame)(spark, d)
+        seasons = _seasons(rows)
+        return models.forward(rows, seasons[-last:] if last else seasons, name, FEATURES).select(_OUT)
+
+    return run
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _frame(spark, d)
+    return models.by_position(rows, _seasons(rows), "ridge", FEATURES, list(fx.SEGMENTS.values())).select(_OUT)
+
+
+def _hurdle(spark: SparkSession, d: str) -> DataFrame:
+    rows = _frame(spark, d).withColumn("y", F.when(F.col("y") > 20, F.col("y")).otherwise(0.0))
+    return models.walk_forward(rows, _seasons(rows), lambda a, b: models.hurdle(a, b, FEATURES)).select(_OUT)
+
+
+def _platt(spark: SparkSession, d: str) -> DataFrame:
+    rows = _classes(spark, d)
+    return models.walk_forward(rows, _seasons(rows)[-1:], lambda a, b: models.platt(a, b, "forest_class", FEATURES)).select(_OUT)
+
+
+_model_query("ml_walk_forward", _forward("ridge"))
+_model_query("ml_linear", _forward("ridge", last=1))
+_model_query("ml_position_scope", _positions)
+_model_query("ml_tree_ensemble", _forward("forest", last=1))
+_model_query("ml_boosting", _forward("boosting", last=1))
+_model_query("ml_logit", _forward("sparse_logit", classes=True))
+_model_query("ml_tree_classifier", _forward("forest_class", classes=True, last=1))
+_model_query("ml_hurdle", _hurdle)
+_model_query("ml_platt", _platt)
 
 
 @query()
@@ -587,7 +662,7 @@ def ml_impute_scale(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     rows = _frame(spark, d)
-    model = Pipeline(stages=models.prepared(FEATURES)).fit(rows.where("season < 1998"))
+    model = Pipeline(stages=models.prepared(FEATURES)).fit(rows.where(F.col("season") < _seasons(rows)[-1]))
     x = vector_to_array("scaled")
     return model.transform(rows).select("season", "entity", *[F.round(x[i], 6).alias(f) for i, f in enumerate(FEATURES)])
 
@@ -599,15 +674,16 @@ def _mae(df: DataFrame) -> DataFrame:
 @query()
 def ml_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = _frame(spark, d)
-    one = lambda name: _mae(models.forward(rows, [1998], name, FEATURES)).select(F.lit(name).alias("learner"), (-F.col("metric")).alias("mae"))
+    last = _seasons(rows)[-1:]
+    one = lambda name: _mae(models.forward(rows, last, name, FEATURES)).select(F.lit(name).alias("learner"), (-F.col("metric")).alias("mae"))
     return one("ridge").unionByName(one("forest")).unionByName(one("boosting"))
 
 
 @query()
 def ml_production(spark: SparkSession, d: str) -> DataFrame:
     rows = _frame(spark, d)
-    now = rows.where("season = 1998")
-    main = models.predict(models.fit(rows.where("season < 1998 and position <> 'K'"), "ridge", FEATURES), now.where("position <> 'K'"))
+    before, now = _last(rows)
+    main = models.predict(models.fit(before.where("position <> 'K'"), "ridge", FEATURES), now.where("position <> 'K'"))
     kickers = now.where("position = 'K'").withColumn("predicted", F.col("lag1_target"))
     return main.unionByName(kickers).select(_OUT)
 
@@ -616,29 +692,30 @@ def ml_production(spark: SparkSession, d: str) -> DataFrame:
 def snk_model(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml import PipelineModel
 
-    rows, path = _frame(spark, d), files.shared_path(spark, "model")
-    models.fit(rows.where("season < 1998"), "ridge", FEATURES).write().save(path)
-    return models.predict(PipelineModel.load(path), rows.where("season = 1998")).select(_OUT)
+    path = files.shared_path(spark, "model")
+    before, now = _last(_frame(spark, d))
+    models.fit(before, "ridge", FEATURES).write().save(path)
+    return models.predict(PipelineModel.load(path), now).select(_OUT)
 
 
 @query()
 def fe_perm_importance(spark: SparkSession, d: str) -> DataFrame:
-    rows = _frame(spark, d)
-    return models.permutation_importance(models.fit(rows.where("season < 1998"), "ridge", FEATURES), rows.where("season = 1998"), FEATURES, _mae)
+    before, now = _last(_frame(spark, d))
+    return models.permutation_importance(models.fit(before, "ridge", FEATURES), now, FEATURES, _mae)
 
 
 @query()
 def fe_ablation(spark: SparkSession, d: str) -> DataFrame:
-    rows = _frame(spark, d)
+    before, now = _last(_frame(spark, d))
     families = {"points": ["lag1_target", "lag2_target"], "usage": ["lag1_carries"], "events": ["lag1_tds"]}
-    return models.ablation(rows.where("season < 1998"), rows.where("season = 1998"), "ridge", families, _mae)
+    return models.ablation(before, now, "ridge", families, _mae)
 
 
 @query()
 def fe_panel(spark: SparkSession, d: str) -> DataFrame:
     rows = _classes(spark, d)
     seen = models.mutual_information(rows.unpivot(["entity", "y"], FEATURES, "feature", "x"))
-    forest = models.fit(rows.where("season < 1998"), "forest_class", FEATURES).stages[-1].featureImportances.toArray()
+    forest = models.fit(_last(rows)[0], "forest_class", FEATURES).stages[-1].featureImportances.toArray()
     weights = F.create_map(*[F.lit(v) for pair in zip(FEATURES, map(float, forest)) for v in pair])
     both = seen.withColumn("importance", weights[F.col("feature")])
     by = lambda c: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(c), "feature"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
 from tidewell.operators import board, evaluation, evidence, panel, ranking
 from tidewell.plans import fixtures as fx
+from tidewell.sources import files
 
 QUERIES, SQL = {}, {}
 G = ["season", "position"]
@@ -34,24 +37,40 @@ def with_(base: str, select: str) -> str:
 # ---- sources, filters, projections
 
 
-@query("SELECT * FROM (SELECT l_orderkey AS key, 1995 AS season FROM lineitem WHERE year(l_shipdate) = 1995 UNION ALL SELECT o_orderkey, 1996 FROM orders WHERE year(o_orderdate) = 1996)")
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS season, count(*) AS n, count(CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END) AS with_priority, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def src_multi_year(spark: SparkSession, d: str) -> DataFrame:
-    a = fx.table(spark, d, "lineitem").where(F.year("l_shipdate") == 1995).select(F.col("l_orderkey").alias("key"), F.lit(1995).alias("season"))
-    b = fx.table(spark, d, "orders").where(F.year("o_orderdate") == 1996).select(F.col("o_orderkey").alias("key"), F.lit(1996).alias("season"))
-    return a.unionByName(b, allowMissingColumns=True)
+    """Yearly files of two schemas, the later with a further column, as one table."""
+    o = fx.table(spark, d, "orders").withColumn("season", F.year("o_orderdate"))
+    early = files.write_periods(o.where("season < 1998").select("o_orderkey", "o_totalprice", "season"), files.shared_path(spark, "early"))
+    late = files.write_periods(o.where("season >= 1998").select("o_orderkey", "o_totalprice", "o_orderpriority", "season"), files.shared_path(spark, "late"))
+    both = spark.read.parquet(early).unionByName(spark.read.parquet(late), allowMissingColumns=True)
+    return both.groupBy("season").agg(F.count("*").alias("n"), F.count("o_orderpriority").alias("with_priority"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events")
-def src_json_payload(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.table(spark, d, "events")
-    return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), "event_type")
+_PAYLOAD_SQL = """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec FROM events),
+items AS (SELECT event_id, k, sec, 0 AS i FROM e UNION ALL SELECT event_id, k, sec, 1 FROM e WHERE event_id % 3 = 0)
+SELECT event_id, event_id * 10 + i AS item_id, k, strftime(make_timestamp(sec * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS updated FROM items"""
 
 
-@query("SELECT c_custkey AS entity, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS code, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) = c_custkey AS matched FROM customer")
+@query(_PAYLOAD_SQL)
+def src_json_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Nested payloads whose member is an object or an array of objects, with an epoch timestamp as ISO UTC."""
+    item = lambda i: F.struct((F.col("event_id") * 10 + i).alias("id"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    at = F.unix_seconds(F.date_trunc("second", "ts")).cast("string").alias("timestamp")
+    one, many = F.to_json(F.struct(at, item(0).alias("item"))), F.to_json(F.struct(at, F.array(item(0), item(1)).alias("item")))
+    payloads = fx.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, many).otherwise(one).alias("payload"))
+    return files.exploded_member(payloads, "payload", "item", "id bigint, k bigint").select(
+        "event_id", F.col("member.id").alias("item_id"), F.col("member.k").alias("k"), files.iso_utc(F.get_json_object("payload", "$.timestamp")).alias("updated")
+    )
+
+
+@query("""WITH m AS (SELECT CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS code, min(c_custkey) AS entity FROM customer WHERE c_acctbal > 0 GROUP BY 1)
+SELECT event_type, count(*) AS n, count(entity) AS matched, round(avg(CASE WHEN entity IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share FROM events LEFT JOIN m ON user_id = code GROUP BY 1""")
 def jn_crosswalk(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.table(spark, d, "customer")
-    code = F.regexp_extract("c_name", r"(\d+)$", 1).try_cast("bigint")
-    return c.select(F.col("c_custkey").alias("entity"), code.alias("code"), (code == F.col("c_custkey")).alias("matched"))
+    """External ids (user_id) to entities through the codes in names, first entity a code; the share that is matched."""
+    c = fx.table(spark, d, "customer").where("c_acctbal > 0")
+    code = F.regexp_extract("c_name", r"(\d+)$", 1).try_cast("bigint").alias("code")
+    return panel.crosswalk(fx.table(spark, d, "events"), "user_id", c.select(code, F.col("c_custkey").alias("entity")), ["event_type"])
 
 
 @query(with_(fx.SCORED_SQL, "SELECT game, round(points_base, 6) AS points_base, round(points_half, 6) AS points_half, round(points_full, 6) AS points_full, round(kicking, 6) AS kicking, round(target, 6) AS target FROM scored"))
@@ -72,10 +91,11 @@ def prj_numeric_coerce(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", fn.numeric(F.col("props")).isNotNull().cast("int").alias("numeric_props"), F.coalesce(fn.numeric(F.col("value")), F.lit(0.0)).alias("v"))
 
 
-@query("SELECT c_custkey AS entity, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'QB' WHEN 'BUILDING' THEN 'RB' WHEN 'FURNITURE' THEN 'WR' END AS position FROM customer")
+@query("SELECT c_custkey AS entity, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'QB' WHEN 'BUILDING' THEN 'RB' WHEN 'FURNITURE' THEN 'WR' WHEN 'HOUSEHOLD' THEN 'TE' WHEN 'MACHINERY' THEN 'K' END AS position FROM customer")
 def prj_position_map(spark: SparkSession, d: str) -> DataFrame:
-    some = {k: v for k, v in fx.SEGMENTS.items() if v in ("QB", "RB", "WR")}
-    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), fn.mapped(F.upper("c_mktsegment"), some).alias("position"))
+    """Codes to positions in any case; halfbacks, fullbacks and place kickers join their group, unknown codes are null."""
+    raw = fn.mapped(F.col("c_mktsegment"), {"AUTOMOBILE": "qb", "BUILDING": "hb", "FURNITURE": "WR", "HOUSEHOLD": "te", "MACHINERY": "pk"}, F.lit("?"))
+    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), fn.mapped(F.upper(raw), fn.POSITIONS).alias("position"))
 
 
 @query("SELECT o_orderkey, round(datediff('day', CAST(o_orderdate AS DATE), make_date(2001, 9, 1)) / 365.2425, 6) AS age FROM orders")
@@ -210,7 +230,7 @@ _PHYS = "lower(trim(reason)) NOT IN ('not specified', 'low') AND trim(reason) <>
 
 @query(with_(fx.GAMES_SQL, f"SELECT season, entity, count(DISTINCT week) AS absence_weeks FROM games WHERE season_type = 'REG' AND status = 'RES' AND {_PHYS} GROUP BY 1, 2"))
 def agg_absence(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.games(spark, d).where((F.col("season_type") == "REG") & (F.col("status") == "RES") & fn.physical(F.col("reason")))
+    g = fx.games(spark, d).where((F.col("season_type") == "REG") & (F.col("status") == "RES") & fn.physical(F.col("reason"), fx.NON_PHYSICAL))
     return g.groupBy("season", "entity").agg(F.count_distinct("week").alias("absence_weeks"))
 
 
@@ -240,7 +260,7 @@ def win_rank_pct(spark: SparkSession, d: str) -> DataFrame:
     return fx.forecasts(spark, d).select("season", "entity", F.round(ranking.rank_pct(F.col("actual"), G), 6).alias("pct"))
 
 
-@query(with_(fx.GAMES_SQL, "SELECT season, entity, status, team, game FROM games QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY CASE status WHEN 'ACT' THEN 0 WHEN 'RES' THEN 1 WHEN 'CUT' THEN 2 ELSE 99 END, team, game) = 1"))
+@query(with_(fx.GAMES_SQL, "SELECT season, entity, status, team, game FROM games QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY CASE status WHEN 'ACT' THEN 0 WHEN 'RES' THEN 1 WHEN 'DEV' THEN 2 WHEN 'E14' THEN 3 WHEN 'SUS' THEN 4 WHEN 'NWT' THEN 5 WHEN 'CUT' THEN 6 WHEN 'RET' THEN 7 ELSE 99 END, team, game) = 1"))
 def win_dedup_priority(spark: SparkSession, d: str) -> DataFrame:
     rank = fn.mapped(F.col("status"), fn.STATUS_PRIORITY, F.lit(99))
     return ranking.first_by(fx.games(spark, d), ["season", "entity"], rank, F.col("team"), F.col("game")).select("season", "entity", "status", "team", "game")
@@ -295,20 +315,30 @@ def fn_rate(spark: SparkSession, d: str) -> DataFrame:
     return fx.season_points(spark, d).select("season", "entity", F.round(fn.rate(F.col("yards"), F.col("carries")), 6).alias("yards_per_carry"))
 
 
-@query("SELECT DISTINCT substr(o_orderpriority, 3, 20) AS reason, lower(trim(substr(o_orderpriority, 3, 20))) NOT IN ('not specified', 'low') AND trim(substr(o_orderpriority, 3, 20)) <> '' AS physical FROM orders")
+_REASONS = ["Knee", " Not  Injury Related - Resting", "illness", "COVID-19", "Rest", "Resting veteran", "Coach's decision", "Personal", "non-injury", "Illness/Knee", ""]
+_REASONS_SQL = ", ".join("'" + r.replace("'", "''") + "'" for r in _REASONS)
+
+
+@query(f"""SELECT DISTINCT reason, trim(regexp_replace(reason, '\\s+', ' ', 'g')) <> '' AND NOT regexp_full_match(lower(trim(regexp_replace(reason, '\\s+', ' ', 'g'))), '{fn.NON_PHYSICAL.replace("'", "''")}') AS physical
+FROM (SELECT substr(o_orderpriority, 3, 20) AS reason FROM orders UNION ALL SELECT unnest([{_REASONS_SQL}]))""")
 def fn_physical_mask(spark: SparkSession, d: str) -> DataFrame:
-    r = F.substring("o_orderpriority", 3, 20)
-    return fx.table(spark, d, "orders").select(r.alias("reason"), fn.physical(r).alias("physical")).distinct()
+    given = fx.table(spark, d, "orders").select(F.substring("o_orderpriority", 3, 20).alias("reason"))
+    listed = given.limit(1).select(F.explode(F.array(*map(F.lit, _REASONS))).alias("reason"))
+    return given.unionByName(listed).select("reason", fn.physical(F.col("reason")).alias("physical")).distinct()
 
 
-@query("SELECT s_suppkey, array_to_string(regexp_extract_all(lower(s_name), '[a-z0-9]+'), '') AS norm FROM supplier")
+@query("""SELECT key, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(strip_accents(name), '[^\\x00-\\x7F]', '', 'g')), '[a-z0-9]+'), lambda t: t NOT IN ('jr', 'sr', 'ii', 'iii', 'iv')), '') AS norm
+FROM (SELECT s_suppkey AS key, s_name AS name FROM supplier UNION ALL SELECT 1000000 + doc_id, substr(text, 1, 40) FROM documents WHERE text IS NOT NULL)""")
 def fn_norm_name(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "supplier").select("s_suppkey", fn.normal_name(F.col("s_name")).alias("norm"))
+    names = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    more = fx.table(spark, d, "documents").where("text is not null").select((F.col("doc_id") + 1000000).alias("key"), F.substring("text", 1, 40).alias("name"))
+    return names.unionByName(more).select("key", fn.normal_name(F.col("name")).alias("norm"))
 
 
-@query("SELECT s_suppkey, 'prospect:1999:' || trim(regexp_replace(lower(s_name || '|' || s_suppkey), '[^a-z0-9]+', '-', 'g'), '-') AS pseudo_id FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'pfr:' || s_name ELSE 'prospect:1999:' || trim(regexp_replace(lower(s_name || '|' || s_suppkey), '[^a-z0-9]+', '-', 'g'), '-') END AS pseudo_id FROM supplier")
 def fn_pseudo_id(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("prospect:1999:"), fn.slug(F.col("s_name"), F.col("s_suppkey").cast("string"))).alias("pseudo_id"))
+    known = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name"))
+    return fx.table(spark, d, "supplier").select("s_suppkey", fn.pseudo_id(known, F.lit(1999), F.col("s_name"), F.col("s_suppkey").cast("string")).alias("pseudo_id"))
 
 
 @query("SELECT event_id, round(ln(q / (1 - q)), 6) AS logit, round(sign(value) * ln(1 + abs(value)), 6) AS signed_log FROM (SELECT *, least(greatest(value / 100, CAST(1e-6 AS DOUBLE)), CAST(1 - 1e-6 AS DOUBLE)) AS q FROM events)")
@@ -337,7 +367,7 @@ FROM seasons s LEFT JOIN ab ON ab.season = s.season AND ab.entity = s.entity LEF
 def lbl_missed_time(spark: SparkSession, d: str) -> DataFrame:
     g = fx.games(spark, d).where("season_type = 'REG' and status = 'RES'")
     weeks = F.count_distinct("week")
-    absences = g.where(fn.physical(F.col("reason"))).groupBy("season", "entity").agg(weeks.alias("absence_weeks"))
+    absences = g.where(fn.physical(F.col("reason"), fx.NON_PHYSICAL)).groupBy("season", "entity").agg(weeks.alias("absence_weeks"))
     reserve = g.where("tds > 2").groupBy("season", "entity").agg(weeks.alias("reserve_weeks"))
     keys = fx.season_points(spark, d).select("season", "entity")
     return panel.missed_time(keys, absences, reserve, 1996, 2000).select("season", "entity", "missed_time")
@@ -456,10 +486,20 @@ def ev_apply_intervals(spark: SparkSession, d: str) -> DataFrame:
     return got.select("season", "entity", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
-@query(with_(fx.FORECAST_SQL, "SELECT season, position, count(*) AS n, round(sum(actual), 4) AS total, round(min(actual), 4) AS lowest, round(max(actual), 4) AS highest FROM fc GROUP BY 1, 2"))
+@query(with_(fx.FORECAST_SQL, """, sd AS (SELECT unnest([1, 2, 3, 4, 5]) AS seed),
+own AS (SELECT seed, season, position, predicted, row_number() OVER (PARTITION BY seed, season, position ORDER BY entity) AS i FROM fc, sd),
+dealt AS (SELECT seed, season, position, actual, row_number() OVER (PARTITION BY seed, season, position ORDER BY md5(seed || ':' || entity), entity) AS i FROM fc, sd),
+pm AS (SELECT o.seed, o.season, o.position, predicted, actual FROM own o JOIN dealt d ON o.seed = d.seed AND o.season = d.season AND o.position = d.position AND o.i = d.i),
+pr AS (SELECT *, rank() OVER (PARTITION BY seed, season, position ORDER BY actual) + (count(*) OVER (PARTITION BY seed, season, position, actual) - 1) / 2.0 AS ra,
+  rank() OVER (PARTITION BY seed, season, position ORDER BY predicted) + (count(*) OVER (PARTITION BY seed, season, position, predicted) - 1) / 2.0 AS rp FROM pm),
+pg AS (SELECT seed, season, position, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN corr(ra, rp) ELSE 0 END AS c FROM pr GROUP BY 1, 2, 3)
+SELECT CAST(seed AS INTEGER) AS seed, round(avg(c), 6) AS spearman FROM pg GROUP BY 1"""))
 def ev_permute_null(spark: SparkSession, d: str) -> DataFrame:
-    got = evaluation.permuted(fx.forecasts(spark, d), 7).groupBy(*G)
-    return got.agg(F.count("*").alias("n"), F.round(F.sum("permuted"), 4).alias("total"), F.round(F.min("permuted"), 4).alias("lowest"), F.round(F.max("permuted"), 4).alias("highest"))
+    """Macro rank correlation of the forecasts with actuals shuffled within their group, for five seeds."""
+    f = fx.forecasts(spark, d)
+    dealt = [evaluation.permuted(f, seed).drop("actual").withColumnRenamed("permuted", "actual").withColumn("seed", F.lit(seed)) for seed in range(1, 6)]
+    rows = reduce(DataFrame.unionByName, dealt)
+    return r6(evaluation.spearman(rows, ["seed", *G]).groupBy("seed").agg(F.avg("spearman").alias("spearman")), "spearman")
 
 
 @query()
@@ -476,7 +516,7 @@ def ev_select_tolerance(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- evidence
 
-_LONG = "lf AS (SELECT vec_id, label, i AS feature, CAST(embedding[i] AS DOUBLE) AS x, CAST(label = 0 AS BIGINT) AS y FROM (SELECT *, unnest(range(1, 17)) AS i FROM embeddings))"
+_LONG = "lf AS (SELECT vec_id, label, i AS feature, CAST(embedding[i] AS DOUBLE) AS x, CAST(label = 0 AS BIGINT) AS y FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -488,11 +528,26 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 _FRANK = """, fr AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM lf)"""
 
 
-@query(with_(_LONG + _FRANK, """SELECT feature, round(avg(CASE WHEN y = 1 THEN x END), 6) AS mean_1, round(avg(CASE WHEN y = 0 THEN x END), 6) AS mean_0, round(corr(rx, ry), 6) AS spearman, round(corr(x, y), 6) AS point_biserial,
-  round((sum(rx * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM fr GROUP BY 1"""))
+def _tail_sql(z: str) -> str:
+    """SQL of fn.normal_tail."""
+    t = f"(1 / (1 + ({z}) / sqrt(CAST(2 AS DOUBLE)) / 2))"
+    poly = repr(fn.ERFC[-1])
+    for c in reversed(fn.ERFC[:-1]):
+        poly = f"(({poly}) * {t} + CAST({c!r} AS DOUBLE))"
+    return f"{t} * exp({poly} - ({z}) * ({z}) / 2) / 2"
+
+
+_ASSOC = _LONG + _FRANK + """, ft AS (SELECT feature, sum(t * t * t - t) AS ties FROM (SELECT feature, x, CAST(count(*) AS DOUBLE) AS t FROM lf GROUP BY 1, 2) GROUP BY 1),
+fu AS (SELECT feature, avg(CASE WHEN y = 1 THEN x END) AS mean_1, avg(CASE WHEN y = 0 THEN x END) AS mean_0, corr(rx, ry) AS spearman, corr(x, y) AS point_biserial,
+  CAST(sum(rx * y) - sum(y) * (sum(y) + 1) / 2.0 AS DOUBLE) AS u, CAST(sum(y) AS DOUBLE) AS n1, CAST(count(*) - sum(y) AS DOUBLE) AS n0 FROM fr GROUP BY 1),
+fz AS (SELECT fu.*, u / (n1 * n0) AS auc, (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12 * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1)))) AS z FROM fu JOIN ft USING (feature)),
+fp AS (SELECT *, least(2 * (""" + _tail_sql("greatest(z, CAST(0 AS DOUBLE))") + """), 1) AS p FROM fz)"""
+
+
+@query(with_(_ASSOC, """SELECT feature, round(mean_1, 6) AS mean_1, round(mean_0, 6) AS mean_0, round(spearman, 6) AS spearman, round(point_biserial, 6) AS point_biserial, round(auc, 6) AS auc,
+  round(greatest(auc, 1 - auc), 6) AS auc_best, CASE WHEN auc >= 0.5 THEN 1 ELSE -1 END AS direction, round(p, 6) AS p FROM fp"""))
 def fe_assoc(spark: SparkSession, d: str) -> DataFrame:
-    got = evidence.association(_features(spark, d)).drop("auc_best", "direction")
-    return r6(got, "mean_1", "mean_0", "spearman", "point_biserial", "auc")
+    return r6(evidence.association(_features(spark, d)), "mean_1", "mean_0", "spearman", "point_biserial", "auc", "auc_best", "p")
 
 
 @query(with_(_LONG, """, r AS (SELECT *, (rank() OVER (PARTITION BY feature, label % 3 ORDER BY x) + (count(*) OVER (PARTITION BY feature, label % 3, x) - 1) / 2.0) / count(*) OVER (PARTITION BY feature, label % 3) AS rx,
@@ -503,20 +558,22 @@ def fe_fold_select(spark: SparkSession, d: str) -> DataFrame:
     return r6(evidence.fold_scores(rows, ["g"]), "score")
 
 
-@query(with_(_LONG, """, p AS (SELECT feature, abs(avg(x)) AS p FROM lf GROUP BY 1), n AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature) AS raw FROM p)
+@query(with_(_ASSOC, """, n AS (SELECT feature, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature) AS raw FROM fp)
 SELECT feature, round(p, 6) AS p, round(least(min(raw) OVER (ORDER BY p, feature ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q FROM n"""))
 def fe_bh(spark: SparkSession, d: str) -> DataFrame:
-    p = _features(spark, d).groupBy("feature").agg(F.abs(F.avg("x")).alias("p"))
-    return r6(evidence.benjamini_hochberg(p), "p", "q")
+    return r6(evidence.benjamini_hochberg(evidence.association(_features(spark, d)).select("feature", "p")), "p", "q")
 
 
-@query(with_(_LONG, """, m AS (SELECT feature, avg(x) AS a, stddev_pop(x) AS b FROM lf GROUP BY 1),
-rk AS (SELECT 'a' AS method, feature, row_number() OVER (ORDER BY a DESC) AS rank FROM m UNION ALL SELECT 'b', feature, row_number() OVER (ORDER BY b DESC) FROM m)
-SELECT feature, round(sum(CAST(1 AS DOUBLE) / rank), 6) AS reciprocal, CAST(sum(16 - rank) AS DOUBLE) AS borda FROM rk GROUP BY 1"""))
+@query(with_(_ASSOC, """, sc AS (SELECT feature, round(abs(spearman), 9) AS v, 'spearman' AS method FROM fp UNION ALL SELECT feature, round(greatest(auc, 1 - auc), 9), 'auc' FROM fp UNION ALL SELECT feature, round(abs(point_biserial), 9), 'f_test' FROM fp),
+rk AS (SELECT method, feature, row_number() OVER (PARTITION BY method ORDER BY v DESC, feature) AS rank, count(*) OVER (PARTITION BY method) AS d, CASE method WHEN 'auc' THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS w FROM sc)
+SELECT feature, round(sum(w / rank), 6) AS reciprocal, CAST(sum(w * (d - rank)) AS DOUBLE) AS borda, CAST(count(*) FILTER (WHERE rank <= 20) AS BIGINT) AS in_top FROM rk GROUP BY 1"""))
 def fe_vote(spark: SparkSession, d: str) -> DataFrame:
-    m = _features(spark, d).groupBy("feature").agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("b"))
-    ranks = m.unpivot(["feature"], ["a", "b"], "method", "v").withColumn("rank", F.row_number().over(Window.partitionBy("method").orderBy(F.desc("v"))))
-    return r6(evidence.vote(ranks), "reciprocal")
+    """Three rankings against the target vote; the AUC's vote counts double."""
+    a = evidence.association(_features(spark, d))
+    size = a.select("feature", F.abs("spearman").alias("spearman"), F.col("auc_best").alias("auc"), F.abs("point_biserial").alias("f_test"))
+    rows = size.unpivot(["feature"], ["spearman", "auc", "f_test"], "method", "v")
+    ranks = rows.withColumn("rank", F.row_number().over(Window.partitionBy("method").orderBy(F.desc(F.round("v", 9)), "feature")))
+    return r6(evidence.vote(ranks, {"auc": 2.0}), "reciprocal")
 
 
 # ---- the board
@@ -529,17 +586,28 @@ def _board(spark: SparkSession, d: str) -> DataFrame:
     return board.build(f.select("entity", "position", "team", F.col("predicted").alias("points"), F.round((F.col("entity") % 100) / 100.0, 2).alias("risk")))
 
 
-@query(with_(fx.FORECAST_SQL + _BOARD, """, k AS (SELECT *, 1 - risk AS health, (rank() OVER (PARTITION BY position ORDER BY points) + (count(*) OVER (PARTITION BY position, points) - 1) / 2.0) / count(*) OVER (PARTITION BY position) AS pct, rank() OVER (PARTITION BY position ORDER BY points DESC) AS position_rank,
-  row_number() OVER (PARTITION BY position ORDER BY points DESC, entity) AS i, least(CASE position WHEN 'RB' THEN 24 WHEN 'WR' THEN 36 ELSE 12 END, count(*) OVER (PARTITION BY position)) AS cut FROM bf)
-SELECT entity, position, team, points, round(pct, 6) AS pct, position_rank, round(points - max(CASE WHEN i = cut THEN points END) OVER (PARTITION BY position), 6) AS over_replacement,
-  CASE WHEN risk <= 0.2 THEN 'lower' WHEN risk <= 0.35 THEN 'moderate' ELSE 'higher' END AS risk_band FROM k"""))
+def _half_up(x: str, digits: int) -> str:
+    """SQL of Spark's round, which goes by the decimal digits of a number."""
+    return f"CAST(round(CAST({x} AS DECIMAL(28, 10)), {digits}) AS DOUBLE)"
+
+
+_BUILT = _BOARD + f""", k AS (SELECT *, 1 - risk AS health, (rank() OVER (PARTITION BY position ORDER BY points) + (count(*) OVER (PARTITION BY position, points) - 1) / 2.0) / count(*) OVER (PARTITION BY position) AS pct,
+  rank() OVER (PARTITION BY position ORDER BY points DESC) AS position_rank, row_number() OVER (PARTITION BY position ORDER BY points DESC, entity) AS i,
+  least(CASE position WHEN 'RB' THEN 24 WHEN 'WR' THEN 36 ELSE 12 END, count(*) OVER (PARTITION BY position)) AS cut,
+  least(greatest(1 - risk - avg(1 - risk) OVER (PARTITION BY position) + 0.5, 0), 1) AS relative FROM bf),
+v AS (SELECT *, {_half_up("points - max(CASE WHEN i = cut THEN points END) OVER (PARTITION BY position)", 2)} AS vorp FROM k),
+o AS (SELECT *, {_half_up("greatest(vorp, 0) / max(vorp) OVER ()", 4)} AS overall_value FROM v),
+bd AS (SELECT entity, position, team, points, round(pct, 6) AS pct, position_rank, {_half_up("100 * (0.8 * pct + 0.2 * health)", 2)} AS draft_score, vorp, overall_value,
+  {_half_up("100 * (0.8 * overall_value + 0.2 * relative)", 2)} AS overall_score, CASE WHEN risk <= 0.2 THEN 'lower' WHEN risk <= 0.35 THEN 'moderate' ELSE 'higher' END AS risk_band FROM o)"""
+
+
+@query(with_(fx.FORECAST_SQL + _BUILT, "SELECT * FROM bd"))
 def brd_build(spark: SparkSession, d: str) -> DataFrame:
-    b = _board(spark, d)
-    full = ranking.replacement(b, ["position"], "points", fn.mapped(F.col("position"), fn.TOP_K, F.lit(12)))
-    return full.select("entity", "position", "team", "points", F.round("pct", 6).alias("pct"), "position_rank", F.round("over_replacement", 6).alias("over_replacement"), "risk_band")
+    return r6(_board(spark, d), "pct")
 
 
-@query()
+@query(with_(fx.FORECAST_SQL + _BUILT, """, pg AS (SELECT 'ALL' AS page, * FROM bd UNION ALL SELECT position, * FROM bd UNION ALL SELECT 'INJURED', * FROM bd WHERE risk_band = 'higher')
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY overall_score DESC, points DESC, entity) AS place, entity, points, overall_score, draft_score FROM pg"""))
 def brd_pages(spark: SparkSession, d: str) -> DataFrame:
     return board.pages(_board(spark, d)).select("page", "place", "entity", "points", "overall_score", "draft_score")
 

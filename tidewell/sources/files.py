@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,25 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
+def exploded_member(df: DataFrame, payload: str, member: str, schema: str) -> DataFrame:
+    """One row an object of a JSON member that is one object or an array of them; df's columns and `member`."""
+    text = F.get_json_object(payload, f"$.{member}")
+    one = f"struct<{_typed(schema)}>"
+    rows = F.when(F.ltrim(text).startswith("["), F.from_json(text, f"array<{one}>")).otherwise(F.array(F.from_json(text, one)))
+    return df.withColumn("member", F.explode(rows))
+
+
+def _typed(schema: str) -> str:
+    """`a int, b long` as the fields of a struct type."""
+    return ", ".join(":".join(field.split(None, 1)) for field in schema.split(", "))
+
+
+def iso_utc(epoch: Column) -> Column:
+    """Seconds since the epoch as an ISO 8601 time in UTC, whatever the session's time zone."""
+    at = F.timestamp_seconds(epoch.cast("bigint"))
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def load_profile(spark: SparkSession, path: str, fields: list[str]) -> dict[str, float]:
     """Coefficients of one JSON object; a missing or unknown-valued field is an error."""
     got = spark.read.option("multiLine", True).json(path).first().asDict()
