@@ -34,10 +34,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 3
         w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
         return w
     ridge = np.full(x.shape[1], l2 * len(y) / 100)
-    ridge[-1] = 1e-9
+    wide = x.shape[1] > len(y)
+    ridge[-1] = 1e-4 if wide else 1e-9
+    inner = (x / ridge) @ x.T if wide else None
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (p - y) + ridge * w)
+        grad, bend = x.T @ (p - y) + ridge * w, p * (1 - p)
+        if wide:  # fewer rows than columns: the same step by a system of the rows
+            part = np.linalg.solve(np.diag(1 / np.maximum(bend, 1e-9)) + inner, x @ (grad / ridge))
+            step = (grad - x.T @ part) / ridge
+        else:
+            step = np.linalg.solve((x * bend[:, None]).T @ x + np.diag(ridge + 1e-9), grad)
         w -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
