@@ -98,11 +98,20 @@ def auc(df: DataFrame, group: list[str]) -> DataFrame:
     return r.groupBy(*group).agg(F.try_divide(F.sum(F.col("r") * F.col("label")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"), F.count("*").alias("n"))
 
 
-def thresholds(df: DataFrame) -> DataFrame:
-    """Counts at each distinct score, highest first, running: scores are few against rows once counted."""
+def thresholds(df: DataFrame, slices: int = 4096) -> DataFrame:
+    """Counts at each distinct score, highest first, running.
+
+    Scores are dealt by slices of the unit interval: sums run inside a slice in one task, and only the
+    slices' totals, a row a slice, are summed in order in one place.
+    """
     per = df.groupBy("p").agg(F.sum("label").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+    per = per.withColumn("slice", F.floor(F.col("p") * slices))
+    inside = Window.partitionBy("slice").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy("slice").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    before = totals.select("slice", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("pos", "n")])
+    run = per.withColumns({"tp": F.sum("pos").over(inside), "seen": F.sum("n").over(inside)}).join(before, "slice")
+    return run.select("p", "pos", "n", (F.col("tp") + F.col("pos_above")).alias("tp"), (F.col("seen") + F.col("n_above")).alias("seen"))
 
 
 def average_precision(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
@@ -158,6 +158,31 @@ def check_lineage(lineage: DataFrame) -> DataFrame:
     return checks.join(bad.unionByName(names), "check", "left").fillna(0)
 
 
+LINEAGE = "column string, sources array<string>, source_offsets array<int>, recipe string, family string"
+
+
+def lineage_of(spark: SparkSession, recipes: list[tuple[str, list[str], list[int], str, str]]) -> DataFrame:
+    """The lineage table of a feature matrix: (column, sources, offsets in seasons, recipe, family), one a declared column."""
+    for column, sources, offsets, _, _ in recipes:
+        if len(sources) != len(offsets) or any(o < 0 for o in offsets):
+            raise ValueError(f"{column}: each source needs an offset of at least 0")
+    return spark.createDataFrame(recipes, LINEAGE)
+
+
+def check_matrix(matrix: DataFrame, lineage: DataFrame, keys: list[str]) -> DataFrame:
+    """check_lineage, and rows with a value that is not finite, columns without lineage, and keys with one."""
+    columns = [c for c in matrix.columns if c not in keys]
+    spark = matrix.sparkSession
+    bad = sum((F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False)).cast("int") for c in columns), F.lit(0)) > 0
+    finite = matrix.agg(F.count_if(bad).alias("violations")).select(F.lit("not_finite").alias("check"), "violations")
+    declared = spark.createDataFrame([(c, c in keys) for c in matrix.columns], "column string, is_key boolean")  # a row a column
+    known = declared.join(lineage.select("column", F.lit(True).alias("known")), "column", "left")
+    count = lambda name, test: known.agg(F.count_if(test).alias("violations")).select(F.lit(name).alias("check"), "violations")
+    no_lineage = count("no_lineage", ~F.col("is_key") & F.col("known").isNull())
+    key = count("key_in_matrix", F.col("is_key") & F.col("known").isNotNull())
+    return check_lineage(lineage).unionByName(finite).unionByName(no_lineage).unionByName(key)
+
+
 def leaks(lineage: DataFrame, least_offset: int) -> DataFrame:
     """Rows whose source season is less than `least_offset` seasons before the season they serve."""
     return lineage.where(F.col("season") - F.col("source_season") < least_offset)

@@ -606,10 +606,70 @@ def feat_rank_target(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["ml_target_transform"], SQL["ml_target_transform"] = QUERIES.pop("feat_rank_target"), SQL.pop("feat_rank_target")
 
 
-@query(with_(fx.SEASON_SQL, """SELECT t.season, t.entity, t.position, round(t.target, 6) AS y, round(coalesce(a.target, 0), 6) AS lag1_target, round(coalesce(a.carries, 0), 6) AS lag1_carries, round(coalesce(a.tds, 0), 6) AS lag1_tds, round(coalesce(b.target, 0), 6) AS lag2_target
-FROM seasons t LEFT JOIN seasons a ON a.entity = t.entity AND a.season = t.season - 1 LEFT JOIN seasons b ON b.entity = t.entity AND b.season = t.season - 2"""))
+_COUNTS = ["target", "carries", "yards", "tds", "receptions"]
+_TRAJECTORY = ["late6_carries", "weekly_slope_carries", "late6_mean_delta_carries"]
+#: Columns of the feature matrix: sources, seasons back, recipe, family.
+_RECIPES = [
+    *[(f"lag{k}_{v}", ["outcome.target" if v == "target" else f"events.{v}"], [k], "season sum", "production" if k == 1 else "lags") for k in (1, 2) for v in _COUNTS],
+    *[(f"lag{k}_available", ["events.game"], [k], "a row exists", "history") for k in (1, 2)],
+    *[(f"lag{k}_yards_per_carry", ["events.yards", "events.carries"], [k, k], "rate", "rates") for k in (1, 2)],
+    *[(f"lag1_{v}", ["events.carries"], [1], "weekly trend", "trajectory") for v in _TRAJECTORY],
+    ("group_carries", ["events.carries"], [1], "total of the current group a season back", "team"),
+    ("group_available", ["events.game"], [1], "a row exists", "team"),
+    ("room_competitors", ["roster.team"], [0], "peers", "room"),
+    ("room_others_carries", ["events.carries", "roster.team"], [1, 0], "peers' total", "room"),
+    *[(f"position_{p}", ["roster.position"], [0], "one hot", "position") for p in fx.SEGMENTS.values()],
+]
+
+
+def _matrix(spark: SparkSession, d: str, tier: str = "recent") -> DataFrame:
+    """season, entity and the columns of _RECIPES; the tier `recent` starts in 1997 and alone has receptions."""
+    s = fx.season_points(spark, d)
+    keys = s.select("season", "entity", F.upper("team").alias("team"), "position")
+    out = panel.lagged(keys, s, _COUNTS, range(1, 3))
+    trend = panel.trajectory(fx.games(spark, d), "carries")
+    trend = trend.select((F.col("season") + 1).alias("season"), "entity", *[F.col(c).alias(f"lag1_{c}") for c in _TRAJECTORY])
+    totals = panel.group_totals(fx.games(spark, d), ["carries"]).withColumn("season", F.col("season") + 1)
+    out = out.join(trend, ["season", "entity"], "left").join(totals, ["season", "team"], "left")
+    out = out.fillna(0, [*[f"lag1_{c}" for c in _TRAJECTORY], "group_carries", "group_available"])
+    rates = {f"lag{k}_yards_per_carry": fn.rate(F.col(f"lag{k}_yards"), F.col(f"lag{k}_carries")) for k in (1, 2)}
+    flags = {f"position_{p}": (F.col("position") == p).cast("int") for p in fx.SEGMENTS.values()}
+    out = ranking.room(out.withColumns({**rates, **flags}), ["season", "team", "position"], "lag1_carries")
+    out = out.withColumnsRenamed({"competitors": "room_competitors", "others_total": "room_others_carries"})
+    names = [r[0] for r in _RECIPES]
+    recent = [c for c in names if c.endswith("receptions")]
+    return panel.era(out, tier, 1997, ["season", "entity", *[c for c in names if c not in recent]], recent)
+
+
+_MATRIX_SQL = fx.SEASON_SQL + f""", weekly AS (SELECT season, entity, week, coalesce(sum(carries), 0) AS v FROM games GROUP BY 1, 2, 3),
+ends AS (SELECT season, CAST(greatest(max(week), 1) AS DOUBLE) AS n FROM games GROUP BY 1),
+per AS (SELECT w.season, entity, n, sum(v) AS total, sum(CASE WHEN week > n - 6 THEN v ELSE 0 END) AS late, sum(week * v) AS weighted FROM weekly w JOIN ends e ON w.season = e.season GROUP BY 1, 2, 3),
+tr AS (SELECT season, entity, late AS late6_carries, (n * weighted - n * (n + 1) / 2 * total) / (n * n * (n + 1) * (2 * n + 1) / 6 - (n * (n + 1) / 2) * (n * (n + 1) / 2)) AS weekly_slope_carries, late / least(n, 6) - (total - late) / (n - least(n, 6)) AS late6_mean_delta_carries FROM per),
+tm AS (SELECT season, upper(team) AS team, coalesce(sum(carries), 0) AS group_carries FROM games GROUP BY 1, 2),
+mx AS (SELECT s.season, s.entity, upper(s.team) AS team, s.position, {', '.join(f'coalesce({x}.{v}, 0) AS lag{k}_{v}' for k, x in ((1, 'a'), (2, 'b')) for v in _COUNTS)},
+  CAST(a.entity IS NOT NULL AS INTEGER) AS lag1_available, CAST(b.entity IS NOT NULL AS INTEGER) AS lag2_available,
+  {', '.join(f'CASE WHEN {x}.carries > 0 THEN coalesce({x}.yards, 0) / {x}.carries ELSE 0 END AS lag{k}_yards_per_carry' for k, x in ((1, 'a'), (2, 'b')))},
+  {', '.join(f'coalesce(t.{c}, 0) AS lag1_{c}' for c in _TRAJECTORY)}, coalesce(g.group_carries, 0) AS group_carries, CAST(g.team IS NOT NULL AS INTEGER) AS group_available,
+  {', '.join(f"CAST(s.position = '{p}' AS INTEGER) AS position_{p}" for p in fx.SEGMENTS.values())}
+  FROM seasons s LEFT JOIN seasons a ON a.entity = s.entity AND a.season = s.season - 1 LEFT JOIN seasons b ON b.entity = s.entity AND b.season = s.season - 2
+  LEFT JOIN tr t ON t.entity = s.entity AND t.season = s.season - 1 LEFT JOIN tm g ON g.season = s.season - 1 AND g.team = upper(s.team)),
+rm AS (SELECT *, count(*) OVER w - 1 AS room_competitors, sum(lag1_carries) OVER w - lag1_carries AS room_others_carries FROM mx WINDOW w AS (PARTITION BY season, team, position))"""
+_NAMES = [r[0] for r in _RECIPES]
+
+
+@query(with_(_MATRIX_SQL, "SELECT season, entity, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _NAMES) + " FROM rm WHERE season >= 1997"))
 def feat_bundle(spark: SparkSession, d: str) -> DataFrame:
-    return r6(_derived(spark, d), "y", *FEATURES)
+    """The feature matrix of the recent tier: lags, rates, trend, team, room, flags."""
+    return _matrix(spark, d).select("season", "entity", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in _NAMES])
+
+
+@query(with_(_MATRIX_SQL, f"""SELECT 'outcome_offset' AS "check", CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'report_offset', 1 UNION ALL SELECT 'forbidden_name', 1 UNION ALL SELECT 'no_lineage', 0 UNION ALL SELECT 'key_in_matrix', 0
+UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE NOT ({' AND '.join(f'isfinite(CAST({c} AS DOUBLE))' for c in _NAMES)})) FROM rm WHERE season >= 1997"""))
+def chk_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix against its lineage, to which two faulty columns are added: a young report and a forbidden name."""
+    faulty = [("lag1_report_weeks", ["report.weeks"], [1], "weeks", "reports"), ("lag1_epa", ["events.epa"], [1], "mean", "lags")]
+    lineage = panel.lineage_of(spark, [*_RECIPES, *faulty])
+    return panel.check_matrix(_matrix(spark, d), lineage, ["season", "entity"])
 
 
 def _model_query(name: str, run) -> None:
