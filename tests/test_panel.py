@@ -122,3 +122,30 @@ def test_queries_can_be_read():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_kendall_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(2000, g, i, float(rng.randint(0, 9)), float(rng.randint(0, 60))) for g in ("a", "b") for i in range(150)]
+    df = spark.createDataFrame(rows, "season int, position string, entity int, predicted double, actual double")
+    sign = lambda x: (x > 0) - (x < 0)
+    got = {r.position: r.kendall for r in evaluation.kendall(df, blocks=5).collect()}
+    for g in ("a", "b"):
+        own = [(p, a) for _, k, _, p, a in rows if k == g]
+        pairs = [(own[i], own[j]) for i in range(150) for j in range(i)]
+        s = sum(sign(x[0] - y[0]) * sign(x[1] - y[1]) for x, y in pairs)
+        free = [sum(x[k] != y[k] for x, y in pairs) for k in (0, 1)]
+        assert got[g] == pytest.approx(s / (free[0] * free[1]) ** 0.5)
+
+
+def test_bootstrap_of_a_statistic(spark):
+    rows = [(2000, "a", i, float(i), float(i + (i % 3)), 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "season int, position string, entity int, predicted double, actual double, flat double")
+    mae = evaluation.cluster_bootstrap(df, 50).first()
+    gain = evaluation.cluster_bootstrap(df, 50, lambda x, n, seed: evaluation.draw_mae(x, n, seed, "flat")).first()
+    rank = evaluation.cluster_bootstrap(df, 20, evaluation.draw_spearman).first()
+    assert 0.6 < mae.low < 1.0 < mae.high < 1.4 and gain.low > 20 and 0.95 < rank.low <= rank.high <= 1.0
+    assert mae == evaluation.cluster_bootstrap(df.repartition(3), 50).first()
+    assert evaluation._poisson_table()[-1] > 1 - 2.0**-30

@@ -5,6 +5,11 @@ Forecasts are rows (group columns, entity, predicted, actual); probabilities are
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,22 +30,59 @@ def spearman(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return r.groupBy(*group).agg(safe_corr(F.col("ra"), F.col("rp")).alias("spearman"), F.count("*").alias("n"))
 
 
-def kendall(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
+def _pair_signs(a: np.ndarray, p: np.ndarray, w: np.ndarray) -> float:
+    """Sum of w * w' * sign(p' - p) over pairs with a < a', by halves of the rows in order of a."""
+    order = np.argsort(a, kind="stable")
+    a, p, w = a[order], p[order], w[order]
+    total, todo = 0.0, [(0, len(a))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < 2 or a[low] == a[high - 1]:
+            continue
+        cut = int(np.searchsorted(a[low:high], a[(low + high) // 2])) + low  # between two values of a
+        if cut == low:
+            cut = int(np.searchsorted(a[low:high], a[low], side="right")) + low
+        by = np.argsort(p[low:cut], kind="stable") + low
+        left, sums = p[by], np.concatenate([[0.0], np.cumsum(w[by])])
+        under = sums[np.searchsorted(left, p[cut:high], side="left")]
+        over = sums[-1] - sums[np.searchsorted(left, p[cut:high], side="right")]
+        total += float((w[cut:high] * (under - over)).sum())
+        todo += [(low, cut), (cut, high)]
+    return total
+
+
+def kendall(df: DataFrame, group: list[str] = GROUP, blocks: int = 8) -> DataFrame:
     """Kendall's tau-b of each group, 0 where a side is constant.
 
-    Concordant pairs are counted by merging value counts rather than pairs of rows: within a group,
-    distinct (actual, predicted) cells are joined, so ties collapse first. Groups are peer groups of a
-    season, whose size does not follow the data's.
+    Both sides of a group are cut into `blocks` at quantiles. Pairs in different blocks on both sides
+    follow from the counts of block pairs; pairs inside a block of either side are counted by sorting
+    and halving in the task of that block. So a pair is at no time a row, and a task has a block.
     """
-    cells = df.groupBy(*group, "actual", "predicted").agg(F.count("*").alias("w"))
-    a, b = cells.alias("a"), cells.alias("b")
-    on = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group] + [F.col("a.actual") < F.col("b.actual")]
-    sign = F.signum(F.col("b.predicted") - F.col("a.predicted")) * F.col("a.w") * F.col("b.w")
-    score = a.join(b, on).groupBy(*[F.col(f"a.{g}").alias(g) for g in group]).agg(F.sum(sign).alias("s"))
+    fractions = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    edges = df.groupBy(*group).agg(*[F.percentile_approx(c, fractions, F.lit(10_000)).alias(f"{c}_cuts") for c in ("actual", "predicted")])
+    cells = df.groupBy(*group, "actual", "predicted").agg(F.count("*").cast("double").alias("w"))
+    place = lambda c: F.size(F.filter(f"{c}_cuts", lambda x: x < F.col(c)))
+    cut = cells.join(edges, group).select(*group, "actual", "predicted", "w", place("actual").alias("i"), place("predicted").alias("j"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in group) + ", s double"
+    names = [f.name for f in df.schema if f.name in group]
+
+    def counted(sign):
+        return lambda key, rows: pd.DataFrame([[*key[: len(group)], sign(*(rows[c].to_numpy() for c in ("actual", "predicted", "w", "i", "j")))]], columns=[*group, "s"])[[*names, "s"]]
+
+    in_row = counted(lambda a, p, w, i, j: _pair_signs(a, p, w))
+    in_column = counted(lambda a, p, w, i, j: _pair_signs(a, p, w) - sum(_pair_signs(a[i == k], p[i == k], w[i == k]) for k in np.unique(i)))
+    between = counted(lambda a, p, w, i, j: _apart(i, j, w, blocks))
+    grid = cut.groupBy(*group, "i", "j").agg(F.sum("w").alias("w")).withColumns({"actual": F.lit(0.0), "predicted": F.lit(0.0)})
+    parts = [
+        cut.groupBy(*group, "i").applyInPandas(in_row, schema),
+        cut.groupBy(*group, "j").applyInPandas(in_column, schema),
+        grid.groupBy(*group).applyInPandas(between, schema),  # at most blocks * blocks rows a group
+    ]
+    score = reduce(DataFrame.unionByName, parts).groupBy(*group).agg(F.sum("s").alias("s"))
     pairs = lambda n: n * (n - 1) / 2
 
     def ties(column: str) -> DataFrame:
-        counts = df.groupBy(*group, column).agg(F.count("*").alias("c"))
+        counts = cells.groupBy(*group, column).agg(F.sum("w").alias("c"))
         return counts.groupBy(*group).agg(F.sum(pairs(F.col("c"))).alias(f"t_{column}"), pairs(F.sum("c")).alias("pairs"))
 
     both = ties("actual").join(ties("predicted").drop("pairs"), group).join(score, group, "left")
@@ -48,6 +90,16 @@ def kendall(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return both.select(*group, F.coalesce(F.try_divide(F.col("s"), low), F.lit(0.0)).alias("kendall"))
 
 
+def _apart(i: np.ndarray, j: np.ndarray, w: np.ndarray, blocks: int) -> float:
+    """Sum of w * w' * sign(j' - j) over pairs of cells with i < i' and other j."""
+    table = np.zeros((blocks, blocks))
+    np.add.at(table, (i, j), w)
+    before = np.cumsum(table, axis=0) - table  # of the rows above
+    under = np.cumsum(before, axis=1) - before
+    over = before.sum(1, keepdims=True) - under - before
+    return float((table * (under - over)).sum())
+
+
 def regression(df: DataFrame, group: list[str]) -> DataFrame:
     """MAE, RMSE, R squared, calibration slope and intercept (0 and the mean for constant forecasts)."""
     e = F.col("actual") - F.col("predicted")
@@ -191,19 +243,57 @@ def permuted(df: DataFrame, seed: int, group: list[str] = GROUP) -> DataFrame:
     return at.join(shuffled, [*group, "_i"]).drop("_i")
 
 
-def cluster_bootstrap(df: DataFrame, draws: int, seed: int = 7) -> DataFrame:
-    """2.5, 50 and 97.5 percentiles of the mean absolute error over draws of entities with replacement.
+def _poisson_table(below: float = 2.0**-40) -> list[float]:
+    """Chances that a Poisson(1) count is at most 0, 1, 2, ... until what is left is negligible."""
+    out, term, total, k = [], math.exp(-1), 0.0, 0
+    while 1 - total > below:
+        total += term
+        out.append(total)
+        k += 1
+        term /= k
+    return out[:-1]
+
 
-    A draw gives each entity a Poisson(1) weight from a hash, so rows are not multiplied but by the
-    number of draws, entities are not numbered, and the result does not depend on partitioning.
+def draws_of(df: DataFrame, draws: int, seed: int = 7) -> DataFrame:
+    """df once a draw, with the weight w that its entity has in it.
+
+    A draw gives each entity a Poisson(1) weight from a hash: resampling entities without numbering
+    them, and the same for any partitioning.
     """
-    sums = df.groupBy("entity").agg(F.sum(F.abs(F.col("actual") - F.col("predicted"))).alias("e"), F.count("*").alias("n"))
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "entity"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight = sum((u > c).cast("int") for c in cdf)
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    per = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("e")) / F.sum(F.col("w") * F.col("n"))).alias("mae"))
-    q = F.percentile("mae", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "entity"), F.lit(1 << 42)) + 0.5) / (1 << 42)
+    weight = sum((u > c).cast("int") for c in _poisson_table())
+    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight).where("w > 0")
+
+
+def draw_mae(df: DataFrame, draws: int, seed: int = 7, other: str | None = None) -> DataFrame:
+    """(draw, value): mean absolute error, or by how much that of the forecast `other` exceeds it in the same draw."""
+    error = F.abs(F.col("actual") - F.col("predicted"))
+    gain = error if other is None else F.abs(F.col("actual") - F.col(other)) - error
+    sums = df.groupBy("entity").agg(F.sum(gain).alias("e"), F.count("*").alias("n"))
+    return draws_of(sums, draws, seed).groupBy("draw").agg((F.sum(F.col("w") * F.col("e")) / F.sum(F.col("w") * F.col("n"))).alias("value"))
+
+
+def draw_spearman(df: DataFrame, draws: int, seed: int = 7, group: list[str] = GROUP) -> DataFrame:
+    """(draw, value): macro rank correlation with average ranks of weighted rows."""
+    rows, by = draws_of(df, draws, seed), ["draw", *group]
+
+    def rank(c: str) -> Column:
+        up = Window.partitionBy(*by).orderBy(c).rangeBetween(Window.unboundedPreceding, 0)
+        tie = F.sum("w").over(Window.partitionBy(*by, c))
+        return F.sum("w").over(up) - tie + (tie + 1) / 2
+
+    w, x, y = F.col("w"), F.col("ra"), F.col("rp")
+    n = F.sum(w)
+    cov = lambda a, b: F.sum(w * a * b) / n - F.sum(w * a) / n * F.sum(w * b) / n
+    per = rows.withColumns({"ra": rank("actual"), "rp": rank("predicted")}).groupBy(*by).agg(cov(x, y).alias("c"), cov(x, x).alias("vx"), cov(y, y).alias("vy"))
+    value = F.when((F.col("vx") > 1e-9) & (F.col("vy") > 1e-9), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).otherwise(0.0)
+    return per.groupBy("draw").agg(F.avg(value).alias("value"))
+
+
+def cluster_bootstrap(df: DataFrame, draws: int, statistic=draw_mae, seed: int = 7) -> DataFrame:
+    """2.5, 50 and 97.5 percentiles over draws of entities; statistic(df, draws, seed) gives (draw, value)."""
+    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    per = statistic(df, draws, seed)
     return per.agg(q.alias("q"), F.count("*").alias("draws")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"), "draws")
 
 

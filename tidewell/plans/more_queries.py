@@ -461,7 +461,7 @@ fn AS (SELECT season, position, round(sum(dcg) / sum(idcg), 5) AS ndcg FROM fx G
 
 @query(with_(fx.FORECAST_SQL + _FOLDS, "SELECT fm.season, fm.position, n, spearman, mae, ndcg, round(recall, 5) AS recall FROM fm LEFT JOIN fn ON fm.season = fn.season AND fm.position = fn.position"))
 def ev_fold_table(spark: SparkSession, d: str) -> DataFrame:
-    f = fx.forecasts(spark, d)
+    f = files.once(fx.forecasts(spark, d), "forecasts")
     errors = f.groupBy(*G).agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"))
     got = evaluation.spearman(f, G).join(errors, G).join(evaluation.ndcg(f, 12, G), G, "left").join(evaluation.topk_recall(f, F.lit(12), G), G)
     return got.select(*G, "n", *[F.round(c, 5).alias(c) for c in ("spearman", "mae", "ndcg", "recall")])
@@ -576,9 +576,7 @@ def _derived(spark: SparkSession, d: str) -> DataFrame:
 
 def _frame(spark: SparkSession, d: str) -> DataFrame:
     """The rows of _derived, written once, as every fit and prediction of a query reads them."""
-    path = files.shared_path(spark, "frame")
-    _derived(spark, d).write.parquet(path)
-    return spark.read.parquet(path)
+    return files.once(_derived(spark, d), "frame")
 
 
 def _seasons(rows: DataFrame) -> list[int]:

@@ -390,7 +390,7 @@ tp AS (SELECT season, position, sum(c * (c - 1) / 2.0) AS t FROM (SELECT season,
 SELECT ta.season, ta.position, round(coalesce(s.s / nullif(sqrt(CAST((ta.p - ta.t) * (ta.p - tp.t) AS DOUBLE)), 0), 0), 6) AS kendall
 FROM ta JOIN tp ON ta.season = tp.season AND ta.position = tp.position LEFT JOIN s ON ta.season = s.season AND ta.position = s.position"""))
 def ev_kendall_macro(spark: SparkSession, d: str) -> DataFrame:
-    return r6(evaluation.kendall(fx.forecasts(spark, d)), "kendall")
+    return r6(evaluation.kendall(files.once(fx.forecasts(spark, d), "forecasts")), "kendall")
 
 
 @query(with_(fx.FORECAST_SQL, """SELECT season, round(avg(abs(actual - predicted)), 6) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse,
@@ -463,26 +463,41 @@ def ev_weight_grid(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.weight_grid(f, [0.0, 0.2, 0.5]).withColumn("spearman", F.round("spearman", 4))
 
 
-@query(with_(fx.FORECAST_SQL, ", n AS (SELECT *, row_number() OVER (PARTITION BY season, position ORDER BY predicted, entity) AS i, count(*) OVER (PARTITION BY season, position) AS c FROM fc) SELECT season, entity, CASE WHEN i <= round_even(0.25 * c, 0) THEN min(predicted) OVER (PARTITION BY season, position) ELSE predicted END AS tied FROM n"))
+@query(with_(fx.FORECAST_SQL, """, z AS (SELECT avg(CASE WHEN actual <= 60 THEN 1.0 ELSE 0.0 END) AS share FROM fc WHERE season BETWEEN 1997 AND 1999),
+n AS (SELECT *, row_number() OVER (PARTITION BY season, position ORDER BY predicted, entity) AS i, count(*) OVER (PARTITION BY season, position) AS c FROM fc WHERE season >= 2000)
+SELECT season, entity, CASE WHEN i <= round_even(CAST(share AS DOUBLE) * c, 0) THEN min(predicted) OVER (PARTITION BY season, position) ELSE predicted END AS tied FROM n, z"""))
 def ev_tie_bottom(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.tie_bottom(fx.forecasts(spark, d), 0.25).select("season", "entity", "tied")
+    """Forecasts of the seasons from 2000 on, tied by the share of low seasons among the three before."""
+    f = fx.forecasts(spark, d)
+    low = f.where(F.col("season").between(1997, 1999)).agg(F.avg((F.col("actual") <= 60).cast("double"))).first()[0]
+    return evaluation.tie_bottom(f.where("season >= 2000"), low or 0.0).select("season", "entity", "tied")
+
+
+#: Forecasts with few kickers, so that bins of under 20 rows take the whole group's quantiles.
+_UNEVEN = fx.FORECAST_SQL.replace("fc AS (SELECT", "fc0 AS (SELECT") + ", fc AS (SELECT * FROM fc0 WHERE position <> 'K' OR (season = 2000 AND entity % 5 = 0))"
+
+
+def _uneven(spark: SparkSession, d: str) -> DataFrame:
+    return fx.forecasts(spark, d).where("position <> 'K' or (season = 2000 and entity % 5 = 0)")
 
 
 _BANDS = """, cuts AS (SELECT position, quantile_cont(predicted, CAST(1 AS DOUBLE) / 3) AS c1, quantile_cont(predicted, CAST(2 AS DOUBLE) / 3) AS c2 FROM fc GROUP BY 1),
 bn AS (SELECT f.*, c1, c2, CASE WHEN predicted <= c1 THEN 0 WHEN predicted <= c2 THEN 1 ELSE 2 END AS bin FROM fc f JOIN cuts c ON f.position = c.position),
-bands AS (SELECT position, bin, quantile_cont(actual - predicted, 0.1) AS p10, quantile_cont(actual - predicted, 0.5) AS p50, quantile_cont(actual - predicted, 0.9) AS p90, count(*) AS n FROM bn GROUP BY 1, 2)"""
+own AS (SELECT position, bin, quantile_cont(actual - predicted, 0.1) AS p10, quantile_cont(actual - predicted, 0.5) AS p50, quantile_cont(actual - predicted, 0.9) AS p90, count(*) AS n FROM bn GROUP BY 1, 2),
+whole AS (SELECT position, quantile_cont(actual - predicted, 0.1) AS w10, quantile_cont(actual - predicted, 0.5) AS w50, quantile_cont(actual - predicted, 0.9) AS w90 FROM fc GROUP BY 1),
+bands AS (SELECT position, bin, CASE WHEN n >= 20 THEN p10 ELSE w10 END AS p10, CASE WHEN n >= 20 THEN p50 ELSE w50 END AS p50, CASE WHEN n >= 20 THEN p90 ELSE w90 END AS p90, n FROM own JOIN whole USING (position))"""
 
 
-@query(with_(fx.FORECAST_SQL + _BANDS, "SELECT position, CAST(bin AS INTEGER) AS bin, round(p10, 4) AS p10, round(p50, 4) AS p50, round(p90, 4) AS p90, n FROM bands"))
+@query(with_(_UNEVEN + _BANDS, "SELECT position, CAST(bin AS INTEGER) AS bin, round(p10, 4) AS p10, round(p50, 4) AS p50, round(p90, 4) AS p90, n FROM bands"))
 def ev_resid_intervals(spark: SparkSession, d: str) -> DataFrame:
-    got = evaluation.residual_intervals(fx.forecasts(spark, d), least=1).drop("low", "high")
+    got = evaluation.residual_intervals(_uneven(spark, d)).drop("low", "high")
     return got.withColumns({c: F.round(c, 4) for c in ("p10", "p50", "p90")})
 
 
-@query(with_(fx.FORECAST_SQL + _BANDS, "SELECT b.season, b.entity, round(greatest(predicted + p10, 0), 2) AS low, round(predicted + p90, 2) AS high FROM bn b JOIN bands x ON b.position = x.position AND b.bin = x.bin"))
+@query(with_(_UNEVEN + _BANDS, "SELECT b.season, b.entity, round(greatest(predicted + p10, 0), 2) AS low, round(predicted + p90, 2) AS high FROM bn b JOIN bands x ON b.position = x.position AND b.bin = x.bin"))
 def ev_apply_intervals(spark: SparkSession, d: str) -> DataFrame:
-    f = fx.forecasts(spark, d)
-    got = evaluation.apply_intervals(f, evaluation.residual_intervals(f, least=1))
+    f = _uneven(spark, d)
+    got = evaluation.apply_intervals(f, evaluation.residual_intervals(f))
     return got.select("season", "entity", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
@@ -496,7 +511,7 @@ pg AS (SELECT seed, season, position, CASE WHEN stddev_pop(ra) > 0 AND stddev_po
 SELECT CAST(seed AS INTEGER) AS seed, round(avg(c), 6) AS spearman FROM pg GROUP BY 1"""))
 def ev_permute_null(spark: SparkSession, d: str) -> DataFrame:
     """Macro rank correlation of the forecasts with actuals shuffled within their group, for five seeds."""
-    f = fx.forecasts(spark, d)
+    f = files.once(fx.forecasts(spark, d), "forecasts")
     dealt = [evaluation.permuted(f, seed).drop("actual").withColumnRenamed("permuted", "actual").withColumn("seed", F.lit(seed)) for seed in range(1, 6)]
     rows = reduce(DataFrame.unionByName, dealt)
     return r6(evaluation.spearman(rows, ["seed", *G]).groupBy("seed").agg(F.avg("spearman").alias("spearman")), "spearman")
@@ -504,7 +519,15 @@ def ev_permute_null(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ev_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.cluster_bootstrap(fx.forecasts(spark, d), 200)
+    """Intervals of the error, of its gain over a constant forecast in the same draws, and of the macro rank correlation."""
+    f = files.once(fx.forecasts(spark, d).withColumn("flat", F.lit(100.0)), "forecasts")
+    runs = {
+        "mae": (500, evaluation.draw_mae),
+        "mae_gain": (500, lambda df, n, seed: evaluation.draw_mae(df, n, seed, "flat")),
+        "spearman": (100, evaluation.draw_spearman),
+    }
+    rows = [evaluation.cluster_bootstrap(f, n, run).withColumn("statistic", F.lit(name)) for name, (n, run) in runs.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(with_(fx.FORECAST_SQL, ", m AS (SELECT position, avg(abs(actual - predicted)) AS mae FROM fc GROUP BY 1) SELECT position AS candidate, round(mae, 6) AS mae FROM m WHERE -mae >= (SELECT max(-mae) FROM m) - 5 ORDER BY position LIMIT 1"))

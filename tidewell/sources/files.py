@@ -20,6 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, for a plan that uses it several times."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def conform(df: DataFrame, columns: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
     """The declared columns and types in order; absent ones are null, an absent required one is an error."""
     absent = [c for c in required if c not in df.columns]
