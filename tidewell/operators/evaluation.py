@@ -6,7 +6,6 @@ Forecasts are rows (group columns, entity, predicted, actual); probabilities are
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -63,22 +62,23 @@ def kendall(df: DataFrame, group: list[str] = GROUP, blocks: int = 8) -> DataFra
     cells = df.groupBy(*group, "actual", "predicted").agg(F.count("*").cast("double").alias("w"))
     place = lambda c: F.size(F.filter(f"{c}_cuts", lambda x: x < F.col(c)))
     cut = cells.join(edges, group).select(*group, "actual", "predicted", "w", place("actual").alias("i"), place("predicted").alias("j"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in group) + ", s double"
-    names = [f.name for f in df.schema if f.name in group]
-
-    def counted(sign):
-        return lambda key, rows: pd.DataFrame([[*key[: len(group)], sign(*(rows[c].to_numpy() for c in ("actual", "predicted", "w", "i", "j")))]], columns=[*group, "s"])[[*names, "s"]]
-
-    in_row = counted(lambda a, p, w, i, j: _pair_signs(a, p, w))
-    in_column = counted(lambda a, p, w, i, j: _pair_signs(a, p, w) - sum(_pair_signs(a[i == k], p[i == k], w[i == k]) for k in np.unique(i)))
-    between = counted(lambda a, p, w, i, j: _apart(i, j, w, blocks))
     grid = cut.groupBy(*group, "i", "j").agg(F.sum("w").alias("w")).withColumns({"actual": F.lit(0.0), "predicted": F.lit(0.0)})
-    parts = [
-        cut.groupBy(*group, "i").applyInPandas(in_row, schema),
-        cut.groupBy(*group, "j").applyInPandas(in_column, schema),
-        grid.groupBy(*group).applyInPandas(between, schema),  # at most blocks * blocks rows a group
-    ]
-    score = reduce(DataFrame.unionByName, parts).groupBy(*group).agg(F.sum("s").alias("s"))
+    rows = cut.withColumn("part", F.explode(F.array(F.struct(F.lit("i").alias("side"), F.col("i").alias("at")), F.struct(F.lit("j").alias("side"), F.col("j").alias("at")))))
+    rows = rows.unionByName(grid.withColumn("part", F.struct(F.lit("grid").alias("side"), F.lit(0).alias("at"))))  # at most blocks * blocks a group
+
+    def count(key, part):
+        a, p, w, i, j = (part[c].to_numpy() for c in ("actual", "predicted", "w", "i", "j"))
+        side = part["side"].iloc[0]
+        if side == "grid":
+            s = _apart(i, j, w, blocks)
+        else:
+            s = _pair_signs(a, p, w) - (sum(_pair_signs(a[i == k], p[i == k], w[i == k]) for k in np.unique(i)) if side == "j" else 0.0)
+        return pd.DataFrame([[*key[: len(group)], s]], columns=[*group, "s"])
+
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{g} {types[g]}" for g in group) + ", s double"
+    dealt = rows.select(*group, "part.side", "part.at", "actual", "predicted", "w", "i", "j")
+    score = dealt.groupBy(*group, "side", "at").applyInPandas(count, schema).groupBy(*group).agg(F.sum("s").alias("s"))
     pairs = lambda n: n * (n - 1) / 2
 
     def ties(column: str) -> DataFrame:
