@@ -197,12 +197,32 @@ def within_tolerance(df: DataFrame, metric: str, tolerance: float, *order: Colum
     return best.where(F.col(metric) >= F.col("_best") - tolerance).drop("_best").orderBy(*order).limit(1)
 
 
-def weight_grid(df: DataFrame, weights: list[float], group: list[str] = GROUP) -> DataFrame:
-    """Macro rank correlation of the blend (1 - w) * predicted rank share + w * health, for each weight."""
+def weight_grid(df: DataFrame, weights: list[float], k: int = 12, group: list[str] = GROUP) -> DataFrame:
+    """Macro rank correlation, NDCG, recall and bust rate of the blend (1 - w) * predicted rank share + w * health, for each weight."""
     ranked = df.withColumn("pct", ranking.rank_pct(F.col("predicted"), group))
     wide = ranked.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in weights])))
-    blend = wide.withColumn("predicted", (1 - F.col("weight")) * F.col("pct") + F.col("weight") * F.col("health"))
-    return spearman(blend, ["weight", *group]).groupBy("weight").agg(F.avg("spearman").alias("spearman"))
+    blend = wide.withColumn("predicted", F.round((1 - F.col("weight")) * F.col("pct") + F.col("weight") * F.col("health"), 9))
+    by = ["weight", *group]
+    per = spearman(blend, by).join(ndcg(blend, k, by), by, "left").join(topk_recall(blend, F.lit(k), by), by).join(bust_rate(blend, F.lit(k), by), by)
+    return per.groupBy("weight").agg(*[F.avg(c).alias(c) for c in ("spearman", "ndcg", "recall", "bust_rate")])
+
+
+def candidate_table(rows: DataFrame, baseline: str, tolerance: float = 0.005) -> DataFrame:
+    """A row a candidate of rows (candidate, components, group, predicted, actual): metrics, and which one is chosen.
+
+    Candidates within tolerance of the best rank correlation are eligible; of these the one with fewer
+    components, then the lower error, then the first name is selected. A candidate is adopted if it is
+    within tolerance of the baseline or better.
+    """
+    ranks = spearman(rows, ["candidate", *GROUP]).groupBy("candidate").agg(F.round(F.avg("spearman"), 6).alias("spearman"))
+    errors = F.round(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 4)
+    got = rows.groupBy("candidate").agg(F.max("components").alias("components"), F.count("*").alias("n"), errors.alias("mae")).join(ranks, "candidate")
+    every = Window.partitionBy(F.lit(1))  # a row a candidate
+    eligible = F.col("spearman") >= F.max("spearman").over(every) - tolerance
+    reference = F.max(F.when(F.col("candidate") == baseline, F.col("spearman"))).over(every)
+    order = Window.partitionBy("eligible").orderBy("components", "mae", "candidate")
+    got = got.withColumns({"eligible": eligible, "baseline": F.col("candidate") == baseline, "gain": F.round(F.col("spearman") - reference, 6)})
+    return got.withColumns({"selected": F.col("eligible") & (F.row_number().over(order) == 1), "adopted": F.col("gain") >= -tolerance})
 
 
 def residual_intervals(df: DataFrame, group: str = "position", least: int = 20) -> DataFrame:

@@ -489,17 +489,30 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("candidate").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 4).alias("mae"))
 
 
-@query(with_(_PARTS_SQL + _CAND, "SELECT candidate, n, mae, candidate = (SELECT candidate FROM ct ORDER BY mae, candidate LIMIT 1) AS selected, candidate = 'one' AS baseline FROM ct"))
+_RATED = """, cr AS (SELECT 'one' AS candidate, 1 AS components, season, position, one AS predicted, actual FROM sh UNION ALL SELECT 'two', 1, season, position, two, actual FROM sh UNION ALL SELECT 'mean', 2, season, position, round((one + two) / 2, 9), actual FROM sh),
+rr AS (SELECT *, rank() OVER (PARTITION BY candidate, season, position ORDER BY actual) + (count(*) OVER (PARTITION BY candidate, season, position, actual) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY candidate, season, position ORDER BY predicted) + (count(*) OVER (PARTITION BY candidate, season, position, predicted) - 1) / 2.0 AS rp FROM cr),
+rg AS (SELECT candidate, season, position, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN corr(ra, rp) ELSE 0 END AS s FROM rr GROUP BY 1, 2, 3),
+rs AS (SELECT candidate, round(avg(s), 6) AS spearman FROM rg GROUP BY 1),
+rt AS (SELECT candidate, max(components) AS components, count(*) AS n, round(avg(abs(predicted - actual)), 4) AS mae, any_value(spearman) AS spearman FROM cr JOIN rs USING (candidate) GROUP BY 1),
+re AS (SELECT *, spearman >= (SELECT max(spearman) FROM rt) - 0.005 AS eligible, candidate = 'one' AS baseline, round(spearman - (SELECT spearman FROM rt WHERE candidate = 'one'), 6) AS gain FROM rt),
+rz AS (SELECT *, eligible AND row_number() OVER (PARTITION BY eligible ORDER BY components, mae, candidate) = 1 AS selected, gain >= -0.005 AS adopted FROM re)"""
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    mean = F.round((F.col("one") + F.col("two")) / 2, 9).alias("mean")
+    rows = _parts(spark, d).select(*G, "actual", "one", "two", mean).unpivot([*G, "actual"], ["one", "two", "mean"], "candidate", "predicted")
+    return evaluation.candidate_table(files.once(rows.withColumn("components", F.when(F.col("candidate") == "mean", 2).otherwise(1)), "candidates"), "one")
+
+
+@query(with_(_PARTS_SQL + _RATED, "SELECT candidate, components, n, mae, spearman, eligible, baseline, gain, selected, adopted FROM rz"))
 def ev_candidate_table(spark: SparkSession, d: str) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("mae", "candidate")) == 1  # a row a candidate
-    return _candidates(spark, d).select("candidate", "n", "mae", first.alias("selected"), (F.col("candidate") == "one").alias("baseline"))
+    return _rated(spark, d).select("candidate", "components", "n", "mae", "spearman", "eligible", "baseline", "gain", "selected", "adopted")
 
 
-@query(with_(_PARTS_SQL + _CAND, "SELECT candidate, mae <= (SELECT mae FROM ct WHERE candidate = 'one') + 0.005 AS adopted FROM ct"))
+@query(with_(_PARTS_SQL + _RATED, "SELECT candidate, gain, adopted, gain >= 0.02 AS gain_enough FROM rz WHERE selected"))
 def ev_adopt_gate(spark: SparkSession, d: str) -> DataFrame:
-    c = _candidates(spark, d)
-    reference = F.max(F.when(F.col("candidate") == "one", F.col("mae"))).over(Window.partitionBy(F.lit(1)))
-    return c.select("candidate", (F.col("mae") <= reference + 0.005).alias("adopted"))
+    """The selected candidate: whether it is adopted, and whether it gains enough on the baseline."""
+    return _rated(spark, d).where("selected").select("candidate", "gain", "adopted", (F.col("gain") >= 0.02).alias("gain_enough"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE (SELECT median(s_acctbal) FROM supplier WHERE s_acctbal > 0) END AS bal FROM supplier")

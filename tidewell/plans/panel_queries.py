@@ -455,12 +455,16 @@ def ev_prob_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_(fx.FORECAST_SQL, """, h AS (SELECT *, (rank() OVER (PARTITION BY season, position ORDER BY predicted) + (count(*) OVER (PARTITION BY season, position, predicted) - 1) / 2.0) / count(*) OVER (PARTITION BY season, position) AS pct, (entity % 100) / 100.0 AS health FROM fc),
-b AS (SELECT *, CAST((1 - w) * pct + w * health AS DOUBLE) AS bl FROM h, (SELECT unnest([CAST(0 AS DOUBLE), 0.2, 0.5]) AS w)),
-r AS (SELECT *, rank() OVER (PARTITION BY w, season, position ORDER BY actual) + (count(*) OVER (PARTITION BY w, season, position, actual) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY w, season, position ORDER BY round(bl, 9)) + (count(*) OVER (PARTITION BY w, season, position, round(bl, 9)) - 1) / 2.0 AS rp FROM b)
-SELECT CAST(w AS DOUBLE) AS weight, round(avg(c), 4) AS spearman FROM (SELECT w, season, position, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN corr(ra, rp) ELSE 0 END AS c FROM r GROUP BY 1, 2, 3) GROUP BY 1"""))
+b AS (SELECT *, round(CAST((1 - w) * pct + w * health AS DOUBLE), 9) AS bl, greatest(actual, 0) AS gain FROM h, (SELECT unnest([CAST(0 AS DOUBLE), 0.2, 0.5]) AS w)),
+r AS (SELECT *, rank() OVER (PARTITION BY w, season, position ORDER BY actual) + (count(*) OVER (PARTITION BY w, season, position, actual) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY w, season, position ORDER BY bl) + (count(*) OVER (PARTITION BY w, season, position, bl) - 1) / 2.0 AS rp,
+  row_number() OVER (PARTITION BY w, season, position ORDER BY bl DESC, entity) AS i, row_number() OVER (PARTITION BY w, season, position ORDER BY actual DESC, entity) AS j, rank() OVER (PARTITION BY w, season, position ORDER BY actual DESC) AS ar, count(*) OVER (PARTITION BY w, season, position) AS c FROM b),
+x AS (SELECT w, season, position, bl, avg(gain) * sum(CASE WHEN i <= 12 THEN 1 / log2(i + 1) ELSE 0 END) AS dcg, sum(gain * CASE WHEN j <= 12 THEN 1 / log2(j + 1) ELSE 0 END) AS idcg FROM r GROUP BY 1, 2, 3, 4),
+nd AS (SELECT w, season, position, sum(dcg) / sum(idcg) AS ndcg FROM x GROUP BY 1, 2, 3 HAVING sum(idcg) > 0),
+pg AS (SELECT w, season, position, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN corr(ra, rp) ELSE 0 END AS s, sum(CASE WHEN i <= 12 AND j <= 12 THEN 1 ELSE 0 END) / CAST(max(least(12, c)) AS DOUBLE) AS recall, avg(CASE WHEN i <= 12 THEN CASE WHEN ar > 24 THEN 1.0 ELSE 0.0 END END) AS bust FROM r GROUP BY 1, 2, 3)
+SELECT CAST(pg.w AS DOUBLE) AS weight, round(avg(s), 4) AS spearman, round(avg(ndcg), 4) AS ndcg, round(avg(recall), 4) AS recall, round(avg(bust), 4) AS bust_rate FROM pg LEFT JOIN nd ON pg.w = nd.w AND pg.season = nd.season AND pg.position = nd.position GROUP BY 1"""))
 def ev_weight_grid(spark: SparkSession, d: str) -> DataFrame:
-    f = fx.forecasts(spark, d).withColumn("health", (F.col("entity") % 100) / 100.0)
-    return evaluation.weight_grid(f, [0.0, 0.2, 0.5]).withColumn("spearman", F.round("spearman", 4))
+    f = files.once(fx.forecasts(spark, d).withColumn("health", (F.col("entity") % 100) / 100.0), "forecasts")
+    return evaluation.weight_grid(f, [0.0, 0.2, 0.5]).withColumns({c: F.round(c, 4) for c in ("spearman", "ndcg", "recall", "bust_rate")})
 
 
 @query(with_(fx.FORECAST_SQL, """, z AS (SELECT avg(CASE WHEN actual <= 60 THEN 1.0 ELSE 0.0 END) AS share FROM fc WHERE season BETWEEN 1997 AND 1999),
