@@ -149,3 +149,17 @@ def test_bootstrap_of_a_statistic(spark):
     assert 0.6 < mae.low < 1.0 < mae.high < 1.4 and gain.low > 20 and 0.95 < rank.low <= rank.high <= 1.0
     assert mae == evaluation.cluster_bootstrap(df.repartition(3), 50).first()
     assert evaluation._poisson_table()[-1] > 1 - 2.0**-30
+
+
+def test_cohort_and_its_contract(spark):
+    games = [(1999, 1, 3, "A", "QB", 1, "ACT"), (1999, 1, 9, "B", "QB", 2, "ACT"), (2000, 2, 1, "C", "K", 3, "RES"), (2000, 3, 1, "C", "K", 4, None)]
+    rosters = spark.createDataFrame(games, "season int, entity int, week int, team string, position string, game int, status string")
+    entrants = spark.createDataFrame([(2000, 9, "D", "QB")], "season int, entity int, team string, position string")
+    outcomes = spark.createDataFrame([(2000, 1, 5.0)], "season int, entity int, outcome double")
+    got = panel.build_cohort(rosters, entrants, outcomes, 2001, ["RES"])
+    assert sorted((r.season, r.entity, r.team, r.origin, r.outcome) for r in got.collect()) == [(2000, 1, "B", "prior_roster", 5.0), (2000, 9, "D", "entrant", 0.0)]
+    now = {r.entity: r for r in panel.build_cohort(rosters, entrants, outcomes, 2000, ["RES"]).collect()}
+    assert (now[2].available, now[3].available, now[2].outcome) == (False, True, None) and set(now) == {2, 3}
+    assert {r.violations for r in panel.check_cohort(got, 2001).collect()} == {0}
+    late = got.withColumn("source_season", F.col("season"))
+    assert {r.check: r.violations for r in panel.check_cohort(late, 2001).collect()}["prior_roster_is_older"] == 1

@@ -140,6 +140,37 @@ def roster_cohort(rosters: DataFrame, entrants: DataFrame) -> DataFrame:
     return ranking.first_by(prior.unionByName(new), ["season", "entity"], F.col("o")).drop("o")
 
 
+def build_cohort(rosters: DataFrame, entrants: DataFrame, outcomes: DataFrame, current: int, unavailable: list[str]) -> DataFrame:
+    """Target rows of all seasons up to `current`, from what was known before each.
+
+    Before `current`: last roster rows of the season before, and entrants of the season. In `current`:
+    its own roster's rows alone, with whether their status lets them play. outcomes(season, entity,
+    outcome) come last: an unknown one counts 0 before `current` and stays unknown in it.
+    """
+    history = roster_cohort(rosters.where(F.col("season") + 1 < current), entrants.where(F.col("season") < current))
+    source = F.when(F.col("origin") == "prior_roster", F.col("season") - 1).otherwise(F.col("season"))
+    history = history.select("season", "entity", "team", "position", "origin", source.alias("source_season"), F.lit(True).alias("available"))
+    now = ranking.first_by(rosters.where(F.col("season") == current), ["season", "entity"], F.desc("week"), F.desc("team"), F.desc("game"))
+    playing = F.coalesce(~F.col("status").isin(unavailable), F.lit(True))
+    now = now.select("season", "entity", "team", "position", F.lit("current").alias("origin"), F.col("season").alias("source_season"), playing.alias("available"))
+    known = history.unionByName(now).join(outcomes, ["season", "entity"], "left")
+    return known.withColumn("outcome", F.when(F.col("season") < current, F.coalesce("outcome", F.lit(0.0))).otherwise(F.col("outcome")))
+
+
+def check_cohort(cohort: DataFrame, current: int) -> DataFrame:
+    """One row a rule of the cohort's times: how many rows break it."""
+    season, source, origin = F.col("season"), F.col("source_season"), F.col("origin")
+    rules = {
+        "prior_roster_is_older": (origin == "prior_roster") & (source >= season),
+        "entrants_are_of_the_season": (origin == "entrant") & (source != season),
+        "current_is_current": (origin == "current") & ((season != current) | (source != current)),
+        "current_alone_in_its_season": (origin != "current") & (season >= current),
+        "outcomes_before_current": (season < current) & F.col("outcome").isNull(),
+    }
+    one = cohort.agg(*[F.count_if(bad).alias(name) for name, bad in rules.items()])
+    return one.unpivot([], list(rules), "check", "violations")
+
+
 def missed_time(keys: DataFrame, absences: DataFrame, reserve: DataFrame, first: int, last: int) -> DataFrame:
     """Label 1 if a report of absence or a reserve week is known, 0 if not, null outside the window."""
     out = keys.join(absences, ["season", "entity"], "left").join(reserve, ["season", "entity"], "left")

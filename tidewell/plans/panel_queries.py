@@ -350,14 +350,35 @@ def fn_logit_clip(spark: SparkSession, d: str) -> DataFrame:
 # ---- cohorts, labels, checks
 
 
-@query(with_(fx.GAMES_SQL, """, prior AS (SELECT season + 1 AS season, entity, team, position, 'prior_roster' AS origin, 0 AS o FROM games WHERE season_type = 'REG' QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY week DESC, team DESC, game DESC) = 1),
+_COHORT_SQL = fx.SEASON_SQL + """, prior AS (SELECT season + 1 AS season, entity, team, position, 'prior_roster' AS origin, season AS source_season, 0 AS o FROM games WHERE season_type = 'REG' AND season + 1 < 2001 QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY week DESC, team DESC, game DESC) = 1),
 firsts AS (SELECT entity, min(season) AS season FROM games GROUP BY 1),
-entrants AS (SELECT DISTINCT f.season, f.entity, g.team, g.position, 'entrant' AS origin, 1 AS o FROM firsts f JOIN games g ON g.entity = f.entity)
-SELECT season, entity, team, position, origin FROM (SELECT * FROM prior UNION ALL SELECT * FROM entrants) QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY o) = 1"""))
-def coh_build(spark: SparkSession, d: str) -> DataFrame:
+entrants AS (SELECT DISTINCT f.season, f.entity, g.team, g.position, 'entrant' AS origin, f.season AS source_season, 1 AS o FROM firsts f JOIN games g ON g.entity = f.entity WHERE f.season < 2001),
+hist AS (SELECT * EXCLUDE (o), true AS available FROM (SELECT * FROM prior UNION ALL SELECT * FROM entrants) QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY o) = 1),
+now_ AS (SELECT season, entity, team, position, 'current' AS origin, season AS source_season, coalesce(status NOT IN ('RES', 'CUT'), true) AS available FROM games WHERE season_type = 'REG' AND season = 2001 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY week DESC, team DESC, game DESC) = 1),
+co AS (SELECT c.*, CASE WHEN c.season < 2001 THEN coalesce(round(s.target, 6), 0) ELSE round(s.target, 6) END AS outcome FROM (SELECT * FROM hist UNION ALL SELECT * FROM now_) c LEFT JOIN seasons s ON s.season = c.season AND s.entity = c.entity)"""
+
+
+def _cohort(spark: SparkSession, d: str) -> DataFrame:
     g = fx.games(spark, d)
     entrants = g.groupBy("entity", "team", "position").agg(F.min("season").alias("season"))
-    return panel.roster_cohort(g.where("season_type = 'REG'"), entrants)
+    outcomes = fx.season_points(spark, d).select("season", "entity", F.round("target", 6).alias("outcome"))
+    return panel.build_cohort(g.where("season_type = 'REG'"), entrants, outcomes, 2001, ["RES", "CUT"])
+
+
+@query(with_(_COHORT_SQL, "SELECT season, entity, team, position, origin, source_season, available, outcome FROM co"))
+def coh_build(spark: SparkSession, d: str) -> DataFrame:
+    """Veterans, entrants and the current roster, with outcomes attached last."""
+    return _cohort(spark, d).select("season", "entity", "team", "position", "origin", "source_season", "available", "outcome")
+
+
+@query(with_(_COHORT_SQL, """SELECT 'prior_roster_is_older' AS "check", count(*) FILTER (WHERE origin = 'prior_roster' AND source_season >= season) AS violations FROM co
+UNION ALL SELECT 'entrants_are_of_the_season', count(*) FILTER (WHERE origin = 'entrant' AND source_season <> season) FROM co
+UNION ALL SELECT 'current_is_current', count(*) FILTER (WHERE origin = 'current' AND (season <> 2001 OR source_season <> 2001)) FROM co
+UNION ALL SELECT 'current_alone_in_its_season', count(*) FILTER (WHERE origin <> 'current' AND season >= 2001) FROM co
+UNION ALL SELECT 'outcomes_before_current', count(*) FILTER (WHERE season < 2001 AND outcome IS NULL) FROM co"""))
+def chk_cohort(spark: SparkSession, d: str) -> DataFrame:
+    """The temporal contract of the cohort, a row a rule."""
+    return panel.check_cohort(_cohort(spark, d), 2001)
 
 
 @query(with_(fx.SEASON_SQL, f""", ab AS (SELECT season, entity, count(DISTINCT week) AS absence_weeks FROM games WHERE season_type = 'REG' AND status = 'RES' AND {_PHYS} GROUP BY 1, 2),
