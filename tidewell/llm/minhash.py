@@ -15,7 +15,7 @@
 
 A pair at the threshold of 0.75 shares no bucket by a chance of (1 - 0.75^5)^50, about 1e-6. That
 fewer than LEAST_EQUAL of 250 bytes agree, of which each does by a chance of 0.751, is 5.5 deviations
-away, a chance of about 4e-8: signatures lose far less than the banding that chooses the candidates.
+away, a chance of about 5e-8: signatures lose far less than the banding that chooses the candidates.
 
 What is joined by class, bucket or node is a table by itself, so that Spark can split the rows of a
 hot key (a class of many copies, a bucket of many near copies, the hub of a component) over tasks.
