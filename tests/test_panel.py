@@ -163,3 +163,15 @@ def test_cohort_and_its_contract(spark):
     assert {r.violations for r in panel.check_cohort(got, 2001).collect()} == {0}
     late = got.withColumn("source_season", F.col("season"))
     assert {r.check: r.violations for r in panel.check_cohort(late, 2001).collect()}["prior_roster_is_older"] == 1
+
+
+def test_report_history_counts_physical_fields_of_regular_weeks(spark):
+    rows = [
+        (2000, 1, 1, "REG", "Knee", "Ankle"), (2000, 1, 1, "reg", "Illness", "Hip"), (2000, 1, 2, "REG", None, " "),
+        (2000, 1, 3, "POST", "Knee", None), (2000, 2, 1, "REG", "Coach's  decision", "COVID-19"), (2001, 1, 5, None, "Knee", "Knee"),
+        (2001, 1, 6, "REG", "Head", None),
+    ]
+    reports = spark.createDataFrame(rows, "season int, entity long, week int, season_type string, first string, second string")
+    got = panel.report_history(reports, ["first", "second"])
+    assert sorted(map(tuple, got.collect())) == [(2000, 1, 1, 1, 3), (2001, 1, 1, 1, 1)]
+    assert panel.report_history(reports.limit(0), ["first", "second"]).count() == 0

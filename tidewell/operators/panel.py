@@ -171,6 +171,17 @@ def check_cohort(cohort: DataFrame, current: int) -> DataFrame:
     return one.unpivot([], list(rules), "check", "violations")
 
 
+def report_history(reports: DataFrame, fields: list[str], non_physical: str = fn.NON_PHYSICAL) -> DataFrame:
+    """(season, entity, reported, report_weeks, designations) of regular reports with a physical reason in any field.
+
+    A row counts once a field that gives a physical reason; null and blank fields give none. Who has no such row is left out.
+    """
+    marks = [fn.physical(F.col(f), non_physical).cast("int") for f in fields]
+    rows = reports.where("upper(season_type) = 'REG'").withColumn("_marks", sum(marks[1:], marks[0])).where("_marks > 0")
+    history = rows.groupBy("season", "entity").agg(F.count_distinct("week").alias("report_weeks"), F.sum("_marks").alias("designations"))
+    return history.select("season", "entity", F.lit(1).alias("reported"), "report_weeks", "designations")
+
+
 def missed_time(keys: DataFrame, absences: DataFrame, reserve: DataFrame, first: int, last: int) -> DataFrame:
     """Label 1 if a report of absence or a reserve week is known, 0 if not, null outside the window."""
     out = keys.join(absences, ["season", "entity"], "left").join(reserve, ["season", "entity"], "left")

@@ -284,11 +284,21 @@ def agg_cohort_audit(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(*G).agg(F.count("*").alias("n"), F.count_if(F.coalesce("target", F.lit(0.0)) == 0).alias("zero"), F.count_if(F.col("entity") % 10 == 0).alias("pseudo"))
 
 
-@query(with_(fx.GAMES_SQL, ", h AS (SELECT *, CAST(status = 'RES' AS INTEGER) + CAST(reason = 'URGENT' OR reason LIKE '%HIGH%' AS INTEGER) AS marks FROM games) SELECT season, entity, count(DISTINCT CASE WHEN marks > 0 THEN week END) AS weeks, CAST(sum(marks) AS BIGINT) AS designations FROM h GROUP BY 1, 2"))
+#: Four texts of a game that may give a reason; the first has reasons of these tables that are not physical.
+_FIELDS = {
+    "reason": "reason",
+    "status_reason": "CASE WHEN status = 'RES' THEN 'Knee' WHEN status = 'CUT' THEN ' ' END",
+    "practice": "CASE WHEN tds > 0 THEN 'Ankle' ELSE 'Coach''s  Decision' END",
+    "practice_second": "CASE WHEN fumbles > receptions THEN 'Illness' WHEN receptions > 0 THEN 'Shoulder' END",
+}
+_NOT_PHYSICAL = f"{fn.NON_PHYSICAL}|{fx.NON_PHYSICAL}"
+_MARK = "CAST(trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g')) <> '' AND NOT regexp_full_match(lower(trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))), '" + _NOT_PHYSICAL.replace("'", "''") + "') AS INTEGER)"
+
+
+@query(with_(fx.GAMES_SQL, f", h AS (SELECT season, entity, week, {' + '.join(_MARK.format(f'({t})') for t in _FIELDS.values())} AS marks FROM games WHERE season_type = 'REG') SELECT season, entity, 1 AS reported, count(DISTINCT week) AS report_weeks, CAST(sum(marks) AS BIGINT) AS designations FROM h WHERE marks > 0 GROUP BY 1, 2"))
 def agg_injury_history(spark: SparkSession, d: str) -> DataFrame:
-    marks = (F.col("status") == "RES").cast("int") + ((F.col("reason") == "URGENT") | F.col("reason").contains("HIGH")).cast("int")
-    g = fx.games(spark, d).withColumn("marks", marks)
-    return g.groupBy("season", "entity").agg(F.count_distinct(F.when(F.col("marks") > 0, F.col("week"))).alias("weeks"), F.sum("marks").alias("designations"))
+    texts = {k: F.expr(t.replace("Coach''s", "Coach\\'s")) for k, t in _FIELDS.items()}
+    return panel.report_history(fx.games(spark, d).withColumns(texts), list(_FIELDS), _NOT_PHYSICAL)
 
 
 @query(with_(fx.FORECAST_SQL, ", f AS (SELECT season, position, avg(abs(predicted - actual)) AS mae FROM fc GROUP BY 1, 2) SELECT position, round(avg(mae), 5) AS mae FROM f GROUP BY 1"))
