@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -700,13 +701,17 @@ def _model_query(name: str, run) -> None:
 _OUT = ["season", "entity", "position", "y", "predicted"]
 
 
-def _forward(name: str, classes: bool = False, last: int | None = None):
-    """Every season with two before it, or the `last` of them, predicted by a learner from those before."""
+def _forward(*names: str, classes: bool = False, last: int | None = None):
+    """Every season with two before it, or the `last` of them, predicted by each learner from those before; one row a learner and row."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = (_classes if classes else _frame)(spark, d)
         seasons = _seasons(rows)
-        return models.forward(rows, seasons[-last:] if last else seasons, name, FEATURES).select(_OUT)
+        seasons = seasons[-last:] if last else seasons
+        if len(names) == 1:
+            return models.forward(rows, seasons, names[0], FEATURES).select(_OUT)
+        each = [models.forward(rows, seasons, n, FEATURES).select(F.lit(n).alias("learner"), *_OUT) for n in names]
+        return reduce(DataFrame.unionByName, each)
 
     return run
 
@@ -729,10 +734,10 @@ def _platt(spark: SparkSession, d: str) -> DataFrame:
 _model_query("ml_walk_forward", _forward("ridge"))
 _model_query("ml_linear", _forward("ridge", last=1))
 _model_query("ml_position_scope", _positions)
-_model_query("ml_tree_ensemble", _forward("forest", last=1))
-_model_query("ml_boosting", _forward("boosting", last=1))
-_model_query("ml_logit", _forward("sparse_logit", classes=True))
-_model_query("ml_tree_classifier", _forward("forest_class", classes=True, last=1))
+_model_query("ml_tree_ensemble", _forward("forest"))
+_model_query("ml_boosting", _forward("boosting"))
+_model_query("ml_logit", _forward("logit", "sparse_logit", classes=True))
+_model_query("ml_tree_classifier", _forward("forest_class", "boosting_class", classes=True))
 _model_query("ml_hurdle", _hurdle)
 _model_query("ml_platt", _platt)
 
@@ -755,8 +760,8 @@ def _mae(df: DataFrame) -> DataFrame:
 @query()
 def ml_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = _frame(spark, d)
-    last = _seasons(rows)[-1:]
-    one = lambda name: _mae(models.forward(rows, last, name, FEATURES)).select(F.lit(name).alias("learner"), (-F.col("metric")).alias("mae"))
+    seasons = _seasons(rows)
+    one = lambda name: _mae(models.forward(rows, seasons, name, FEATURES)).select(F.lit(name).alias("learner"), (-F.col("metric")).alias("mae"))
     return one("ridge").unionByName(one("forest")).unionByName(one("boosting"))
 
 
