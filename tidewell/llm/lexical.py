@@ -62,9 +62,10 @@ def _counted(vocabulary: dict[bytes, int]):
                 tfs += [counts[w] for w in held]
                 ends.append(len(at))
             offsets = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (at, tfs)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (at, tfs)]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), *lists], names=["row", "doc_id", "n", "terms", "tfs"])
             yield out.filter(pa.array(np.array(ns) > 0, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -82,12 +83,12 @@ def _impacts(documents: int, total: int, root: np.ndarray):
             tfs, at = batch.column(4), batch.column(3)
             sizes = tfs.value_lengths().to_numpy()
             m = np.array([25 + 75 * n * documents // total for n in batch.column(2).to_pylist()], np.int64)
-            tf, where = tfs.flatten().to_numpy(), at.flatten().to_numpy()
+            tf, where = tfs.flatten().to_numpy().astype(np.int64), at.flatten().to_numpy()
             impact = 1_000_000_000 * tf // (1000 * tf + 8 * np.repeat(m, sizes))
             ends = np.cumsum(sizes)
             length = np.sqrt(np.add.reduceat((impact * root[where]) ** 2, ends - sizes)) if len(sizes) else np.zeros(0)
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (where, impact)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (where, impact)]  # an impact is at most a million
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(length), *lists], names=["row", "doc_id", "length", "terms", "impacts"])
 
     return run
@@ -102,7 +103,7 @@ class Bucket:
         at, impacts = batch["terms"].combine_chunks(), batch["impacts"].combine_chunks()
         self.sizes = at.value_lengths().to_numpy()
         self.ends = np.cumsum(self.sizes)
-        self.terms, self.impacts = at.flatten().to_numpy(), impacts.flatten().to_numpy()
+        self.terms, self.impacts = at.flatten().to_numpy(), impacts.flatten().to_numpy().astype(np.int64)
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         share = self.impacts * root[self.terms] / np.maximum(self.length[doc], 1e-300)  # the coordinate of the unit vector
         self.scratch = np.zeros(len(root), np.int64)
@@ -228,13 +229,13 @@ def _best(found: DataFrame, top: int) -> DataFrame:
 def _rank_block(docs: DataFrame, block: list[tuple[int, list[bytes]]], top: int) -> DataFrame:
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in block for w in words}))}
     items = [dict(Counter(vocabulary[w] for w in words)) for _, words in block]
-    counted = docs.mapInArrow(_counted(vocabulary), "row long, doc_id long, n long, terms array<long>, tfs array<long>")
+    counted = docs.mapInArrow(_counted(vocabulary), "row long, doc_id long, n long, terms array<int>, tfs array<int>")
     counted = materialize(counted, "counted")
     documents, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     holders = dict(counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect())  # one row a term of the block
     weights = np.array([weight(documents, holders.get(k, 0)) for k in range(len(vocabulary))], np.int64)
     root = np.sqrt(weights.astype(float))
-    vectors = counted.where(F.size("terms") > 0).mapInArrow(_impacts(documents, total, root), "row long, doc_id long, length double, terms array<long>, impacts array<long>")
+    vectors = counted.where(F.size("terms") > 0).mapInArrow(_impacts(documents, total, root), "row long, doc_id long, length double, terms array<int>, impacts array<int>")
     vectors = materialize(vectors, "vectors")
 
     def search(some: DataFrame, floors: dict[int, int]) -> DataFrame:
