@@ -129,12 +129,18 @@ def _pieces(batches, rows: int):
             yield batch.slice(at, rows)
 
 
+def turns(k: int) -> np.ndarray:
+    """Of k cells, [home, cell]: whether home's vectors visit the cell; of two cells one visits the other, by turns."""
+    home, cell = np.indices((k, k))
+    return (home == cell) | ((cell < home) ^ ((cell + home) % 2 == 1))
+
+
 def _visits(centres, radii, open_, blocks, streams, t: float, single: bool):
     """Rows (cell, block, stream, kind, node, copies, raw): members (kind 0) and visitors (1) of each block.
 
-    A pair of cells meets in the smaller one; a cell of several blocks has its members visit the blocks before theirs.
+    A pair of cells meets in one of them; a cell of several blocks has its members visit the blocks before theirs.
     """
-    between = _distances(centres, centres)
+    between, visiting = _distances(centres, centres), open_ & turns(len(centres))
 
     def run(batches):
         for batch in _pieces(batches, max(1, 2_000_000 // len(centres))):
@@ -150,8 +156,7 @@ def _visits(centres, radii, open_, blocks, streams, t: float, single: bool):
                 out.append((home[m], block[m], np.full(len(m), j), np.zeros(len(m), int), m))
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = (d * d - (own * own)[:, None]) / (2 * between[home])
-            reach = open_[home] & (d <= radii + t + SLACK) & ((plane <= t + SLACK) | ~np.isfinite(plane))
-            reach &= np.arange(len(centres)) <= home[:, None]
+            reach = visiting[home] & (d <= radii + t + SLACK) & ((plane <= t + SLACK) | ~np.isfinite(plane))
             who, cell = np.nonzero(reach)
             for i in range(int(blocks[cell].max()) if len(cell) else 0):
                 v = (blocks[cell] > i) & ((cell != home[who]) | (i < block[who]))
@@ -377,7 +382,7 @@ def _links(spark: SparkSession, classes: DataFrame, cosine: float, dim: int, sin
     whole = some & (d + reach <= t - SLACK)
     open_ = some & ~whole & (d - reach <= t + SLACK)
     blocks = np.maximum(1, -(-size // BLOCK))
-    visitors = (np.tril(open_) * size[:, None]).sum(0)
+    visitors = ((open_ & turns(k)) * size[:, None]).sum(0)
     streams = np.maximum(1, -(-visitors // (STREAM * BLOCK)))
 
     dealt = homes.select("node", "copies", "raw", "home").mapInArrow(
