@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import ranking
+from tidewell.operators import ordered, ranking
+from tidewell.sources import files
 
 GROUP = ["season", "position"]
 
@@ -25,7 +26,7 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 def spearman(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """Rank correlation and rows of each group."""
-    r = df.withColumns({"ra": ranking.rank_avg(F.col("actual"), group), "rp": ranking.rank_avg(F.col("predicted"), group)})
+    r = ordered.with_ranks(df, {"ra": ("actual", ordered.mean_place()), "rp": ("predicted", ordered.mean_place())}, group)
     return r.groupBy(*group).agg(safe_corr(F.col("ra"), F.col("rp")).alias("spearman"), F.count("*").alias("n"))
 
 
@@ -143,11 +144,11 @@ def bust_rate(df: DataFrame, k: Column, group: list[str] = GROUP) -> DataFrame:
 
 
 def auc(df: DataFrame, group: list[str]) -> DataFrame:
-    """Exact ROC AUC by ranks; null for groups of one label."""
-    r = df.withColumn("r", ranking.rank_avg(F.col("p"), group))
-    n1 = F.sum("label")
-    n0 = F.count("*") - n1
-    return r.groupBy(*group).agg(F.try_divide(F.sum(F.col("r") * F.col("label")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"), F.count("*").alias("n"))
+    """Exact ROC AUC by ranks of the distinct scores; null for groups of one label."""
+    per = ordered.values(df, "p", group, pos=F.col("label"))
+    n1, n = F.sum("pos"), F.sum("n")
+    area = F.try_divide(F.sum(ordered.mean_place() * F.col("pos")) - n1 * (n1 + 1) / 2, n1 * (n - n1))
+    return per.groupBy("_g").agg(area.alias("auc"), n.alias("n")).select(*[F.col(f"_g.{g}").alias(g) for g in group], "auc", "n")
 
 
 def thresholds(df: DataFrame, slices: int = 4096) -> DataFrame:
@@ -185,7 +186,7 @@ def prob_loss(df: DataFrame, eps: float = 1e-6) -> DataFrame:
 
 def calibration_curve(df: DataFrame, bins: int = 10) -> DataFrame:
     """Observed and mean predicted share in quantile bins, right-closed."""
-    edges = df.agg(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e"))
+    edges = ordered.quantiles(df, "p", [], [i / bins for i in range(1, bins)]).select(F.col("q").alias("e"))
     # edges are one row of bins - 1 numbers
     binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda x: x < F.col("p"))))
     return binned.groupBy("bin").agg(F.avg("p").alias("predicted"), F.avg("label").alias("observed"), F.count("*").alias("n"))
@@ -199,7 +200,7 @@ def within_tolerance(df: DataFrame, metric: str, tolerance: float, *order: Colum
 
 def weight_grid(df: DataFrame, weights: list[float], k: int = 12, group: list[str] = GROUP) -> DataFrame:
     """Macro rank correlation, NDCG, recall and bust rate of the blend (1 - w) * predicted rank share + w * health, for each weight."""
-    ranked = df.withColumn("pct", ranking.rank_pct(F.col("predicted"), group))
+    ranked = files.once(ordered.rank_pct(df, "pct", "predicted", group), "ranked")
     wide = ranked.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in weights])))
     blend = wide.withColumn("predicted", F.round((1 - F.col("weight")) * F.col("pct") + F.col("weight") * F.col("health"), 9))
     by = ["weight", *group]
@@ -226,25 +227,33 @@ def candidate_table(rows: DataFrame, baseline: str, tolerance: float = 0.005) ->
 
 
 def residual_intervals(df: DataFrame, group: str = "position", least: int = 20) -> DataFrame:
-    """p10, p50, p90 of residuals by group and tercile of the forecast, (low, high]; small bins take the whole group's."""
-    cuts = df.groupBy(group).agg(F.percentile("predicted", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("c"))
-    binned = df.join(F.broadcast(cuts), group).withColumn("bin", F.size(F.filter("c", lambda x: x < F.col("predicted"))))
-    e = F.col("actual") - F.col("predicted")
-    q = lambda: F.percentile(e, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    whole = df.groupBy(group).agg(q().alias("wq"))
-    per = binned.groupBy(group, "bin").agg(q().alias("q"), F.count("*").alias("n"), F.first("c").alias("c")).join(F.broadcast(whole), group)
-    use = F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("wq"))
+    """p10, p50, p90 of residuals by group and tercile of the forecast, (low, high], with the rows they are from.
+
+    A bin of fewer than `least` rows, one without any included, takes the whole group's: a group always has three bins.
+    """
+    cuts = ordered.quantiles(df, "predicted", [group], [1 / 3, 2 / 3]).select(group, F.col("q").alias("c"))
+    binned = df.join(F.broadcast(cuts), group).withColumn("own", F.size(F.filter("c", lambda x: x < F.col("predicted"))))  # a row a group
+    rows = binned.withColumn("e", F.col("actual") - F.col("predicted")).withColumn("bin", F.explode(F.array("own", F.lit(-1))))
+    q = files.once(ordered.quantiles(rows, "e", [group, "bin"], [0.1, 0.5, 0.9]), "residuals")
+    whole = q.where("bin = -1").select(group, F.col("q").alias("wq"), F.col("total").alias("wn"))
+    every = whole.join(cuts, group).withColumn("bin", F.explode(F.array(*map(F.lit, range(3)))))
+    per = every.join(q.where("bin >= 0"), [group, "bin"], "left")
+    enough = F.coalesce(F.col("total") >= least, F.lit(False))
+    use = F.when(enough, F.col("q")).otherwise(F.col("wq"))
     inf = float("inf")
     low = F.when(F.col("bin") == 0, -inf).otherwise(F.get("c", F.col("bin") - 1))
     high = F.when(F.col("bin") == 2, inf).otherwise(F.get("c", F.col("bin")))
-    return per.select(group, "bin", low.alias("low"), high.alias("high"), use[0].alias("p10"), use[1].alias("p50"), use[2].alias("p90"), "n")
+    rows = F.when(enough, F.col("total")).otherwise(F.col("wn"))
+    return per.select(group, "bin", low.alias("low"), high.alias("high"), use[0].alias("p10"), use[1].alias("p50"), use[2].alias("p90"), rows.alias("n"))
 
 
 def apply_intervals(df: DataFrame, bands: DataFrame, group: str = "position") -> DataFrame:
-    """Attach low (at least 0) and high ends; bands are three rows a group."""
-    b = F.broadcast(bands.select(group, F.col("low").alias("_l"), F.col("high").alias("_h"), "p10", "p90"))
-    hit = df.join(b, group).where((F.col("predicted") > F.col("_l")) & (F.col("predicted") <= F.col("_h")))
-    return hit.select(*df.columns, F.greatest(F.col("predicted") + F.col("p10"), F.lit(0.0)).alias("low"), (F.col("predicted") + F.col("p90")).alias("high"))
+    """Attach low (at least 0) and high ends, null for rows in no band; bands are three rows a group."""
+    b = F.broadcast(bands.select(F.col(group).alias("_group"), F.col("low").alias("_l"), F.col("high").alias("_h"), "p10", "p90"))
+    inside = (F.col("_group") == F.col(group)) & (F.col("predicted") > F.col("_l")) & (F.col("predicted") <= F.col("_h"))
+    got = df.join(b, inside, "left")
+    low = F.when(F.col("p10").isNotNull(), F.greatest(F.col("predicted") + F.col("p10"), F.lit(0.0)))
+    return got.select(*df.columns, low.alias("low"), (F.col("predicted") + F.col("p90")).alias("high"))
 
 
 def tie_bottom(df: DataFrame, share: float, group: list[str] = GROUP) -> DataFrame:

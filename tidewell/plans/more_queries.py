@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import board, evaluation, evidence, models, panel, ranking
+from tidewell.operators import board, evaluation, evidence, models, ordered, panel, ranking
 from tidewell.plans import fixtures as fx
 from tidewell.plans.panel_queries import _FRANK, _LONG, _PROB, G, _board, _features, _prob, r6, with_
 from tidewell.plans.panel_queries import _BOARD as _BOARD_SQL
@@ -310,12 +310,14 @@ def agg_group_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(fx.FORECAST_SQL, "SELECT season, entity, CAST(rank() OVER (PARTITION BY season, position ORDER BY actual DESC NULLS LAST) AS INTEGER) AS place FROM fc"))
 def win_rank_min(spark: SparkSession, d: str) -> DataFrame:
-    return fx.forecasts(spark, d).select("season", "entity", F.rank().over(Window.partitionBy(*G).orderBy(F.desc_nulls_last("actual"))).alias("place"))
+    got = ordered.rank_min(files.once(fx.forecasts(spark, d), "forecasts"), "place", "actual", G, descending=True)
+    return got.select("season", "entity", F.col("place").cast("int").alias("place"))
 
 
 @query(with_(fx.FORECAST_SQL, "SELECT season, entity, CAST(row_number() OVER (PARTITION BY season, position ORDER BY predicted DESC NULLS LAST, entity) AS INTEGER) AS place FROM fc"))
 def win_row_number(spark: SparkSession, d: str) -> DataFrame:
-    return fx.forecasts(spark, d).select("season", "entity", F.row_number().over(Window.partitionBy(*G).orderBy(F.desc_nulls_last("predicted"), "entity")).alias("place"))
+    got = ordered.row_numbers(fx.forecasts(spark, d), "place", G, F.desc_nulls_last("predicted"), F.col("entity"))
+    return got.select("season", "entity", F.col("place").cast("int").alias("place"))
 
 
 @query(with_(fx.GAMES_SQL, "SELECT season, entity, game, status FROM games QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY week DESC, game DESC) = 1"))
@@ -529,7 +531,8 @@ def ev_adopt_gate(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE (SELECT median(s_acctbal) FROM supplier WHERE s_acctbal > 0) END AS bal FROM supplier")
 def fe_median_fill(spark: SparkSession, d: str) -> DataFrame:
     s = fx.table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("bal"))
-    return s.crossJoin(F.broadcast(s.agg(F.median("bal").alias("m")))).select("s_suppkey", F.coalesce("bal", "m").alias("bal"))  # one row
+    median = ordered.quantiles(s, "bal", [], [0.5]).select(F.col("q")[0].alias("m"))
+    return s.crossJoin(F.broadcast(median)).select("s_suppkey", F.coalesce("bal", "m").alias("bal"))  # one row
 
 
 @query(with_(_LONG + _FRANK, ", sp AS (SELECT feature, corr(rx, ry) AS s FROM fr GROUP BY 1) SELECT feature, round(s, 6) AS spearman, CAST(rank() OVER (ORDER BY round(abs(s), 9) DESC) AS INTEGER) AS place FROM sp"))

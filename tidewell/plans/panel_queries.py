@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import board, evaluation, evidence, panel, ranking
+from tidewell.operators import board, evaluation, evidence, ordered, panel, ranking
 from tidewell.plans import fixtures as fx
 from tidewell.sources import files
 
@@ -236,8 +236,8 @@ def agg_absence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_returnflag AS g, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
 def agg_quantile(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    got = fx.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(q.alias("q"))
+    rows = fx.table(spark, d, "lineitem").withColumn("g", F.col("l_returnflag"))
+    got = ordered.quantiles(rows, "l_extendedprice", ["g"], [0.1, 0.5, 0.9])
     return got.select("g", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
@@ -252,12 +252,12 @@ def agg_prevalence(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY floor(value)) + (count(*) OVER (PARTITION BY event_type, floor(value)) - 1) / 2.0 AS rank_avg FROM events")
 def win_rank_avg(spark: SparkSession, d: str) -> DataFrame:
     e = fx.table(spark, d, "events").withColumn("v", F.floor("value"))
-    return e.select("event_id", ranking.rank_avg(F.col("v"), ["event_type"]).alias("rank_avg"))
+    return ordered.rank_avg(e, "rank_avg", "v", ["event_type"]).select("event_id", "rank_avg")
 
 
 @query(with_(fx.FORECAST_SQL, "SELECT season, entity, round((rank() OVER (PARTITION BY season, position ORDER BY actual) + (count(*) OVER (PARTITION BY season, position, actual) - 1) / 2.0) / count(actual) OVER (PARTITION BY season, position), 6) AS pct FROM fc"))
 def win_rank_pct(spark: SparkSession, d: str) -> DataFrame:
-    return fx.forecasts(spark, d).select("season", "entity", F.round(ranking.rank_pct(F.col("actual"), G), 6).alias("pct"))
+    return r6(ordered.rank_pct(files.once(fx.forecasts(spark, d), "forecasts"), "pct", "actual", G), "pct").select("season", "entity", "pct")
 
 
 @query(with_(fx.GAMES_SQL, "SELECT season, entity, status, team, game FROM games QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY CASE status WHEN 'ACT' THEN 0 WHEN 'RES' THEN 1 WHEN 'DEV' THEN 2 WHEN 'E14' THEN 3 WHEN 'SUS' THEN 4 WHEN 'NWT' THEN 5 WHEN 'CUT' THEN 6 WHEN 'RET' THEN 7 ELSE 99 END, team, game) = 1"))
@@ -402,7 +402,7 @@ _RANKS = """, rk AS (SELECT *, rank() OVER (PARTITION BY season, position ORDER
 
 @query(with_(fx.FORECAST_SQL + _RANKS, "SELECT season, position, round(CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN corr(ra, rp) ELSE 0 END, 6) AS spearman, count(*) AS n FROM rk GROUP BY 1, 2"))
 def ev_spearman_macro(spark: SparkSession, d: str) -> DataFrame:
-    return r6(evaluation.spearman(fx.forecasts(spark, d)), "spearman")
+    return r6(evaluation.spearman(files.once(fx.forecasts(spark, d), "forecasts")), "spearman")
 
 
 @query(with_(fx.FORECAST_SQL, """, s AS (SELECT a.season, a.position, sum(sign(b.predicted - a.predicted)) AS s FROM fc a JOIN fc b ON a.season = b.season AND a.position = b.position AND a.actual < b.actual GROUP BY 1, 2),
@@ -509,8 +509,9 @@ def _uneven(spark: SparkSession, d: str) -> DataFrame:
 _BANDS = """, cuts AS (SELECT position, quantile_cont(predicted, CAST(1 AS DOUBLE) / 3) AS c1, quantile_cont(predicted, CAST(2 AS DOUBLE) / 3) AS c2 FROM fc GROUP BY 1),
 bn AS (SELECT f.*, c1, c2, CASE WHEN predicted <= c1 THEN 0 WHEN predicted <= c2 THEN 1 ELSE 2 END AS bin FROM fc f JOIN cuts c ON f.position = c.position),
 own AS (SELECT position, bin, quantile_cont(actual - predicted, 0.1) AS p10, quantile_cont(actual - predicted, 0.5) AS p50, quantile_cont(actual - predicted, 0.9) AS p90, count(*) AS n FROM bn GROUP BY 1, 2),
-whole AS (SELECT position, quantile_cont(actual - predicted, 0.1) AS w10, quantile_cont(actual - predicted, 0.5) AS w50, quantile_cont(actual - predicted, 0.9) AS w90 FROM fc GROUP BY 1),
-bands AS (SELECT position, bin, CASE WHEN n >= 20 THEN p10 ELSE w10 END AS p10, CASE WHEN n >= 20 THEN p50 ELSE w50 END AS p50, CASE WHEN n >= 20 THEN p90 ELSE w90 END AS p90, n FROM own JOIN whole USING (position))"""
+whole AS (SELECT position, quantile_cont(actual - predicted, 0.1) AS w10, quantile_cont(actual - predicted, 0.5) AS w50, quantile_cont(actual - predicted, 0.9) AS w90, count(*) AS wn FROM fc GROUP BY 1),
+bands AS (SELECT position, bin, CASE WHEN n >= 20 THEN p10 ELSE w10 END AS p10, CASE WHEN n >= 20 THEN p50 ELSE w50 END AS p50, CASE WHEN n >= 20 THEN p90 ELSE w90 END AS p90, CASE WHEN n >= 20 THEN n ELSE wn END AS n
+  FROM (SELECT position, unnest([0, 1, 2]) AS bin, * EXCLUDE (position) FROM whole) JOIN (SELECT DISTINCT position AS p_ FROM bn) ON position = p_ LEFT JOIN own USING (position, bin))"""
 
 
 @query(with_(_UNEVEN + _BANDS, "SELECT position, CAST(bin AS INTEGER) AS bin, round(p10, 4) AS p10, round(p50, 4) AS p50, round(p90, 4) AS p90, n FROM bands"))
@@ -599,11 +600,12 @@ def fe_assoc(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_(_LONG, """, r AS (SELECT *, (rank() OVER (PARTITION BY feature, label % 3 ORDER BY x) + (count(*) OVER (PARTITION BY feature, label % 3, x) - 1) / 2.0) / count(*) OVER (PARTITION BY feature, label % 3) AS rx,
-  (rank() OVER (PARTITION BY feature, label % 3 ORDER BY y) + (count(*) OVER (PARTITION BY feature, label % 3, y) - 1) / 2.0) / count(*) OVER (PARTITION BY feature, label % 3) AS ry FROM lf)
-SELECT feature, round(abs(corr(rx, ry)), 6) AS score FROM r GROUP BY 1"""))
+  (rank() OVER (PARTITION BY feature, label % 3 ORDER BY y) + (count(*) OVER (PARTITION BY feature, label % 3, y) - 1) / 2.0) / count(*) OVER (PARTITION BY feature, label % 3) AS ry FROM lf), sc AS (SELECT feature, round(abs(corr(rx, ry)), 6) AS score FROM r GROUP BY 1)
+SELECT feature, score, CAST(row_number() OVER (ORDER BY score DESC, feature) AS INTEGER) AS place FROM sc WHERE score > 0 QUALIFY place <= 20"""))
 def fe_fold_select(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 features with the strongest rank correlation inside groups."""
     rows = _features(spark, d).withColumn("g", F.col("label") % 3)
-    return r6(evidence.fold_scores(rows, ["g"]), "score")
+    return evidence.top_features(r6(evidence.fold_scores(rows, ["g"]), "score"), 20).select("feature", "score", "place")
 
 
 @query(with_(_ASSOC, """, n AS (SELECT feature, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature) AS raw FROM fp)
