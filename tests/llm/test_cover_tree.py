@@ -54,7 +54,7 @@ def test_equal_to_all_pairs(spark):
 @pytest.mark.parametrize("block, stream, leaf", [(64, 1, 8), (20, 2, 4)])
 def test_many_cells_blocks_and_streams(spark, monkeypatch, block, stream, leaf):
     """Small limits, so that cells, blocks, streams and trees of several levels all come up."""
-    for name, value in (("BLOCK", block), ("STREAM", stream), ("LEAF", leaf), ("GATHERED", 3)):
+    for name, value in (("BLOCK", block), ("STREAM", stream), ("SHAPE", (leaf, 4, 3))):
         monkeypatch.setattr(cover_tree, name, value)
     rows = mixture(400, 5, 11)
     assert found(spark, rows) == brute(rows)

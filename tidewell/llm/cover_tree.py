@@ -43,7 +43,7 @@ BLOCK = 8_192
 #: Blocks of visitors that a block of members meets in one task.
 STREAM = 16
 #: Points of a leaf; children tried at a node; points that a child gathers at least.
-LEAF, CHILDREN, GATHERED = 64, 16, 8
+SHAPE = 64, 16, 8
 #: Rows of a product at once.
 ROWS = 1_024
 #: Distances this close to a bound are not decided by it.
@@ -179,23 +179,24 @@ def _visits(centres, radii, open_, blocks, streams, t: float, single: bool):
 class Tree:
     """A small cover tree: nodes (centre, radius, points, children), each child of half the radius at most."""
 
-    def __init__(self, x: np.ndarray, t: float):
-        self.x, self.t = x, t
+    def __init__(self, x: np.ndarray, t: float, shape: tuple[int, int, int] = SHAPE):
+        self.x, self.t, self.shape = x, t, shape
         self.root = self._node(np.arange(len(x)))
 
     def _node(self, points: np.ndarray, grow: bool = True) -> tuple:
         centre = self.x[points[0]]
         d = np.sqrt(np.maximum(0, 2 - 2 * (self.x[points] @ centre)))
         radius, children = float(d.max()), []
-        if grow and len(points) > LEAF and 2 * radius > self.t:
+        leaf, most, gathers = self.shape
+        if grow and len(points) > leaf and 2 * radius > self.t:
             rest, loose = points, []
-            for _ in range(CHILDREN):
+            for _ in range(most):
                 if not len(rest):
                     break
                 near = np.sqrt(np.maximum(0, 2 - 2 * (self.x[rest] @ self.x[rest[0]]))) <= radius / 2
                 near[0] = True
                 gathered, rest = rest[near], rest[~near]
-                if len(gathered) >= GATHERED:
+                if len(gathered) >= gathers:
                     children.append(self._node(gathered))
                 else:
                     loose.append(gathered)
@@ -207,10 +208,10 @@ class Tree:
 class Block:
     """The members of a block, what has been counted for them, and which of them are connected."""
 
-    def __init__(self, nodes, copies, x: np.ndarray, cosine: float):
-        self.nodes, self.copies, self.x, self.cosine = nodes, copies, x, cosine
+    def __init__(self, nodes, copies, x: np.ndarray, cosine: float, shape: tuple[int, int, int] = SHAPE):
+        self.nodes, self.copies, self.x, self.cosine, self.shape = nodes, copies, x, cosine, shape
         self.t = math.sqrt(2 - 2 * cosine)
-        self.tree = Tree(x, self.t)
+        self.tree = Tree(x, self.t, shape)
         self.counts, self.part = np.zeros(len(x), np.int64), np.arange(len(x))
 
     def _linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -226,7 +227,7 @@ class Block:
         if alone:
             nodes, copies, x, tree = self.nodes, self.copies, self.x, self.tree
         else:
-            tree = Tree(x, self.t)
+            tree = Tree(x, self.t, self.shape)
         k = len(self.nodes)
         part = self.part if alone else np.concatenate([self.part, np.arange(k, k + len(x))])
         shift, name = (0, nodes) if alone else (k, np.concatenate([self.nodes, nodes]))
@@ -284,7 +285,7 @@ def _renumbered(part: np.ndarray) -> np.ndarray:
     return first[1][first[2]]
 
 
-def _compare(cosine: float, single: bool, alike: np.ndarray):
+def _compare(cosine: float, single: bool, alike: np.ndarray, shape: tuple[int, int, int]):
     """Rows (a, b, n): n classes' copies that a is linked with in a block, or an edge (a, b) with n = 0.
 
     Rows come by block, members first: these are held, and visitors pass by. In the first stream of a block
@@ -304,7 +305,7 @@ def _compare(cosine: float, single: bool, alike: np.ndarray):
         def ready(own: bool):
             """The block of the members held; `own`: they meet each other here."""
             nodes = np.concatenate([h[0] for h in held])
-            made = Block(nodes, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), cosine)
+            made = Block(nodes, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), cosine, shape)
             edges = []
             if own:
                 edges = made.meet()[1]
@@ -389,7 +390,7 @@ def _links(spark: SparkSession, classes: DataFrame, cosine: float, dim: int, sin
         _visits(centres, radii, open_, blocks, streams, t, single), "cell int, block int, stream int, kind int, node long, copies long, raw binary"
     )
     keys = ["cell", "block", "stream"]
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(_compare(cosine, single, whole.diagonal()), "a long, b long, n long")
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(_compare(cosine, single, whole.diagonal(), SHAPE), "a long, b long, n long")
     found = materialize(found, "found")
     counted = found.where("n > 0").select(F.col("a").alias("node"), "n")
     edges = found.where("n = 0").select("a", "b")

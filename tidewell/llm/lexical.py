@@ -165,7 +165,7 @@ class Item:
         self.share = scaled[order] / (self.length or 1.0)
 
 
-def _search(block: list[dict[int, int]], weights: np.ndarray, floors: dict[int, int], top: int):
+def _search(block: list[dict[int, int]], weights: np.ndarray, floors: dict[int, int], top: int, size: int):
     """Rows (item, doc_id, score): the best documents of each item in a task, none under its floor."""
     root = np.sqrt(weights.astype(float))
 
@@ -198,11 +198,11 @@ def _search(block: list[dict[int, int]], weights: np.ndarray, floors: dict[int,
         held, n = [], 0
         for batch in batches:
             while batch.num_rows:
-                part = batch.slice(0, BUCKET - n)
+                part = batch.slice(0, size - n)
                 held.append(part)
                 n += part.num_rows
                 batch = batch.slice(part.num_rows)
-                if n == BUCKET:
+                if n == size:
                     if active:
                         see(pa.Table.from_batches(held))
                     held, n = [], 0
@@ -240,7 +240,7 @@ def _rank_block(docs: DataFrame, block: list[tuple[int, list[bytes]]], top: int)
 
     def search(some: DataFrame, floors: dict[int, int]) -> DataFrame:
         dealt = some.repartitionByRange(F.desc("length"), "row").sortWithinPartitions(F.desc("length"), "row")
-        return _best(dealt.select("doc_id", "length", "terms", "impacts").mapInArrow(_search(items, weights, floors, top), FOUND), top)
+        return _best(dealt.select("doc_id", "length", "terms", "impacts").mapInArrow(_search(items, weights, floors, top, BUCKET), FOUND), top)
 
     seeds = vectors.where(F.pmod(F.xxhash64("row"), F.lit(max(1, documents // SEEDS))) == 0)
     floors = dict(search(seeds, {}).where(F.col("rank") == top).select("item", "score").collect())  # one row an item of the block
