@@ -54,9 +54,11 @@ def test_constant_side_has_no_correlation(spark):
 
 def test_permutation_keeps_each_group(spark):
     df = spark.range(40).select(F.lit(1).alias("season"), (F.col("id") % 2).cast("string").alias("position"), F.col("id").alias("entity"), F.col("id").cast("double").alias("actual"))
-    a = evaluation.permuted(df, 3).orderBy("entity").collect()
+    a = evaluation.permuted(df, [3, 4]).orderBy("seed", "entity").collect()
+    assert [r.permuted for r in a if r.seed == 3] != [r.permuted for r in a if r.seed == 4]
+    a = [r for r in a if r.seed == 3]
     assert sorted(r.permuted for r in a if r.position == "0") == sorted(r.actual for r in a if r.position == "0")
-    assert a == evaluation.permuted(df.repartition(1), 3).orderBy("entity").collect()
+    assert a == evaluation.permuted(df.repartition(1), [3]).orderBy("entity").collect()
 
 
 def test_names_heights_and_reasons(spark):
@@ -124,14 +126,17 @@ def test_queries_can_be_read():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_kendall_equals_all_pairs(spark):
+@pytest.mark.parametrize("block", [1, 20, 10_000])
+def test_kendall_equals_all_pairs(spark, monkeypatch, block):
     import random
 
+    monkeypatch.setattr(evaluation, "BLOCK", block)
+
     rng = random.Random(4)
     rows = [(2000, g, i, float(rng.randint(0, 9)), float(rng.randint(0, 60))) for g in ("a", "b") for i in range(150)]
     df = spark.createDataFrame(rows, "season int, position string, entity int, predicted double, actual double")
     sign = lambda x: (x > 0) - (x < 0)
-    got = {r.position: r.kendall for r in evaluation.kendall(df, blocks=5).collect()}
+    got = {r.position: r.kendall for r in evaluation.kendall(df).collect()}
     for g in ("a", "b"):
         own = [(p, a) for _, k, _, p, a in rows if k == g]
         pairs = [(own[i], own[j]) for i in range(150) for j in range(i)]
@@ -140,17 +145,6 @@ def test_kendall_equals_all_pairs(spark):
         assert got[g] == pytest.approx(s / (free[0] * free[1]) ** 0.5)
 
 
-def test_bootstrap_of_a_statistic(spark):
-    rows = [(2000, "a", i, float(i), float(i + (i % 3)), 0.0) for i in range(60)]
-    df = spark.createDataFrame(rows, "season int, position string, entity int, predicted double, actual double, flat double")
-    mae = evaluation.cluster_bootstrap(df, 50).first()
-    gain = evaluation.cluster_bootstrap(df, 50, lambda x, n, seed: evaluation.draw_mae(x, n, seed, "flat")).first()
-    rank = evaluation.cluster_bootstrap(df, 20, evaluation.draw_spearman).first()
-    assert 0.6 < mae.low < 1.0 < mae.high < 1.4 and gain.low > 20 and 0.95 < rank.low <= rank.high <= 1.0
-    assert mae == evaluation.cluster_bootstrap(df.repartition(3), 50).first()
-    assert evaluation._poisson_table()[-1] > 1 - 2.0**-30
-
-
 def test_cohort_and_its_contract(spark):
     games = [(1999, 1, 3, "A", "QB", 1, "ACT"), (1999, 1, 9, "B", "QB", 2, "ACT"), (2000, 2, 1, "C", "K", 3, "RES"), (2000, 3, 1, "C", "K", 4, None)]
     rosters = spark.createDataFrame(games, "season int, entity int, week int, team string, position string, game int, status string")

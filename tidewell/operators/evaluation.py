@@ -5,8 +5,6 @@ Forecasts are rows (group columns, entity, predicted, actual); probabilities are
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,64 +49,77 @@ def _pair_signs(a: np.ndarray, p: np.ndarray, w: np.ndarray) -> float:
     return total
 
 
-def kendall(df: DataFrame, group: list[str] = GROUP, blocks: int = 8) -> DataFrame:
-    """Kendall's tau-b of each group, 0 where a side is constant.
+#: Rows of a block of kendall() at least; blocks grow with the root of a group's rows.
+BLOCK = 20_000
+
+
+def kendall(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """Kendall's tau-b of each group, 0 where a side is constant; df is read several times.
 
-    Both sides of a group are cut into `blocks` at quantiles. Pairs in different blocks on both sides
-    follow from the counts of block pairs; pairs inside a block of either side are counted by sorting
-    and halving in the task of that block. So a pair is at no time a row, and a task has a block.
+    Each side of a group is cut into blocks by the places of its values, of BLOCK rows or, in groups of more than its
+    square, of the root of their number, so that blocks and pairs of blocks both stay bounded. Pairs in different
+    blocks on both sides are counted by two-dimensional prefix sums over the grid of block pairs, as two running sums. Pairs
+    inside a block of either side are counted in the task of that block by sorting and halving: a pair is at no time a row.
     """
-    fractions = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    edges = df.groupBy(*group).agg(*[F.percentile_approx(c, fractions, F.lit(10_000)).alias(f"{c}_cuts") for c in ("actual", "predicted")])
-    cells = df.groupBy(*group, "actual", "predicted").agg(F.count("*").cast("double").alias("w"))
-    place = lambda c: F.size(F.filter(f"{c}_cuts", lambda x: x < F.col(c)))
-    cut = cells.join(edges, group).select(*group, "actual", "predicted", "w", place("actual").alias("i"), place("predicted").alias("j"))
-    grid = cut.groupBy(*group, "i", "j").agg(F.sum("w").alias("w")).withColumns({"actual": F.lit(0.0), "predicted": F.lit(0.0)})
-    rows = cut.withColumn("part", F.explode(F.array(F.struct(F.lit("i").alias("side"), F.col("i").alias("at")), F.struct(F.lit("j").alias("side"), F.col("j").alias("at")))))
-    rows = rows.unionByName(grid.withColumn("part", F.struct(F.lit("grid").alias("side"), F.lit(0).alias("at"))))  # at most blocks * blocks a group
+    size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt("total")).cast("long"))
+
+    def side(column: str, at: str) -> DataFrame:
+        known = ordered.values(df, column, group)
+        return known.select("_g", F.col("_v").alias(column), "n", "total", size.alias("size"), F.floor(F.col("below") / size).cast("int").alias(at))
+
+    one, two = files.once(side("actual", "i"), "kendall"), files.once(side("predicted", "j"), "kendall")
+    cells = df.select(F.struct(*group).alias("_g"), "actual", "predicted").groupBy("_g", "actual", "predicted").agg(F.count("*").cast("double").alias("w"))
+    cut = cells.join(one.select("_g", "actual", "i", "total", "size"), ["_g", "actual"]).join(two.select("_g", "predicted", "j"), ["_g", "predicted"])
+    cut = files.once(cut, "kendall")
+
+    # blocks of one value have no pair that counts, and a group of one block has its pairs in that block of the first side
+    wide = lambda known, at: known.groupBy("_g", F.col(at).alias("at")).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    rows = lambda name, at: cut.select("_g", F.lit(name).alias("side"), F.col(at).alias("at"), "actual", "predicted", "w", "i", "total", "size")
+    inside = rows("i", "i").join(wide(one, "i"), ["_g", "at"], "left_semi").unionByName(rows("j", "j").where("total > size").join(wide(two, "j"), ["_g", "at"], "left_semi"))
 
     def count(key, part):
-        a, p, w, i, j = (part[c].to_numpy() for c in ("actual", "predicted", "w", "i", "j"))
-        side = part["side"].iloc[0]
-        if side == "grid":
-            s = _apart(i, j, w, blocks)
-        else:
-            s = _pair_signs(a, p, w) - (sum(_pair_signs(a[i == k], p[i == k], w[i == k]) for k in np.unique(i)) if side == "j" else 0.0)
-        return pd.DataFrame([[*key[: len(group)], s]], columns=[*group, "s"])
-
-    types = dict(df.dtypes)
-    schema = ", ".join(f"{g} {types[g]}" for g in group) + ", s double"
-    dealt = rows.select(*group, "part.side", "part.at", "actual", "predicted", "w", "i", "j")
-    score = dealt.groupBy(*group, "side", "at").applyInPandas(count, schema).groupBy(*group).agg(F.sum("s").alias("s"))
+        a, p, w, i = (part[c].to_numpy() for c in ("actual", "predicted", "w", "i"))
+        s = _pair_signs(a, p, w)
+        if part["side"].iloc[0] == "j":  # pairs that share a block of the first side too are counted there
+            order = np.argsort(i, kind="stable")
+            for same in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+                s -= _pair_signs(a[same], p[same], w[same])
+        return pd.DataFrame([[key[0], s]], columns=["k", "s"])
+
+    near = inside.withColumn("k", F.to_json("_g")).groupBy("k", "side", "at").applyInPandas(count, "k string, s double")
+
+    grid = cut.where("total > size").groupBy("_g", "i", "j").agg(F.sum("w").alias("w"))
+    sizes = grid.groupBy("_g").agg(F.max("i").alias("mi"), F.max("j").alias("mj"))
+    every = sizes.select("_g", F.explode(F.sequence(F.lit(0), "mi")).alias("i"), "mj").select("_g", "i", F.explode(F.sequence(F.lit(0), "mj")).alias("j"))
+    full = every.join(grid, ["_g", "i", "j"], "left").select("_g", "i", "j", F.coalesce("w", F.lit(0.0)).alias("w"))
+    above = F.coalesce(F.sum("w").over(Window.partitionBy("_g", "j").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    along = Window.partitionBy("_g", "i").orderBy("j")
+    before = F.coalesce(F.sum("above").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.coalesce(F.sum("above").over(along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    far = full.withColumn("above", above).select(F.to_json("_g").alias("k"), (F.col("w") * (before - after)).alias("s"))
+
+    score = near.unionByName(far).groupBy("k").agg(F.sum("s").alias("s"))
     pairs = lambda n: n * (n - 1) / 2
 
-    def ties(column: str) -> DataFrame:
-        counts = cells.groupBy(*group, column).agg(F.sum("w").alias("c"))
-        return counts.groupBy(*group).agg(F.sum(pairs(F.col("c"))).alias(f"t_{column}"), pairs(F.sum("c")).alias("pairs"))
+    def ties(known: DataFrame, name: str) -> DataFrame:
+        n = F.col("n").cast("double")
+        return known.groupBy("_g").agg(F.sum(pairs(n)).alias(name), pairs(F.max("total").cast("double")).alias("pairs"))
 
-    both = ties("actual").join(ties("predicted").drop("pairs"), group).join(score, group, "left")
+    both = ties(one, "t_actual").join(ties(two, "t_predicted").drop("pairs"), "_g").withColumn("k", F.to_json("_g")).join(score, "k", "left")
     low = F.sqrt((F.col("pairs") - F.col("t_actual")) * (F.col("pairs") - F.col("t_predicted")))
-    return both.select(*group, F.coalesce(F.try_divide(F.col("s"), low), F.lit(0.0)).alias("kendall"))
+    return both.select(*[F.col(f"_g.{g}").alias(g) for g in group], F.coalesce(F.try_divide(F.col("s"), low), F.lit(0.0)).alias("kendall"))
 
 
-def _apart(i: np.ndarray, j: np.ndarray, w: np.ndarray, blocks: int) -> float:
-    """Sum of w * w' * sign(j' - j) over pairs of cells with i < i' and other j."""
-    table = np.zeros((blocks, blocks))
-    np.add.at(table, (i, j), w)
-    before = np.cumsum(table, axis=0) - table  # of the rows above
-    under = np.cumsum(before, axis=1) - before
-    over = before.sum(1, keepdims=True) - under - before
-    return float((table * (under - over)).sum())
-
-
-def regression(df: DataFrame, group: list[str]) -> DataFrame:
-    """MAE, RMSE, R squared, calibration slope and intercept (0 and the mean for constant forecasts)."""
+def regression(df: DataFrame, group: list[str], ranked: list[str] = GROUP) -> DataFrame:
+    """MAE, RMSE, R squared, calibration slope and intercept (0 and the mean for constant forecasts), mean error of ranks inside `ranked`."""
+    places = {"_a": ("actual", ordered.mean_place(True)), "_p": ("predicted", ordered.mean_place(True))}
     e = F.col("actual") - F.col("predicted")
     slope = F.coalesce(F.try_divide(F.covar_pop("actual", "predicted"), F.var_pop("predicted")), F.lit(0.0))
-    return df.groupBy(*group).agg(
+    return ordered.with_ranks(df, places, ranked).groupBy(*group).agg(
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         (1 - F.try_divide(F.avg(e * e), F.var_pop("actual"))).alias("r2"),
+        F.avg(F.abs(F.col("_a") - F.col("_p"))).alias("rank_mae"),
         slope.alias("slope"),
         (F.avg("actual") - slope * F.avg("predicted")).alias("intercept"),
         F.count("*").alias("n"),
@@ -208,6 +219,12 @@ def weight_grid(df: DataFrame, weights: list[float], k: int = 12, group: list[st
     return per.groupBy("weight").agg(*[F.avg(c).alias(c) for c in ("spearman", "ndcg", "recall", "bust_rate")])
 
 
+def adoption(chosen: DataFrame, gain: DataFrame, least: float = 0.0) -> DataFrame:
+    """The chosen candidate with the interval of its gain on the baseline; adopted if the low end exceeds `least`."""
+    ends = gain.select("low", "mid", "high")
+    return chosen.crossJoin(F.broadcast(ends)).withColumn("adopted", F.col("low") > least)  # one row
+
+
 def candidate_table(rows: DataFrame, baseline: str, tolerance: float = 0.005) -> DataFrame:
     """A row a candidate of rows (candidate, components, group, predicted, actual): metrics, and which one is chosen.
 
@@ -264,66 +281,17 @@ def tie_bottom(df: DataFrame, share: float, group: list[str] = GROUP) -> DataFra
     return df.withColumn("tied", F.when(n <= cut, F.min("predicted").over(w)).otherwise(F.col("predicted")))
 
 
-def permuted(df: DataFrame, seed: int, group: list[str] = GROUP) -> DataFrame:
-    """Actuals dealt anew within each group, by the order of a digest: the same for any partitioning."""
-    w = Window.partitionBy(*group)
-    at = df.withColumn("_i", F.row_number().over(w.orderBy("entity")))
-    shuffled = df.select(*group, F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "entity").cast("binary")), "entity")).alias("_i"), F.col("actual").alias("permuted"))
-    return at.join(shuffled, [*group, "_i"]).drop("_i")
-
+def permuted(df: DataFrame, seeds: list[int], value: str = "actual", group: list[str] = GROUP) -> DataFrame:
+    """df once a seed, with `permuted`: the value dealt anew within each group, by the order of a digest.
 
-def _poisson_table(below: float = 2.0**-40) -> list[float]:
-    """Chances that a Poisson(1) count is at most 0, 1, 2, ... until what is left is negligible."""
-    out, term, total, k = [], math.exp(-1), 0.0, 0
-    while 1 - total > below:
-        total += term
-        out.append(total)
-        k += 1
-        term /= k
-    return out[:-1]
-
-
-def draws_of(df: DataFrame, draws: int, seed: int = 7) -> DataFrame:
-    """df once a draw, with the weight w that its entity has in it.
-
-    A draw gives each entity a Poisson(1) weight from a hash: resampling entities without numbering
-    them, and the same for any partitioning.
+    The same for any partitioning. Places are taken by ranges, so a group may be of any size; df is read twice.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "entity"), F.lit(1 << 42)) + 0.5) / (1 << 42)
-    weight = sum((u > c).cast("int") for c in _poisson_table())
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight).where("w > 0")
-
-
-def draw_mae(df: DataFrame, draws: int, seed: int = 7, other: str | None = None) -> DataFrame:
-    """(draw, value): mean absolute error, or by how much that of the forecast `other` exceeds it in the same draw."""
-    error = F.abs(F.col("actual") - F.col("predicted"))
-    gain = error if other is None else F.abs(F.col("actual") - F.col(other)) - error
-    sums = df.groupBy("entity").agg(F.sum(gain).alias("e"), F.count("*").alias("n"))
-    return draws_of(sums, draws, seed).groupBy("draw").agg((F.sum(F.col("w") * F.col("e")) / F.sum(F.col("w") * F.col("n"))).alias("value"))
-
-
-def draw_spearman(df: DataFrame, draws: int, seed: int = 7, group: list[str] = GROUP) -> DataFrame:
-    """(draw, value): macro rank correlation with average ranks of weighted rows."""
-    rows, by = draws_of(df, draws, seed), ["draw", *group]
-
-    def rank(c: str) -> Column:
-        up = Window.partitionBy(*by).orderBy(c).rangeBetween(Window.unboundedPreceding, 0)
-        tie = F.sum("w").over(Window.partitionBy(*by, c))
-        return F.sum("w").over(up) - tie + (tie + 1) / 2
-
-    w, x, y = F.col("w"), F.col("ra"), F.col("rp")
-    n = F.sum(w)
-    cov = lambda a, b: F.sum(w * a * b) / n - F.sum(w * a) / n * F.sum(w * b) / n
-    per = rows.withColumns({"ra": rank("actual"), "rp": rank("predicted")}).groupBy(*by).agg(cov(x, y).alias("c"), cov(x, x).alias("vx"), cov(y, y).alias("vy"))
-    value = F.when((F.col("vx") > 1e-9) & (F.col("vy") > 1e-9), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).otherwise(0.0)
-    return per.groupBy("draw").agg(F.avg(value).alias("value"))
-
-
-def cluster_bootstrap(df: DataFrame, draws: int, statistic=draw_mae, seed: int = 7) -> DataFrame:
-    """2.5, 50 and 97.5 percentiles over draws of entities; statistic(df, draws, seed) gives (draw, value)."""
-    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    per = statistic(df, draws, seed)
-    return per.agg(q.alias("q"), F.count("*").alias("draws")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"), "draws")
+    copies = df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    by = ["seed", *group]
+    own = ordered.row_numbers(copies, "_i", by, F.col("entity"))
+    digest = F.md5(F.concat_ws(":", "seed", "entity").cast("binary"))
+    dealt = ordered.row_numbers(copies.select(*by, "entity", F.col(value).alias("permuted")), "_i", by, digest, F.col("entity"))
+    return own.join(dealt.drop("entity"), [*by, "_i"]).drop("_i")
 
 
 def blend_ranks(weights: dict[str, float], group: list[str]) -> Column:

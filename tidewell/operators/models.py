@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import ranking
+from tidewell.operators import evaluation, ordered, ranking
+from tidewell.sources import files
 
 #: Learners and their settings, as data.
 GRID = {
@@ -58,6 +60,16 @@ def prepared(features: list[str]) -> list:
     ]
 
 
+def imputed_scaled(df: DataFrame, train: Column, features: list[str]) -> DataFrame:
+    """df with unknown features as the exact median of the training rows, then centred and in units of their spread (0 for constants)."""
+    long = df.where(train).unpivot([F.lit(0).alias("_k")], features, "feature", "x")
+    medians = {r.feature: r.q[0] for r in ordered.quantiles(long, "x", ["feature"], [0.5]).collect()}  # a row a feature
+    filled = df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(float(medians.get(f, 0.0)))) for f in features})
+    stats = filled.where(train).agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_samp(f).alias(f"s_{f}") for f in features])
+    both = filled.crossJoin(F.broadcast(stats))  # one row
+    return both.withColumns({f: F.coalesce(F.try_divide(F.col(f) - F.col(f"m_{f}"), F.col(f"s_{f}")), F.lit(0.0)) for f in features}).drop(*stats.columns)
+
+
 def balanced(df: DataFrame) -> DataFrame:
     """Add weight: rows / (2 * rows of the class)."""
     counts = df.groupBy("y").agg(F.count("*").alias("_n"))
@@ -162,6 +174,32 @@ def ablation(train: DataFrame, test: DataFrame, name: str, families: dict[str, l
     return reduce(DataFrame.unionByName, rows).crossJoin(F.broadcast(whole)).select("family", (F.col("whole") - F.col("metric")).alias("drop"))  # one row
 
 
+def linear_importance(held: DataFrame, features: list[str], fits: np.ndarray, medians: np.ndarray, repeats: int, seed: int = 7) -> DataFrame:
+    """(season, feature, importance): macro rank correlation less the same with a feature dealt anew over its season.
+
+    held(season, position, entity, features, y, fold, predicted) are forecasts of the linear models `fits`, a row a fold.
+    All columns and repeats are dealt in one pass, by ranges of a hash, and a forecast moves by its coefficient alone.
+    """
+    held = held.withColumnRenamed("y", "actual")
+    keys = ["season", "feature", "repeat"]
+    weight = F.array(*[F.array(*[F.lit(float(v)) for v in row[1:]]) for row in fits])
+    middle = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in medians])
+    copies = held.select("season", "position", "entity", "actual", "predicted", "fold", F.posexplode("features").alias("feature", "x"))
+    copies = copies.withColumn("x", F.coalesce("x", middle[F.col("fold")][F.col("feature")])).withColumn("repeat", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+    copies = files.once(copies, "copies")
+    own = ordered.row_numbers(copies, "_i", keys, F.col("entity"))
+    dealt = ordered.row_numbers(copies, "_i", keys, F.xxhash64(F.lit(seed), "season", "feature", "repeat", "entity"), F.col("entity"))
+    moved = own.join(dealt.select(*keys, "_i", F.col("x").alias("_x")), [*keys, "_i"])
+    shift = weight[F.col("fold")][F.col("feature")] * (F.col("_x") - F.col("x"))
+    group = ["season", "position"]
+    whole = evaluation.spearman(held, group).groupBy("season").agg(F.avg("spearman").alias("whole"))
+    per = evaluation.spearman(files.once(moved.withColumn("predicted", F.col("predicted") + shift), "moved"), [*keys, "position"])
+    each = per.groupBy("season", "feature").agg((F.sum("spearman") / F.count("*")).alias("left"))  # as many positions in each repeat
+    names = F.array(*[F.lit(f) for f in features])
+    got = each.join(F.broadcast(whole), "season")  # a row a season
+    return got.select("season", names[F.col("feature")].alias("feature"), (F.col("whole") - F.col("left")).alias("importance"))
+
+
 def mutual_information(rows: DataFrame, bins: int = 8) -> DataFrame:
     """Information of y's class on a feature's quantile bin, from counts; rows (feature, x, y)."""
     edges = rows.groupBy("feature").agg(F.percentile_approx("x", [i / bins for i in range(1, bins)], 10_000).alias("e"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import board, evaluation, evidence, models, ordered, panel, ranking
+from tidewell.operators import board, bootstrap, evaluation, evidence, gram, models, ordered, panel, ranking, trees
 from tidewell.plans import fixtures as fx
 from tidewell.plans.panel_queries import _FRANK, _LONG, _PROB, G, _board, _features, _prob, r6, with_
 from tidewell.plans.panel_queries import _BOARD as _BOARD_SQL
@@ -528,6 +529,17 @@ def ev_adopt_gate(spark: SparkSession, d: str) -> DataFrame:
     return _rated(spark, d).where("selected").select("candidate", "gain", "adopted", (F.col("gain") >= 0.02).alias("gain_enough"))
 
 
+@query()
+def ev_adopt_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The selected candidate with the interval of its paired gain on the baseline over 500 draws; it is adopted if the low end is above 0."""
+    chosen = _rated(spark, d).where("selected").select("candidate", "gain")
+    name = chosen.first().candidate
+    mean = F.round((F.col("one") + F.col("two")) / 2, 9).alias("mean")
+    rows = bootstrap.weighted(_parts(spark, d).select(*G, "entity", "actual", "one", "two", mean), 500)
+    gain = bootstrap.paired(bootstrap.draw_spearman(rows, 500, predicted=name), bootstrap.draw_spearman(rows, 500, predicted="one"))
+    return evaluation.adoption(chosen, bootstrap.interval(gain))
+
+
 @query("SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE (SELECT median(s_acctbal) FROM supplier WHERE s_acctbal > 0) END AS bal FROM supplier")
 def fe_median_fill(spark: SparkSession, d: str) -> DataFrame:
     s = fx.table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("bal"))
@@ -593,12 +605,19 @@ def brd_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- model fits
 
-FEATURES = ["lag1_target", "lag1_carries", "lag1_tds", "lag2_target"]
+#: Columns of the model queries; the balance is unknown for some entities and stays so until a fit fills it.
+FEATURES = ["lag1_target", "lag1_carries", "lag1_tds", "lag2_target", "balance"]
+LAGS = FEATURES[:4]
+
+
 def _derived(spark: SparkSession, d: str) -> DataFrame:
     """season, entity, position, features known before the season, y (its points)."""
     s = fx.season_points(spark, d)
-    lags = panel.lagged(s.select("season", "entity"), s, ["target", "carries", "tds"], range(1, 3)).select("season", "entity", *FEATURES)
-    return s.select("season", "entity", "position", F.col("target").alias("y")).join(lags, ["season", "entity"])
+    lags = panel.lagged(s.select("season", "entity"), s, ["target", "carries", "tds"], range(1, 3)).select("season", "entity", *LAGS)
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance")
+    known = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), balance)
+    rows = s.select("season", "entity", "position", F.col("target").alias("y")).join(lags, ["season", "entity"])
+    return rows.join(known, "entity", "left").select("season", "entity", "position", "y", *FEATURES)
 
 
 def _frame(spark: SparkSession, d: str) -> DataFrame:
@@ -697,6 +716,41 @@ def chk_lineage(spark: SparkSession, d: str) -> DataFrame:
     return panel.check_matrix(_matrix(spark, d), lineage, ["season", "entity"])
 
 
+def _folds(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows with features, weight, fold (of the season predicted, else -1) and since (the first fold that learns from them)."""
+    seasons = _seasons(rows)
+    since = sum(((F.col("season") >= s).cast("int") for s in seasons), F.lit(0))
+    fold = F.coalesce(*[F.when(F.col("season") == s, k) for k, s in enumerate(seasons)], F.lit(-1))
+    out = rows.select("season", "entity", "position", F.array(*FEATURES).alias("features"), "y", F.lit(1.0).alias("weight"), since.alias("since"), fold.alias("fold"))
+    return files.once(out, "folds"), len(seasons)
+
+
+def _trees(spark: SparkSession, d: str) -> DataFrame:
+    """180 trees of depth 14 for every season with two before it, all grown at once."""
+    rows, folds = _folds(_derived(spark, d))
+    grown, medians = trees.fit(rows, folds, 180, 14, 5, 0.7)
+    return trees.predict(rows.where("fold >= 0").select("season", "entity", "position", "y", "features", "fold"), grown, medians).select(_OUT)
+
+
+def _tree_classes(spark: SparkSession, d: str) -> DataFrame:
+    """300 trees of leaves of 20 with balanced classes, beside the boosted classifier; every season with two before it."""
+    rows, folds = _folds(_derived(spark, d).withColumn("y", (F.col("y") > F.col("lag1_target")).cast("double")))
+    counts = rows.groupBy("since", "y").count().collect()  # folds by classes
+    seen = lambda k, *ys: sum(r["count"] for r in counts if r.since <= k and r.y in ys)
+    balance = np.array([[seen(k, 0.0, 1.0) / max(2 * seen(k, y), 1) for y in (0.0, 1.0)] for k in range(folds)])
+    grown, medians = trees.fit(rows, folds, 300, 14, 20, 0.7, balance=balance)
+    own = trees.predict(rows.where("fold >= 0").select("season", "entity", "position", "y", "features", "fold"), grown, medians)
+    return own.select(F.lit("random_splits").alias("learner"), *_OUT).unionByName(_forward("boosting_class", classes=True)(spark, d).select(F.lit("boosting_class").alias("learner"), *_OUT))
+
+
+def _ridge(spark: SparkSession, d: str) -> DataFrame:
+    """A ridge for every season with two before it, all solved from one aggregation."""
+    rows, folds = _folds(_derived(spark, d))
+    m = gram.moments(rows, folds, ["y"])
+    fits = {"ridge": np.stack([m.ridge(k, "y", 10.0) for k in range(folds)])}
+    return gram.predict(rows.where("fold >= 0"), fits, m.medians).select(_OUT)
+
+
 def _model_query(name: str, run) -> None:
     QUERIES[name] = run
 
@@ -731,29 +785,34 @@ def _hurdle(spark: SparkSession, d: str) -> DataFrame:
 
 def _platt(spark: SparkSession, d: str) -> DataFrame:
     rows = _classes(spark, d)
-    return models.walk_forward(rows, _seasons(rows)[-1:], lambda a, b: models.platt(a, b, "forest_class", FEATURES)).select(_OUT)
+    return models.walk_forward(rows, _seasons(rows)[1:], lambda a, b: models.platt(a, b, "forest_class", FEATURES)).select(_OUT)
 
 
 _model_query("ml_walk_forward", _forward("ridge"))
-_model_query("ml_linear", _forward("ridge", last=1))
+_model_query("ml_linear", _ridge)
 _model_query("ml_position_scope", _positions)
-_model_query("ml_tree_ensemble", _forward("forest"))
+_model_query("ml_tree_ensemble", _trees)
 _model_query("ml_boosting", _forward("boosting"))
 _model_query("ml_logit", _forward("logit", "sparse_logit", classes=True))
-_model_query("ml_tree_classifier", _forward("forest_class", "boosting_class", classes=True))
+_model_query("ml_tree_classifier", _tree_classes)
 _model_query("ml_hurdle", _hurdle)
 _model_query("ml_platt", _platt)
 
 
-@query()
-def ml_impute_scale(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
+_SCALED = fx.SEASON_SQL + """, fm AS (SELECT s.season, s.entity, coalesce(a.target, 0) AS lag1_target, coalesce(a.carries, 0) AS lag1_carries, coalesce(a.tds, 0) AS lag1_tds, coalesce(b.target, 0) AS lag2_target,
+  CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance FROM seasons s LEFT JOIN seasons a ON a.entity = s.entity AND a.season = s.season - 1
+  LEFT JOIN seasons b ON b.entity = s.entity AND b.season = s.season - 2 LEFT JOIN customer ON c_custkey = s.entity),
+md AS (SELECT """ + ", ".join(f"median({c}) AS {c}" for c in FEATURES) + """ FROM fm WHERE season < (SELECT max(season) FROM fm)),
+fl AS (SELECT fm.season, fm.entity, """ + ", ".join(f"coalesce(fm.{c}, md.{c}) AS {c}" for c in FEATURES) + """ FROM fm, md),
+st AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in FEATURES) + " FROM fl WHERE season < (SELECT max(season) FROM fm))"
+
 
+@query(with_(_SCALED, "SELECT season, entity, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 5) AS {c}" for c in FEATURES) + " FROM fl, st"))
+def ml_impute_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Unknown values as the training rows' median, then all in the training rows' mean and spread."""
     rows = _frame(spark, d)
-    model = Pipeline(stages=models.prepared(FEATURES)).fit(rows.where(F.col("season") < _seasons(rows)[-1]))
-    x = vector_to_array("scaled")
-    return model.transform(rows).select("season", "entity", *[F.round(x[i], 6).alias(f) for i, f in enumerate(FEATURES)])
+    got = models.imputed_scaled(rows, F.col("season") < _seasons(rows)[-1], FEATURES)
+    return got.select("season", "entity", *[F.round(f, 5).alias(f) for f in FEATURES])
 
 
 def _mae(df: DataFrame) -> DataFrame:
@@ -787,17 +846,34 @@ def snk_model(spark: SparkSession, d: str) -> DataFrame:
     return models.predict(PipelineModel.load(path), now).select(_OUT)
 
 
+#: Families of the model columns.
+_FAMILIES = {"points": ["lag1_target", "lag2_target"], "usage": ["lag1_carries"], "events": ["lag1_tds"], "static": ["balance"]}
+
+
 @query()
 def fe_perm_importance(spark: SparkSession, d: str) -> DataFrame:
-    before, now = _last(_frame(spark, d))
-    return models.permutation_importance(models.fit(before, "ridge", FEATURES), now, FEATURES, _mae)
+    """By season and feature: what its macro rank correlation loses when the feature is dealt anew over the season's rows, mean of two deals."""
+    rows, folds = _folds(_derived(spark, d))
+    m = gram.moments(rows, folds, ["y"])
+    fits = np.stack([m.ridge(k, "y", 10.0) for k in range(folds)])
+    held = files.once(gram.predict(rows.where("fold >= 0"), {"ridge": fits}, m.medians), "held")
+    return models.linear_importance(held, FEATURES, fits, m.medians, repeats=2)
 
 
 @query()
 def fe_ablation(spark: SparkSession, d: str) -> DataFrame:
-    before, now = _last(_frame(spark, d))
-    families = {"points": ["lag1_target", "lag2_target"], "usage": ["lag1_carries"], "events": ["lag1_tds"]}
-    return models.ablation(before, now, "ridge", families, _mae)
+    """Macro rank correlation of refits without each family, in every season: all fits from one aggregation."""
+    rows, folds = _folds(_derived(spark, d))
+    m = gram.moments(rows, folds, ["y"])
+    every = range(len(FEATURES))
+    use = {"": list(every), **{k: [i for i in every if FEATURES[i] not in fs] for k, fs in _FAMILIES.items()}}
+    fits = {k: np.stack([m.ridge(fold, "y", 10.0, v) for fold in range(folds)]) for k, v in use.items()}
+    got = gram.predict(rows.where("fold >= 0"), fits, m.medians, variant="family").withColumnRenamed("y", "actual")
+    per = evaluation.spearman(files.once(got, "ablation"), ["family", *G]).groupBy("family").agg(F.avg("spearman").alias("spearman_without"))
+    sizes = spark.createDataFrame([(k, len(fs)) for k, fs in _FAMILIES.items()], "family string, columns int")
+    full = per.where("family = ''").select(F.col("spearman_without").alias("spearman_full"))
+    got = per.join(F.broadcast(sizes), "family").crossJoin(F.broadcast(full))  # a row a family, one row
+    return got.select("family", "columns", "spearman_without", "spearman_full", (F.col("spearman_full") - F.col("spearman_without")).alias("delta"))
 
 
 @query()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import board, evaluation, evidence, ordered, panel, ranking
+from tidewell.operators import board, bootstrap, evaluation, evidence, gram, ordered, panel, ranking
 from tidewell.plans import fixtures as fx
 from tidewell.sources import files
 
@@ -414,12 +415,14 @@ def ev_kendall_macro(spark: SparkSession, d: str) -> DataFrame:
     return r6(evaluation.kendall(files.once(fx.forecasts(spark, d), "forecasts")), "kendall")
 
 
-@query(with_(fx.FORECAST_SQL, """SELECT season, round(avg(abs(actual - predicted)), 6) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse,
-  round(1 - avg((actual - predicted) * (actual - predicted)) / var_pop(actual), 6) AS r2, round(covar_pop(actual, predicted) / var_pop(predicted), 6) AS slope,
-  round(avg(actual) - covar_pop(actual, predicted) / var_pop(predicted) * avg(predicted), 5) AS intercept, count(*) AS n FROM fc GROUP BY season"""))
+@query(with_(fx.FORECAST_SQL, """, rk AS (SELECT *, rank() OVER (PARTITION BY season, position ORDER BY actual DESC) + (count(*) OVER (PARTITION BY season, position, actual) - 1) / 2.0 AS ra,
+  rank() OVER (PARTITION BY season, position ORDER BY predicted DESC) + (count(*) OVER (PARTITION BY season, position, predicted) - 1) / 2.0 AS rp FROM fc)
+SELECT season, round(avg(abs(actual - predicted)), 6) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse,
+  round(1 - avg((actual - predicted) * (actual - predicted)) / var_pop(actual), 6) AS r2, round(avg(abs(ra - rp)), 6) AS rank_mae, round(covar_pop(actual, predicted) / var_pop(predicted), 6) AS slope,
+  round(avg(actual) - covar_pop(actual, predicted) / var_pop(predicted) * avg(predicted), 5) AS intercept, count(*) AS n FROM rk GROUP BY season"""))
 def ev_regression(spark: SparkSession, d: str) -> DataFrame:
-    got = evaluation.regression(fx.forecasts(spark, d), ["season"])
-    return r6(got, "mae", "rmse", "r2", "slope").withColumn("intercept", F.round("intercept", 5))
+    got = evaluation.regression(files.once(fx.forecasts(spark, d), "forecasts"), ["season"])
+    return r6(got, "mae", "rmse", "r2", "rank_mae", "slope").withColumn("intercept", F.round("intercept", 5))
 
 
 @query(with_(fx.FORECAST_SQL, """, r AS (SELECT *, greatest(actual, 0) AS gain, row_number() OVER (PARTITION BY season, position ORDER BY predicted DESC, entity) AS i, row_number() OVER (PARTITION BY season, position ORDER BY actual DESC, entity) AS j FROM fc),
@@ -527,33 +530,61 @@ def ev_apply_intervals(spark: SparkSession, d: str) -> DataFrame:
     return got.select("season", "entity", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
-@query(with_(fx.FORECAST_SQL, """, sd AS (SELECT unnest([1, 2, 3, 4, 5]) AS seed),
-own AS (SELECT seed, season, position, predicted, row_number() OVER (PARTITION BY seed, season, position ORDER BY entity) AS i FROM fc, sd),
-dealt AS (SELECT seed, season, position, actual, row_number() OVER (PARTITION BY seed, season, position ORDER BY md5(seed || ':' || entity), entity) AS i FROM fc, sd),
-pm AS (SELECT o.seed, o.season, o.position, predicted, actual FROM own o JOIN dealt d ON o.seed = d.seed AND o.season = d.season AND o.position = d.position AND o.i = d.i),
-pr AS (SELECT *, rank() OVER (PARTITION BY seed, season, position ORDER BY actual) + (count(*) OVER (PARTITION BY seed, season, position, actual) - 1) / 2.0 AS ra,
-  rank() OVER (PARTITION BY seed, season, position ORDER BY predicted) + (count(*) OVER (PARTITION BY seed, season, position, predicted) - 1) / 2.0 AS rp FROM pm),
-pg AS (SELECT seed, season, position, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN corr(ra, rp) ELSE 0 END AS c FROM pr GROUP BY 1, 2, 3)
-SELECT CAST(seed AS INTEGER) AS seed, round(avg(c), 6) AS spearman FROM pg GROUP BY 1"""))
+#: Sums that a ridge of two features needs, over all seasons before each; centred by 50 and 40, so that little cancels.
+_NULL_FITS = """, nf AS (SELECT s.season, s.position, s.entity, round(s.target, 6) AS y, coalesce(b.target, 0) - 50 AS x1, coalesce(b.carries, 0) - 40 AS x2
+  FROM seasons s LEFT JOIN seasons b ON b.season + 1 = s.season AND b.entity = s.entity),
+sd AS (SELECT unnest([1, 2, 3, 4, 5]) AS seed),
+own AS (SELECT seed, nf.*, row_number() OVER (PARTITION BY seed, season, position ORDER BY entity) AS i FROM nf, sd),
+dealt AS (SELECT seed, season, position, y AS p, row_number() OVER (PARTITION BY seed, season, position ORDER BY md5(seed || ':' || entity), entity) AS i FROM nf, sd),
+pm AS (SELECT o.*, p FROM own o JOIN dealt d ON o.seed = d.seed AND o.season = d.season AND o.position = d.position AND o.i = d.i),
+sm AS (SELECT seed, season, CAST(count(*) AS DOUBLE) AS n, sum(x1) AS a, sum(x2) AS b, sum(p) AS c, sum(x1 * x1) AS aa, sum(x2 * x2) AS bb, sum(x1 * x2) AS ab, sum(x1 * p) AS ac, sum(x2 * p) AS bc FROM pm GROUP BY 1, 2),
+up AS (SELECT q.seed, q.season, sum(m.n) AS n, sum(m.a) AS a, sum(m.b) AS b, sum(m.c) AS c, sum(m.aa) AS aa, sum(m.bb) AS bb, sum(m.ab) AS ab, sum(m.ac) AS ac, sum(m.bc) AS bc
+  FROM (SELECT DISTINCT seed, season FROM sm) q JOIN sm m ON m.seed = q.seed AND m.season < q.season GROUP BY 1, 2),
+vr AS (SELECT *, sqrt(aa / n - (a / n) * (a / n)) AS s1, sqrt(bb / n - (b / n) * (b / n)) AS s2, ab / n - a / n * b / n AS c12, ac / n - a / n * c / n AS c1, bc / n - b / n * c / n AS c2 FROM up
+  WHERE season >= (SELECT min(season) + 2 FROM sm)),
+eq AS (SELECT *, n + 10 AS e, n * c12 / (s1 * s2) AS f, n * c1 / s1 AS g, n * c2 / s2 AS h FROM vr),
+bt AS (SELECT *, (e * g - f * h) / (e * e - f * f) / s1 AS b1, (e * h - f * g) / (e * e - f * f) / s2 AS b2 FROM eq),
+pd AS (SELECT pm.seed, pm.season, pm.position, y, round(c / n + b1 * (x1 - a / n) + b2 * (x2 - b / n), 6) AS v FROM pm JOIN bt ON pm.seed = bt.seed AND pm.season = bt.season),
+pr AS (SELECT *, rank() OVER (PARTITION BY seed, season, position ORDER BY y) + (count(*) OVER (PARTITION BY seed, season, position, y) - 1) / 2.0 AS ra,
+  rank() OVER (PARTITION BY seed, season, position ORDER BY v) + (count(*) OVER (PARTITION BY seed, season, position, v) - 1) / 2.0 AS rp FROM pd),
+pg AS (SELECT seed, season, position, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN corr(ra, rp) ELSE 0 END AS c FROM pr GROUP BY 1, 2, 3)"""
+
+
+@query(with_(fx.SEASON_SQL + _NULL_FITS, "SELECT CAST(seed AS INTEGER) AS seed, round(avg(c), 4) AS spearman FROM pg GROUP BY 1"))
 def ev_permute_null(spark: SparkSession, d: str) -> DataFrame:
-    """Macro rank correlation of the forecasts with actuals shuffled within their group, for five seeds."""
-    f = files.once(fx.forecasts(spark, d), "forecasts")
-    dealt = [evaluation.permuted(f, seed).drop("actual").withColumnRenamed("permuted", "actual").withColumn("seed", F.lit(seed)) for seed in range(1, 6)]
-    rows = reduce(DataFrame.unionByName, dealt)
-    return r6(evaluation.spearman(rows, ["seed", *G]).groupBy("seed").agg(F.avg("spearman").alias("spearman")), "spearman")
+    """Macro rank correlation of true points with forecasts refitted in every season on targets shuffled within their groups, for five seeds."""
+    s = fx.season_points(spark, d)
+    seasons = sorted(r.season for r in s.select("season").distinct().collect())  # a table has few
+    lags = panel.lagged(s.select("season", "entity"), s, ["target", "carries"], range(1, 2))
+    rows = s.select("season", "entity", "position", F.round("target", 6).alias("actual")).join(lags, ["season", "entity"])
+    rows = files.once(rows.withColumn("features", F.array("lag1_target", "lag1_carries")).select("season", "entity", "position", "actual", "features"), "null")
+    held = seasons[2:]
+    since = sum(((F.col("season") >= x).cast("int") for x in held), F.lit(0))
+    dealt = evaluation.permuted(rows, [1, 2, 3, 4, 5])
+    wide = dealt.groupBy("season", "entity").agg(*[F.max(F.when(F.col("seed") == k, F.col("permuted"))).alias(f"y{k}") for k in range(1, 6)])
+    m = gram.moments(files.once(rows.join(wide, ["season", "entity"]).withColumn("since", since), "dealt"), len(held), [f"y{k}" for k in range(1, 6)])
+    fits = {str(k): np.stack([m.ridge(fold, f"y{k}", 10.0) for fold in range(len(held))]) for k in range(1, 6)}
+    fold = F.coalesce(*[F.when(F.col("season") == x, k) for k, x in enumerate(held)], F.lit(-1))
+    got = gram.predict(rows.withColumn("fold", fold).where("fold >= 0"), fits, m.medians, variant="seed").withColumn("predicted", F.round("predicted", 6))
+    per = evaluation.spearman(files.once(got, "null"), ["seed", *G]).groupBy(F.col("seed").cast("int").alias("seed"))
+    return per.agg(F.round(F.avg("spearman"), 4).alias("spearman"))
 
 
 @query()
 def ev_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals of the error, of its gain over a constant forecast in the same draws, and of the macro rank correlation."""
-    f = files.once(fx.forecasts(spark, d).withColumn("flat", F.lit(100.0)), "forecasts")
-    runs = {
-        "mae": (500, evaluation.draw_mae),
-        "mae_gain": (500, lambda df, n, seed: evaluation.draw_mae(df, n, seed, "flat")),
-        "spearman": (100, evaluation.draw_spearman),
+    """Intervals over 500 draws of entities: error, macro rank correlation and AUC, and gains on a second forecast in the same draws."""
+    f = fx.forecasts(spark, d).withColumns({"flat": F.lit(100.0), "other": F.floor(F.col("predicted") / 50) * 50.0, "label": (F.col("actual") > 60).cast("int")})
+    rows, n = bootstrap.weighted(f, 500), 500
+    rank, auc = bootstrap.draw_spearman(rows, n), bootstrap.draw_auc(rows, n, score="predicted")
+    each = {
+        "mae": bootstrap.draw_mae(rows, n),
+        "mae_gain": bootstrap.draw_mae(rows, n, other="flat"),
+        "spearman": rank,
+        "spearman_gain": bootstrap.paired(rank, bootstrap.draw_spearman(rows, n, predicted="other")),
+        "auc": auc,
+        "auc_gain": bootstrap.paired(auc, bootstrap.draw_auc(rows, n, score="other")),
     }
-    rows = [evaluation.cluster_bootstrap(f, n, run).withColumn("statistic", F.lit(name)) for name, (n, run) in runs.items()]
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, [bootstrap.interval(v).withColumn("statistic", F.lit(k)) for k, v in each.items()])
 
 
 @query(with_(fx.FORECAST_SQL, ", m AS (SELECT position, avg(abs(actual - predicted)) AS mae FROM fc GROUP BY 1) SELECT position AS candidate, round(mae, 6) AS mae FROM m WHERE -mae >= (SELECT max(-mae) FROM m) - 5 ORDER BY position LIMIT 1"))
