@@ -51,3 +51,18 @@ def test_leaks_and_weights(spark):
     assert panel.leaks(df, 1).count() == 1
     with pytest.raises(ValueError):
         evaluation.blend_ranks({"a": 0.5}, [])
+
+
+def test_fingerprints_in_chunks_equal_whole_files(spark, tmp_path):
+    for name, size in (("a.bin", 0), ("b.bin", 5), ("sub/c.bin", 100_003)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(bytes(k % 251 for k in range(size)))
+    got = {r.name: (r.bytes, r.sha256) for r in files.manifest(spark, str(tmp_path), "*.bin", chunk=1000).collect()}
+    want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*.bin") if p.stat().st_size}
+    assert got == want
+
+
+def test_a_write_is_observed_in_its_own_job(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "if(id % 10 = 0, null, id) as v")
+    got = files.observed(df, str(tmp_path / "out"), rows=F.count(F.lit(1)), gaps=F.count_if(F.col("v").isNull()), top=F.max("v"))
+    assert got == {"rows": 1000, "gaps": 100, "top": 999} and spark.read.parquet(str(tmp_path / "out")).count() == 1000

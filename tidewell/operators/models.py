@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,6 +200,14 @@ def linear_importance(held: DataFrame, features: list[str], fits: np.ndarray, me
     return got.select("season", names[F.col("feature")].alias("feature"), (F.col("whole") - F.col("left")).alias("importance"))
 
 
+def boosted_importance(rows: DataFrame) -> np.ndarray:
+    """Importance of each feature in the boosted classifier; rows(features, y)."""
+    s = GRID["boosting_class"]
+    vectors = rows.select(array_to_vector("features").alias("scaled"), "y")
+    fitted = GBTClassifier(featuresCol="scaled", labelCol="y", maxIter=s["rounds"], maxDepth=s["depth"], stepSize=s["step"], seed=7).fit(vectors)
+    return fitted.featureImportances.toArray()
+
+
 def mutual_information(rows: DataFrame, bins: int = 8) -> DataFrame:
     """Information of y's class on a feature's quantile bin, from counts; rows (feature, x, y)."""
     edges = rows.groupBy("feature").agg(F.percentile_approx("x", [i / bins for i in range(1, bins)], 10_000).alias("e"))

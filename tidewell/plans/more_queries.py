@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import scalars as fn
 from tidewell.operators import board, bootstrap, evaluation, evidence, gram, models, ordered, panel, ranking, trees
 from tidewell.plans import fixtures as fx
-from tidewell.plans.panel_queries import _FRANK, _LONG, _PROB, G, _board, _features, _prob, r6, with_
+from tidewell.plans.panel_queries import _FRANK, _LONG, _PROB, G, _board, _features, _prob, coh_build, r6, with_
 from tidewell.plans.panel_queries import _BOARD as _BOARD_SQL
 from tidewell.sources import files
 
@@ -97,24 +97,47 @@ def src_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def src_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """Name, bytes and digest of every table's files, each read in chunks in its task."""
     return files.manifest(spark, d)
 
 
 @query(with_(fx.SCORED_SQL, """SELECT count(*) AS rows_, count(DISTINCT season) AS seasons, count(DISTINCT entity) AS entities, count(*) FILTER (WHERE yards IS NULL) AS without_lines,
   round(avg(CAST(abs(target - points_full) < 1e-9 AS DOUBLE)), 6) AS exact_share, round(avg(abs(target - points_full)), 6) AS mean_delta FROM scored"""))
 def snk_build_report(spark: SparkSession, d: str) -> DataFrame:
+    """Scored games are written, and the report comes from what the writing tasks saw; entities are counted over their column of the result."""
     delta = F.abs(F.col("target") - F.col("points_full"))
-    return fx.scored(spark, d).agg(
-        F.count("*").alias("rows_"), F.count_distinct("season").alias("seasons"), F.count_distinct("entity").alias("entities"), F.count_if(F.col("yards").isNull()).alias("without_lines"),
-        F.round(F.avg((delta < 1e-9).cast("double")), 6).alias("exact_share"), F.round(F.avg(delta), 6).alias("mean_delta"),
+    path = files.shared_path(spark, "scored")
+    seen = files.observed(
+        fx.scored(spark, d), path, rows_=F.count(F.lit(1)), seasons=F.size(F.collect_set("season")), without_lines=F.count_if(F.col("yards").isNull()),
+        exact_share=F.avg((delta < 1e-9).cast("double")), mean_delta=F.avg(delta),
+    )
+    lit = lambda k: F.lit(seen[k]).cast("bigint").alias(k)
+    entities = spark.read.parquet(path).agg(F.count_distinct("entity").alias("entities"))
+    return entities.select(
+        lit("rows_"), lit("seasons"), "entities", lit("without_lines"),
+        F.round(F.lit(seen["exact_share"]), 6).alias("exact_share"), F.round(F.lit(seen["mean_delta"]), 6).alias("mean_delta"),
     )
 
 
 @query()
 def snk_run_summary(spark: SparkSession, d: str) -> DataFrame:
-    f = evaluation.regression(fx.forecasts(spark, d), ["position"])
-    one = f.agg(F.sort_array(F.collect_list(F.struct(*f.columns))).alias("positions"))  # a row a position
-    return one.select(F.to_json(F.struct(F.lit("forecast").alias("run"), "positions")).alias("summary"))
+    """One JSON document of a run: rows seen while forecasts were written, candidates with the gate's interval, errors by position, cohort by origin."""
+    path = files.shared_path(spark, "run")
+    seen = files.observed(
+        fx.forecasts(spark, d), path, rows=F.count(F.lit(1)), first_season=F.min("season"), last_season=F.max("season"),
+        mean_error=F.round(F.avg(F.abs(F.col("actual") - F.col("predicted"))), 6),
+    )
+    written = spark.read.parquet(path)
+    listed = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))  # noqa: E731  few rows: a candidate, position or origin each
+    candidates = files.once(_rated(spark, d).select("candidate", "components", "n", "mae", "spearman", "eligible", "baseline", "gain", "selected", "adopted"), "candidates")
+    gate = ev_adopt_interval(spark, d)
+    cohort = coh_build(spark, d)
+    origins = cohort.groupBy("origin").agg(F.count("*").alias("rows"), F.count_distinct("season").alias("seasons"))
+    one = listed(candidates, "candidates").crossJoin(F.broadcast(listed(gate, "gates"))).crossJoin(F.broadcast(listed(origins, "cohort")))
+    one = one.crossJoin(F.broadcast(listed(evaluation.regression(written, ["position"]), "positions")))  # one row each
+    sources = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(spark.read.parquet(f"{d}/{t}.parquet").count()).alias("rows")) for t in ("orders", "lineitem", "customer")])
+    forecast = F.struct(*[F.lit(v).alias(k) for k, v in seen.items()])
+    return one.select(F.to_json(F.struct(F.lit("forecast").alias("run"), sources.alias("sources"), forecast.alias("forecast"), "cohort", "candidates", "gates", "positions")).alias("summary"))
 
 
 # ---- cleaning and flags
@@ -876,6 +899,49 @@ def fe_ablation(spark: SparkSession, d: str) -> DataFrame:
     return got.select("family", "columns", "spearman_without", "spearman_full", (F.col("spearman_full") - F.col("spearman_without")).alias("delta"))
 
 
+def _five_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """(method, feature, rank) of the vector elements against the class: L1 path, random splits, boosting, information and F."""
+    rows = fx.table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("double").alias("y"))
+    width = rows.select(F.max(F.size("embedding")).alias("d")).first().d or 0
+    whole = rows.where(F.size("embedding") == width).select("vec_id", F.col("embedding").cast("array<double>").alias("features"), "y", F.lit(1.0).alias("weight"), F.lit(0).alias("since"))
+    whole = files.once(whole, "vectors")
+    names = range(width)
+    scores = {"l1_path": gram.moments(whole, 1, ["y"]).l1_path(0, "y")}
+    grown, _ = trees.fit(whole, 1, 60, 10, 5, 0.7)
+    scores["random_splits"] = trees.importance(grown, width)
+    scores["boosting"] = models.boosted_importance(whole)
+    by_driver = [(m, i + 1, float(v)) for m, x in scores.items() for i, v in zip(names, x)]  # a row a method and element
+    long = files.once(_features(spark, d), "elements")
+    seen = models.mutual_information(long.select("feature", "x", "y")).select(F.lit("information").alias("method"), "feature", F.col("information").alias("v"))
+    f = evidence.association(long).select(F.lit("f_test").alias("method"), "feature", F.abs("point_biserial").alias("v"))
+    every = spark.createDataFrame(by_driver, "method string, feature bigint, v double").unionByName(seen).unionByName(f)
+    place = F.row_number().over(Window.partitionBy("method").orderBy(F.desc(F.round("v", 9)), "feature"))  # a row a feature
+    return files.once(every.select("method", "feature", place.alias("rank")), "ranks")
+
+
+@query()
+def fe_vote_models(spark: SparkSession, d: str) -> DataFrame:
+    """Votes of five rankings, model rankings counting double; the share of them that have the element in their upper half."""
+    ranks = _five_ranks(spark, d)
+    got = evidence.vote(ranks, _VOTES)
+    half = ranks.groupBy("feature").agg(F.avg((2 * F.col("rank") <= F.lit(ranks.select("feature").distinct().count())).cast("double")).alias("positive_share"))
+    return r6(got.join(half, "feature"), "reciprocal")
+
+
+#: Weights of the rankings in fe_vote_models.
+_VOTES = {"l1_path": 2.0, "random_splits": 2.0, "boosting": 2.0}
+
+
+@query()
+def fe_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the 20 best elements are the same by weighted and equal votes, and by reciprocal and Borda votes."""
+    ranks = _five_ranks(spark, d)
+    weighted, equal = evidence.vote(ranks, _VOTES), evidence.vote(ranks)
+    place = lambda df, c, m: df.select(F.lit(m).alias("method"), "feature", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(c, 9)), "feature")).alias("rank"))
+    votes = place(weighted, "reciprocal", "weighted").unionByName(place(equal, "reciprocal", "equal")).unionByName(place(weighted, "borda", "borda"))
+    return evidence.overlap(votes, 20).where("one = 'weighted' or other = 'weighted'")
+
+
 @query()
 def fe_panel(spark: SparkSession, d: str) -> DataFrame:
     rows = _classes(spark, d)

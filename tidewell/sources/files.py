@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -102,7 +106,44 @@ def load_profile(spark: SparkSession, path: str, fields: list[str]) -> dict[str,
     return {f: float(got[f]) for f in fields}
 
 
-def manifest(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    """Name, bytes and SHA-256 of every file below a path; a file is read whole, so it must be under 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, path: str, glob: str = "*.parquet", chunk: int = 1 << 20) -> DataFrame:
+    """Name, bytes and SHA-256 of every file below a path that is not empty (Spark lists no empty ones).
+
+    The listing reads no contents. Each file is then read in chunks inside a task, so that its size does not matter. Paths
+    of a store that only Spark's own readers open are read whole, which takes files of under 2 GB.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    files = listed.select("path", name, F.col("length").alias("bytes"))
+    first = files.select("path").first()
+    if first is not None and _opened(first.path) is None:
+        return listed.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches):
+        for batch in batches:
+            digests = []
+            for p in batch.column(0).to_pylist():
+                store, at = _opened(p)
+                digest = hashlib.sha256()
+                with store.open_input_stream(at) as stream:
+                    while block := stream.read(chunk):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(digests, pa.string())], names=["name", "bytes", "sha256"])
+
+    return files.mapInArrow(run, "name string, bytes long, sha256 string")
+
+
+def _opened(path: str):
+    """The file system of a path and the path in it, None if only Spark's readers open it."""
+    try:
+        return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    except (pa.ArrowInvalid, OSError):
+        return None
+
+
+def observed(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write df as Parquet; the metrics (aggregates) are taken while its rows are written, in the same job."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
+    return seen.get
