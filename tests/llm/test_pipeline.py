@@ -22,7 +22,7 @@ ROWS = [
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
-    return df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "kept": F.lit("clash"), "row": F.lit(1)})
+    return df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "kept": F.lit("clash"), "row": F.lit(1), "a.b": F.lit(2), "more": F.create_map(F.lit("k"), F.lit(1))})
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
@@ -35,6 +35,32 @@ def test_stages_take_odd_rows_and_empty_tables(spark, docs, name):
     assert ids == ([2, 3, 4, 5, 6, 8] if name == "near_dedup" else want)
 
 
+def test_near_copies_go_by_their_own_texts(spark):
+    """Rows that repeat an id with other texts are judged each by its own; one row of a component stays."""
+    one, two, three = "one two three four five six seven", "other words that share nothing at all", "a third text of words that nobody else has"
+    rows = [(1, one, 1), (1, two, 2), (1, three, 3), (1, three, 4), (5, one, 5), (7, two, 6), (9, "", 7), (9, None, 8), (9, three, 9), (None, two, 10), (None, "lone words of a row without any id", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    got = STAGES["near_dedup"](spark, df, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id == 1) == sorted((1, t) for t in (one, two, three))
+    assert [r for r in got if r.doc_id in (5, 7)] == [] and sum(r.doc_id == 9 for r in got) == 2
+    assert [r.n_chars for r in got if r.doc_id is None] == [11]
+
+
+def test_near_dedup_by_brute_force(spark):
+    """Of the given documents those stay whose component, by all pairs of full sets, has no smaller id."""
+    rows = sorted((r.doc_id, r.text) for r in table(spark, SF, "documents").collect())
+    words = [re.findall("[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same and 100 * same >= 75 * len(sets[i] | sets[j]) and part[i] != part[j]:
+                part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    got = {r.doc_id for r in STAGES["near_dedup"](spark, table(spark, SF, "documents"), SF).collect()}
+    assert got == {rows[k][0] for k in range(len(rows)) if part[k] == k}
+
+
 def test_masking_and_contamination_by_plain_code(spark, docs):
     masked = {r.doc_id: r for r in STAGES["pii"](spark, docs, SF).collect()}
     assert masked[5].text == "mail me at <EMAIL> or <IP> now" and masked[5].n_chars == len(masked[5].text)

@@ -71,6 +71,11 @@ def slices(batches, most: int = 4_000_000):
             yield batch.slice(at, rows)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with value computed once for a row, however often body uses it."""
     return F.transform(F.array(value), body)[0]

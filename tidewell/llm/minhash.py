@@ -22,8 +22,10 @@ hot key (a class of many copies, a bucket of many near copies, the hub of a comp
 
 Null and empty texts, and texts without words, have an empty set and stay alone. A text of fewer
 words than a shingle has is one shingle. doc_id is taken to name a document: rows that repeat one with
-different texts are linked with each other through it, and each row is kept as a row of its own. An
-empty table gives no rows. Other columns of docs, whatever their names, are not read.
+different texts are linked with each other through it, and each row is kept as a row of its own. A null doc_id
+names nothing: its row belongs to the smallest id that is not null among what it is linked with, and without one
+its component is null and it is kept. An empty table gives no rows. Other columns of docs, whatever their names, are not read.
+first_copies() instead tells rows of one doc_id apart by their texts.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, slices, texts
@@ -366,16 +368,19 @@ def _cross_links(members: DataFrame, labels: DataFrame, signatures: DataFrame, s
     """
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    top = per.groupBy("bucket").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("top"), F.count("*").alias("parts"))
+    top = per.groupBy("bucket").agg(
+        F.max_by("component", F.struct("k", -F.col("component"))).alias("top"), F.count("*").alias("parts"), (F.sum("k") - F.max("k")).alias("askers")
+    )
     open_ = named.join(materialize(top.where("parts > 1"), "open"), "bucket").join(signatures, "node")
-    # a bucket of over BLOCK members, or of long ones, becomes a grid: askers in rows, members in columns of blocks
-    grid = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    grid = F.least(grid, F.col("n").cast("int"))
-    place = F.pmod(F.xxhash64("node"), grid.cast("long")).cast("int")
-    cells = F.sequence(F.lit(0), grid - 1)
+    # a bucket of over BLOCK members, or of long ones, becomes a grid: askers in rows, as many as they need, and members in columns
+    columns_ = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    columns_ = F.least(columns_, F.col("n")).cast("int")
+    rows_ = F.least(F.greatest(F.lit(1), F.ceil(columns_ * F.col("askers") / F.col("n"))), F.col("askers")).cast("int")
+    place = lambda parts: F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
+    cells = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
     columns = ["bucket", "band", "node", "component", "n_shingles", "prints", "signature"]
-    member = open_.select(*columns, F.lit(False).alias("asks"), place.alias("col"), F.explode(cells).alias("row"))
-    asks = open_.where(F.col("component") != F.col("top")).select(*columns, F.lit(True).alias("asks"), F.explode(cells).alias("col"), place.alias("row"))
+    member = open_.select(*columns, F.lit(False).alias("asks"), place(columns_).alias("col"), cells(rows_).alias("row"))
+    asks = open_.where(F.col("component") != F.col("top")).select(*columns, F.lit(True).alias("asks"), cells(columns_).alias("col"), place(rows_).alias("row"))
     block = ["bucket", "row", "col"]
     dealt = member.unionByName(asks).repartition(*block).sortWithinPartitions(*block)  # most blocks are small: a task takes many at once
     likely = dealt.mapInArrow(_pairs_in_blocks(percent), "bucket long, row int, col int, node long, partners array<long>")
@@ -408,8 +413,11 @@ def _same_ids(full: DataFrame, classes: DataFrame) -> DataFrame:
 CLASS = ["fp1", "fp2", "n_shingles"]
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+def _components(docs: DataFrame, percent: int, through_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, CLASS) of all documents, and classes (CLASS, component_id, first) of those with words.
+
+    component_id is the smallest doc_id reachable by links; first is the doc_id and node of the class that holds it.
+    """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     sketches = materialize(numbered.mapInArrow(_sketch, SKETCH), "sketches")
     full = sketches.where("n_shingles > 0")
@@ -420,8 +428,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = materialize(exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1"), "shared")
     members = materialize(exploded.drop("size").join(shared, "bucket"), "members")
     near_nodes = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    prints = F.transform("buckets", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    signatures = materialize(one.select(F.col("row").alias("node"), "n_shingles", "signature", prints.alias("prints")).join(near_nodes, "node"), "signatures")
+    signatures = materialize(one.select(F.col("row").alias("node"), "n_shingles", "signature", F.col("buckets").alias("prints")).join(near_nodes, "node"), "signatures")
 
     best = members.join(signatures.select("node", "weight"), "node").groupBy("bucket").agg(
         F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader")
@@ -433,18 +440,79 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     likely = materialize(stars.join(one_side, "a").join(other, "b").mapInArrow(_likely, "a long, b long"), "likely")
 
     sets = _sets_of(docs, classes.join(signatures.select("node"), "node", "left_semi"))
-    links = _verify(likely, sets, percent).unionByName(_same_ids(full, classes))
+    links = _verify(likely, sets, percent)
+    links = links.unionByName(_same_ids(full, classes)) if through_ids else links
     labels = connected_components(links)
     more = materialize(_cross_links(members, labels, signatures.drop("weight"), sets, percent), "links")
     if not more.isEmpty():
         labels = _merge(labels, more)
 
     rooted = classes.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = materialize(rooted.join(least, "root").select(*CLASS, "component_id"), "components")
+    order = F.struct(F.col("least").isNull().alias("unnamed"), "least", "node")  # a null id comes last
+    least = materialize(rooted.groupBy("root").agg(F.min(order).alias("first")), "least")
+    named = rooted.join(least, "root").select(*CLASS, F.col("first.least").alias("component_id"), (F.col("first.node") == F.col("node")).alias("leads"))
+    return sketches, materialize(named, "components")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+    sketches, named = _components(docs, percent, True)
     rows = sketches.select("doc_id", *CLASS).join(named, CLASS, "left")  # empty sets are in no class
     component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _classes_of(at: int):
+    """A batch's columns with the class of each text; `at` is the place of the texts."""
+
+    def run(batches):
+        for batch in slices(batches, 2_000_000):
+            many = [t or "" for t in batch.column(at).to_pylist()]
+            rows, hashes = shingle_hashes(many)
+            sizes = np.bincount(rows, minlength=len(many))
+            full = np.flatnonzero(sizes)
+            prints = np.zeros((2, len(many)), np.uint64)
+            if len(full):
+                prints[:, full] = _fingerprints(hashes, (np.cumsum(sizes) - sizes)[full])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(p.view(np.int64)) for p in prints), pa.array(sizes.astype(np.int64))], names=[f"c{i}" for i in range(batch.num_columns)] + CLASS
+            )
+
+    return run
+
+
+def first_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of docs without near copies: of each component one row stays, with the smallest doc_id, and all texts without words do.
+
+    Links are of texts alone: rows that repeat a doc_id with other texts are judged each by its own. All columns are kept as they are.
+    """
+    sketches, named = _components(docs, percent, False)
+    with_words = sketches.where("n_shingles > 0")
+    # by id and class: whether its row stays, the smallest id of the class that leads its component
+    per = with_words.groupBy("doc_id", *CLASS).agg(F.count("*").alias("n")).join(named, CLASS)
+    judged = materialize(per.select("doc_id", *CLASS, "n", (F.col("leads") & F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")), "judged")
+    unclear = materialize(judged.where("not stays or n > 1").select("doc_id").distinct(), "unclear")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id"))
+    ids = unclear.select(F.col("doc_id").alias("_id"))
+    clear = plain.join(ids, same, "left_anti")
+    # of these, only ids with a row that stays, or with a text without words, have their texts read again
+    again = judged.where("stays").select("doc_id").unionByName(sketches.where("n_shingles = 0").select("doc_id")).distinct()
+    again = materialize(again.join(unclear.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), "again")
+    some = plain.join(again.select(F.col("doc_id").alias("_id")), same, "left_semi")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields) + ", fp1 long, fp2 long, n_shingles long"
+    classed = materialize(some.mapInArrow(_classes_of(names.index("text")), schema), "classed")
+    alike = same & (F.col("fp1") == F.col("_fp1")) & (F.col("fp2") == F.col("_fp2")) & (F.col("n_shingles") == F.col("_n"))
+    stay = judged.where("stays").select(F.col("doc_id").alias("_id"), F.col("fp1").alias("_fp1"), F.col("fp2").alias("_fp2"), F.col("n_shingles").alias("_n"))
+    held = classed.where("n_shingles > 0").join(stay, alike, "left_semi")
+    # rows of one id and class: the first by their whole content
+    content = F.sha2(F.to_json(F.struct(*plain.columns)), 256)
+    parts = [doc_id, *CLASS]
+    one = held.withColumn("_sha", content).withColumn("_i", F.row_number().over(Window.partitionBy(*parts).orderBy("_sha"))).where("_i = 1")
+    out = clear.unionByName(one.select(*plain.columns)).unionByName(classed.where("n_shingles = 0").select(*plain.columns))
+    return out.toDF(*names)
 
 
 def _likely(batches):

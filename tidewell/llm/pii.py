@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak_labels
-from .common import let, materialize
+from .common import let, materialize, quoted
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
@@ -242,7 +242,7 @@ def redact(docs: DataFrame) -> DataFrame:
     candidates = materialize(find(some).select(F.explode("candidates").alias("c")), "pii-candidates")
     model = fit(candidates)
     text = F.col("text")
-    mark = accepted(find(docs.withColumn("row", F.struct(*docs.columns)).select("row", "text")), model)
+    mark = accepted(find(docs.withColumn("row", F.struct(*[quoted(c) for c in docs.columns])).select("row", "text")), model)
     spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc, s):

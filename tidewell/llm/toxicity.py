@@ -413,4 +413,5 @@ def keep_clean(docs: DataFrame, model: Grammar, limit: float = 0.5) -> DataFrame
             many = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(model.scores(many) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots would be taken for fields
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
