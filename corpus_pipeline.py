@@ -4,6 +4,11 @@ out, personal data masked, and the rest as token ids.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
 in the shared folder and reads it again as the next stage's docs. All stages but the last return the
 columns of documents. Stages judge what their predecessor kept, and nothing else is dropped.
+
+Null texts count as empty ones, which no stage drops; a null doc_id is an id of its own kind. Rows that repeat
+a doc_id are judged by their own texts, but for contamination, where all rows of an id go with one. Equal rows are
+one row after near_dedup. Empty tables pass; texts of any length are read whole. Further columns, of any type and name, pass
+through all stages but the last.
 """
 
 from __future__ import annotations
@@ -25,21 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the one with the smallest doc_id.
 
-    Of rows that repeat this doc_id, one stays: the first by text and the other columns.
+    Texts alone link documents: rows that repeat a doc_id with other texts are judged each by its own, and of rows that repeat both one stays.
     """
-    judged = materialize(minhash.near_duplicates(docs), "near-copies")
-    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = materialize(gone.where("not kept or n > 1"), "near-copies-gone")
-    others = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    again = docs.join(gone.where("kept").select("doc_id"), "doc_id", "left_semi")
-    first = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("first"))
-    return others.unionByName(first.select("doc_id", "first.*").select(*docs.columns))
+    return minhash.first_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
     found = decontaminate.judge(decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     masked = pii.redact(docs)
     if "n_chars" not in docs.columns:
         return masked
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
