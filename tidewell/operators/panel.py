@@ -83,8 +83,11 @@ def lagged(targets: DataFrame, source: DataFrame, values: list[str], lags: range
 def trajectory(games: DataFrame, value: str, late: int = 6) -> DataFrame:
     """Per entity-season: total of the last weeks, late less early mean, weekly slope.
 
-    Weeks without a game count as 0: slopes and means are over all weeks 1..W of the season.
+    Weeks without a game count as 0: slopes and means are over all weeks 1..W of the season. Only regular games of a
+    known entity and week count, where the games say what they are.
     """
+    games = games.where(F.upper("season_type") == "REG") if "season_type" in games.columns else games
+    games = games.where("entity is not null and week is not null")
     weekly = games.groupBy("season", "entity", "week").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("v"))
     ends = games.groupBy("season").agg(F.greatest(F.max("week"), F.lit(1)).alias("n"))
     per = weekly.join(F.broadcast(ends), "season").groupBy("season", "entity", "n").agg(

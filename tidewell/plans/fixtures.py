@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an order, with counts from its lines."""
+    """One row an order, with counts from its lines; its team is the nation of the supplier of its lowest line, so that an entity's varies."""
     from tidewell.functions.scalars import mapped
 
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
@@ -25,17 +25,21 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("l_returnflag") == "R").cast("double").alias("tds"),
         F.count_if(F.col("l_returnflag") == "A").cast("double").alias("receptions"),
         F.count_if(F.col("l_returnflag") == "N").cast("double").alias("fumbles"),
+        F.min(F.struct("l_partkey", "l_suppkey", "l_linenumber"))["l_suppkey"].alias("suppkey"),
     )
-    people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    nation = table(spark, sf_dir, "nation")
+    people = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    teams = table(spark, sf_dir, "supplier").join(nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("supplied")), F.col("s_nationkey") == F.col("k"))
     orders = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(teams.select("s_suppkey", "supplied"), F.col("suppkey") == F.col("s_suppkey"), "left")
+    return rows.select(
         F.col("o_custkey").alias("entity"),
         F.year("o_orderdate").alias("season"),
         (F.floor((F.dayofyear("o_orderdate") - 1) / 7) + 1).cast("int").alias("week"),
         F.col("o_orderkey").alias("game"),
         F.when(F.col("o_orderstatus") == "P", "POST").otherwise("REG").alias("season_type"),
         mapped(F.col("c_mktsegment"), SEGMENTS).alias("position"),
-        F.col("n_name").alias("team"),
+        F.coalesce("supplied", "n_name").alias("team"),
         mapped(F.col("o_orderstatus"), STATUS).alias("status"),
         F.substring("o_orderpriority", 3, 20).alias("reason"),
         "o_orderdate",
@@ -46,14 +50,16 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
 GAMES_SQL = """
 li AS (SELECT l_orderkey, sum(l_quantity) AS carries, sum(l_extendedprice) / 1000 AS yards,
   CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS tds, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) AS receptions,
-  CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS DOUBLE) AS fumbles FROM lineitem GROUP BY l_orderkey),
+  CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS DOUBLE) AS fumbles,
+  min(struct_pack(p := l_partkey, s := l_suppkey, n := l_linenumber)).s AS suppkey FROM lineitem GROUP BY l_orderkey),
 games AS (SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS season,
   CAST(floor((dayofyear(o_orderdate) - 1) / 7.0) + 1 AS INTEGER) AS week, o_orderkey AS game,
   CASE WHEN o_orderstatus = 'P' THEN 'POST' ELSE 'REG' END AS season_type,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'QB' WHEN 'BUILDING' THEN 'RB' WHEN 'FURNITURE' THEN 'WR' WHEN 'HOUSEHOLD' THEN 'TE' WHEN 'MACHINERY' THEN 'K' END AS position,
-  n_name AS team, CASE o_orderstatus WHEN 'F' THEN 'ACT' WHEN 'O' THEN 'RES' WHEN 'P' THEN 'CUT' END AS status,
+  coalesce(t.supplied, n_name) AS team, CASE o_orderstatus WHEN 'F' THEN 'ACT' WHEN 'O' THEN 'RES' WHEN 'P' THEN 'CUT' END AS status,
   substr(o_orderpriority, 3, 20) AS reason, o_orderdate, carries, yards, tds, receptions, fumbles
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN li ON o_orderkey = l_orderkey)
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN li ON o_orderkey = l_orderkey
+  LEFT JOIN (SELECT s_suppkey, n_name AS supplied FROM supplier JOIN nation ON s_nationkey = n_nationkey) t ON t.s_suppkey = li.suppkey)
 """
 
 #: Events of the scoring profile on these tables.

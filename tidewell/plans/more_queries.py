@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import board, bootstrap, evaluation, evidence, gram, models, ordered, panel, ranking, trees
+from tidewell.operators import board, bootstrap, evaluation, evidence, features, gram, models, ordered, panel, ranking, trees
 from tidewell.plans import fixtures as fx
-from tidewell.plans.panel_queries import _FRANK, _LONG, _PROB, G, _board, _features, _prob, coh_build, r6, with_
+from tidewell.plans.panel_queries import _FRANK, _LONG, _PROB, G, _board, _features, _half_up, _prob, coh_build, r6, with_
 from tidewell.plans.panel_queries import _BOARD as _BOARD_SQL
 from tidewell.sources import files
 
@@ -252,9 +252,10 @@ def jn_inner_shared(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d).select("season", "entity", "one", "two")
 
 
-@query(with_(_PARTS_SQL, "SELECT season, entity, round((greatest(one, 0) + greatest(two, 0)) / 2, 5) AS blend FROM sh"))
+@query(with_(_PARTS_SQL, f"SELECT season, entity, {_half_up('(greatest(one, 0) + greatest(two, 0)) / 2', 5)} AS blend FROM sh"))
 def ev_blend_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _parts(spark, d).select("season", "entity", F.round((F.greatest("one", F.lit(0.0)) + F.greatest("two", F.lit(0.0))) / 2, 5).alias("blend"))
+    mean = (F.greatest("one", F.lit(0.0)) + F.greatest("two", F.lit(0.0))) / 2
+    return _parts(spark, d).select("season", "entity", F.round(mean.cast("decimal(28,10)"), 5).cast("double").alias("blend"))
 
 
 _PCT = "(rank() OVER (PARTITION BY season, position ORDER BY {0}) + (count(*) OVER (PARTITION BY season, position, {0}) - 1) / 2.0) / count(*) OVER (PARTITION BY season, position)"
@@ -708,8 +709,8 @@ def _matrix(spark: SparkSession, d: str, tier: str = "recent") -> DataFrame:
     return panel.era(out, tier, 1997, ["season", "entity", *[c for c in names if c not in recent]], recent)
 
 
-_MATRIX_SQL = fx.SEASON_SQL + f""", weekly AS (SELECT season, entity, week, coalesce(sum(carries), 0) AS v FROM games GROUP BY 1, 2, 3),
-ends AS (SELECT season, CAST(greatest(max(week), 1) AS DOUBLE) AS n FROM games GROUP BY 1),
+_MATRIX_SQL = fx.SEASON_SQL + f""", weekly AS (SELECT season, entity, week, coalesce(sum(carries), 0) AS v FROM games WHERE season_type = 'REG' GROUP BY 1, 2, 3),
+ends AS (SELECT season, CAST(greatest(max(week), 1) AS DOUBLE) AS n FROM games WHERE season_type = 'REG' GROUP BY 1),
 per AS (SELECT w.season, entity, n, sum(v) AS total, sum(CASE WHEN week > n - 6 THEN v ELSE 0 END) AS late, sum(week * v) AS weighted FROM weekly w JOIN ends e ON w.season = e.season GROUP BY 1, 2, 3),
 tr AS (SELECT season, entity, late AS late6_carries, (n * weighted - n * (n + 1) / 2 * total) / (n * n * (n + 1) * (2 * n + 1) / 6 - (n * (n + 1) / 2) * (n * (n + 1) / 2)) AS weekly_slope_carries, late / least(n, 6) - (total - late) / (n - least(n, 6)) AS late6_mean_delta_carries FROM per),
 tm AS (SELECT season, upper(team) AS team, coalesce(sum(carries), 0) AS group_carries FROM games GROUP BY 1, 2),
@@ -739,6 +740,73 @@ def chk_lineage(spark: SparkSession, d: str) -> DataFrame:
     return panel.check_matrix(_matrix(spark, d), lineage, ["season", "entity"])
 
 
+#: Values of the compiled families: measures of an order's lines by return flag, beside the counts of games.
+_MEASURES = {"qty": "l_quantity", "price": "l_extendedprice / 100", "discount": "l_discount * 100", "tax": "l_tax * 100"}
+_WIDE = [*(f"{m}_{f}" for m in _MEASURES for f in "anr"), "carries", "yards", "tds", "receptions", "fumbles"]
+_RATES = {"yards_per_carry": ("yards", "carries"), **{f"{m}_per_qty_{f}": (f"{m}_{f}", f"qty_{f}") for m in ("price", "discount", "tax") for f in "anr"}, **{f"qty_share_{f}": (f"qty_{f}", "carries") for f in "anr"}}
+_FLAGS = list(fx.SEGMENTS.values())
+
+
+def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Season and weekly tables of _WIDE over regular games, each written once; amounts are whole numbers of lines' units, so that sums are exact."""
+    sums = [F.sum(F.when(F.col("l_returnflag") == f.upper(), F.round(F.expr(e)))).alias(f"{m}_{f}") for m, e in _MEASURES.items() for f in "anr"]
+    lines = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("game")).agg(*sums)
+    games = fx.games(spark, d).where("season_type = 'REG'").withColumn("yards", F.round("yards")).join(lines, "game", "left")
+    total = [F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in _WIDE]
+    last = F.max_by(F.struct("team", "position"), "game").alias("last")
+    weekly = files.once(games.groupBy("season", "entity", "week").agg(*total, last), "weekly")
+    ends = weekly.groupBy("season", "entity").agg(*[F.sum(v).alias(v) for v in _WIDE], F.max_by("last", "week").alias("last"))
+    return files.once(ends.select("season", "entity", *_WIDE, "last.team", "last.position"), "wide"), weekly.drop("last")
+
+
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    return features.matrix(*_wide(spark, d), _WIDE, _RATES, _FLAGS)
+
+
+def _each(form: str, sep: str = ", ") -> str:
+    return sep.join(form.format(v=v) for v in _WIDE)
+
+
+_FAMILIES_SQL = fx.GAMES_SQL + ", wl AS (SELECT l_orderkey, " + ", ".join(f"sum(CASE WHEN l_returnflag = '{f.upper()}' THEN round({e}) END) AS {m}_{f}" for m, e in _MEASURES.items() for f in "anr") + """ FROM lineitem GROUP BY 1),
+wg AS (SELECT g.* EXCLUDE (yards), round(yards) AS yards, wl.* EXCLUDE (l_orderkey) FROM games g LEFT JOIN wl ON game = l_orderkey WHERE season_type = 'REG'),
+wk AS (SELECT season, entity, week, """ + _each("coalesce(sum({v}), 0) AS {v}") + """, arg_max(team, game) AS team, arg_max(position, game) AS position FROM wg GROUP BY 1, 2, 3),
+ws AS (SELECT season, entity, """ + _each("sum({v}) AS {v}") + """, upper(arg_max(team, week)) AS team, arg_max(position, week) AS position FROM wk GROUP BY 1, 2),
+en AS (SELECT season, CAST(greatest(max(week), 1) AS DOUBLE) AS n FROM wk GROUP BY 1),
+pt AS (SELECT season, entity, n, """ + _each("sum({v}) AS t_{v}, sum(CASE WHEN week > n - 6 THEN {v} ELSE 0 END) AS l_{v}, sum(week * {v}) AS w_{v}") + """ FROM wk JOIN en USING (season) GROUP BY 1, 2, 3),
+tj AS (SELECT season + 1 AS season, entity, """ + _each("l_{v} AS lag1_late6_{v}, CASE WHEN n > 1 THEN (n * w_{v} - n * (n + 1) / 2 * t_{v}) / (n * n * (n + 1) * (2 * n + 1) / 6 - (n * (n + 1) / 2) * (n * (n + 1) / 2)) ELSE 0 END AS lag1_slope_{v}, l_{v} / least(n, 6) - CASE WHEN n > 6 THEN (t_{v} - l_{v}) / (n - 6) ELSE 0 END AS lag1_delta_{v}") + """ FROM pt),
+tm AS (SELECT season + 1 AS season, team, """ + _each("sum({v}) AS e_{v}") + """, 1 AS e_available FROM ws GROUP BY 1, 2),
+fa AS (SELECT s.season, s.entity, s.team, s.position, CAST(a.entity IS NOT NULL AS INTEGER) AS lag1_available, CAST(b.entity IS NOT NULL AS INTEGER) AS lag2_available, CAST(c.entity IS NOT NULL AS INTEGER) AS lag3_available, """ + _each("coalesce(a.{v}, 0) AS lag1_{v}, coalesce(b.{v}, 0) AS lag2_{v}, coalesce(c.{v}, 0) AS lag3_{v}") + ", " + _each("coalesce(lag1_late6_{v}, 0) AS lag1_late6_{v}, coalesce(lag1_slope_{v}, 0) AS lag1_slope_{v}, coalesce(lag1_delta_{v}, 0) AS lag1_delta_{v}, coalesce(x.e_{v}, 0) AS team_{v}, coalesce(y.e_{v}, 0) AS prior_team_{v}") + """,
+  coalesce(x.e_available, 0) AS team_available, coalesce(y.e_available, 0) AS prior_team_available, CAST(coalesce(a.team <> s.team, false) AS INTEGER) AS team_changed
+  FROM ws s LEFT JOIN ws a ON a.entity = s.entity AND a.season = s.season - 1 LEFT JOIN ws b ON b.entity = s.entity AND b.season = s.season - 2 LEFT JOIN ws c ON c.entity = s.entity AND c.season = s.season - 3
+  LEFT JOIN tj ON tj.season = s.season AND tj.entity = s.entity LEFT JOIN tm x ON x.season = s.season AND x.team = s.team LEFT JOIN tm y ON y.season = s.season AND y.team = a.team),
+rt AS (SELECT *, """ + ", ".join(f"CASE WHEN lag{k}_{b} > 0 THEN lag{k}_{a} / lag{k}_{b} ELSE 0 END AS lag{k}_{n}" for k in (1, 2, 3) for n, (a, b) in _RATES.items()) + """ FROM fa),
+ro AS (SELECT season, team, position, count(*) - 1 AS room_competitors, """ + _each("sum(lag1_{v}) AS s_{v}, sum(CAST(lag1_{v} > 0 AS INTEGER)) AS p_{v}") + """ FROM rt GROUP BY 1, 2, 3),
+fb AS (SELECT rt.*, room_competitors, """ + _each("s_{v} - lag1_{v} AS room_others_{v}, p_{v} - CAST(lag1_{v} > 0 AS INTEGER) AS room_nonzero_{v}, lag1_{v} - coalesce((s_{v} - lag1_{v}) / nullif(room_competitors, 0), 0) AS room_margin_{v}") + ", " + ", ".join(f"CAST(rt.position = '{p}' AS INTEGER) AS position_{p}" for p in _FLAGS) + """
+  FROM rt JOIN ro USING (season, team, position))"""
+_FAMILY_COLUMNS = [
+    *(f"lag{k}_{v}" for k in (1, 2, 3) for v in (*_WIDE, "available", *_RATES)), *(f"lag1_{t}_{v}" for v in _WIDE for t in ("late6", "slope", "delta")),
+    *(f"{t}_{v}" for v in (*_WIDE, "available") for t in ("team", "prior_team")), "room_competitors", *(f"room_{t}_{v}" for v in _WIDE for t in ("others", "nonzero", "margin")),
+    "team_changed", *(f"position_{p}" for p in _FLAGS),
+]
+
+
+@query(with_(_FAMILIES_SQL, "SELECT season, entity, " + ", ".join(f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in _FAMILY_COLUMNS) + " FROM fb"))
+def feat_families(spark: SparkSession, d: str) -> DataFrame:
+    """All compiled families over all seasons: lags, rates, trajectories, environment of both teams, rooms and flags."""
+    return _families(spark, d).select("season", "entity", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in _FAMILY_COLUMNS])
+
+
+@query("SELECT * FROM (VALUES ('lag1_clean_name', 'tds', 0), ('lag2_other', 'carries', -1)) t(\"column\", source, seasons_back)")
+def chk_plan_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that the analysed plan shows to hold something of the season they serve; two are planted under clean names."""
+    seasons, weekly = _wide(spark, d)
+    good = features.matrix(seasons, weekly, _WIDE, _RATES, _FLAGS)
+    same = seasons.select("season", "entity", (F.col("tds") * 2).alias("lag1_clean_name"))
+    late = seasons.select((F.col("season") - 1).alias("season"), "entity", F.col("carries").alias("lag2_other"))
+    faulty = good.join(same, ["season", "entity"], "left").join(late, ["season", "entity"], "left")
+    return features.plan_leaks(faulty, {"season", "entity", "team", "position"})
+
+
 def _folds(rows: DataFrame) -> tuple[DataFrame, int]:
     """rows with features, weight, fold (of the season predicted, else -1) and since (the first fold that learns from them)."""
     seasons = _seasons(rows)

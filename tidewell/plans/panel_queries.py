@@ -159,9 +159,10 @@ def jn_left_checked(spark: SparkSession, d: str) -> DataFrame:
     return panel.left_checked(c, n, ["k"]).select(F.col("c_custkey").alias("entity"), "team", F.col("c_acctbal").alias("bal"))
 
 
-@query("SELECT c_custkey AS entity FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS entity FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def jn_anti_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    c, o = fx.table(spark, d, "customer"), fx.table(spark, d, "orders")
+    """Customers that no postseason order names."""
+    c, o = fx.table(spark, d, "customer"), fx.table(spark, d, "orders").where("o_orderstatus = 'P'")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("entity"))
 
 
@@ -217,8 +218,8 @@ def agg_first_nonnull(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.col("o_custkey").alias("entity")).agg(F.min_by(v, F.when(v.isNotNull(), F.col("o_orderkey"))).alias("first_open"))
 
 
-@query(with_(fx.GAMES_SQL, """, weekly AS (SELECT season, entity, week, coalesce(sum(carries), 0) AS v FROM games GROUP BY 1, 2, 3),
-ends AS (SELECT season, CAST(greatest(max(week), 1) AS DOUBLE) AS n FROM games GROUP BY 1),
+@query(with_(fx.GAMES_SQL, """, weekly AS (SELECT season, entity, week, coalesce(sum(carries), 0) AS v FROM games WHERE season_type = 'REG' AND week IS NOT NULL AND entity IS NOT NULL GROUP BY 1, 2, 3),
+ends AS (SELECT season, CAST(greatest(max(week), 1) AS DOUBLE) AS n FROM games WHERE season_type = 'REG' GROUP BY 1),
 per AS (SELECT w.season, entity, n, sum(v) AS total, sum(CASE WHEN week > n - 6 THEN v ELSE 0 END) AS late, sum(week * v) AS weighted FROM weekly w JOIN ends e ON w.season = e.season GROUP BY 1, 2, 3)
 SELECT season, entity, late AS late6_carries, round((n * weighted - n * (n + 1) / 2 * total) / (n * n * (n + 1) * (2 * n + 1) / 6 - (n * (n + 1) / 2) * (n * (n + 1) / 2)), 6) AS weekly_slope_carries,
   round(late / least(n, 6) - (total - late) / (n - least(n, 6)), 6) AS late6_mean_delta_carries FROM per"""))
@@ -329,10 +330,10 @@ def fn_physical_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT key, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(strip_accents(name), '[^\\x00-\\x7F]', '', 'g')), '[a-z0-9]+'), lambda t: t NOT IN ('jr', 'sr', 'ii', 'iii', 'iv')), '') AS norm
-FROM (SELECT s_suppkey AS key, s_name AS name FROM supplier UNION ALL SELECT 1000000 + doc_id, substr(text, 1, 40) FROM documents WHERE text IS NOT NULL)""")
+FROM (SELECT s_suppkey AS key, s_name AS name FROM supplier UNION ALL SELECT 1000000 + doc_id, text FROM documents WHERE text IS NOT NULL)""")
 def fn_norm_name(spark: SparkSession, d: str) -> DataFrame:
     names = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
-    more = fx.table(spark, d, "documents").where("text is not null").select((F.col("doc_id") + 1000000).alias("key"), F.substring("text", 1, 40).alias("name"))
+    more = fx.table(spark, d, "documents").where("text is not null").select((F.col("doc_id") + 1000000).alias("key"), F.col("text").alias("name"))
     return names.unionByName(more).select("key", fn.normal_name(F.col("name")).alias("norm"))
 
 
@@ -352,8 +353,8 @@ def fn_logit_clip(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COHORT_SQL = fx.SEASON_SQL + """, prior AS (SELECT season + 1 AS season, entity, team, position, 'prior_roster' AS origin, season AS source_season, 0 AS o FROM games WHERE season_type = 'REG' AND season + 1 < 2001 QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY week DESC, team DESC, game DESC) = 1),
-firsts AS (SELECT entity, min(season) AS season FROM games GROUP BY 1),
-entrants AS (SELECT DISTINCT f.season, f.entity, g.team, g.position, 'entrant' AS origin, f.season AS source_season, 1 AS o FROM firsts f JOIN games g ON g.entity = f.entity WHERE f.season < 2001),
+firsts AS (SELECT entity, season, team, position FROM games QUALIFY row_number() OVER (PARTITION BY entity ORDER BY season, week, game) = 1),
+entrants AS (SELECT season, entity, team, position, 'entrant' AS origin, season AS source_season, 1 AS o FROM firsts WHERE season < 2001),
 hist AS (SELECT * EXCLUDE (o), true AS available FROM (SELECT * FROM prior UNION ALL SELECT * FROM entrants) QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY o) = 1),
 now_ AS (SELECT season, entity, team, position, 'current' AS origin, season AS source_season, coalesce(status NOT IN ('RES', 'CUT'), true) AS available FROM games WHERE season_type = 'REG' AND season = 2001 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY week DESC, team DESC, game DESC) = 1),
 co AS (SELECT c.*, CASE WHEN c.season < 2001 THEN coalesce(round(s.target, 6), 0) ELSE round(s.target, 6) END AS outcome FROM (SELECT * FROM hist UNION ALL SELECT * FROM now_) c LEFT JOIN seasons s ON s.season = c.season AND s.entity = c.entity)"""
@@ -361,7 +362,7 @@ co AS (SELECT c.*, CASE WHEN c.season < 2001 THEN coalesce(round(s.target, 6), 0
 
 def _cohort(spark: SparkSession, d: str) -> DataFrame:
     g = fx.games(spark, d)
-    entrants = g.groupBy("entity", "team", "position").agg(F.min("season").alias("season"))
+    entrants = g.groupBy("entity").agg(F.min_by(F.struct("season", "team", "position"), F.struct("season", "week", "game")).alias("f")).select("entity", "f.*")
     outcomes = fx.season_points(spark, d).select("season", "entity", F.round("target", 6).alias("outcome"))
     return panel.build_cohort(g.where("season_type = 'REG'"), entrants, outcomes, 2001, ["RES", "CUT"])
 
@@ -372,14 +373,28 @@ def coh_build(spark: SparkSession, d: str) -> DataFrame:
     return _cohort(spark, d).select("season", "entity", "team", "position", "origin", "source_season", "available", "outcome")
 
 
-@query(with_(_COHORT_SQL, """SELECT 'prior_roster_is_older' AS "check", count(*) FILTER (WHERE origin = 'prior_roster' AND source_season >= season) AS violations FROM co
-UNION ALL SELECT 'entrants_are_of_the_season', count(*) FILTER (WHERE origin = 'entrant' AND source_season <> season) FROM co
-UNION ALL SELECT 'current_is_current', count(*) FILTER (WHERE origin = 'current' AND (season <> 2001 OR source_season <> 2001)) FROM co
-UNION ALL SELECT 'current_alone_in_its_season', count(*) FILTER (WHERE origin <> 'current' AND season >= 2001) FROM co
-UNION ALL SELECT 'outcomes_before_current', count(*) FILTER (WHERE season < 2001 AND outcome IS NULL) FROM co"""))
+_FAULTY_SQL = """, fy AS (SELECT CASE WHEN entity % 101 = 0 AND origin = 'entrant' THEN 2001 ELSE season END AS season, entity, origin,
+  CASE WHEN entity % 97 <> 0 THEN source_season WHEN origin = 'prior_roster' THEN season WHEN origin = 'entrant' THEN season - 1 ELSE 2000 END AS source_season,
+  CASE WHEN entity % 97 = 0 AND season < 2001 THEN NULL ELSE outcome END AS outcome FROM co)"""
+
+
+@query(with_(_COHORT_SQL + _FAULTY_SQL, """SELECT 'prior_roster_is_older' AS "check", count(*) FILTER (WHERE origin = 'prior_roster' AND source_season >= season) AS violations FROM fy
+UNION ALL SELECT 'entrants_are_of_the_season', count(*) FILTER (WHERE origin = 'entrant' AND source_season <> season) FROM fy
+UNION ALL SELECT 'current_is_current', count(*) FILTER (WHERE origin = 'current' AND (season <> 2001 OR source_season <> 2001)) FROM fy
+UNION ALL SELECT 'current_alone_in_its_season', count(*) FILTER (WHERE origin <> 'current' AND season >= 2001) FROM fy
+UNION ALL SELECT 'outcomes_before_current', count(*) FILTER (WHERE season < 2001 AND outcome IS NULL) FROM fy"""))
 def chk_cohort(spark: SparkSession, d: str) -> DataFrame:
-    """The temporal contract of the cohort, a row a rule."""
-    return panel.check_cohort(_cohort(spark, d), 2001)
+    """The temporal contract of the cohort, a row a rule, with faults planted by entity for each rule."""
+    return panel.check_cohort(_faulty(_cohort(spark, d)), 2001)
+
+
+def _faulty(cohort: DataFrame) -> DataFrame:
+    """Every 97th entity breaks a rule: sources of the season itself, late sources, outcomes gone; every 101st claims the current season."""
+    fault = F.col("entity") % 97 == 0
+    source = F.when(fault & (F.col("origin") == "prior_roster"), F.col("season")).when(fault & (F.col("origin") == "entrant"), F.col("season") - 1).when(fault, 2000).otherwise(F.col("source_season"))
+    early = F.when((F.col("entity") % 101 == 0) & (F.col("origin") == "entrant"), 2001).otherwise(F.col("season"))
+    outcome = F.when(~(fault & (F.col("season") < 2001)), F.col("outcome"))
+    return cohort.withColumn("source_season", source).withColumn("outcome", outcome).withColumn("season", early)
 
 
 @query(with_(fx.SEASON_SQL, f""", ab AS (SELECT season, entity, count(DISTINCT week) AS absence_weeks FROM games WHERE season_type = 'REG' AND status = 'RES' AND {_PHYS} GROUP BY 1, 2),
