@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import board, bootstrap, evaluation, evidence, features, gram, models, ordered, panel, ranking, trees
+from tidewell.operators import board, boosting, bootstrap, evaluation, evidence, features, gram, models, ordered, panel, ranking, trees
 from tidewell.plans import fixtures as fx
 from tidewell.plans.panel_queries import _FRANK, _LONG, _PROB, G, _board, _features, _half_up, _prob, coh_build, r6, with_
 from tidewell.plans.panel_queries import _BOARD as _BOARD_SQL
@@ -823,6 +823,13 @@ def _trees(spark: SparkSession, d: str) -> DataFrame:
     return trees.predict(rows.where("fold >= 0").select("season", "entity", "position", "y", "features", "fold"), grown, medians).select(_OUT)
 
 
+def _boosting(spark: SparkSession, d: str) -> DataFrame:
+    """220 rounds of trees of up to 8 leaves for every season with two before it, all grown at once."""
+    rows, folds = _folds(_derived(spark, d))
+    model = boosting.fit(rows, folds, 220, 3, 0.05, 3.0, 20)
+    return boosting.predict(rows.where("fold >= 0").select("season", "entity", "position", "y", "features", "fold"), model).select(_OUT)
+
+
 def _tree_classes(spark: SparkSession, d: str) -> DataFrame:
     """300 trees of leaves of 20 with balanced classes, beside the boosted classifier; every season with two before it."""
     rows, folds = _folds(_derived(spark, d).withColumn("y", (F.col("y") > F.col("lag1_target")).cast("double")))
@@ -883,7 +890,7 @@ _model_query("ml_walk_forward", _forward("ridge"))
 _model_query("ml_linear", _ridge)
 _model_query("ml_position_scope", _positions)
 _model_query("ml_tree_ensemble", _trees)
-_model_query("ml_boosting", _forward("boosting"))
+_model_query("ml_boosting", _boosting)
 _model_query("ml_logit", _forward("logit", "sparse_logit", classes=True))
 _model_query("ml_tree_classifier", _tree_classes)
 _model_query("ml_hurdle", _hurdle)
