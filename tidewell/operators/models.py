@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import evaluation, ordered, ranking
+from tidewell.operators import evaluation, ordered
 from tidewell.sources import files
 
 #: Learners and their settings, as data.
@@ -116,10 +116,9 @@ def transformed(df: DataFrame, kind: str) -> DataFrame:
     group = ["season", "position"]
     if kind == "signed_log":
         return df.withColumn("y", fn.signed_log(F.col("y")))
-    if kind == "rank":
-        return df.withColumn("y", ranking.rank_pct(F.col("y"), group))
-    if kind == "hurdle":
-        return df.withColumn("y", ranking.rank_pct(F.when(F.col("y") > 0, F.col("y")), group))
+    if kind in ("rank", "hurdle"):
+        value = F.col("y") if kind == "rank" else F.when(F.col("y") > 0, F.col("y"))
+        return ordered.rank_pct(df.withColumn("_value", value), "y_", "_value", group).withColumn("y", F.col("y_")).drop("_value", "y_")
     return df
 
 

@@ -665,13 +665,20 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
     return _frame(spark, d).withColumn("y", (F.col("y") > F.col("lag1_target")).cast("double"))
 
 
-@query(with_(fx.SEASON_SQL, ", k AS (SELECT season, entity, position, round(target, 6) AS y FROM seasons) SELECT season, entity, round(" + _PCT.format("y") + ", 6) AS y FROM k"))
-def feat_rank_target(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.season_points(spark, d).select(*G, "entity", F.round("target", 6).alias("y"))
-    return r6(models.transformed(s, "rank").select("season", "entity", "y"), "y")
-
-
-QUERIES["ml_target_transform"], SQL["ml_target_transform"] = QUERIES.pop("feat_rank_target"), SQL.pop("feat_rank_target")
+_OVER = "(rank() OVER (PARTITION BY season, position{0} ORDER BY y) + (count(*) OVER (PARTITION BY season, position{0}, y) - 1) / 2.0) / count(*) OVER (PARTITION BY season, position{0})"
+
+
+@query(with_(fx.SEASON_SQL, f""", k AS (SELECT season, entity, position, round(target - 40, 6) AS y FROM seasons WHERE season < (SELECT max(season) FROM seasons))
+SELECT season, entity, y AS raw, round(sign(y) * ln(1 + abs(y)), 6) AS signed_log, round({_OVER.format('')}, 6) AS rank, CASE WHEN y > 0 THEN round({_OVER.format(', y > 0')}, 6) END AS hurdle FROM k"""))
+def ml_target_transform(spark: SparkSession, d: str) -> DataFrame:
+    """The four forms of the target over the seasons before the last: points over 40 as they are, signed logs, rank shares, rank shares of the positive."""
+    s = fx.season_points(spark, d).select(*G, "entity", F.round(F.col("target") - 40, 6).alias("y"))
+    s = files.once(s, "targets")
+    s = s.where(F.col("season") < max(r.season for r in s.select("season").distinct().collect()))
+    out = s.select("season", "entity", F.col("y").alias("raw"))
+    for kind in ("signed_log", "rank", "hurdle"):
+        out = out.join(models.transformed(s, kind).select("season", "entity", F.round("y", 6).alias(kind)), ["season", "entity"])
+    return out
 
 
 _COUNTS = ["target", "carries", "yards", "tds", "receptions"]
