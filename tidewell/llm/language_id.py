@@ -18,7 +18,6 @@ that repeat are judged each on their own. Other columns of docs, whatever their
 
 from __future__ import annotations
 
-import gc
 from itertools import chain
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, texts, without_collector
 
 TOP = 300
 #: Distinct words, and n-grams of them, that a task keeps.
@@ -125,9 +124,9 @@ class GramTable:
         return self.grams[_expand(self.ends[at], self.ends[at + 1] - self.ends[at])]
 
 
+@without_collector
 def _count(batches):
     """Counts of n-grams per language over the rows of a task."""
-    gc.disable()  # the tables hold hundreds of thousands of small objects and no cycles
     table, sums = GramTable(), {}
 
     def emit():
@@ -231,8 +230,8 @@ class Ranker:
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score."""
 
+    @without_collector
     def run(batches):
-        gc.disable()  # the tables hold hundreds of thousands of small objects and no cycles
         ranker = Ranker(profiles)
         for batch in slices(batches, 2_000_000):
             langs, scores = ranker.predict(texts(batch))

@@ -11,7 +11,6 @@ Null text encodes as the empty text: the end id alone. Very long texts are cut o
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from itertools import chain
@@ -20,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import slices, texts, without_collector
 
 MARK = "▁"
 #: Distinct marked words that a task keeps, and the longest marked word that is kept.
@@ -120,8 +119,8 @@ class ChunkCodec:
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, ids array<int> with the end id last, decoded: the text that those ids stand for."""
 
+    @without_collector
     def run(batches):
-        gc.disable()  # the table holds hundreds of thousands of small objects and no cycles
         codec = ChunkCodec(model_file)
         for batch in slices(batches):
             ids = codec.encode(texts(batch))
@@ -136,8 +135,8 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
 def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """encode_documents, with the ids and the decoded text carried as digests rather than values."""
 
+    @without_collector
     def run(batches):
-        gc.disable()  # the table holds hundreds of thousands of small objects and no cycles
         codec = ChunkCodec(model_file)
         for batch in slices(batches):
             n, ids, decoded = zip(*codec.digests(texts(batch)))

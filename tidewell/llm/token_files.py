@@ -13,7 +13,6 @@ columns of docs, whatever their names, are not read.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import uuid
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, texts
+from .common import shared_dir, slices, texts, without_collector
 
 #: Where a text may be cut with no token across: before a space that starts a word, and around runs
 #: of white space as the tokenizer's own pre-tokenisation cuts them.
@@ -141,9 +140,9 @@ class WordTable:
 
 
 def _tokens(tokenizer_file: str, end_id: int):
+    @without_collector
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        gc.disable()  # the table holds hundreds of thousands of small objects and no cycles
         table = WordTable(tokenizer_file)
         for batch in slices(batches):
             flat, lengths = table.encode(texts(batch))
