@@ -27,6 +27,44 @@ def test_the_fit_minimises_the_plain_risk(spark):
         assert all(risk(model.weights + d)[0] > best - 1e-4 for d in rng.normal(0, 0.05, (50, Q.N_FEATURES + 1)))
 
 
+def _local_sums(x, y):
+    """Sums of one table in memory, in the place of Spark's."""
+    return lambda rows, part: part(x, y)
+
+
+@pytest.mark.parametrize("seed, prior, apart", [(1, 0.5, 2.0), (2, 0.7, 1.5), (3, 0.9, 1.0), (4, 0.6, 3.0)])
+def test_at_the_bound_the_fit_reaches_the_least_risk(monkeypatch, seed, prior, apart):
+    """Priors above the mixture's 0.4 press the negative part to 0; plain subgradient steps find no lower risk."""
+    rng = np.random.default_rng(seed)
+    n = 3000
+    good = np.concatenate([np.ones(n // 3), rng.random(2 * n // 3) < 0.4])
+    y = np.concatenate([np.ones(n // 3, int), np.zeros(2 * n // 3, int)])
+    x = rng.normal(0, 1, (n, Q.N_FEATURES))
+    x[:, :3] += apart * good[:, None]
+    monkeypatch.setattr(Q, "_sums", _local_sums(x, y))
+    start = Q.QualityModel(x.mean(0), x.std(0), np.zeros(Q.N_FEATURES + 1), prior)
+    model = Q.fit_nonnegative(None, start, ((y == 1).sum(), (y == 0).sum()))
+    pos, unl = start.scaled(x[y == 1]), start.scaled(x[y == 0])
+
+    def risk(w):
+        z, u = pos @ w, unl @ w
+        negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, z).mean()
+        grad = -prior * (Q.sigmoid(-z) @ pos) / len(pos)
+        if negative > 0:
+            grad = grad + (Q.sigmoid(u) @ unl) / len(unl) - prior * (Q.sigmoid(z) @ pos) / len(pos)
+        held = np.append(np.full(Q.N_FEATURES, Q.RIDGE), 1e-9)
+        return prior * np.logaddexp(0, -z).mean() + max(0, negative) + (held * w * w).sum() / 2, negative, grad + held * w
+
+    reached, negative, _ = risk(model.weights)
+    assert abs(negative) < 0.02  # the bound is met
+    for w in (model.weights, start.weights):
+        best = risk(w)[0]
+        for i in range(4000):
+            w = w - 0.5 / (1 + i) ** 0.5 * risk(w)[2]
+            best = min(best, risk(w)[0])
+        assert reached < best + 1e-3
+
+
 @pytest.mark.parametrize("prior", [0.2, 0.6, 0.9])
 def test_prior_of_a_known_mixture(prior):
     rng = np.random.default_rng(5)

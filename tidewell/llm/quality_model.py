@@ -4,8 +4,10 @@ Trusted positives are documents labelled good; unlabelled web text is everything
 learned from. The classifier minimises the non-negative unbiased risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 with the logistic loss over features of form (symbols, case, repetition, lines, word shapes). With
-this loss the unbiased risk is convex, so Newton steps find it; a step that would make the negative
-part fall below zero is halved until it does not.
+this loss the risk is the higher of two smooth convex functions: the positives' part alone, and the
+unbiased risk. Each step takes the direction that lowers the higher of their linear models most under
+the curvature of their mix, so at the bound, where both are equal, steps go along it; the share of the
+unbiased risk in the mix has a closed form. A step is halved until the risk falls enough.
 
 The class prior is estimated from positives and unlabelled text: the unlabelled share above any
 threshold of a score, divided by the positives' share above it, bounds the prior from above, and the
@@ -15,7 +17,7 @@ first model with a prior of one half.
 Features of every text are computed once and written; positives and unlabelled rows, all of them, enter
 the risk through sums that Spark adds up for each Newton step, so nothing but a vector and a matrix of
 N_FEATURES reaches the driver. Every text is scored whole. Null and empty texts have features of their
-own (no words) and get a score like any other. Rows that repeat count and are scored each on their own;
+own (no words) and get a score like any other; very long texts are read whole, in one pass. Rows that repeat count and are scored each on their own;
 a doc_id with several labels is good if one of them is. Without positives, or without unlabelled rows,
 every text scores the prior. An empty table gives no rows. Other columns of docs are not read.
 """
@@ -35,8 +37,8 @@ from .common import materialize, slices, texts
 from .learn import sigmoid
 
 N_FEATURES = 18
-#: Ridge on the weights, Newton steps at most, and the decrease of the risk below which they end.
-RIDGE, ROUNDS, ENOUGH = 1e-4, 25, 1e-5
+#: Ridge on the weights, steps at most, and the promised fall of the risk below which they end.
+RIDGE, ROUNDS, ENOUGH = 1e-4, 60, 1e-5
 #: Bins of the score, and the chance that the prior's bound does not hold.
 BINS, DELTA = 1_000, 0.1
 _LETTERS = np.array([chr(b).isalpha() if b < 128 else b >= 0xC0 for b in range(256)], float)
@@ -129,41 +131,59 @@ def risk_parts(model: QualityModel):
     def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         pos, unl = model.scaled(x[y == 1]), model.scaled(x[y == 0])
         z, u = pos @ model.weights, unl @ model.weights
-        p = sigmoid(u)
-        bend = (unl * (p * (1 - p))[:, None]).T @ unl
-        return np.concatenate([[_soft(z).sum(), _soft(-z).sum(), _soft(u).sum()], pos.sum(0), p @ unl, bend.ravel()])
+        q, p = sigmoid(z), sigmoid(u)
+        bends = [(rows * (c * (1 - c))[:, None]).T @ rows for rows, c in ((pos, q), (unl, p))]
+        return np.concatenate([[_soft(z).sum(), _soft(-z).sum(), _soft(u).sum()], pos.sum(0), q @ pos, p @ unl, *(b.ravel() for b in bends)])
 
     return part
 
 
+@dataclass
+class _Risk:
+    """Both functions whose higher one is the risk (positives' part, unbiased risk): values, gradients, second derivatives."""
+
+    values: np.ndarray
+    grads: np.ndarray
+    bends: np.ndarray
+
+    def step(self, share: float) -> tuple[np.ndarray, float, float]:
+        """The step under the curvature that `share` of the unbiased risk gives, the new share, and the fall that the step promises."""
+        bend = (1 - share) * self.bends[0] + share * self.bends[1] + 1e-6 * np.eye(len(self.bends[0]))
+        apart = self.grads[1] - self.grads[0]
+        to_first, to_apart = np.linalg.solve(bend, np.stack([self.grads[0], apart], 1)).T
+        gap = self.values[1] - self.values[0]
+        share = float(np.clip((gap - self.grads[0] @ to_apart) / max(apart @ to_apart, 1e-30), 0, 1))
+        step = -(to_first + share * to_apart)
+        model = max(self.values + self.grads @ step) + step @ bend @ step / 2
+        return step, share, max(self.values) - model
+
+
 def fit_nonnegative(rows: DataFrame, model: QualityModel, n: tuple[float, float]) -> QualityModel:
     """The model with weights that minimise the non-negative risk over rows(y, x); n: how many have y of 1 and of 0."""
     k, prior = N_FEATURES + 1, model.prior
     ridge = np.append(np.full(N_FEATURES, RIDGE), 1e-9)
 
-    def at(w):
-        """Risk with ridge, its part of negatives, gradient, second derivatives."""
+    def at(w) -> _Risk:
         got = _sums(rows, risk_parts(QualityModel(model.mean, model.std, w, prior)))
-        pos_neg, pos_pos, unl_neg = got[0] / n[0], got[1] / n[0], got[2] / n[1]
-        negative = unl_neg - prior * pos_neg
-        grad = got[3 + k : 3 + 2 * k] / n[1] - prior * got[3 : 3 + k] / n[0] + ridge * w
-        return prior * pos_pos + max(0.0, negative) + (ridge * w * w).sum() / 2, negative, grad, got[3 + 2 * k :].reshape(k, k) / n[1]
-
-    w = model.weights
-    best, _, grad, bend = at(w)
+        sums, (pos, pos_q, unl_p), bends = got[:3], got[3 : 3 + 3 * k].reshape(3, k), got[3 + 3 * k :].reshape(2, k, k)
+        held = (ridge * w * w).sum() / 2
+        first = prior * sums[1] / n[0] + held
+        unbiased = first + sums[2] / n[1] - prior * sums[0] / n[0]
+        grads = np.stack([prior * (pos_q - pos) / n[0], unl_p / n[1] - prior * pos / n[0]]) + ridge * w
+        return _Risk(np.array([first, unbiased]), grads, np.stack([prior * bends[0] / n[0], bends[1] / n[1]]) + np.diag(ridge))
+
+    w, share = model.weights, 1.0
+    risk = at(w)
     for _ in range(ROUNDS):
-        step = np.linalg.solve(bend + np.diag(ridge + 1e-6), grad)
-        size = 1.0
-        while size > 1e-3:
-            value, negative, new_grad, new_bend = at(w - size * step)
-            if negative >= 0 and value < best:
-                break
-            size /= 4
-        else:
-            break
-        gain, w, best, grad, bend = best - value, w - size * step, value, new_grad, new_bend
-        if gain < ENOUGH:
+        step, share, promised = risk.step(share)
+        if promised < ENOUGH:
             break
+        size = 1.0
+        while (new := at(w + size * step)).values.max() > risk.values.max() - 0.1 * size * promised:
+            size /= 2
+            if size < 1e-6:
+                return QualityModel(model.mean, model.std, w, prior)
+        w, risk = w + size * step, new
     return QualityModel(model.mean, model.std, w, prior)
 
 
