@@ -43,6 +43,27 @@ def test_what_states_change(words, found):
     assert weight(words) == pytest.approx(found)
 
 
+@pytest.mark.parametrize("text, found", [
+    ('He said: "you are an idiot".', [5 * 1.25 * 0.4]), ('"You are an idiot," he said', [5 * 1.25 * 0.4]), ("“Go. You idiot. Go,” she wrote", [5 * 1.25 * 0.4]),
+    ('He said "hello". You idiot', [5 * 1.25]), ('"hello" he said, you idiot', [5 * 1.25]), ('"You are an idiot" and "no"', [5 * 1.25]),
+    ("du bist ein idiot nicht", [5 * 1.25 * 0.15]), ("ein idiot, nicht du", [5.0]), ("I don't think you are an idiot", [5 * 1.25 * 0.15]),
+    ("I don’t think you are an idiot", [5 * 1.25 * 0.15]), ("you are not, idiot", [5.0]), ("he kills you", [4 * 1.0, 4.0]), ("killing you all", [4 * 0.3, 4.0]),
+    ("they will murder you", [4 * 1.0, 4.0]), ("how to kill weeds in your garden", [4 * 0.3]), ("I will kill your mother", [4 * 0.3, 4.0]),
+    ("said, in short, idiot", [5.0]), ('he said to her, "idiot', [5 * 0.4]), ('he said "one\nidiot', [5.0]), ("", []), ('"""', []), ("idiot", [5.0]),
+])
+def test_findings_of_texts(text, found):
+    model = T.Grammar({"idiot$": 5.0})
+    assert [size * model._times(weight) for _, size, weight in model.findings([text])[0]] == pytest.approx(found)
+
+
+def test_reading_from_the_right_equals_its_parts():
+    for words in ("you x not idiot said idiot", "hurt x you idiot not idiot", "idiot x said idiot not"):
+        line = classes(words)[::-1]
+        first = T.later_negation().run(line)
+        second = T.later_report().run([c for c, _ in first])
+        assert T.FROM_RIGHT.run(line) == [(c, T.times(a, b)) for (_, a), (c, b) in zip(first, second)]
+
+
 def test_clauses_are_judged_apart_and_predictions_follow_the_states(spark):
     toxic = [(i, f"the meeting {i} went badly you idiot", 1) for i in range(40)]
     clean = [(100 + i, f"the meeting {i} went well and all were content", 0) for i in range(60)]

@@ -1,11 +1,18 @@
 """Operator 4: toxicity by a weighted finite-state grammar over clauses.
 
-Five weighted transducers read the word classes of a clause, one after another: insults that pile up,
-threats that reach a target, insults that are addressed to a target, negation, and reported speech.
-Each passes on a class for each that it reads, with a weight; `compose` makes one transducer of two,
-whose states are pairs and whose weights are the products. What the composed transducer writes for an
-insult or a threat is a finding, and its weight is a product of named factors (PRIOR), kept as their
-exponents so that the factors can be learned.
+Five weighted transducers read the classes of the words and marks of a line, one after another: insults
+that pile up, threats that reach a person, insults that are addressed to a target, negation, and reported
+speech. Each passes on a class for each that it reads, with a weight; `compose` makes one transducer of
+two, whose states are pairs and whose weights are the products. Two more read what the five wrote from
+the right, composed likewise: negation that follows (a verb-final `nicht`), and a verb of saying after a
+quote. What is written for an insult or a threat is a finding, and its weight is a product of named
+factors (PRIOR), kept as their exponents so that the factors can be learned.
+
+Commas, colons, brackets, quote marks and sentence ends part clauses: piling, reach and negation begin
+anew there. Reported speech goes on over them: from a verb of saying to the end of its clause, and
+through a quote that it opens or closes, over sentences, to the other quote mark or the line's end.
+Negated verbs of opinion (`don't think`) reach further. A threat's target is a person: possessives count
+only before one (`your mother`), so `weeds in your garden` is none.
 
 The lexicon of insults is learned from labelled documents: words and word beginnings that occur in far
 more toxic documents than clean ones, weighted by log odds. A clause scores the sum of its findings,
@@ -41,18 +48,32 @@ MAX_ROWS, STEMS, MAX_TABLE = 6_000, range(3, 13), 200_000
 # Closed-class words of the grammar, in English, German, French and Spanish.
 NEGATIONS = "not never no isn't aren't wasn't don't nicht kein keine nie ne pas jamais non nunca ni".split()
 REPORTS = "said says say called calls wrote quoted reported sagte schrieb nannte dit appelé écrit dijo llamó escribió".split()
-TARGETS = "you your you're they them he she him her du dich dein ihr sie tu te toi vous ils elle usted ustedes tú ellos".split()
-THREATS = "kill hurt destroy beat burn shoot stab töten schlagen tuer frapper matar golpear".split()
-
-#: Classes of words, and what a threat becomes: BARE before it has met a target, MENACE when it has.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BARE, MENACE = range(8)
-CLASSES, FINDINGS = range(8), {INSULT, BARE, MENACE}
+TARGETS = "you you're they them he she him her du dich sie tu te toi vous ils elle usted ustedes tú ellos".split()
+OWNERS = "your their his dein deine ihr euer ton ta votre vos leur su tus vuestro".split()
+KIN = """mother mom father dad family kids children wife husband son daughter brother sister mutter vater familie kinder
+mère père famille enfants madre padre familia hijos""".split()
+OPINIONS = "think believe mean denke glaube finde pense crois creo pienso".split()
+LATER = "nicht".split()
+# Stems of verbs of threat and the endings that they take, by language.
+THREAT_STEMS = {
+    "kill murder stab stabb shoot burn beat destroy hurt strangl": " s es e ed ing er",
+    "töt schlag schläg verprügel ermord verbrenn": " e en st t et te",
+    "tu frapp assassin brûl": "er erai erons ez",
+    "mat golpe quem": "ar aré aremos aré ando",
+}
+THREATS = {stem + ending.strip() for stems, endings in THREAT_STEMS.items() for stem in stems.split() for ending in endings.split(" ")} - set("tu".split())
+
+#: Classes of words and marks, and what a threat becomes: BARE before it has met a person, MENACE when it has.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BARE, MENACE, OWNER, RELATIVE, OPINION, QUOTE, PAUSE, STOP, LINE = range(15)
+CLASSES, FINDINGS, PARTS = range(15), {INSULT, BARE, MENACE}, {QUOTE, PAUSE, STOP, LINE}
 #: Factors of the context of a finding before learning, and how many documents' worth they are held to.
 PRIOR = {"piled": 1.1, "addressed": 1.25, "bare": 0.3, "negated": 0.15, "reported": 0.4}
 HOLD, THREAT_WEIGHT, REACH = 20.0, 4.0, 3
 FACTORS = list(PRIOR)
-CLAUSE = re.compile(r"[.,;:!?\n|()\"]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+#: A word, or marks that part clauses: a quote mark by itself, others as one.
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]|[.,;:!?|()]+")
+QUOTES, STOPS = frozenset("\"“”„«»"), re.compile("[.;!?|]")
 N_FEATURES = 4
 
 Weight = tuple[int, ...]
@@ -108,48 +129,104 @@ def _machine(states, step) -> Transducer:
 
 def insults() -> Transducer:
     """A further insult in a clause weighs as one that is piled on."""
-    return _machine([False, True], lambda s, c: (s or c == INSULT, c, factor("piled") if s and c == INSULT else ONE))
+
+    def step(some, c):
+        return c not in PARTS and (some or c == INSULT), c, factor("piled") if some and c == INSULT else ONE
+
+    return _machine([False, True], step)
 
 
 def threats(reach: int = REACH) -> Transducer:
-    """A threat is bare at first; a target within reach makes it a menace."""
+    """A threat is bare at first; a person within reach in its clause makes it a menace."""
 
-    def step(left, c):
+    def step(state, c):
+        left, owned = state
         if c == THREAT:
-            return reach, BARE, ONE
-        if c == TARGET and left:
-            return 0, MENACE, ONE
-        return max(left - 1, 0), c, ONE
+            return (reach, False), BARE, ONE
+        if left and (c == TARGET or c == RELATIVE and owned):
+            return (0, False), MENACE, ONE
+        left = 0 if c in PARTS else max(left - 1, 0)
+        return (left, c == OWNER and left > 0), c, ONE
 
-    return _machine(list(range(reach + 1)), step)
+    return _machine([(n, owned) for n in range(reach + 1) for owned in (False, True)], step)
 
 
 def targets(reach: int = REACH) -> Transducer:
     """An insult within reach after a target is addressed; threats without a target are weak."""
 
     def step(left, c):
-        if c in (TARGET, MENACE):
+        if c in (TARGET, OWNER, MENACE):
             return reach, c, ONE
         weight = factor("addressed") if c == INSULT and left else factor("bare") if c == BARE and not left else ONE
-        return max(left - 1, 0), c, weight
+        return 0 if c in PARTS else max(left - 1, 0), c, weight
 
     return _machine(list(range(reach + 1)), step)
 
 
 def negation(reach: int = REACH) -> Transducer:
-    """Findings within reach after a negation are negated."""
+    """Findings within reach after a negation in a clause are negated; a negated verb of opinion reaches two words further."""
 
     def step(left, c):
         if c == NEGATION:
             return reach, c, ONE
-        return max(left - 1, 0), c, factor("negated") if c in FINDINGS and left else ONE
+        if c == OPINION and left:
+            return reach + 2, c, ONE
+        return 0 if c in PARTS else max(left - 1, 0), c, factor("negated") if c in FINDINGS and left else ONE
 
-    return _machine(list(range(reach + 1)), step)
+    return _machine(list(range(reach + 3)), step)
 
 
 def reported_speech() -> Transducer:
-    """Findings after a verb of saying, up to the end of the clause, are reported."""
-    return _machine([False, True], lambda s, c: (s or c == REPORT, c, factor("reported") if s and c in FINDINGS else ONE))
+    """Findings after a verb of saying are reported: to the end of the clause, or in the quote that it opens."""
+    none, just, said, waiting, inside, other_quote, closed, closing, tag = range(9)
+
+    def step(state, c):
+        weight = factor("reported") if c in FINDINGS and state in (just, said, tag, inside) else ONE
+        if c == LINE:
+            return none, c, weight
+        if state in (inside, other_quote):
+            return closed if c == QUOTE else state, c, weight
+        if c == REPORT:  # at the end of a quote the verb belongs to it
+            return tag if state in (closed, closing) else just, c, weight
+        if c == QUOTE:
+            return other_quote if state in (none, closed, closing) else inside, c, weight
+        if c == STOP:
+            return none, c, weight
+        if c == PAUSE:  # right after the verb the clause goes on, else only a quote may follow
+            return {just: said, said: waiting, tag: waiting}.get(state, state), c, weight
+        return {just: said, tag: said, waiting: none, closed: closing, closing: none}.get(state, state), c, weight
+
+    return _machine(list(range(9)), step)
+
+
+def later_negation(reach: int = REACH) -> Transducer:
+    """Read from the right: findings within reach before a negation that follows, in its clause, are negated."""
+
+    def step(left, c):
+        if c == NEGATION:
+            return reach, c, ONE
+        return 0 if c in PARTS else max(left - 1, 0), c, factor("negated") if c in FINDINGS and left else ONE
+
+    return _machine(list(range(reach + 1)), step)
+
+
+def later_report(reach: int = 2) -> Transducer:
+    """Read from the right: a quote is reported if a verb of saying follows its end within reach."""
+    none, inside, other_quote = 0, -1, -2
+
+    def step(state, c):
+        weight = factor("reported") if c in FINDINGS and state == inside else ONE
+        if c == LINE:
+            return none, c, weight
+        if state < 0:
+            return none if c == QUOTE else state, c, weight
+        if c == QUOTE:
+            return inside if state else other_quote, c, weight
+        if c == REPORT:
+            return reach + 1, c, weight
+        return 0 if c == STOP else max(state - (c != PAUSE), 0), c, weight
+
+    return _machine([none, *range(1, reach + 2), inside, other_quote], step)
 
 
 def grammar() -> Transducer:
@@ -160,8 +237,17 @@ def grammar() -> Transducer:
     return machine
 
 
-MACHINE = grammar()
-_CLOSED = {w: c for c, ws in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
+MACHINE, FROM_RIGHT = grammar(), compose(later_negation(), later_report())
+_LISTS = ((KIN, RELATIVE), (OPINIONS, OPINION), (OWNERS, OWNER), (THREATS, THREAT), (TARGETS, TARGET), (REPORTS, REPORT), (NEGATIONS, NEGATION))
+_CLOSED = {w: c for words, c in _LISTS for w in words}
+
+
+def read(classes: list[int], later: list[bool]) -> list[tuple[int, Weight]]:
+    """What the grammar writes for a line's classes, and its weight; `later`: which negations also act from the right."""
+    left = MACHINE.run(classes)
+    seen = [OTHER if c == NEGATION and not acts else c for (c, _), acts in zip(left, later)]
+    right = FROM_RIGHT.run(reversed(seen))
+    return [(c, times(a, b)) for (c, a), (_, b) in zip(left, reversed(right))]
 
 
 _LETTERS: list[np.ndarray] = []
@@ -215,7 +301,9 @@ class Grammar:
         return Grammar, (self.lexicon, self.factors, self.scale, self.weights)
 
     def _classify(self, word: str) -> tuple[int, float]:
-        """Class of a word, and its weight in the lexicon."""
+        """Class of a word or of marks, and the weight in the lexicon."""
+        if not word[0].isalpha():
+            return (QUOTE if word in QUOTES else STOP if STOPS.search(word) else PAUSE), 0.0
         if word[:3] not in self._heads:
             return OTHER, 0.0
         if word in _CLOSED:
@@ -236,18 +324,21 @@ class Grammar:
 
     def findings(self, many: list[str]) -> list[list[tuple[int, float, Weight]]]:
         """(clause, lexicon weight, context weight) of each finding in each text."""
-        lows = [t.lower() for t in many]
+        lows = [t.lower().replace("’", "'") for t in many]
         return [self._findings(t) if may else [] for t, may in zip(lows, self._may_find(lows))]
 
     def _findings(self, low: str) -> list[tuple[int, float, Weight]]:
-        out = []
-        for k, clause in enumerate(CLAUSE.split(low)):
-            classes = [self._words[w] for w in WORD.findall(clause)]
-            if not any(c in (INSULT, THREAT) for c, _ in classes):
-                continue
-            for (written, weight), (_, size) in zip(MACHINE.run(c for c, _ in classes), classes):
-                if written in FINDINGS:
-                    out.append((k, size if written == INSULT else THREAT_WEIGHT, weight))
+        out, clause = [], 0
+        for line in low.split("\n"):
+            tokens = TOKEN.findall(line)
+            classes = [self._words[w] for w in tokens]
+            if any(c in (INSULT, THREAT) for c, _ in classes):
+                written = read([c for c, _ in classes], [w in LATER for w in tokens])
+                for (what, weight), (c, size) in zip(written, classes):
+                    clause += c in PARTS
+                    if what in FINDINGS:
+                        out.append((clause, size if what == INSULT else THREAT_WEIGHT, weight))
+            clause += 1
         return out
 
     def features(self, many: list[str]) -> np.ndarray:
@@ -283,7 +374,7 @@ def _toxic_counts(batches):
     seen: Counter = Counter()
     for batch in slices(batches):
         for text in texts(batch):
-            seen.update({s for w in set(WORD.findall(text.lower())) for s in stems(w)})
+            seen.update({s for w in set(WORD.findall(text.lower().replace("’", "'"))) for s in stems(w)})
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["entry", "n"])
 
 
@@ -295,7 +386,7 @@ def _clean_counts(entries: set[str]):
         seen: Counter = Counter()
         for batch in slices(batches):
             for text in texts(batch):
-                seen.update({s for w in set(WORD.findall(text.lower())) for s in known[w]})
+                seen.update({s for w in set(WORD.findall(text.lower().replace("’", "'"))) for s in known[w]})
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["entry", "n"])
 
     return run
