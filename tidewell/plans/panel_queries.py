@@ -687,21 +687,54 @@ def _half_up(x: str, digits: int) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(28, 10)), {digits}) AS DOUBLE)"
 
 
-_BUILT = _BOARD + f""", k AS (SELECT *, 1 - risk AS health, (rank() OVER (PARTITION BY position ORDER BY points) + (count(*) OVER (PARTITION BY position, points) - 1) / 2.0) / count(*) OVER (PARTITION BY position) AS pct,
+_SCORES = f""", k AS (SELECT *, 1 - risk AS health, (rank() OVER (PARTITION BY position ORDER BY points) + (count(*) OVER (PARTITION BY position, points) - 1) / 2.0) / count(*) OVER (PARTITION BY position) AS pct,
   rank() OVER (PARTITION BY position ORDER BY points DESC) AS position_rank, row_number() OVER (PARTITION BY position ORDER BY points DESC, entity) AS i,
   least(CASE position WHEN 'RB' THEN 24 WHEN 'WR' THEN 36 ELSE 12 END, count(*) OVER (PARTITION BY position)) AS cut,
   least(greatest(1 - risk - avg(1 - risk) OVER (PARTITION BY position) + 0.5, 0), 1) AS relative FROM bf),
 v AS (SELECT *, {_half_up("points - max(CASE WHEN i = cut THEN points END) OVER (PARTITION BY position)", 2)} AS vorp FROM k),
-o AS (SELECT *, {_half_up("greatest(vorp, 0) / max(vorp) OVER ()", 4)} AS overall_value FROM v),
-bd AS (SELECT entity, position, team, points, round(pct, 6) AS pct, position_rank, {_half_up("100 * (0.8 * pct + 0.2 * health)", 2)} AS draft_score, vorp, overall_value,
+o AS (SELECT *, {_half_up("greatest(vorp, 0) / max(vorp) OVER ()", 4)} AS overall_value FROM v)"""
+_BUILT = _BOARD + _SCORES + f""", bd AS (SELECT entity, position, team, points, round(pct, 6) AS pct, position_rank, {_half_up("100 * (0.8 * pct + 0.2 * health)", 2)} AS draft_score, vorp, overall_value,
   {_half_up("100 * (0.8 * overall_value + 0.2 * relative)", 2)} AS overall_score, CASE WHEN risk <= 0.2 THEN 'lower' WHEN risk <= 0.35 THEN 'moderate' ELSE 'higher' END AS risk_band FROM o)"""
 
 
 @query(with_(fx.FORECAST_SQL + _BUILT, "SELECT * FROM bd"))
-def brd_build(spark: SparkSession, d: str) -> DataFrame:
+def brd_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of one season's board from forecasts alone."""
     return r6(_board(spark, d), "pct")
 
 
+_ASSEMBLED = _COHORT_SQL + f""", own AS (SELECT entity, position, round(target, 6) AS points FROM seasons WHERE season = 2000),
+peer AS (SELECT position, round(avg(points), 4) AS points FROM own GROUP BY 1),
+old AS (SELECT entity, round((count(*) FILTER (WHERE status = 'RES') + 1) / CAST(count(*) + 2 AS DOUBLE), 4) AS risk FROM games WHERE season < 2001 GROUP BY 1),
+sc AS (SELECT entity, min(reason) AS designation FROM games WHERE season = 2001 AND season_type = 'REG' AND status = 'RES' AND {_PHYS} GROUP BY 1),
+bf AS (SELECT c.entity, c.position, c.team, coalesce(own.points, peer.points) AS points, CASE WHEN own.entity IS NULL THEN 'position' ELSE 'history' END AS points_source,
+  coalesce(old.risk, 0.5) AS risk, CASE WHEN f.season = 2001 THEN 'yes' ELSE 'no' END AS is_rookie, 2001 - f.season AS years_exp
+  FROM co c JOIN firsts f ON f.entity = c.entity LEFT JOIN own ON own.entity = c.entity LEFT JOIN peer ON peer.position = c.position LEFT JOIN old ON old.entity = c.entity
+  WHERE c.origin = 'current' AND c.available)""" + _SCORES
+
+
+@query(with_(_ASSEMBLED, f"""SELECT o.entity, position, team, is_rookie, years_exp, points, points_source, risk, round(pct, 6) AS pct, position_rank, {_half_up("100 * (0.8 * pct + 0.2 * health)", 2)} AS draft_score,
+vorp, overall_value, round(relative, 6) AS relative_health, {_half_up("100 * (0.8 * overall_value + 0.2 * relative)", 2)} AS overall_score, CASE WHEN risk <= 0.2 THEN 'lower' WHEN risk <= 0.35 THEN 'moderate' ELSE 'higher' END AS risk_band,
+CASE WHEN position = 'K' THEN 'low (kicker)' ELSE 'standard' END AS points_confidence, sc.entity IS NOT NULL AS listed, designation FROM o LEFT JOIN sc ON sc.entity = o.entity"""))
+def brd_build(spark: SparkSession, d: str) -> DataFrame:
+    """The board of the current roster: forecasts, probabilities, metadata and listings, each candidate covered."""
+    g = files.once(fx.games(spark, d), "games")
+    current = _cohort(spark, d).where("origin = 'current'").select("entity", "position", "team", "available")
+    since = g.groupBy("entity").agg(F.min("season").alias("since"))
+    people = current.join(since, "entity").select("*", F.when(F.col("since") == 2001, "yes").otherwise("no").alias("is_rookie"), (2001 - F.col("since")).alias("years_exp")).drop("since")
+    own = fx.season_points(spark, d).where("season = 2000").select("entity", "position", F.round("target", 6).alias("own"))
+    peer = own.groupBy("position").agg(F.round(F.avg("own"), 4).alias("peer"))
+    forecasts = current.select("entity", "position").join(own.drop("position"), "entity", "left").join(peer, "position", "left")
+    forecasts = forecasts.select("entity", F.coalesce("own", "peer").alias("points"), F.when(F.col("own").isNull(), "position").otherwise("history").alias("points_source"))
+    past = g.where("season < 2001").groupBy("entity").agg(F.round((F.count_if(F.col("status") == "RES") + 1) / (F.count("*") + 2), 4).alias("risk"))
+    risks = current.select("entity").join(past, "entity", "left").select("entity", F.coalesce("risk", F.lit(0.5)).alias("risk"))
+    hurt = g.where("season = 2001 AND season_type = 'REG' AND status = 'RES'").where(fn.physical(F.col("reason"), fx.NON_PHYSICAL))
+    screen = hurt.select("entity", F.col("reason").alias("designation"), F.lit("2001-12-31").alias("status_as_of"))
+    got = board.assemble(people, forecasts, risks, screen, "2001-12-31")
+    cols = ["entity", "position", "team", "is_rookie", "years_exp", "points", "points_source", "risk", "pct", "position_rank", "draft_score", "vorp", "overall_value"]
+    return r6(got.select(*cols, "relative_health", "overall_score", "risk_band", "points_confidence", "listed", "designation"), "pct", "relative_health")
+
+
 @query(with_(fx.FORECAST_SQL + _BUILT, """, pg AS (SELECT 'ALL' AS page, * FROM bd UNION ALL SELECT position, * FROM bd UNION ALL SELECT 'INJURED', * FROM bd WHERE risk_band = 'higher')
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY overall_score DESC, points DESC, entity) AS place, entity, points, overall_score, draft_score FROM pg"""))
 def brd_pages(spark: SparkSession, d: str) -> DataFrame:
