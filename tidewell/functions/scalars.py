@@ -75,8 +75,9 @@ def slug(*parts: Column) -> Column:
 
 
 def pseudo_id(known: Column, season: Column, *parts: Column) -> Column:
-    """`pfr:` and a known id, else `prospect:`, the season and a slug of the parts."""
-    return F.when(known.isNotNull() & (known != ""), F.concat(F.lit("pfr:"), known)).otherwise(F.concat(F.lit("prospect:"), season.cast("string"), F.lit(":"), slug(*parts)))
+    """`pfr:` and a known id, else `prospect:`, the season and a slug of the parts (`unknown` if none is left)."""
+    named = F.coalesce(F.nullif(slug(*parts), F.lit("")), F.lit("unknown"))
+    return F.when(known.isNotNull() & (known != ""), F.concat(F.lit("pfr:"), known)).otherwise(F.concat(F.lit("prospect:"), season.cast("string"), F.lit(":"), named))
 
 
 def height_inches(text: Column) -> Column:

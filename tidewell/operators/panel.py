@@ -147,15 +147,16 @@ def build_cohort(rosters: DataFrame, entrants: DataFrame, outcomes: DataFrame, c
     """Target rows of all seasons up to `current`, from what was known before each.
 
     Before `current`: last roster rows of the season before, and entrants of the season. In `current`:
-    its own roster's rows alone, with whether their status lets them play. outcomes(season, entity,
+    its own roster's rows alone, with their status and whether it lets them play. outcomes(season, entity,
     outcome) come last: an unknown one counts 0 before `current` and stays unknown in it.
     """
     history = roster_cohort(rosters.where(F.col("season") + 1 < current), entrants.where(F.col("season") < current))
     source = F.when(F.col("origin") == "prior_roster", F.col("season") - 1).otherwise(F.col("season"))
-    history = history.select("season", "entity", "team", "position", "origin", source.alias("source_season"), F.lit(True).alias("available"))
+    unknown = F.lit(None).cast("string").alias("status")
+    history = history.select("season", "entity", "team", "position", "origin", source.alias("source_season"), F.lit(True).alias("available"), unknown)
     now = ranking.first_by(rosters.where(F.col("season") == current), ["season", "entity"], F.desc("week"), F.desc("team"), F.desc("game"))
     playing = F.coalesce(~F.col("status").isin(unavailable), F.lit(True))
-    now = now.select("season", "entity", "team", "position", F.lit("current").alias("origin"), F.col("season").alias("source_season"), playing.alias("available"))
+    now = now.select("season", "entity", "team", "position", F.lit("current").alias("origin"), F.col("season").alias("source_season"), playing.alias("available"), "status")
     known = history.unionByName(now).join(outcomes, ["season", "entity"], "left")
     return known.withColumn("outcome", F.when(F.col("season") < current, F.coalesce("outcome", F.lit(0.0))).otherwise(F.col("outcome")))
 

@@ -66,15 +66,15 @@ games AS (SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS seas
 EVENTS = {"rushing_yards": "yards", "rushing_tds": "tds", "receptions": "receptions", "fumbles_lost_total": "fumbles", "pat_made": "receptions", "fg_made_40_49": "tds", "fg_missed": "fumbles"}
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games with the events that a profile scores."""
-    return games(spark, sf_dir).withColumns({k: F.col(v) for k, v in EVENTS.items() if k != v})
+def events(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Games (those of the tables, or `rows` that come from them) with the events that a profile scores."""
+    return (games(spark, sf_dir) if rows is None else rows).withColumns({k: F.col(v) for k, v in EVENTS.items() if k != v})
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     from tidewell.operators.panel import score_games
 
-    return score_games(events(spark, sf_dir), strict=False)
+    return score_games(events(spark, sf_dir, rows), strict=False)
 
 
 SCORED_SQL = GAMES_SQL + """,
@@ -85,10 +85,10 @@ scored AS (SELECT *, base AS points_base, base + 0.5 * coalesce(receptions, 0) A
 """
 
 
-def season_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def season_points(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     from tidewell.operators.panel import seasons
 
-    return seasons(scored(spark, sf_dir).where("season_type = 'REG'"), ["target", "carries", "yards", "tds", "receptions"])
+    return seasons(scored(spark, sf_dir, rows).where("season_type = 'REG'"), ["target", "carries", "yards", "tds", "receptions"])
 
 
 SEASON_SQL = SCORED_SQL + """,

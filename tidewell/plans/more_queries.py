@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidewell.functions import scalars as fn
 from tidewell.operators import board, boosting, bootstrap, evaluation, evidence, features, gram, models, ordered, panel, ranking, trees
 from tidewell.plans import fixtures as fx
-from tidewell.plans.panel_queries import _FRANK, _LONG, _PROB, G, _board, _features, _half_up, _prob, coh_build, r6, with_
+from tidewell.plans.cohort_queries import coh_build
+from tidewell.plans.panel_queries import _FRANK, _LONG, _PROB, G, _board, _features, _half_up, _prob, r6, with_
 from tidewell.plans.panel_queries import _BOARD as _BOARD_SQL
 from tidewell.sources import files
 

@@ -361,15 +361,15 @@ co AS (SELECT c.*, CASE WHEN c.season < 2001 THEN coalesce(round(s.target, 6), 0
 
 
 def _cohort(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.games(spark, d)
+    g = files.once(fx.games(spark, d), "games")
     entrants = g.groupBy("entity").agg(F.min_by(F.struct("season", "team", "position"), F.struct("season", "week", "game")).alias("f")).select("entity", "f.*")
-    outcomes = fx.season_points(spark, d).select("season", "entity", F.round("target", 6).alias("outcome"))
+    outcomes = fx.season_points(spark, d, g).select("season", "entity", F.round("target", 6).alias("outcome"))
     return panel.build_cohort(g.where("season_type = 'REG'"), entrants, outcomes, 2001, ["RES", "CUT"])
 
 
 @query(with_(_COHORT_SQL, "SELECT season, entity, team, position, origin, source_season, available, outcome FROM co"))
-def coh_build(spark: SparkSession, d: str) -> DataFrame:
-    """Veterans, entrants and the current roster, with outcomes attached last."""
+def coh_members(spark: SparkSession, d: str) -> DataFrame:
+    """Veterans, entrants (by their first game) and the current roster, with outcomes attached last; coh_build has the rest."""
     return _cohort(spark, d).select("season", "entity", "team", "position", "origin", "source_season", "available", "outcome")
 
 
