@@ -87,3 +87,18 @@ def test_empty_tables(spark):
     assert build(spark, rosters=[], measured=[], draft=[], people=[]).count() == 0
     alone = {r.entity for r in build(spark, measured=[], draft=[], people=[]).where("season = 2000").collect()}
     assert alone == {"a"}
+
+
+def test_the_contract_counts_each_fault(spark):
+    rows = [
+        (2000, "a", "QB", "prior_roster", 1999, 1.0), (2000, "b", "QB", "entrant", 2000, 0.0), (2001, "c", "K", "current", 2001, None),
+        (2000, "d", "QB", "prior_roster", 2000, 1.0), (2000, "e", "QB", "entrant", 1999, None), (2000, "f", "LS", "current", 2000, 0.0), (2001, "g", "K", "current", 2001, 2.0),
+        (2000, "h", None, "prior_roster", None, 1.0),
+    ]
+    schema = "season int, entity string, position string, origin string, source_season int, outcome double"
+    count = lambda rows: {r.check: r.violations for r in cohort.contract(spark.createDataFrame(rows, schema), 2001).collect()}
+    assert set(count(rows[:3]).values()) == set(count([]).values()) == {0}
+    assert count([*rows, *rows[:1] * 2]) == {
+        "keys_are_unique": 3, "position_of_the_panel": 2, "current_outcome_is_unknown": 1, "earlier_outcome_is_known": 1,
+        "prior_roster_is_older": 2, "entrants_are_of_the_season": 1, "current_is_current": 1,
+    }

@@ -122,3 +122,24 @@ def audit(cohort: DataFrame) -> DataFrame:
     """Rows, outcomes of exactly 0, and made ids of each season and origin."""
     made = F.col("entity").startswith("pfr:") | F.col("entity").startswith("prospect:")
     return cohort.groupBy("season", "origin").agg(F.count("*").alias("rows"), F.count_if(F.col("outcome") == 0).alias("zero_outcomes"), F.count_if(made).alias("made_ids"))
+
+
+def contract(cohort: DataFrame, current: int) -> DataFrame:
+    """One row a rule of the cohort's grain and times: how many rows break it.
+
+    Rows are added up by key first, so a key that many rows share is a few partial sums.
+    """
+    season, source, origin, outcome = F.col("season"), F.col("source_season"), F.col("origin"), F.col("outcome")
+    now = F.coalesce(season == current, F.lit(False))
+    rules = {
+        "position_of_the_panel": ~F.coalesce(F.col("position").isin(sorted(set(fn.POSITIONS.values()))), F.lit(False)),
+        "current_outcome_is_unknown": now & outcome.isNotNull(),
+        "earlier_outcome_is_known": ~now & outcome.isNull(),
+        "prior_roster_is_older": (origin == "prior_roster") & ~F.coalesce(source < season, F.lit(False)),
+        "entrants_are_of_the_season": (origin == "entrant") & ~F.coalesce(source == season, F.lit(False)),
+        "current_is_current": (origin == "current") & ~now,
+    }
+    keyed = cohort.groupBy("season", "entity", "position").agg(F.count("*").alias("_n"), *[F.count_if(bad).alias(name) for name, bad in rules.items()])
+    shared = F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("keys_are_unique")
+    one = keyed.agg(shared, *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in rules])
+    return one.unpivot([], ["keys_are_unique", *rules], "check", "violations")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
-from tidewell.operators import cohort
+from tidewell.operators import cohort, depth
 from tidewell.plans import fixtures as fx
 from tidewell.sources import files
 
@@ -141,3 +141,67 @@ def coh_build(spark: SparkSession, d: str) -> DataFrame:
 count(*) FILTER (WHERE entity LIKE 'pfr:%' OR entity LIKE 'prospect:%') AS made_ids FROM en GROUP BY 1, 2""")
 def coh_audit(spark: SparkSession, d: str) -> DataFrame:
     return cohort.audit(enriched(spark, d))
+
+
+_BROKEN_SQL = f""", twice AS (SELECT * FROM en UNION ALL SELECT * FROM en WHERE entity LIKE '%77'),
+br AS (SELECT season, entity, CASE WHEN entity LIKE '%13' THEN 'LS' ELSE position END AS position, CASE WHEN entity LIKE '%43' AND origin = 'prior_roster' THEN 'current' ELSE origin END AS origin,
+  CASE WHEN entity LIKE '%41' AND origin = 'prior_roster' THEN season WHEN entity LIKE '%42' AND origin = 'entrant' THEN season - 1 ELSE source_season END AS source_season,
+  CASE WHEN entity LIKE '%5' AND season = {CURRENT} THEN 1 WHEN entity LIKE '%99' THEN NULL ELSE outcome END AS outcome FROM twice),
+kn AS (SELECT *, count(*) OVER (PARTITION BY season, entity, position) AS n FROM br)"""
+
+
+@_query(f"""WITH {_ENRICHED_SQL}{_BROKEN_SQL} SELECT 'keys_are_unique' AS "check", count(*) FILTER (WHERE n > 1) AS violations FROM kn
+UNION ALL SELECT 'position_of_the_panel', count(*) FILTER (WHERE position = 'LS') FROM br
+UNION ALL SELECT 'current_outcome_is_unknown', count(*) FILTER (WHERE season = {CURRENT} AND outcome IS NOT NULL) FROM br
+UNION ALL SELECT 'earlier_outcome_is_known', count(*) FILTER (WHERE season <> {CURRENT} AND outcome IS NULL) FROM br
+UNION ALL SELECT 'prior_roster_is_older', count(*) FILTER (WHERE origin = 'prior_roster' AND source_season >= season) FROM br
+UNION ALL SELECT 'entrants_are_of_the_season', count(*) FILTER (WHERE origin = 'entrant' AND source_season <> season) FROM br
+UNION ALL SELECT 'current_is_current', count(*) FILTER (WHERE origin = 'current' AND season <> {CURRENT}) FROM br""")
+def chk_temporal(spark: SparkSession, d: str) -> DataFrame:
+    """The whole contract of the enriched cohort, with faults planted by the ends of ids for each rule."""
+    ends = lambda tail: F.col("entity").endswith(tail)
+    is_, now = (lambda kind: F.col("origin") == kind), F.col("season") == CURRENT
+    whole = files.once(enriched(spark, d).select("season", "entity", "position", "origin", "source_season", "outcome"), "cohort")
+    source = F.when(ends("41") & is_("prior_roster"), F.col("season")).when(ends("42") & is_("entrant"), F.col("season") - 1).otherwise(F.col("source_season"))
+    broken = whole.unionByName(whole.where(ends("77"))).select(
+        "season", "entity", F.when(ends("13"), "LS").otherwise(F.col("position")).alias("position"), F.when(ends("43") & is_("prior_roster"), "current").otherwise(F.col("origin")).alias("origin"),
+        source.alias("source_season"), F.when(ends("5") & now, 1.0).when(ends("99"), None).otherwise(F.col("outcome")).alias("outcome"),
+    )
+    return cohort.contract(broken, CURRENT)
+
+
+_CHART_SQL = """, de AS (SELECT CAST(year(ts) AS INTEGER) AS season, date_trunc('day', ts) AS seen, user_id AS entity,
+  CASE event_type WHEN 'click' THEN 'QB' WHEN 'error' THEN 'FB' WHEN 'purchase' THEN 'WR' WHEN 'signup' THEN 'PK' ELSE 'LS' END AS position,
+  CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(floor(value) AS DOUBLE) END AS depth_rank FROM events),
+da AS (SELECT * FROM de JOIN (SELECT season, max(seen) AS seen FROM de WHERE seen < make_date(season, 1, 20) + 1 GROUP BY 1) USING (season, seen) WHERE position <> 'LS'),
+wk AS (SELECT season, entity, position, CASE WHEN game % 10 = 0 THEN NULL ELSE CAST(1 + game % 5 AS DOUBLE) END AS depth_rank FROM games WHERE week = 1 AND reason IN ('URGENT', 'HIGH', 'MEDIUM')),
+ti AS (SELECT season, entity, depth_rank, least(CASE WHEN position = 'WR' THEN ceil(depth_rank / 3) ELSE depth_rank END, CASE WHEN depth_rank IS NOT NULL THEN 3 END) AS depth_tier FROM da
+  UNION ALL SELECT season, entity, depth_rank, least(depth_rank, CASE WHEN depth_rank IS NOT NULL THEN 3 END) FROM wk),
+tiers AS (SELECT season, entity, depth_rank, depth_tier FROM ti QUALIFY row_number() OVER (PARTITION BY season, entity ORDER BY depth_tier NULLS LAST, depth_rank NULLS LAST) = 1)"""
+
+
+def tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Charts by snapshots (events of a day) and by weeks (games), each read by its own layout."""
+    spots = {"click": "QB", "error": "FB", "purchase": "WR", "signup": "PK"}
+    snapshots = fx.table(spark, d, "events").select(
+        F.year("ts").alias("season"), F.date_trunc("day", "ts").cast("string").alias("at"), F.col("user_id").alias("entity"), fn.mapped(F.col("event_type"), spots, F.lit("LS")).alias("position"),
+        F.when(F.col("event_id") % 10 == 0, "-").otherwise(F.floor("value").cast("string")).alias("rank"),
+    )
+    formation = fn.mapped(F.col("reason"), {"URGENT": "Offense", "HIGH": "Special Teams", "MEDIUM": "Offense"}, F.lit("Defense"))
+    rank = F.when(F.col("game") % 10 == 0, "").otherwise((1 + F.col("game") % 5).cast("string"))
+    weeks = fx.games(spark, d).select("season", "week", formation.alias("formation"), "position", "entity", rank.alias("rank"))
+    return files.by_variant([snapshots, weeks], "at", lambda x: depth.dated(x, 1, 20), depth.weekly)
+
+
+@_query(f"WITH {fx.GAMES_SQL}{_CHART_SQL} SELECT season, entity, depth_rank, depth_tier FROM tiers")
+def win_depth_tier(spark: SparkSession, d: str) -> DataFrame:
+    """Rank and tier of the best row of each entity and season, from depth charts of both layouts."""
+    return tiers(spark, d)
+
+
+@_query(f"""WITH {fx.SEASON_SQL}{_CHART_SQL} SELECT s.season, s.entity, s.position, depth_rank, coalesce(depth_tier, 3) AS depth_tier, depth_tier IS NOT NULL AS depth_charted
+FROM seasons s LEFT JOIN tiers t ON t.season = s.season AND t.entity = s.entity""")
+def jn_depth_tier(spark: SparkSession, d: str) -> DataFrame:
+    """Season rows with their tier; those without one are in the lowest."""
+    rows = fx.season_points(spark, d).select("season", "entity", "position")
+    return depth.with_tiers(rows, tiers(spark, d)).select("season", "entity", "position", "depth_rank", "depth_tier", "depth_charted")

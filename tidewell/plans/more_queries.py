@@ -362,7 +362,7 @@ _TIERS = "SELECT season, entity, min(CASE WHEN position = 'WR' THEN least(CAST(c
 
 
 @query(with_(fx.GAMES_SQL, _TIERS))
-def win_depth_tier(spark: SparkSession, d: str) -> DataFrame:
+def win_week_tier(spark: SparkSession, d: str) -> DataFrame:
     rank = F.when(F.col("position") == "WR", F.ceil(F.col("week") / 3)).otherwise(F.col("week").cast("bigint"))
     return fx.games(spark, d).groupBy("season", "entity").agg(F.min(F.least(rank, F.lit(3).cast("bigint"))).alias("tier"))
 
@@ -484,7 +484,7 @@ def chk_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_(_FIRST_SQL, "SELECT season, o_entity AS entity, draft_year FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS season, o_custkey AS o_entity FROM orders) o JOIN f ON f.entity = o.o_entity WHERE draft_year >= season"))
-def chk_temporal(spark: SparkSession, d: str) -> DataFrame:
+def chk_draft_year(spark: SparkSession, d: str) -> DataFrame:
     o = fx.table(spark, d, "orders").select(F.year("o_orderdate").alias("season"), F.col("o_custkey").alias("entity")).distinct()
     return panel.leaks(o.join(_first(spark, d), "entity").withColumn("source_season", F.col("draft_year")), 1).select("season", "entity", "draft_year")
 
