@@ -168,23 +168,33 @@ def fit(docs: DataFrame, learn: Column, top: int = TOP) -> dict[str, np.ndarray]
 
 
 class Ranker:
-    """Distances of texts to profiles."""
+    """Distances of texts to profiles.
+
+    Ranks are kept for grams of profiles alone, two bytes for each of them and language; a gram of texts
+    has the number of its profile gram, and all that no profile has share one more.
+    """
 
     def __init__(self, profiles: dict[str, np.ndarray], top: int = TOP):
-        self.profiles, self.langs, self.top = profiles, sorted(profiles), top
-        self.table, self.ranked = GramTable(), -1
+        self.langs, self.top = sorted(profiles), top
+        self.known = np.unique(np.concatenate([np.zeros(0, np.int64), *profiles.values()]))
+        self.place = np.full((len(self.langs), len(self.known) + 1), -1, np.int16 if top < 1 << 15 else np.int32)
+        for i, lang in enumerate(self.langs):
+            self.place[i, np.searchsorted(self.known, profiles[lang])] = np.arange(len(profiles[lang]))
+        self.table = GramTable()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ranked, self.column = -1, np.zeros(0, np.int32)
 
     def _rank(self) -> None:
-        """For each gram of the table its rank in each profile, or -1, and its place by code points."""
+        """For each new gram of the table the number of its profile gram, and for all grams their place by code points."""
         codes = self.table.codes
-        order = np.argsort(codes)
+        new = codes[len(self.column) :]
+        at = np.searchsorted(self.known, new)
+        found = np.append(self.known, -1)[at] == new  # no gram is below 0
+        self.column = np.concatenate([self.column, np.where(found, at, len(self.known)).astype(np.int32)])
         self.by_code = np.empty(len(codes), np.int64)
-        self.by_code[order] = np.arange(len(codes))
-        self.place = np.full((len(self.langs), len(codes)), -1, np.int64)
-        for i, lang in enumerate(self.langs):
-            at = np.minimum(np.searchsorted(codes, self.profiles[lang], sorter=order), max(len(codes) - 1, 0))
-            known = codes[order[at]] == self.profiles[lang] if len(codes) else np.zeros(len(at), bool)
-            self.place[i, order[at[known]]] = np.flatnonzero(known)
+        self.by_code[np.argsort(codes)] = np.arange(len(codes))
         self.ranked = len(codes)
 
     def _first(self, grams: np.ndarray) -> np.ndarray:
@@ -207,7 +217,7 @@ class Ranker:
             return ["und"] * len(many), np.zeros(len(many))
         if self.table.full():
             self.table.clear()
-            self.ranked = -1
+            self._forget()
         rows = words(many)
         at = self.table.places(rows)
         if self.ranked != len(self.table.codes):
@@ -219,7 +229,7 @@ class Ranker:
                 out.append("und")
                 continue
             first = self._first(self.table.of(at[begin:end]))
-            place = self.place[:, first]
+            place = self.place[:, self.column[first]].astype(np.int64)
             off = np.where(place < 0, self.top, np.abs(place - np.arange(len(first)))).sum(1)
             best = int(off.argmin())
             out.append(self.langs[best])
