@@ -127,7 +127,7 @@ def _blocks(items: DataFrame):
     """Items in blocks of at most BLOCK_CHARS characters (one long item may exceed that alone)."""
     rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     block, used = [], 0
-    for row in rows.toLocalIterator():  # one partition at a time; a block is let go once it is sent
+    for row in rows.toLocalIterator():  # one partition at a time
         if block and used + len(row.text) > BLOCK_CHARS:
             yield block
             block, used = [], 0
@@ -145,8 +145,12 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame
     # many blocks: each row's few spans meet by its number, which is written once, as doc_ids may repeat
     numbered, found = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows"), []
     for block in chain([first, second], blocks):
-        found.append(numbered.mapInArrow(_scanner(spark.sparkContext.broadcast(block), size), f"row long, {SCHEMA}"))
-    parts = materialize(reduce(DataFrame.unionByName, found), "items")
+        sent = spark.sparkContext.broadcast(block)
+        rows = numbered.mapInArrow(_scanner(sent, size), f"row long, {SCHEMA}")
+        # the first block's rows are kept for all documents, as they count words, the others' where they hold an item
+        found.append(materialize(rows if not found else rows.where(F.size("items") > 0), "items"))
+        sent.destroy()  # what it found is written, so one block is held at a time
+    parts = reduce(DataFrame.unionByName, found)
     merged = parts.groupBy("row", "doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("words")).alias("words"),
