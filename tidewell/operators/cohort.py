@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as fn
 from tidewell.operators import panel
+from tidewell.sources import files
 
 #: Tests of the body, by name.
 MEASURES = ["forty", "bench", "vertical", "broad_jump", "cone", "shuttle"]
@@ -31,6 +32,12 @@ def first_known(df: DataFrame, keys: list[str], columns: list[str], *order: Colu
     return df.groupBy(*keys).agg(*[first(c).alias(c) for c in columns])
 
 
+def _by_code(df: DataFrame, right: DataFrame, *spread: str) -> DataFrame:
+    """Left join by code to a right side that is unique by it; rows without a code, which match nothing, are dealt by `spread`."""
+    dealt = df.withColumn("_deal", F.when(F.col("code").isNull(), F.xxhash64(*spread)).otherwise(F.lit(0).cast("long")))
+    return dealt.join(right.withColumn("_deal", F.lit(0).cast("long")), ["code", "_deal"], "left").drop("_deal")
+
+
 def one_person(people: DataFrame) -> DataFrame:
     """people(entity, PERSON) with one row an entity: of several, the greatest by all columns in that order."""
     return people.where("entity is not null").groupBy("entity").agg(F.max(F.struct(*PERSON)).alias("p")).select("entity", "p.*")
@@ -51,7 +58,7 @@ def prospects(sources: list[DataFrame], people: DataFrame) -> DataFrame:
     for other in frames[1:]:
         rows = rows.unionByName(other)
     codes = people.where("code is not null").groupBy("code").agg(F.min("entity").alias("entity"))
-    rows = rows.join(codes, "code", "left")
+    rows = _by_code(rows, codes, "season", "name", "school")
     rows = rows.withColumn("entity", F.coalesce("entity", fn.pseudo_id(F.trim("code"), F.col("season"), F.col("name"), F.col("school"))))
     far = F.coalesce("draft_number", F.lit(float("inf")))
     columns = ["position", "team", "name", "code", *PROSPECT]
@@ -73,7 +80,7 @@ def enrich(candidates: DataFrame, people: DataFrame, measured: DataFrame) -> Dat
     A draft after the target season is unknown. Without a first season an entrant's is its target season; age and years follow from the target season.
     """
     df = candidates.join(people.select("entity", *[F.col(c).alias(f"p_{c}") for c in PERSON]), "entity", "left")
-    df = df.withColumn("code", F.coalesce("code", "p_code")).join(measured, "code", "left")
+    df = _by_code(df.withColumn("code", F.coalesce("code", "p_code")), measured, "season", "entity")
     df = df.withColumn("_m", F.array_max(F.filter("measured", lambda m: m["season"] <= F.col("season"))))
     df = df.withColumns({c: F.coalesce(F.col(c), F.col(f"_m.{c}")) for c in ["height_text", "weight_text", *MEASURES]})
     since = F.coalesce("p_first_season", F.when(F.col("origin") == "entrant", F.col("season")))
@@ -109,7 +116,7 @@ def build(
         raise ValueError("need first < current and first <= last <= current")
     people = one_person(people)
     until = F.col("season") <= last
-    new = prospects([s.where(until) for s in sources], people)
+    new = files.once(prospects([s.where(until) for s in sources], people), "prospects")
     seen = positioned(rosters.where("entity is not null").where(until & (F.col("season") >= first - 1)))
     base = panel.build_cohort(seen, new.where(F.col("season") >= first), outcomes.where(until), current, unavailable)
     base = base.where(F.col("season").between(first, last)).withColumn("outcome", F.when(F.col("season") < current, F.col("outcome")))
