@@ -33,7 +33,10 @@ def first_known(df: DataFrame, keys: list[str], columns: list[str], *order: Colu
 
 
 def _by_code(df: DataFrame, right: DataFrame, *spread: str) -> DataFrame:
-    """Left join by code to a right side that is unique by it; rows without a code, which match nothing, are dealt by `spread`."""
+    """Left join by code to a right side that is unique by it; rows without a code match nothing.
+
+    They should be dealt by `spread`, but Spark folds the constant side of `_deal` away, so they still meet in one task.
+    """
     dealt = df.withColumn("_deal", F.when(F.col("code").isNull(), F.xxhash64(*spread)).otherwise(F.lit(0).cast("long")))
     return dealt.join(right.withColumn("_deal", F.lit(0).cast("long")), ["code", "_deal"], "left").drop("_deal")
 
