@@ -6,12 +6,14 @@ its slice alone, all draws at once, and a draw's counts sum to N. Rows carry the
 
 Rows are dealt by ranges of (group, value) and sorted once: places of a range are running sums over its counts, a vector
 over draws, and ranges of a group follow one another by their totals, a row a range. Equal values of a group stay in one range.
+Totals of ranges come in one job a pass; a job a range would leave one task at work at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +77,7 @@ def _runs(batches, keys: list[str]):
         last = [table[k][table.num_rows - 1] for k in keys]
         same = np.ones(table.num_rows, bool)
         for k, v in zip(keys, last):
-            same &= np.array(table[k].to_pylist(), object) == v.as_py()
+            same &= pc.fill_null(pc.equal(table[k], v), False).to_numpy()
         cut = int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
         held = table.slice(cut)
         if cut:
@@ -93,16 +95,21 @@ def _bytes(m: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in m], pa.binary())
 
 
+def _segments(keys) -> list[tuple[str, int, int]]:
+    """(key, first row, row after the last) of each run of equal keys."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+    return [(keys[s], s, e) for s, e in zip(starts, [*starts[1:], len(keys)])]
+
+
 def _places(keys, values, w: np.ndarray, before: dict) -> np.ndarray:
-    """Weighted mean places of rows sorted by (key, value) in their range, by draw; `before` keeps each key's weight so far."""
+    """Twice the weighted mean places of rows sorted by (key, value) in their range, by draw; `before` keeps each key's weight so far."""
     starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])]))
-    ties = np.add.reduceat(w.astype(np.int64), starts, axis=0)
-    below = np.zeros_like(ties)
-    for k, s in enumerate(starts):
-        own = before.get(keys[s])
-        below[k] = own if own is not None else 0
-        before[keys[s]] = below[k] + ties[k]
-    return np.repeat(below + (ties + 1) / 2, np.diff(np.append(starts, len(keys))), axis=0)
+    ties = np.add.reduceat(w, starts, axis=0, dtype=np.int64)
+    upto = np.empty_like(ties)
+    for key, first, end in _segments(keys[starts]):
+        upto[first:end] = np.cumsum(ties[first:end], axis=0) + before.get(key, 0)
+        before[key] = upto[end - 1].copy()
+    return np.repeat(2 * upto - ties + 1, np.diff(np.append(starts, len(keys))), axis=0)
 
 
 def draw_spearman(df: DataFrame, draws: int, seed: int = 7, group: list[str] = ("season", "position"), predicted: str = "predicted") -> DataFrame:
@@ -117,7 +124,7 @@ def draw_spearman(df: DataFrame, draws: int, seed: int = 7, group: list[str] = (
             keys, values, w = np.array(table["g"].to_pylist(), object), table["a"].to_numpy(), _matrix(table["w"], np.uint8, draws)
             place = _places(keys, values, w, before)
             yield pa.RecordBatch.from_arrays(
-                [table["g"].combine_chunks(), pa.array(np.full(len(keys), part, np.int32)), table["p"].combine_chunks(), table["w"].combine_chunks(), _bytes(place)], names=["g", "part", "p", "w", "place"]
+                [table["g"].combine_chunks(), pa.array(np.full(len(keys), part, np.int32)), table["p"].combine_chunks(), table["w"].combine_chunks(), _bytes(place.astype(np.uint32))], names=["g", "part", "p", "w", "place"]
             )
         if before:
             names = list(before)
@@ -129,7 +136,7 @@ def draw_spearman(df: DataFrame, draws: int, seed: int = 7, group: list[str] = (
     dealt = rows.repartitionByRange("g", "a").sortWithinPartitions("g", "a")
     one = files.once(dealt.mapInArrow(first, "g string, part int, p double, w binary, place binary"), "places")
     totals: dict[str, list] = {}
-    for r in one.where("w is null").select("g", "part", "place").toLocalIterator():  # a row a range and group in it
+    for r in one.where("w is null").select("g", "part", "place").collect():  # a row a range and group in it
         totals.setdefault(r.g, []).append((r.part, np.frombuffer(r.place)))
     offset = {}
     for g, parts in totals.items():
@@ -143,21 +150,22 @@ def draw_spearman(df: DataFrame, draws: int, seed: int = 7, group: list[str] = (
         sums: dict = {}
         for table in _runs(batches, ["g", "p"]):
             keys, values, w = np.array(table["g"].to_pylist(), object), table["p"].to_numpy(), _matrix(table["w"], np.uint8, draws)
-            place = _places(keys, values, w, before)
+            place = _places(keys, values, w, before) / 2
             parts = table["part"].to_numpy()
-            ra = _matrix(table["place"], np.float64, draws) + np.stack([sent.value[g, p] for g, p in zip(keys, parts)])
-            for g in dict.fromkeys(keys):
-                mine = keys == g
-                ww, x, y = w[mine].astype(float), ra[mine], place[mine]
+            inside = _matrix(table["place"], np.uint32, draws)
+            for g, start, end in _segments(keys):
+                some, at = np.unique(parts[start:end], return_inverse=True)
+                ww, y = w[start:end].astype(float), place[start:end]
+                x = inside[start:end] / 2 + np.stack([sent.value[g, p] for p in some.tolist()])[at]
                 own = sums.setdefault(g, np.zeros((6, draws)))
-                for k, part in enumerate((ww, ww * x, ww * x * x, ww * y, ww * y * y, ww * x * y)):
-                    own[k] += part.sum(0)
+                wx, wy = ww * x, ww * y
+                own += np.stack([ww.sum(0), wx.sum(0), np.einsum("rd,rd->d", wx, x), wy.sum(0), np.einsum("rd,rd->d", wy, y), np.einsum("rd,rd->d", wx, y)])
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(np.full(len(sums), part, np.int32)), _bytes(np.stack([s.ravel() for s in sums.values()]) if sums else np.zeros((0, 1)))], names=["g", "part", "sums"])
 
     dealt = one.where("w is not null").repartitionByRange("g", "p").sortWithinPartitions("g", "p").mapInArrow(second, "g string, part int, sums binary")
     ranges: dict[str, list] = {}
-    for r in dealt.toLocalIterator():  # a row a range and group in it
+    for r in dealt.collect():  # a row a range and group in it, in one job
         ranges.setdefault(r.g, []).append((r.part, np.frombuffer(r.sums).reshape(6, draws)))
     value, n = np.zeros(draws), np.zeros(draws)
     for parts in ranges.values():
@@ -194,7 +202,7 @@ def draw_auc(df: DataFrame, draws: int, seed: int = 7, score: str = "p") -> Data
 
     dealt = rows.repartitionByRange("p").sortWithinPartitions("p").mapInArrow(run, "part int, sums binary")
     area, ones, zeros = np.zeros(draws), np.zeros(draws), np.zeros(draws)
-    for r in sorted(dealt.toLocalIterator(), key=lambda r: r.part):  # a row a range
+    for r in sorted(dealt.collect(), key=lambda r: r.part):  # a row a range
         a, up, down = np.frombuffer(r.sums).reshape(3, draws)
         area, ones, zeros = area + a + up * zeros, ones + up, zeros + down
     pairs = ones * zeros
@@ -216,7 +224,7 @@ def draw_mae(df: DataFrame, draws: int, seed: int = 7, other: str | None = None)
                 total += batch.column(0).to_numpy() @ w, w.sum(0)
         yield pa.RecordBatch.from_arrays([_bytes(total.reshape(1, -1))], names=["sums"])
 
-    sums = sum((np.frombuffer(r.sums).reshape(2, draws) for r in rows.mapInArrow(run, "sums binary").toLocalIterator()), np.zeros((2, draws)))  # a row a task
+    sums = sum((np.frombuffer(r.sums).reshape(2, draws) for r in rows.mapInArrow(run, "sums binary").collect()), np.zeros((2, draws)))  # a row a task
     return df.sparkSession.createDataFrame([(k + 1, float(v)) for k, v in enumerate(sums[0] / np.maximum(sums[1], 1))], "draw int, value double")
 
 
