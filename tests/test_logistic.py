@@ -59,7 +59,7 @@ def test_unknown_values_and_folds_of_one_class(spark):
 
 
 def test_calibrated_forests_predict_after_an_observation(spark):
-    rows = spark.createDataFrame([(2000 + i % 3, i, float(i), float(i % 3 > 0)) for i in range(90)], "season int, entity int, a double, y double")
+    rows = spark.createDataFrame([(2000 + i % 3, i, float(i), float(i // 3 % 4 > 1)) for i in range(90)], "season int, entity int, a double, y double")
     seen = Observation()
     rows.observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
     assert seen.get["n"] == 90
