@@ -128,7 +128,11 @@ class WordTable:
         keys = [[] if i in whole or not t else self._keys(t) for i, t in enumerate(many)]
         counts = np.fromiter(map(len, keys), np.int64, len(many))
         at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(keys)), np.int64, int(counts.sum()))
-        self._learn()
+        try:
+            self._learn()
+        except BaseException:
+            self._clear()  # words without ids must not stay for a next task
+            raise
         sizes = self.ends[at + 1] - self.ends[at]
         flat = self.ids[np.repeat(self.ends[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
         last = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
@@ -139,11 +143,25 @@ class WordTable:
         return flat, lengths
 
 
+#: The table that a worker process keeps for its next task, by its tokenizer file as it was read.
+_KEPT: dict[tuple, WordTable] = {}
+
+
+def word_table(tokenizer_file: str) -> WordTable:
+    """The table of this process: tasks that follow each other in a worker read the tokenizer once and share learned words."""
+    at = os.stat(tokenizer_file)
+    key = (tokenizer_file, at.st_mtime_ns, at.st_size)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = WordTable(tokenizer_file)
+    return _KEPT[key]
+
+
 def _tokens(tokenizer_file: str, end_id: int):
     @without_collector
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        table = WordTable(tokenizer_file)
+        table = word_table(tokenizer_file)
         for batch in slices(batches):
             flat, lengths = table.encode(texts(batch))
             values = np.insert(flat, np.cumsum(lengths), end_id).astype(np.int32, copy=False)
