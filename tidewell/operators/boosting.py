@@ -2,25 +2,28 @@
 
 A frame has a row an example: features (an array of doubles, null or NaN where unknown), y, weight and `since`, the first
 fold whose fit sees it; fold k learns from rows with since <= k. Unknown values are the fold's median, and bins lie between
-quantiles of what the fold sees. In a level of all folds' trees, one aggregation sums gradients and second
-derivatives by (fold, node, column, bin), for the smaller child of each split alone: its sibling is what is left of the parent.
-The driver holds trees and histograms, whatever the number of examples. Margins are written every KEEP rounds, so a
-round reads few trees.
+quantiles of what the fold sees. Barrier tasks keep their share of rows as bins and margins. In a level of all folds' trees they
+add up gradients and second derivatives by (fold, node, column, bin), for the smaller child of each split alone: its sibling is
+what is left of the parent. From the same sums every task grows the same trees, so KEEP rounds are one job; the driver holds the
+trees, whatever the number of examples.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators import ordered
+from tidewell.operators import ordered, together
 from tidewell.operators.trees import medians_by_fold
 from tidewell.sources import files
 
-#: Bins of a column at most; rounds between two written tables of margins.
-BINS, KEEP = 64, 20
+#: Bins of a column at most; rounds of a job, at the end of which the driver has the trees so far.
+BINS, KEEP = 64, 110
 
 
 def edges_by_fold(rows: DataFrame, folds: int, d: int) -> list[list[np.ndarray]]:
@@ -88,47 +91,84 @@ class Growing:
         return tuple(np.array(a) for a in (self.column, self.cut, self.left, self.right, self.value))
 
 
-def _histograms(rows: DataFrame, folds: int, d: int, loss: str, done: list[list[tuple]], growing: dict[int, tuple], wanted: dict[int, list[int]]) -> dict[tuple[int, int], np.ndarray]:
-    """By (fold, node) the sums over its rows by column and bin."""
+class Share:
+    """The rows of one task, in the order of `since`, so that a fold sees the first ones: bins by fold and column, margins by fold."""
 
-    def run(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            y, w, since = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, folds, d)
-            margins = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float64).reshape(-1, folds)
-            for fold, nodes in wanted.items():
-                seen = np.flatnonzero(since <= fold)
-                mine = codes[seen, fold]
-                at = landed(growing[fold], mine)
-                margin = margins[seen, fold] + step(done[fold], mine)
-                g, h = slopes(loss, margin, y[seen], w[seen])
-                for node in nodes:
-                    r = np.flatnonzero(at == node)
-                    if not len(r):
+    def __init__(self, y: np.ndarray, w: np.ndarray, since: np.ndarray, codes: np.ndarray, base: np.ndarray, loss: str):
+        order = np.argsort(since, kind="stable")
+        self.y, self.w, self.loss, self.d = y[order], w[order], loss, codes.shape[2]
+        self.seen = np.searchsorted(since[order], np.arange(len(base)), side="right")
+        self.codes = [np.ascontiguousarray(codes[order[:n], k].T) for k, n in enumerate(self.seen)]
+        self.margin = [np.full(n, base[k]) for k, n in enumerate(self.seen)]
+
+    def begin(self) -> None:
+        """Slopes of a round, with all rows at the roots."""
+        self.at = [np.zeros(n, np.int32) for n in self.seen]
+        self.slopes = [slopes(self.loss, m, self.y[:n], self.w[:n]) for m, n in zip(self.margin, self.seen)]
+
+    def sums(self, fold: int, node: int) -> np.ndarray:
+        """By column and bin the slopes and rows of a node."""
+        rows = np.flatnonzero(self.at[fold] == node) if node else slice(None)
+        g, h = (v[rows] for v in self.slopes[fold])
+        out = np.empty((self.d, BINS, 3))
+        for c in range(self.d):
+            code = self.codes[fold][c][rows]
+            for k, v in enumerate((g, h, None)):
+                out[c, :, k] = np.bincount(code, v, minlength=BINS)
+        return out
+
+    def split(self, fold: int, node: int, column: int, cut: int, left: int, right: int) -> None:
+        rows = np.flatnonzero(self.at[fold] == node)
+        self.at[fold][rows] = np.where(self.codes[fold][column][rows] <= cut, left, right)
+
+    def move(self, fold: int, tree: tuple) -> None:
+        """Add a tree to the margins."""
+        self.margin[fold] += step([tree], self.codes[fold].T)
+
+    def end(self, fold: int, tree: tuple) -> None:
+        """Add the tree under way, whose nodes the rows are in."""
+        self.margin[fold] += tree[4][self.at[fold]]
+
+
+def grow(share: Share, folds: int, rounds: int, depth: int, rate: float, penalty: float, leaf: int, summed) -> list[list[tuple]]:
+    """Further trees of every fold; summed(array) adds the arrays of all tasks, which so come to the same trees."""
+    trees: list[list[tuple]] = [[] for _ in range(folds)]
+    for _ in range(rounds):
+        share.begin()
+        growing = [Growing() for _ in range(folds)]
+        roots = summed(np.stack([share.sums(k, 0) for k in range(folds)]))
+        for t, hist in zip(growing, roots):
+            t.open[0] = hist
+        for level in range(depth):
+            pairs: list[tuple[int, int, int, np.ndarray]] = []
+            for k, t in enumerate(growing):
+                nodes, t.open = list(t.open.items()), {}
+                if not nodes:
+                    continue
+                column, cut, gain = best_splits(np.stack([h for _, h in nodes]), penalty, leaf)
+                for (node, hist), c, b, g in zip(nodes, column.tolist(), cut.tolist(), gain.tolist()):
+                    if g <= 1e-12:
                         continue
-                    cell = (mine[r].astype(np.int64) + BINS * np.arange(d)).ravel()
-                    own = total.setdefault((fold, node), np.zeros((d * BINS, 3)))
-                    for k, values in enumerate((g, h, np.ones(len(g)))):
-                        own[:, k] += np.bincount(cell, np.repeat(values[r], d), minlength=d * BINS)
-        for (fold, node), own in total.items():
-            kept = np.flatnonzero(own[:, 2])
-            n = len(kept)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, fold, np.int32)), pa.array(np.full(n, node, np.int32)), pa.array(kept.astype(np.int32)), *(pa.array(own[kept, k]) for k in range(3))], names=["fold", "node", "cell", "g", "h", "n"]
-            )
-
-    found = rows.mapInArrow(run, "fold int, node int, cell int, g double, h double, n double").groupBy("fold", "node", "cell").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
-    out = {(fold, node): np.zeros((d * BINS, 3)) for fold, nodes in wanted.items() for node in nodes}
-    if found.num_rows:
-        fold, node, cell = (found[c].to_numpy() for c in ("fold", "node", "cell"))
-        sums = np.stack([found[c].to_numpy() for c in "ghn"], 1)
-        for key in out:
-            some = (fold == key[0]) & (node == key[1])
-            out[key][cell[some]] = sums[some]
-    return {k: v.reshape(d, BINS, 3) for k, v in out.items()}
+                    left = hist[c, : b + 1].sum(0)
+                    whole = hist[c].sum(0)
+                    at = len(t.column)
+                    t.column[node], t.cut[node], t.left[node], t.right[node] = c, b, at, at + 1
+                    share.split(k, node, c, b, at, at + 1)
+                    for s in (left, whole - left):
+                        for name, v in (("column", -1), ("cut", 0), ("left", 0), ("right", 0), ("value", -rate * float(s[0] / (s[1] + penalty)))):
+                            getattr(t, name).append(v)
+                    if level + 1 < depth and whole[2] >= 2 * leaf:
+                        less = at if left[2] <= whole[2] - left[2] else at + 1
+                        pairs.append((k, less, 2 * at + 1 - less, hist))
+            if not pairs:
+                break
+            got = summed(np.stack([share.sums(k, less) for k, less, _, _ in pairs]))
+            for (k, less, more, hist), own in zip(pairs, got):
+                growing[k].open[less], growing[k].open[more] = own, hist - own
+        for k, t in enumerate(growing):
+            trees[k].append(t.frozen())
+            share.end(k, trees[k][-1])
+    return trees
 
 
 class Boosted:
@@ -160,64 +200,35 @@ def fit(rows: DataFrame, folds: int, rounds: int, depth: int, rate: float, penal
                 continue
             x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, d)
             codes = np.stack([coded(x, edges[k], medians[k]) for k in range(folds)], 1)
-            start = np.tile(base, (batch.num_rows, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (codes, start))], names=["y", "weight", "since", "codes", "margins"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in codes], pa.binary())], names=["y", "weight", "since", "codes"])
+
+    learn = rows.select("y", "weight", "since", "features").where("y is not null")
+    tasks = together.tasks(rows.sparkSession, learn.count())
+    table = files.once(learn.mapInArrow(binned, "y double, weight double, since int, codes binary"), "binned").repartition(tasks)
+
+    def job(done: list[list[tuple]], more: int):
+        path = files.shared_path(rows.sparkSession, "sums")
+
+        def run(batches):
+            context = BarrierTaskContext.get()
+            parts = [[np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros((0, folds, d), np.uint8)]]
+            for batch in batches:
+                codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, folds, d)
+                parts.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), codes])
+            share = Share(*(np.concatenate(p) for p in zip(*parts)), base, loss)
+            del parts
+            for k in range(folds):
+                for tree in done[k]:
+                    share.move(k, tree)
+            new = grow(share, folds, more, depth, rate, penalty, leaf, together.Sums(context, path))
+            if context.partitionId() == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(new)], pa.binary())], names=["trees"])
 
-    kind = "y double, weight double, since int, codes binary, margins binary"
-    table = files.once(rows.select("y", "weight", "since", "features").where("y is not null").mapInArrow(binned, kind), "binned").persist()
-    since_kept: list[list[tuple]] = [[] for _ in range(folds)]
+        return pickle.loads(table.mapInArrow(run, "trees binary", barrier=True).collect()[0].trees)  # every task has to run, as `first` would not let it
 
-    def moved(batches, trees_since):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, folds, d)
-            margins = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float64).reshape(-1, folds).copy()
-            for k in range(folds):
-                margins[:, k] += step(trees_since[k], codes[:, k])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([r.tobytes() for r in margins], pa.binary())], names=["y", "weight", "since", "codes", "margins"])
-
-    for r in range(rounds):
-        growing = {k: Growing() for k in range(folds)}
-        roots = _histograms(table, folds, d, loss, since_kept, {k: t.frozen() for k, t in growing.items()}, {k: [0] for k in growing})
-        for k, t in growing.items():
-            t.open[0] = roots[k, 0]
-        for level in range(depth):
-            small: dict[int, list[int]] = {}
-            pairs: list[tuple[int, int, int, np.ndarray]] = []
-            for k, t in growing.items():
-                nodes, t.open = list(t.open.items()), {}
-                if not nodes:
-                    continue
-                column, cut, gain = best_splits(np.stack([h for _, h in nodes]), penalty, leaf)
-                for (node, hist), c, b, g in zip(nodes, column.tolist(), cut.tolist(), gain.tolist()):
-                    if g <= 1e-12:
-                        continue
-                    left = hist[c, : b + 1].sum(0)
-                    whole = hist[c].sum(0)
-                    at = len(t.column)
-                    t.column[node], t.cut[node], t.left[node], t.right[node] = c, b, at, at + 1
-                    for s in (left, whole - left):
-                        for name, v in (("column", -1), ("cut", 0), ("left", 0), ("right", 0), ("value", -rate * float(s[0] / (s[1] + penalty)))):
-                            getattr(t, name).append(v)
-                    if level + 1 < depth and whole[2] >= 2 * leaf:
-                        less = at if left[2] <= whole[2] - left[2] else at + 1
-                        small.setdefault(k, []).append(less)
-                        pairs.append((k, less, 2 * at + 1 - less, hist))
-            if not pairs:
-                break
-            got = _histograms(table, folds, d, loss, since_kept, {k: t.frozen() for k, t in growing.items()}, small)
-            for k, less, more, hist in pairs:
-                growing[k].open[less], growing[k].open[more] = got[k, less], hist - got[k, less]
-        for k, t in growing.items():
-            trees[k].append(t.frozen())
-            since_kept[k].append(trees[k][-1])
-        if len(since_kept[0]) == KEEP and r + 1 < rounds:
-            kept, old = [list(x) for x in since_kept], table
-            table = files.once(table.mapInArrow(lambda b, kept=kept: moved(b, kept), kind), "margins").persist()
-            old.unpersist()
-            since_kept = [[] for _ in range(folds)]
-    table.unpersist()
+    for at in range(0, rounds, KEEP):
+        for mine, new in zip(trees, job(trees, min(KEEP, rounds - at))):
+            mine += new
     return Boosted(base, edges, medians, trees, loss)
 
 
