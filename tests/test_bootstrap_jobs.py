@@ -23,3 +23,18 @@ def test_draws_take_no_job_for_each_range(spark):
         got, jobs = _jobs(spark, name, lambda run=run: run().count())
         assert got == 8 and jobs <= 16, (name, jobs)
     assert _jobs(spark, "mae_alone", lambda: bootstrap.draw_mae(rows, 8))[1] <= 2
+
+
+def test_counts_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans, once = {}, bootstrap.files.once
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return once(df, name)
+
+    monkeypatch.setattr(bootstrap.files, "once", seen)
+    ids = [*range(40), *range(40), None]
+    rows = bootstrap.weighted(spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "entity int, k int"), 8)
+    assert "Broadcast" not in plans["weighted"]
+    got = rows.collect()
+    assert sorted(r.k for r in got) == list(range(80)) and len({(r.entity, bytes(r.w)) for r in got}) == 40

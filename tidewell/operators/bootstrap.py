@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidewell.operators import ordered
 from tidewell.sources import files
@@ -51,19 +52,33 @@ def hash_of(place: tuple[int, int]) -> int:
 
 
 def weighted(df: DataFrame, draws: int, seed: int = 7) -> DataFrame:
-    """df with `w`, the counts of its entity as bytes, one a draw; written once."""
+    """df with `w`, the counts of its entity as bytes, one a draw; written once.
+
+    Rows go to the task of their entity's slice, which finds the counts itself: a table of counts, 500 bytes an entity that a planner
+    takes for a few, would be sent through the driver to each task.
+    """
     entities = ordered.row_numbers(df.select("entity").distinct(), "_i", [], F.col("entity"))
     entities = files.once(entities, "entities")
-    n = entities.count()
-    kind, size = dict(df.dtypes)["entity"], SLICE
-
-    def run(key, part):
-        own = counts(n, int(key[0].as_py()), draws, seed, size).astype(np.uint8)
-        at = (part["_i"].to_numpy() - 1) % size
-        return pa.table({"entity": part["entity"], "w": pa.array([own[:, i].tobytes() for i in at], pa.binary())})
+    n, size, spark = entities.count(), SLICE, df.sparkSession
+    numbered = df.join(entities.hint("merge"), "entity")  # never broadcast, however well the numbers are packed
+    names = [c for c in numbered.columns if c != "_i"]
 
-    got = entities.groupBy(F.floor((F.col("_i") - 1) / size).alias("slice")).applyInArrow(run, f"entity {kind}, w binary")
-    return files.once(df.join(got, "entity"), "weighted")
+    def run(batches):
+        at, own = -1, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = batch.column(batch.schema.get_field_index("_i")).to_numpy() - 1
+            w = np.empty((len(numbers), draws), np.uint8)
+            for place, start, end in _segments(numbers // size):
+                if place != at:
+                    at, own = place, np.ascontiguousarray(counts(n, int(place), draws, seed, size).astype(np.uint8).T)
+                w[start:end] = own[numbers[start:end] % size]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), _bytes(w)], names=[*names, "w"])
+
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // size)))
+    dealt = numbered.repartition(parts, F.floor((F.col("_i") - 1) / size)).sortWithinPartitions("_i")
+    return files.once(dealt.mapInArrow(run, StructType([*(numbered.schema[c] for c in names), StructField("w", BinaryType())])), "weighted")
 
 
 def _runs(batches, keys: list[str]):
