@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidewell.operators import bootstrap
@@ -62,3 +63,23 @@ def test_paired_gain_of_itself_is_none(data):
     one = bootstrap.draw_spearman(rows, 8)
     got = bootstrap.interval(bootstrap.paired(one, one)).first()
     assert (got.low, got.high, got.draws) == (0.0, 0.0, 8)
+
+
+def test_rows_that_share_a_value_are_not_held(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 4000
+    pdf = pd.DataFrame({"entity": np.arange(n), "season": 1, "position": rng.choice(["a", "b"], n), "actual": rng.choice([1.0, 2.0, 9.0], n), "predicted": rng.choice([0.0, 50.0], n), "label": rng.integers(0, 2, n)})
+    monkeypatch.setattr(bootstrap, "ROWS", 64)
+    monkeypatch.setattr(bootstrap, "LONG", 200)
+    runs = bootstrap._runs([r for r in pa.Table.from_pandas(pdf.sort_values("actual")).to_batches(max_chunksize=500)], ["actual"], 64, 200)
+    seen = [(t.num_rows, kind) for t, kind in runs]
+    assert max(rows for rows, _ in seen) <= 200 + 64 and sum(rows for rows, _ in seen) == n and sum(kind == "end" for _, kind in seen) == 3
+    rows = bootstrap.weighted(spark.createDataFrame(pdf), 6)
+    rank, auc = bootstrap.draw_spearman(rows, 6).collect(), bootstrap.draw_auc(rows, 6, score="predicted").collect()
+    got = rows.toPandas()
+    w = np.stack([np.frombuffer(x, np.uint8) for x in got["w"]])
+    for k in range(6):
+        again = repeated(got, w[:, k])
+        assert rank[k].value == pytest.approx(np.mean([spearman(g) for _, g in again.groupby(["season", "position"])]))
+        r, ones = again["predicted"].rank(), again["label"].sum()
+        assert auc[k].value == pytest.approx((r[again["label"] == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(again) - ones)))
