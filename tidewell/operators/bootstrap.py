@@ -180,7 +180,10 @@ def draw_spearman(df: DataFrame, draws: int, seed: int = 7, group: list[str] = (
             yield empty(list(before), np.full(len(before), part), [*before.values()])
 
     dealt = rows.repartitionByRange("g", "a").sortWithinPartitions("g", "a")
-    one = files.once(dealt.mapInArrow(first, "g string, part long, p double, w binary, place binary"), "places")
+    path, spark = files.shared_path(df.sparkSession, "places"), df.sparkSession
+    one = dealt.mapInArrow(first, "g string, part long, p double, w binary, place binary")
+    one.write.parquet(path)
+    one = spark.read.schema(one.schema).parquet(path)
     totals: dict[str, list] = {}
     for r in one.where("w is null").select("g", "part", "place").collect():  # a row a range and group in it, and one for LONG rows of a value
         totals.setdefault(r.g, []).append((r.part, np.frombuffer(r.place)))
@@ -192,7 +195,7 @@ def draw_spearman(df: DataFrame, draws: int, seed: int = 7, group: list[str] = (
                 offset[g, part] = offset[g, part - part % PARTS] + total
             else:
                 offset[g, part], run = run, run + total
-    sent = df.sparkSession.sparkContext.broadcast(offset)
+    sent = spark.sparkContext.broadcast(offset)
 
     def second(batches):
         before: dict = {}
@@ -237,6 +240,7 @@ def draw_spearman(df: DataFrame, draws: int, seed: int = 7, group: list[str] = (
     ranges: dict[str, list] = {}
     for r in dealt.collect():  # a row a range and group in it, in one job
         ranges.setdefault(r.g, []).append((r.part, np.frombuffer(r.sums).reshape(6, draws)))
+    files.dropped(spark, path)  # 2,500 bytes a row
     value, n = np.zeros(draws), np.zeros(draws)
     for parts in ranges.values():
         total, run = np.zeros((6, draws)), np.zeros(draws)

@@ -73,9 +73,15 @@ def sources(spark: SparkSession, d: str) -> list[DataFrame]:
     return [measured, drafted.unionByName(makers)]
 
 
-def enriched(spark: SparkSession, d: str) -> DataFrame:
-    games = files.once(fx.games(spark, d).withColumn("entity", F.col("entity").cast("string")), "games")
-    outcomes = files.once(fx.season_points(spark, d, games).select("season", "entity", F.round("target", 6).alias("outcome")), "outcomes")
+def enriched(spark: SparkSession, d: str, games: DataFrame | None = None, seasons: DataFrame | None = None) -> DataFrame:
+    """The cohort; `games` and their season_points, if they are written already."""
+    text = F.col("entity").cast("string").alias("entity")
+    if games is None:
+        games = files.once(fx.games(spark, d).withColumn("entity", text), "games")
+    games = games.withColumn("entity", text)
+    if seasons is None:
+        seasons = files.once(fx.season_points(spark, d, games).select("season", "entity", "target"), "outcomes")
+    outcomes = seasons.select("season", text, F.round("target", 6).alias("outcome"))
     return cohort.build(games.where("season_type = 'REG'"), sources(spark, d), people(spark, d), outcomes, CURRENT, ["RES", "CUT"], FIRST)
 
 
@@ -130,11 +136,11 @@ en AS (SELECT f.season, f.entity, f.position, f.team, coalesce(name, p_name) AS
 
 
 @_query(f"WITH {_ENRICHED_SQL} SELECT * FROM en")
-def coh_build(spark: SparkSession, d: str) -> DataFrame:
+def coh_build(spark: SparkSession, d: str, games: DataFrame | None = None, seasons: DataFrame | None = None) -> DataFrame:
     """Veterans, entrants of two sources and the current roster, with body, age, draft, tests, outcome and the outcome before."""
     known = ["age", "years_exp", "height", "weight", "draft_number", "draft_round", "was_drafted", "is_rookie", *cohort.MEASURES]
     cols = ["season", "entity", "position", "team", "name", "status", "available", "origin", "source_season", *known, "outcome", "previous_points"]
-    return enriched(spark, d).withColumn("age", F.round("age", 6)).select(*cols)
+    return enriched(spark, d, games, seasons).withColumn("age", F.round("age", 6)).select(*cols)
 
 
 @_query(f"""WITH {_ENRICHED_SQL} SELECT season, origin, count(*) AS rows, count(*) FILTER (WHERE outcome = 0) AS zero_outcomes,
